@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import line_dedup, ngram_join, packing, quality_rules, url_filters
+from cairn.llm import line_dedup, lm_scoring, media, ngram_join, packing, quality_rules, url_filters
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_join": ngram_join,
+    "op4_lm_scoring": lm_scoring,
+    "op6_media": media,
     "op7_packing": packing,
     "op8_line_dedup": line_dedup,
     "op10_url_filters": url_filters,
