@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cairn.llm import line_dedup, lm_scoring, media, ngram_join, packing, quality_rules, url_filters
+from cairn.llm import kneser_ney, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality_rules, url_filters
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_join": ngram_join,
     "op4_lm_scoring": lm_scoring,
+    "op5_mixing": mixing,
     "op6_media": media,
     "op7_packing": packing,
     "op8_line_dedup": line_dedup,
+    "op9_kneser_ney": kneser_ney,
     "op10_url_filters": url_filters,
 }
 
