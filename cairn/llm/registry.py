@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from cairn.llm import kneser_ney, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality_rules, url_filters
+from cairn.llm import (
+    html_extraction,
+    kneser_ney,
+    line_dedup,
+    lm_scoring,
+    media,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    url_filters,
+)
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_join": ngram_join,
+    "op3_html_extraction": html_extraction,
     "op4_lm_scoring": lm_scoring,
     "op5_mixing": mixing,
     "op6_media": media,
