@@ -84,7 +84,7 @@ def _(t):
 KEYS = "transaction_digest, checkpoint, epoch, timestamp_ms"
 
 
-@query("p6_flatten_event", f"""WITH {TX} SELECT {KEYS}, row_number() OVER (PARTITION BY transaction_digest ORDER BY n) - 1 AS event_index, owner AS sender, concat('p', flag) AS package, concat('m', st) AS module,
+@query("p6_flatten_event", f"""WITH {TX} SELECT {KEYS}, row_number() OVER (PARTITION BY transaction_digest ORDER BY n, id, owner, q, flag, st) - 1 AS event_index, owner AS sender, concat('p', flag) AS package, concat('m', st) AS module,
   concat('t', n) AS event_type, concat('{{"n":', n, '}}') AS event_json FROM l""")
 def _(t):
     return fl.flatten_event(checkpoint_records(t))
@@ -117,7 +117,7 @@ def _(t):
     return fl.flatten_package(checkpoint_records(t))
 
 
-@query("p14_flatten_dynamic_field", f"""WITH {TX}, f AS (SELECT *, first(id) OVER w AS fid, first(n) OVER w AS fn, first(flag) OVER w AS fflag FROM l WINDOW w AS (PARTITION BY transaction_digest ORDER BY n))
+@query("p14_flatten_dynamic_field", f"""WITH {TX}, f AS (SELECT *, first(id) OVER w AS fid, first(n) OVER w AS fn, first(flag) OVER w AS fflag FROM l WINDOW w AS (PARTITION BY transaction_digest ORDER BY n, id, owner, q, flag, st))
   SELECT owner AS parent_object_id, {KEYS}, concat('name', n) AS name, 'DynamicField' AS type, id AS object_id, CAST(n + 1 AS BIGINT) AS version, md5(id) AS digest, concat('0x2::coin::Coin<', flag, '>') AS object_type FROM l WHERE n = 2
   UNION ALL SELECT owner, {KEYS}, concat('name', n), 'DynamicObject', fid, CAST(fn + 1 AS BIGINT), md5(fid), concat('0x2::coin::Coin<', fflag, '>') FROM f WHERE n = 3""")
 def _(t):
