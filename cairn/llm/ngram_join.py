@@ -3,9 +3,10 @@
 A document's row holds its distinct 5-word shingles; rows that are equal are one class. Two classes link at a Jaccard
 similarity of THRESHOLD per cent. All columns are put in one order, rare ones first by a table of counts over the
 whole corpus, and a row's prefix is its first columns, so many that two rows that link must share one. The shuffle
-by column deals the prefixes to blocks; within a column, pairs of rows meet, are dropped if their sizes alone forbid a
-link, and their counts are summed over all blocks. A sum bounds the whole overlap: pairs whose bound is below what
-their sizes ask for are discarded, and the full rows of the others are intersected.
+by column deals the prefixes to blocks; within a column, pairs of rows meet, and are dropped if their sizes, or what
+is left of them behind that column, forbid a link. For the others the overlap of their prefixes is counted, which
+bounds the whole overlap: pairs whose bound is below what their sizes ask for are discarded, and full rows are
+intersected for the rest.
 
 Scale: only components are asked for, so that pairs inside a component are never made. Star rounds come first: in
 each column, every row meets one or two hubs, which is linear in the index, and verified links join components. The
@@ -29,10 +30,13 @@ from cairn.llm.text_arrays import shingle_sets
 
 WIDTH = 5
 THRESHOLD = 75
-#: Counters of the columns' order: 4 MB in all, in rows of CHUNK counters.
-COUNTERS = 1 << 20
-CHUNK = 1 << 10
-STAR_ROUNDS = 2
+#: Counters of the columns' order: 16 MB in all, in rows of CHUNK counters.
+COUNTERS = 1 << 22
+CHUNK = 1 << 12
+#: Bits of the table of documents whose full rows are asked for: 8 MB. It only spares work, so that any size is right.
+ASKED_BITS = 1 << 26
+#: For each star round, into how many classes (a power of two) columns fall whose hubs differ, and the noise in choosing.
+STAR_ROUNDS = ((1, 1), (4, 16))
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -49,12 +53,12 @@ def survey(width: int):
     """A function for mapInPandas: a row for each document, and at the end this task's counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = np.zeros(COUNTERS, dtype=np.int64)
+        counters = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             sets = [tokens for _, tokens in shingle_sets(list(batch["text"]), width)]
             if sets:
                 every = np.concatenate(sets)
-                counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
             keys = pd.array([class_key(t) if len(t) else None for t in sets], dtype="Int64")
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "n": [len(t) for t in sets], "key": keys, "chunk": -1, "counts": None})
         if counters.any():
@@ -69,16 +73,16 @@ def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
-            part = np.frombuffer(counts, dtype=np.int64)
+            part = np.frombuffer(counts, dtype=np.int32)
             totals[chunk] = totals[chunk] + part if chunk in totals else part
     yield pd.DataFrame({"chunk": list(totals), "counts": [t.tobytes() for t in totals.values()]})
 
 
 def prefixes(width: int, threshold: int, counters):
-    """A function for mapInPandas: token, key, n for the prefix of each class that the task sees."""
+    """A function for mapInPandas: token, key, n, at (position from 1) for the prefix of each class that the task sees."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen = np.frombuffer(counters.value, dtype=np.int64), set()
+        table, seen = np.frombuffer(counters.value, dtype=np.int32), set()
         for batch in batches:
             tokens_out, keys, sizes, lengths = [], [], [], []
             for _, tokens in shingle_sets(list(batch["text"]), width):
@@ -93,30 +97,39 @@ def prefixes(width: int, threshold: int, counters):
                     sizes.append(n)
                     lengths.append(p)
             if keys:
-                yield pd.DataFrame({"token": np.concatenate(tokens_out).view(np.int64), "key": np.repeat(keys, lengths), "n": np.repeat(sizes, lengths)})
+                yield pd.DataFrame({"token": np.concatenate(tokens_out).view(np.int64), "key": np.repeat(keys, lengths), "n": np.repeat(sizes, lengths), "at": np.concatenate([np.arange(1, p + 1) for p in lengths])})
 
     return run
 
 
-def full_rows(width: int):
-    """A function for mapInPandas: key and tokens of each class that the task sees."""
+def full_rows(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """key and tokens (sorted) of the documents in asked (doc_id), and of a few others that the bit table lets through."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ASKED_BITS)) + 1  # Spark counts bits from 1
+    made = asked.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    table = bytearray(ASKED_BITS // 8)
+    for row in made.collect():
+        at = (row["bucket"] - 1) * 4096
+        table[at : at + 4096] = row["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(bytes(table))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        bits, seen = np.frombuffer(sent.value, dtype=np.uint8), set()
         for batch in batches:
-            rows = {class_key(t): t.view(np.int64) for _, t in shingle_sets(list(batch["text"]), width) if len(t)}
+            at = batch["slot"].to_numpy() - 1
+            wanted = batch["text"][(bits[at >> 3] >> (at & 7)) & 1 != 0]
+            rows = {class_key(t): t.view(np.int64) for _, t in shingle_sets(list(wanted), width) if len(t)}
             new = [(k, t) for k, t in rows.items() if k not in seen]
             seen.update(rows)
             yield pd.DataFrame(new, columns=["key", "tokens"])
 
-    return run
+    return texts.where("doc_id is not null").select(slot.alias("slot"), "text").mapInPandas(run, "key long, tokens array<long>")
 
 
 def shared_columns(index: DataFrame) -> DataFrame:
     """The distinct rows of columns that two classes or more have in their prefixes."""
     column = Window.partitionBy("token")
     spread = index.withColumns({"low": F.min("key").over(column), "high": F.max("key").over(column)})
-    return spread.where("low <> high").select("token", "key", "n").distinct()
+    return spread.where("low <> high").select("token", "key", "n", "at").distinct()
 
 
 def sizes_allow(a: Column, b: Column, threshold: int) -> Column:
@@ -128,12 +141,35 @@ def needed(a: Column, b: Column, threshold: int) -> Column:
     return F.ceil(threshold * (a + b) / F.lit(100 + threshold))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+def rest(n: Column, threshold: int) -> Column:
+    """How many columns of a row of n are behind its prefix."""
+    return F.ceil(F.lit(threshold) * n / F.lit(100)) - 1
+
+
+def possible(shared: Column, a: Column, b: Column, threshold: int) -> Column:
+    """Whether rows of a and b columns that share so many of their prefixes can link.
+
+    One of the prefixes ends before the other; what its row shares beyond ``shared`` is behind that prefix.
+    """
+    return shared + F.greatest(rest(a, threshold), rest(b, threshold)) >= needed(a, b, threshold)
+
+
+def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those whose overlap in the index leaves a link possible."""
+    left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return joined.where(possible(F.col("shared"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of pairs (a, b), those whose full rows link."""
-    left, right = rows.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), rows.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return joined.select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb")).alias("sum")).where(f"100 * both >= {threshold} * (sum - both)").select("a", "b")
+    pairs = materialize(pairs, "pairs")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    rows = materialize(full_rows(texts, classes.join(keys, "key").select(F.col("rep").alias("doc_id")), width), "rows")
+    rows = rows.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    left, right = rows.toDF("a", "ta"), rows.toDF("b", "tb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("both"), (F.size("ta") + F.size("tb")).alias("sum"))
+    return joined.where(f"100 * both >= {threshold} * (sum - both)").select("a", "b")
 
 
 def labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -146,24 +182,38 @@ def labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
     return named.join(split.select("token"), "token", "left_semi")
 
 
-def star_pairs(rows: DataFrame, salt: int, threshold: int) -> DataFrame:
-    """Each row with its column's two hubs, the rows with the least and the largest salted hash."""
-    order = F.xxhash64("key", F.lit(salt))
-    hub = F.struct(order.alias("order"), F.col("key").alias("key"), F.col("n").alias("n"), F.col("component").alias("component"))
-    hubs = rows.groupBy("token").agg(F.array(F.min(hub), F.max(hub)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
-    met = rows.join(hubs, "token").where(F.col("component") != F.col("hub.component")).where(sizes_allow(F.col("n"), F.col("hub.n"), threshold))
+def first_in_common(n: Column, at: Column, m: Column, there: Column, threshold: int) -> Column:
+    """Whether rows of n and m columns can link whose first common column has these positions in them."""
+    return sizes_allow(n, m, threshold) & (F.least(n - at, m - there) + 1 >= needed(n, m, threshold))
+
+
+def star_pairs(rows: DataFrame, salt: int, classes: int, noise: int, threshold: int) -> DataFrame:
+    """Each row with its column's two hubs: a central row, and any other one.
+
+    Edited copies have columns of their own, which are rare and so come first: the row in which a column comes earliest
+    is the one that is most like all others. Noise and classes vary the choice from round to round.
+    """
+    order = F.xxhash64("key", F.lit(salt), F.col("token").bitwiseAND(F.lit(classes - 1).cast("long")))
+    central = F.struct((F.col("at") + F.pmod(order, F.lit(noise))).alias("rank"), order.alias("order"), "key", "n", "at", "component")
+    other = F.struct(F.lit(0).cast("long").alias("rank"), order.alias("order"), "key", "n", "at", "component")
+    hubs = rows.groupBy("token").agg(F.array(F.min(central), F.max(other)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
+    met = rows.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
+    met = met.where(first_in_common(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), threshold))
     return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
 def product_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """All pairs across components whose summed overlap in the prefixes leaves a link possible."""
-    x = rows.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = x.join(y, "token").where("a < b and ca <> cb").where(sizes_allow(F.col("na"), F.col("nb"), threshold))
-    counts = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    rest = lambda n: F.ceil(F.lit(threshold) * n / F.lit(100)) - 1  # noqa: E731  columns behind the prefix
-    bound = F.col("shared") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
-    return counts.where(bound >= needed(F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    """All pairs across components that a column's positions allow: the first common column of two that link does.
+
+    Of two rows in different components one is outside the column's largest component, so those few meet all rows.
+    """
+    counts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+    main = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    few = rows.join(main, "token").where("component <> main")
+    x = few.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    y = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    met = x.join(y, "token").where("ca <> cb").where(first_in_common(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
@@ -179,18 +229,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     surveyed = materialize(texts.mapInPandas(survey(width), "doc_id long, n long, key long, chunk int, counts binary"), "survey")
     rows = surveyed.where("chunk < 0").select("doc_id", "n", "key")
     chunks = surveyed.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(summed, "chunk int, counts binary").collect()
-    counters = spark.sparkContext.broadcast(b"".join(bytes(r["counts"]) for r in sorted(chunks, key=lambda r: r["chunk"])) or bytes(8 * COUNTERS))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    index = texts.where("doc_id is not null and text is not null").mapInPandas(prefixes(width, threshold, counters), "token long, key long, n long")
+    counters = spark.sparkContext.broadcast(b"".join(bytes(r["counts"]) for r in sorted(chunks, key=lambda r: r["chunk"])) or bytes(4 * COUNTERS))
+    classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    index = texts.where("doc_id is not null and text is not null").mapInPandas(prefixes(width, threshold, counters), "token long, key long, n long, at long")
     index = materialize(shared_columns(index), "index")
-    chosen = classes.join(index.select("key").distinct(), "key").select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.join(chosen, "doc_id", "left_semi").mapInPandas(full_rows(width), "key long, tokens array<long>")
-    full = materialize(full, "rows")
+    sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches")
     links = None
-    for salt in range(STAR_ROUNDS):
-        found = verified(star_pairs(labelled(index, links), salt, threshold), full, threshold)
+    check = lambda pairs: verified(bounded(pairs, sketches, threshold), texts, classes, width, threshold)
+    for salt, (n, noise) in enumerate(STAR_ROUNDS):
+        found = check(star_pairs(labelled(index, links), salt, n, noise, threshold))
         links = materialize(found if links is None else links.union(found), "verified")
-    links = links.union(verified(product_pairs(labelled(index, links), threshold), full, threshold))
+    links = links.union(check(product_pairs(labelled(index, links), threshold)))
     named = components(links).withColumnRenamed("node", "key")
     ids = classes.join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
