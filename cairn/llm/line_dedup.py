@@ -4,8 +4,8 @@ Only lines with a word count. A gram is a line and as many after it as make GRAM
 that start within WINDOW_WORDS words, and its fingerprint is the gram with the smallest hash. Windows depend on the
 lines in them alone, so that each run of lines with GRAM_WORDS + WINDOW_WORDS words that occurs twice has a common
 fingerprint. Each later occurrence of a fingerprint is joined with its first one, by (doc_id, position), and the match
-is extended both ways along the two documents' line hashes. Runs of MIN_WORDS words or more are deleted where they
-come later; as what they repeat comes earlier, the first copy of every line stays.
+is extended both ways along the two documents' line hashes. These runs, which have GRAM_WORDS words at least, are
+deleted where they come later; as what they repeat comes earlier, the first copy of every line stays.
 
 Scale: lines travel as hashes, a few bytes each; a fingerprint's occurrences are joined with one first occurrence, so
 rows stay linear however often a line repeats, and Spark splits a hot fingerprint's join. Texts move once, when the
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import SPACE_CLASS, let, materialize
 
-GRAM_WORDS = 25
-WINDOW_WORDS = 25
-MIN_WORDS = 50
+#: Any repeated run of 50 words, the sum of the two, is found; none of fewer words than the first is touched.
+GRAM_WORDS = 35
+WINDOW_WORDS = 15
 
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -98,7 +98,7 @@ def runs(same: Column, counts: Column, min_words: int) -> Column:
     return F.aggregate(F.concat(cells, last), none, step, lambda a: a["runs"])
 
 
-def repeated_positions(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_positions(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """doc and pos: the line positions of each document that repeat an earlier run."""
     prints = materialize(fingerprints(lines, gram_words, window_words), "fingerprints")
     firsts = prints.groupBy("gram").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -111,13 +111,13 @@ def repeated_positions(lines: DataFrame, gram_words: int = GRAM_WORDS, window_wo
     there = lambda i: F.get(F.col("their_h"), F.greatest(i - F.col("shift"), F.lit(0)))
     same = F.transform(F.col("my_h"), lambda x, i: F.coalesce((i >= F.col("shift")) & (there(i) == x), F.lit(False)))
     # A run without an anchor is none of this pair's business: its fingerprints have another first occurrence.
-    anchored = let(same, lambda s: F.filter(runs(s, F.col("my_n"), min_words), lambda r: F.exists(F.col("anchors"), lambda p: (p >= r["start"]) & (p <= r["end"]))))
+    anchored = let(same, lambda s: F.filter(runs(s, F.col("my_n"), gram_words), lambda r: F.exists(F.col("anchors"), lambda p: (p >= r["start"]) & (p <= r["end"]))))
     found = both.select("doc", "my_pos", F.explode(anchored).alias("r"))
     part = F.slice("my_pos", F.col("r.start") + 1, F.col("r.end") - F.col("r.start") + 1)
     return found.select("doc", part.alias("part")).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("pos"))
 
 
-def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """docs with all their columns, text without the lines that repeat an earlier run, and ``removed_lines`` (long).
 
     Needs doc_id, the order of "earlier" (null first), and text. Null texts stay null, and texts that repeat nothing
@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int
     """
     own = [c for c in docs.columns if c != "removed_lines"]
     lines = materialize(lines_of(docs.select("doc_id", "text").where("text is not null")), "lines")
-    gone = repeated_positions(lines, gram_words, window_words, min_words).select(
+    gone = repeated_positions(lines, gram_words, window_words).select(
         F.col("doc.doc_id").alias("__doc_id"), F.col("doc.text").alias("__text"), F.col("pos").alias("__pos")
     )
     joined = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64("text").alias("__hash"))
