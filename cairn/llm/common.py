@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that separates words; everything else belongs to a word.
-SPACE = " \t\n\x0b\x0c\r"
-#: The same as a Java character class.
-SPACE_CLASS = "[ \\x09-\\x0D]"
-
-_own_dirs: dict[str, str] = {}
-
+from cairn.sources.shared import materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return "file://" + _own_dirs[app]
+__all__ = ["SPACE_CLASS", "let", "materialize", "n_words", "words"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The white space that separates words, as a Java character class; everything else belongs to a word.
+SPACE_CLASS = "[ \\x09-\\x0D]"
 
 
 def words(text: Column) -> Column:
@@ -51,8 +26,3 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often body uses it."""
     return F.transform(F.array(value), body)[0]
-
-
-def as_ids(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that any further column of the input, whatever its name, can't clash."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
