@@ -182,3 +182,8 @@ def table_summary(table: DataFrame, key: str, value: str) -> DataFrame:
         F.percentile("k", F.lit(0.5)).alias("key_size_p50"), F.max("k").cast("long").alias("key_size_max"),
         F.percentile("v", F.lit(0.5)).alias("value_size_p50"), F.max("v").cast("long").alias("value_size_max"),
     )
+
+
+def epoch_refresh(checkpoints: DataFrame, calls: DataFrame, epochs: DataFrame, keys: list[str], now_ms: int) -> dict[str, DataFrame]:
+    """D3: what is rebuilt when an epoch ends: the top calls by wall time and the peaks of all epochs."""
+    return {"top_calls": top_calls_since(calls, epochs, keys, now_ms), "epoch_peak_tps": epoch_peak_tps(checkpoints)}

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _past(keys: list[str], cursor: tuple, descending: bool, inclusive: bool) -> Column:
     """L3: keys after the cursor in lexicographic order, spelled out so that the scan can use the first one."""
     out = F.lit(inclusive)
@@ -17,9 +18,11 @@ def _past(keys: list[str], cursor: tuple, descending: bool, inclusive: bool) ->
     first = F.col(keys[0]) <= cursor[0] if descending else F.col(keys[0]) >= cursor[0]
     return first & out
 
+
 def order_by(keys: list[str], descending: bool) -> list[Column]:
     return [F.desc(k) if descending else F.asc(k) for k in keys]
 
+
 def keyset_page(rows: DataFrame, keys: list[str], limit: int, cursor: tuple | None = None, descending: bool = False) -> DataFrame:
     """L1: at most limit rows past an exclusive cursor, each with has_next: whether there are more.
 
@@ -31,6 +34,7 @@ def keyset_page(rows: DataFrame, keys: list[str], limit: int, cursor: tuple | No
     counted = taken.crossJoin(taken.agg((F.count("*") > limit).alias("has_next")))
     return counted.orderBy(*order).limit(limit)
 
+
 def connection_page(rows: DataFrame, keys: list[str], first: int | None = None, last: int | None = None, after: tuple | None = None, before: tuple | None = None) -> DataFrame:
     """L2: the first or last rows strictly between two cursors, in ascending order, with has_prev and has_next.
 
@@ -51,6 +55,7 @@ def connection_page(rows: DataFrame, keys: list[str], first: int | None = None,
     nxt = F.lit(before is not None) if backward else F.col("more")
     return page.crossJoin(more).select(*rows.columns, prev.alias("has_prev"), nxt.alias("has_next")).orderBy(*order_by(keys, False))
 
+
 def capped_limit(limit: int | None, default: int = 50, most: int = 50, strict: bool = False) -> int:
     """None, 0 or too many give the most; strict raises for too many."""
     if limit is None:
@@ -59,6 +64,7 @@ def capped_limit(limit: int | None, default: int = 50, most: int = 50, strict: b
         raise ValueError(f"limit must be from 0 to {most}: {limit}")
     return most if limit == 0 or limit > most else limit
 
+
 def checked_view(cursors: list[tuple | None]) -> int | None:
     """L4: the checkpoint that all cursors (checkpoint_viewed_at, key) agree on; ValueError if they don't."""
     seen = {c[0] for c in cursors if c is not None}
@@ -66,12 +72,14 @@ def checked_view(cursors: list[tuple | None]) -> int | None:
         raise ValueError("cursors of different checkpoints in one page")
     return next(iter(seen), None)
 
+
 def by_gas_price(tx: DataFrame, price: str, order: list[str], commit: str | None = None) -> DataFrame:
     """Highest price first, rows without a price before all, stable by order; within each commit if one is named."""
     ranked = tx.withColumn("__p", F.coalesce(F.col(price).cast("decimal(20,0)"), F.lit(str(2**64 - 1)).cast("decimal(20,0)")))
     keys = ([F.asc(commit)] if commit else []) + [F.desc("__p"), *[F.asc(o) for o in order]]
     return ranked.orderBy(*keys).drop("__p")
 
+
 def causal_order(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx", depends_on: str = "depends_on") -> DataFrame:
     """A deterministic order within each group (one checkpoint's transactions, so of bounded size), from 0.
 
@@ -103,6 +111,7 @@ def causal_order(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx
 
     return listed.groupBy(group).applyInPandas(sort, f"{group} {kinds[group]}, {node} {kinds[node]}, position long")
 
+
 def dependency_depth(nodes: DataFrame, edges: DataFrame, checkpoint, node: str = "tx", depends_on: str = "depends_on", most: int = 1_000) -> DataFrame:
     """The longest path of dependencies below each node; nodes without any have 0.
 
@@ -119,19 +128,23 @@ def dependency_depth(nodes: DataFrame, edges: DataFrame, checkpoint, node: str =
         depth = checkpoint(depth.join(frontier.withColumn("__hit", F.lit(True)), node, "left").select(node, F.when(F.col("__hit"), F.lit(level).cast("long")).otherwise(F.col("depth")).alias("depth")))
     raise ValueError(f"paths of more than {most} edges, or a cycle")
 
+
 def array_page(rows: DataFrame, array: str, start: int, limit: int) -> DataFrame:
     """Positions [start, start + limit) of an array column, with has_prev and has_next."""
     return rows.withColumns({array: F.slice(F.col(array), start + 1, limit), "has_prev": F.lit(start > 0) & (F.size(array) > 0), "has_next": F.size(array) > start + limit})
 
+
 def key_scan(rows: DataFrame, key: str, start, end=None, limit: int | None = None) -> DataFrame:
     """Keys from start up to an exclusive end, or so many of them."""
     found = rows.where(F.col(key) >= start) if end is None else rows.where((F.col(key) >= start) & (F.col(key) < end))
     return found.orderBy(key) if limit is None else found.orderBy(key).limit(limit)
 
+
 def numbered_page(rows: DataFrame, key: str, size: int, number: int) -> DataFrame:
     """A page by number; rows before it are skipped by a top-k, so it is meant for small numbers."""
     return rows.orderBy(key).offset(size * number).limit(size)
 
+
 def map_page(rows: DataFrame, names: str, first: int, after: str | None = None) -> DataFrame:
     """The first names of a map column past an exclusive cursor, with has_prev and has_next, one row a name."""
     keys = F.array_sort(F.map_keys(names))
@@ -139,6 +152,7 @@ def map_page(rows: DataFrame, names: str, first: int, after: str | None = None)
     flagged = rows.withColumns({"__k": ahead, "has_next": F.size(ahead) > first, "has_prev": F.size(keys) > F.size(ahead)})
     return flagged.withColumn("name", F.explode(F.slice("__k", 1, first))).withColumn("value", F.col(names)[F.col("name")]).drop("__k", names)
 
+
 def union_pages(parts: list[DataFrame]) -> DataFrame:
     """Lists of changes put together, repeats kept."""
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -84,6 +84,25 @@ def _(t):
 KEYS = "transaction_digest, checkpoint, epoch, timestamp_ms"
 
 
+@query("p3_command_counts", f"""WITH {TX} SELECT transaction_digest, CASE WHEN is_system_txn THEN 0 ELSE count_if(kind = 'MoveCall') END AS move_calls,
+  CASE WHEN is_system_txn THEN 0 ELSE count_if(kind = 'TransferObjects') END AS transfers, CASE WHEN is_system_txn THEN 0 ELSE count_if(kind = 'Publish') END AS publish,
+  CASE WHEN is_system_txn THEN 0 ELSE count_if(kind = 'MakeMoveVec') END AS other_commands FROM l GROUP BY transaction_digest, is_system_txn""")
+def _(t):
+    counts = fl.command_counts(F.col("tx.commands"), F.col("tx.is_system"))
+    return fl.transactions(checkpoint_records(t)).select(F.col("tx.digest").alias("transaction_digest"), *[counts[n].alias(n) for n in ("move_calls", "transfers", "publish", "other_commands")])
+
+
+@query("p4_packages", f"""WITH {TX} SELECT transaction_digest, coalesce(array_to_string(list_sort(list(DISTINCT concat('p', flag)) FILTER (kind = 'MoveCall')), '-'), '') AS packages FROM l GROUP BY 1""")
+def _(t):
+    return fl.transactions(checkpoint_records(t)).select(F.col("tx.digest").alias("transaction_digest"), fl.packages_of(F.col("tx.commands")).alias("packages"))
+
+
+@query("p5_effect_counts", f"""WITH {TX} SELECT transaction_digest, count_if(n = 1) AS created, count_if(n IN (2, 3)) AS mutated, count_if(n IN (4, 5)) AS deleted FROM l GROUP BY 1""")
+def _(t):
+    counts = fl.effect_counts(F.col("tx.effects"))
+    return fl.transactions(checkpoint_records(t)).select(F.col("tx.digest").alias("transaction_digest"), *[c.alias(n) for n, c in counts.items()])
+
+
 @query("p6_flatten_event", f"""WITH {TX} SELECT {KEYS}, row_number() OVER (PARTITION BY transaction_digest ORDER BY n, id, owner, q, flag, st) - 1 AS event_index, owner AS sender, concat('p', flag) AS package, concat('m', st) AS module,
   concat('t', n) AS event_type, concat('{{"n":', n, '}}') AS event_json FROM l""")
 def _(t):
@@ -101,6 +120,25 @@ def _(t):
     return fl.flatten_object(checkpoint_records(t))
 
 
+@query("p8_object_status", f"""WITH {TX} SELECT transaction_digest, id AS object_id, CASE WHEN bool_or(n IN (2, 3)) THEN 'Mutated' WHEN bool_or(n IN (4, 5)) THEN 'Deleted' WHEN bool_or(n = 1) THEN 'Created' END AS object_status FROM l GROUP BY ALL""")
+def _(t):
+    rows = fl.transactions(checkpoint_records(t)).select("tx", F.explode(F.array_distinct(F.transform("tx.output_objects", lambda o: o["object_id"]))).alias("object_id"))
+    return rows.select(F.col("tx.digest").alias("transaction_digest"), "object_id", fl.object_status(F.col("tx.effects"), F.col("object_id")).alias("object_status"))
+
+
+@query("p9_input_kind", f"""WITH {TX} SELECT transaction_digest, id AS object_id, CASE WHEN bool_or(n = 4) THEN 'GasCoin' WHEN bool_or(n % 2 = 0) THEN 'SharedInput' ELSE 'Input' END AS input_kind FROM l GROUP BY ALL""")
+def _(t):
+    rows = fl.transactions(checkpoint_records(t)).select("tx", F.explode(F.array_distinct(F.transform("tx.inputs", lambda i: i["object_id"]))).alias("object_id"))
+    return rows.select(F.col("tx.digest").alias("transaction_digest"), "object_id", fl.input_kind(F.col("tx"), F.col("object_id")).alias("input_kind"))
+
+
+@query("p10_owner_projection", f"""WITH {TX} SELECT transaction_digest, id AS object_id, CASE n % 4 WHEN 0 THEN 'Shared' WHEN 1 THEN 'AddressOwner' WHEN 2 THEN 'ObjectOwner' ELSE 'Immutable' END AS owner_type,
+  CASE WHEN n % 4 IN (1, 2) THEN owner END AS owner_address, CASE WHEN n % 4 = 0 THEN CAST(n + 1 AS BIGINT) END AS initial_shared_version FROM l""")
+def _(t):
+    rows = fl.transactions(checkpoint_records(t)).select("tx.digest", F.explode("tx.output_objects").alias("o"))
+    return rows.select(F.col("digest").alias("transaction_digest"), "o.object_id", *fl.owner_columns(F.col("o")))
+
+
 @query("p11_flatten_tx_objects", f"""WITH {TX}, o AS (SELECT id AS object_id, {KEYS}, n, CASE WHEN bool_or(n = 4) OVER w THEN 'GasCoin' WHEN bool_or(n % 2 = 0) OVER w THEN 'SharedInput' ELSE 'Input' END AS input_kind, {STATUS} AS object_status
   FROM l WINDOW w AS (PARTITION BY transaction_digest, id)) SELECT object_id, CAST(n + d AS BIGINT) AS version, {KEYS}, input_kind, object_status FROM o, (VALUES (0), (1)) v(d)""")
 def _(t):

@@ -209,3 +209,15 @@ def _(t):
 def _(t):
     found = range_lookup(t.fx_tx, t.fx_epoch.withColumnRenamed("epoch", "epoch_id"), "checkpoint_sequence_number", "first_checkpoint_id", "last_checkpoint_id", 24)
     return found.select("tx_sequence_number", "epoch_id")
+
+
+@query("d3_epoch_refresh", f"""WITH s AS ({TPS.format("fx_checkpoint")}), e AS (SELECT epoch, max(tps) AS peak FROM s JOIN (SELECT timestamp_ms, max(epoch) AS epoch FROM fx_checkpoint GROUP BY 1) c
+  ON c.timestamp_ms = s.ts WHERE tps IS NOT NULL GROUP BY epoch), d(day) AS (VALUES (3), (7), (30)), b AS (SELECT day, min(epoch) AS lo FROM fx_epoch, d
+  WHERE epoch_start_timestamp > 1706572800000 - day * CAST(86400000 AS BIGINT) GROUP BY day), k AS (SELECT day, move_package, move_module, move_function, count(*) AS n FROM fx_move_call JOIN b ON epoch >= lo GROUP BY ALL)
+  SELECT 'epoch_peak_tps' AS view, CAST(epoch AS BIGINT) AS key, peak AS value FROM e UNION ALL
+  SELECT 'top_calls', CAST(day AS BIGINT), CAST(sum(n) AS DOUBLE) FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC, move_package, move_module, move_function) <= 10) GROUP BY day""")
+def _(t):
+    made = m.epoch_refresh(t.fx_checkpoint, t.fx_move_call, t.fx_epoch, CALLS, 1_706_572_800_000)
+    peaks = made["epoch_peak_tps"].select(F.lit("epoch_peak_tps").alias("view"), F.col("epoch").cast("long").alias("key"), F.col("peak_tps").alias("value"))
+    calls = made["top_calls"].groupBy("day").agg(F.sum("count").cast("double").alias("value"))
+    return peaks.unionByName(calls.select(F.lit("top_calls").alias("view"), F.col("day").cast("long").alias("key"), "value"))
