@@ -229,6 +229,8 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD", 30)  # most words go through the join
     monkeypatch.setattr(lm_scoring, "TOKENS_PER_SHARD", 500)
     check_scores(spark, texts, {r["doc_id"]: r for r in lm_scoring.score_held_out(docs).collect()})
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 13)  # far too small for these texts: the lowest levels stay out
+    check_scores(spark, texts, {r["doc_id"]: r for r in lm_scoring.score_held_out(docs).collect()})
     assert lm_scoring.score_held_out(empty).count() == 0
     none = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert sorted(r["n_tokens"] for r in lm_scoring.score_held_out(none).collect()) == [1, 3]
@@ -244,6 +246,21 @@ def test_filter_counts():
     assert (read[2500:] > 0).mean() < 0.2
 
 
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 14, 1 << 20])
+def test_full_filter(bits):
+    rng = np.random.default_rng(2)
+    keys, levels = rng.integers(0, 2**63, 20_000, dtype=np.uint64), np.minimum(rng.geometric(0.3, 20_000), 12)
+    first = lm_scoring.first_level(levels, bits)
+    size = lambda f: lm_scoring.PROBES * int((levels - f + 1)[levels >= f].sum())
+    assert size(first) <= lm_scoring.FILL * bits and (first == 1 or size(first - 1) > lm_scoring.FILL * bits)
+    flags = np.zeros(bits, dtype=bool)
+    lm_scoring.Filter(flags, 0, bits).add(flags, keys, levels, first)
+    assert flags.mean() <= 0.63
+    read = lm_scoring.Filter(np.packbits(flags), 0, bits, firsts=np.array([first])).counts(keys)
+    assert (read[levels >= first] >= np.ceil(lm_scoring.LEVEL_BASE ** (levels[levels >= first] - 1.0) - 1e-9)).all()
+    assert lm_scoring.first_level(np.zeros(0, dtype=np.int64), bits) == 1
+
+
 # 5
 
 
