@@ -1,21 +1,21 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers.
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed shard by shard.
 
 Training. Tasks count the words and word pairs of their training texts, sorted by hash, and deal them in shards, packed
-as arrays; a task for each shard adds them up. A count c is quantised to level 1 + floor(log_B c), and an n-gram enters
-the filter once for each level up to its own, each time as another key. A shard owns a slice of the filter, so that
-slices are made apart and only put side by side at the end.
+as arrays; a task for each shard adds them up. Words keep their exact counts. A pair's count c is quantised to level
+1 + floor(log_B c), and the pair enters its shard's slice of the filter once for each level up to its own, each time as
+another key. A slice has as many bits as its own pairs need.
 
-Scoring. A count is read by probing level after level until one is missing; a pair's count is at most the smaller of
-its words' counts. A pair's probability is smoothed towards its second word's: (count + MU * p(word)) / (context + MU),
-with p(word) = (count + 1) / (N + V + 1). The quantised counts are lower bounds, so that probabilities add up to 1 at
-most, but for the filter's false positives.
+Scoring. Texts are packed in chunks. A chunk asks each shard for the counts of its distinct pairs and words, sorted and
+packed as arrays; a task for each shard answers with levels and exact counts, and the answers meet the chunk again. A
+count is read by probing level after level until one is missing; a pair's count is at most the smaller of its words'
+counts. A pair's probability is smoothed towards its second word's: (count + MU * p(word)) / (context + MU), with p(word) =
+(count + 1) / (N + V + 1). The quantised counts are lower bounds, so that probabilities add up to 1 at most, but for the
+filter's false positives.
 
-Exact counts of words are needed besides, for base_score. The most frequent HEAD words are broadcast, a fixed number;
-all others go through a join by hash, where no key is hot as each is rare.
+The most frequent HEAD words are broadcast, a fixed number, only to ask less: any number gives the same result.
 
-Scale: the filter and the head have fixed bounds. If a shard's n-grams are too many for its slice, the lowest levels
-stay out of it, so many that no slice is ever filled beyond what FILL allows; probes then start at the slice's first
-level. MAX_BITS is to be raised with the corpus for finer scores. Shards grow in number with the tokens, not in size.
+Scale: shards and chunks grow in number with the tokens, not in size, and a chunk asks for a pair once however often it
+has it. Neither the filter nor the texts pass the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +37,23 @@ FOLDS, HELD_OUT = 7, 2
 MU = 100.0
 LEVEL_BASE = 1.5
 PROBES = 4
-#: Bits of the filter for each token that it may have to hold, and at most in all (64 MB).
+#: Bits of the filter for each token that it may have to hold; so many shards that slices of this density have MAX_BITS each at most.
 BITS_PER_TOKEN = 8
 MAX_BITS = 1 << 29
 #: Bits set for each bit of a slice, repetitions included: at most about 60 % of the bits are 1.
 FILL = 0.92
+#: The same of the slices that are made: about 37 % of the bits are 1.
+SLICE_FILL = FILL / 2
 HEAD = 1 << 20
 TOKENS_PER_SHARD = 1 << 20
 FLUSH_TOKENS = 1 << 22
+#: Bytes of text that are scored at once, but for one longer text.
+CHUNK_BYTES = 12 << 20
 
 _START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _FIRST, _SECOND, _LEVEL = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
 WORD, PAIR = 1, 2
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -70,6 +78,20 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
 
+def least_count(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, np.ceil(LEVEL_BASE ** (levels - 1.0) - 1e-9), 0.0)
+
+
+def keys_of(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
+    """The shard and, in the low 32 bits, the n-gram's key inside it; in the order of the hashes."""
+    return hashes >> np.uint64(32 - shard_bits)
+
+
+def shard_edges(keys: np.ndarray, shard_bits: int) -> np.ndarray:
+    """Where each shard's part of sorted keys begins, and the end."""
+    return np.searchsorted(keys, np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(32))
+
+
 def first_level(levels: np.ndarray, slice_bits: int) -> int:
     """The least level to start from for n-grams of these levels to fit into a slice."""
     reaching = np.cumsum(np.bincount(levels, minlength=2)[::-1])
@@ -77,11 +99,16 @@ def first_level(levels: np.ndarray, slice_bits: int) -> int:
     return 1 + (int(np.argmax(fits)) if fits.any() else len(fits))
 
 
+def bits_for(levels: np.ndarray) -> int:
+    """The bits of a slice that holds n-grams of these levels from level 1 on: equally dense at any size."""
+    return 64 + int(np.ceil(PROBES * int(levels.sum()) / SLICE_FILL / 8)) * 8
+
+
 class Filter:
     """A Bloom filter of (n-gram, level) keys, or with ``shard`` one slice of it; firsts holds each slice's first level."""
 
     def __init__(self, bits: np.ndarray, shard_bits: int, slice_bits: int, shard: int | None = None, firsts: np.ndarray | None = None):
-        self.bits, self.shard_bits, self.mask, self.shard = bits, shard_bits, np.uint64(slice_bits - 1), shard
+        self.bits, self.shard_bits, self.shard = bits, shard_bits, shard
         self.slice_bits = np.uint64(slice_bits)
         self.firsts = np.ones(1 << shard_bits, dtype=np.int64) if firsts is None else firsts
 
@@ -92,7 +119,7 @@ class Filter:
         if self.shard is None and self.shard_bits:
             start = (hashes >> np.uint64(64 - self.shard_bits)) * self.slice_bits
         for i in range(PROBES):
-            yield start + ((key + np.uint64(i) * step) & self.mask)
+            yield start + (key + np.uint64(i) * step) % self.slice_bits
 
     def add(self, flags: np.ndarray, hashes: np.ndarray, levels: np.ndarray, first: int = 1) -> None:
         for level in range(first, int(levels.max(initial=0)) + 1):
@@ -105,15 +132,19 @@ class Filter:
             found &= (self.bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 != 0
         return found
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """The lower ends of the levels found, 0 where there is none."""
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The highest levels found, 0 where there is none."""
         levels, active = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
         level = self.firsts[(hashes >> np.uint64(64 - self.shard_bits)).astype(np.int64)] if self.shard_bits else np.full(len(hashes), self.firsts[0])
         while len(active):
             active = active[self.has(hashes[active], level[active])]
             levels[active] = level[active]
             level[active] += 1
-        return np.where(levels > 0, np.ceil(LEVEL_BASE ** (levels - 1.0) - 1e-9), 0.0)
+        return levels
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """The lower ends of the levels found, 0 where there is none."""
+        return least_count(self.levels(hashes))
 
 
 def counted(shard_bits: int):
@@ -144,8 +175,8 @@ def counted(shard_bits: int):
     return run
 
 
-def merged(shard_bits: int, slice_bits: int):
-    """A function for applyInPandas over one shard: exact counts of its words, and its slice of the filter with the slice's first level."""
+def merged(shard_bits: int):
+    """A function for applyInPandas over one shard: exact counts of its words, and its pairs' slice of the filter."""
 
     def added(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *[np.frombuffer(h, dtype=np.uint64) for h in part["hashes"]]])
@@ -158,33 +189,26 @@ def merged(shard_bits: int, slice_bits: int):
         return hashes[firsts], np.add.reduceat(counts, firsts)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
-        flags = np.zeros(slice_bits, dtype=bool)
-        own = Filter(flags, shard_bits, slice_bits, shard)
         words, times = added(group[group["kind"] == WORD])
         pairs, counts = added(group[group["kind"] == PAIR])
-        grams, levels = np.concatenate([words, pairs]), level_of(np.concatenate([times, counts]))
-        first = first_level(levels, slice_bits)
-        own.add(flags, grams, levels, first)
-        return pd.DataFrame([{"shard": shard, "slice": np.packbits(flags).tobytes(), "first": first, "hashes": words.view(np.int64), "counts": times}])
+        keys, levels = keys_of(pairs, shard_bits) & LOW, level_of(counts)
+        flags = np.zeros(bits_for(levels), dtype=bool)
+        Filter(flags, 0, len(flags)).add(flags, keys, levels)
+        return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "slice": np.packbits(flags).tobytes(), "hashes": words.view(np.int64), "counts": times}])
 
     return run
 
 
 def train(texts: DataFrame) -> dict:
-    """The model of a table with the column text: filter, head of exact counts, table of all exact counts, sizes.
+    """The model of a table with the column text: shards of filter and exact counts, head of exact counts, sizes.
 
-    The driver gathers the filter (MAX_BITS at most) and the head (HEAD words at most), each of a fixed bound.
+    The driver gathers the head only, HEAD words at most.
     """
     size = texts.agg(F.sum(F.length("text")), F.count("*")).first()
-    about = (size[0] or 0) // 5 + size[1]  # tokens, roughly; only sizes of arrays depend on it
-    shard_bits = max(0, (about // TOKENS_PER_SHARD).bit_length())
-    bits = min(MAX_BITS, max(1 << 16, 1 << (BITS_PER_TOKEN * about).bit_length()))
-    shard_bits = min(shard_bits, bits.bit_length() - 13)
-    slice_bits = bits >> shard_bits
+    about = (size[0] or 0) // 5 + size[1]  # tokens, roughly; only the number of shards depends on it
+    shard_bits = max((about // TOKENS_PER_SHARD).bit_length(), (BITS_PER_TOKEN * about // MAX_BITS).bit_length())
     packed = texts.mapInPandas(counted(shard_bits), "kind int, shard int, hashes binary, counts binary")
-    shards = packed.groupBy("shard").applyInPandas(merged(shard_bits, slice_bits), "shard int, slice binary, first int, hashes array<long>, counts array<long>")
-    shards = materialize(shards, "lm-shards")
+    shards = materialize(packed.groupBy("shard").applyInPandas(merged(shard_bits), "shard int, slice binary, hashes array<long>, counts array<long>"), "lm-shards")
     exact = shards.select(F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select(F.col("x.hashes").alias("hash"), F.col("x.counts").alias("count"))
     total = exact.agg(F.sum("count"), F.count("*")).first()
     step = F.floor(F.log2("count") * 8).cast("int")
@@ -197,85 +221,131 @@ def train(texts: DataFrame) -> dict:
     head = exact.where(step >= F.lit(lowest) if lowest is not None else F.lit(False)).toArrow()
     keys = head["hash"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    array = np.zeros(bits // 8, dtype=np.uint8)
-    width = max(1, slice_bits // 8)
-    firsts = np.ones(1 << shard_bits, dtype=np.int64)
-    for row in shards.select("shard", "slice", "first").toLocalIterator():
-        firsts[row["shard"]] = row["first"]
-        array[row["shard"] * width : (row["shard"] + 1) * width] |= np.frombuffer(row["slice"], dtype=np.uint8)
     return {
-        "filter": array, "firsts": firsts, "shard_bits": shard_bits, "slice_bits": slice_bits, "head_keys": keys[order], "head_counts": head["count"].to_numpy().astype(np.int64)[order],
-        "exact": exact, "tokens": int(total[0] or 0), "words": int(total[1]),
+        "shards": shards, "shard_bits": shard_bits, "head_keys": keys[order], "head_counts": head["count"].to_numpy().astype(np.int64)[order],
+        "tokens": int(total[0] or 0), "words": int(total[1]),
     }
 
 
-def scored(model, tokens: int, words: int, shard_bits: int, slice_bits: int):
-    """A function for mapInPandas: scores, exact sums over the head's words, and what is left to look up."""
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: chunk and docs, rows of about CHUNK_BYTES of text as one compressed Arrow stream."""
+    number = TaskContext.get().partitionId() << 32
+    parts, held = [], 0
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            for part in parts:
+                stream.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+    for batch in batches:
+        sizes, at = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), 0
+        for end, size in enumerate(sizes.tolist(), 1):
+            held += size
+            if held >= CHUNK_BYTES:
+                parts.append(batch.slice(at, end - at))
+                yield flushed()
+                number, parts, held, at = number + 1, [], 0, end
+        if at < batch.num_rows:
+            parts.append(batch.slice(at))
+    if parts:
+        yield flushed()
+
+
+def read_chunk(docs: bytes, head_keys: np.ndarray, head_counts: np.ndarray) -> dict:
+    """A chunk's rows, tokens, tokens in each text, distinct words with the head's counts and what the head lacks, and pairs."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    blocks = [(h, c) for _, h, c in word_hashes(rows["text"].to_pylist())]
+    tokens, before, lengths = with_ends(np.concatenate([h for h, _ in blocks]), np.concatenate([c for _, c in blocks]))
+    words, back = np.unique(tokens, return_inverse=True)
+    counts = np.zeros(len(words), dtype=np.int64)
+    missing = np.ones(len(words), dtype=bool)
+    if len(head_keys):
+        at = np.minimum(np.searchsorted(head_keys, words), len(head_keys) - 1)
+        missing = head_keys[at] != words
+        counts[~missing] = head_counts[at[~missing]]
+    return {"rows": rows, "lengths": lengths, "words": words, "back": back, "counts": counts, "missing": missing, "pairs": pair_hashes(before, tokens)}
+
+
+def asked(head, shard_bits: int):
+    """A function for mapInArrow: what each chunk asks of each shard, keys of distinct pairs and hashes of distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
+                read = read_chunk(docs.as_py(), *head.value)
+                pairs, words = np.unique(keys_of(read["pairs"], shard_bits)), read["words"][read["missing"]]
+                of_pairs, of_words = shard_edges(pairs, shard_bits).tolist(), shard_edges(keys_of(words, shard_bits), shard_bits).tolist()
+                pairs = (pairs & LOW).astype(np.uint32)
+                ends = zip(of_pairs[:-1], of_pairs[1:], of_words[:-1], of_words[1:], strict=True)
+                rows = [(s, pairs[a:b].tobytes(), words[c:d].tobytes()) for s, (a, b, c, d) in enumerate(ends) if a < b or c < d]
+                shards, pairs, words = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(rows), pa.int64()), pa.array(shards, pa.int32()), pa.array(pairs, pa.binary()), pa.array(words, pa.binary())], names=["chunk", "shard", "pairs", "words"]
+                )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        array, firsts, keys, counts = model.value
-        grams = Filter(array, shard_bits, slice_bits, firsts=firsts)
+    return run
 
-        def head(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(keys):
-                return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes))
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            known = keys[at] == hashes
-            return known, np.where(known, counts[at], 0).astype(float)
 
-        texts_in_training = head(np.array([END]))[1][0] or grams.counts(np.array([END]))[0]
-        for batch in batches:
-            rows = []
-            for _, hashes, per_text in word_hashes(list(batch["text"])):
-                all_tokens, before, lengths = with_ends(hashes, per_text)
-                distinct, back = np.unique(all_tokens, return_inverse=True)
-                known, exact = head(distinct)
-                about = exact.copy()
-                about[~known] = grams.counts(distinct[~known])
-                c = about[back]
-                context = np.concatenate([[0.0], c[:-1]])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                context[starts] = texts_in_training
-                most = np.minimum(c, context)
-                pairs = np.zeros(len(c))
-                seen = np.flatnonzero(most > 0)
-                pairs[seen] = np.minimum(grams.counts(pair_hashes(before[seen], all_tokens[seen])), most[seen])
-                p = (pairs + MU * (c + 1) / (tokens + words + 1)) / (context + MU)
-                score = np.add.reduceat(np.log10(p), starts)
-                in_head = known[back]
-                base = np.add.reduceat(np.where(in_head, np.log10(exact[back] + 1), 0.0), starts)
-                n_known = np.add.reduceat(in_head.astype(np.int64), starts)
-                for k, (at, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-                    rest = all_tokens[at : at + n][~in_head[at : at + n]]
-                    rest, times = np.unique(rest, return_counts=True)
-                    rows.append((n, int(n_known[k]), float(base[k]), float(score[k]), rest.view(np.int64), times))
-            out = pd.DataFrame(rows, columns=["n_tokens", "head_known", "head_base", "score", "rest", "times"])
-            for name in ("text_hash", "held_out", "doc_id"):
-                out.insert(0, name, batch[name].array)
-            yield out
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and where those of each row begin, and the end."""
+    parts = column.to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), dtype=kind), np.cumsum([0, *(len(x) // size for x in parts)])
+
+
+def answered(asking: pa.Table, shards: pa.Table) -> pa.Table:
+    """For applyInArrow over one shard: levels of the pairs and exact counts of the words that chunks ask for, 0 if unseen."""
+    pairs, of_pairs = _joined(asking["pairs"], np.uint32)
+    words, of_words = _joined(asking["words"], np.int64)
+    levels, counts = np.zeros(len(pairs), dtype=np.uint8), np.zeros(len(words), dtype=np.int64)
+    if shards.num_rows and asking.num_rows:
+        bits = np.frombuffer(shards["slice"][0].as_py(), dtype=np.uint8)
+        own = Filter(bits, 0, 8 * len(bits))
+        for at in range(0, len(pairs), FLUSH_TOKENS):
+            levels[at : at + FLUSH_TOKENS] = own.levels(pairs[at : at + FLUSH_TOKENS].astype(np.uint64))
+        known, times = (shards[c].combine_chunks().flatten().to_numpy() for c in ("hashes", "counts"))
+        if len(known):  # in the order of the unsigned hashes
+            known, words = known.view(np.uint64), words.view(np.uint64)
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            counts = np.where(known[at] == words, times[at], 0)
+    cut = lambda values, ends: pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.table({"chunk": asking["chunk"], "shard": asking["shard"], "levels": cut(levels, of_pairs), "counts": cut(counts, of_words)})
+
+
+def scored(head, tokens: int, words: int, shard_bits: int):
+    """A function for applyInArrow over one chunk and the shards' answers: a row for each text."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        read = read_chunk(chunk["docs"][0].as_py(), *head.value)
+        answers = answers.sort_by("shard")
+        read["counts"][read["missing"]] = _joined(answers["counts"], np.int64)[0]
+        levels = _joined(answers["levels"], np.uint8)[0]
+        c = read["counts"][read["back"]].astype(float)
+        lengths = read["lengths"]
+        starts = np.cumsum(lengths) - lengths
+        context = np.concatenate([[0.0], c[:-1]])
+        context[starts] = read["counts"][np.searchsorted(read["words"], END)]  # texts in training
+        pairs = least_count(levels.astype(np.int64))[np.unique(keys_of(read["pairs"], shard_bits), return_inverse=True)[1]]
+        p = (np.minimum(pairs, np.minimum(c, context)) + MU * (c + 1) / (tokens + words + 1)) / (context + MU)
+        return pa.table({
+            "doc_id": read["rows"]["doc_id"], "held_out": read["rows"]["held_out"], "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((c > 0).astype(np.int64), starts),
+            "train_tokens": np.full(len(lengths), tokens, dtype=np.int64), "base_score": np.add.reduceat(np.log10((c + 1) / (tokens + words + 1)), starts),
+            "score": np.add.reduceat(np.log10(p), starts),
+        })
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, held_out, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model["filter"], model["firsts"], model["head_keys"], model["head_counts"]))
-    schema = "doc_id long, held_out boolean, text_hash long, n_tokens long, head_known long, head_base double, score double, rest array<long>, times array<long>"
-    named = docs.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "text")
-    first = materialize(named.mapInPandas(scored(sent, model["tokens"], model["words"], model["shard_bits"], model["slice_bits"]), schema), "lm-scores")
-    # A text is looked up once however often its row repeats.
-    rare = first.where(F.size("rest") > 0).select("text_hash", "n_tokens", "rest", "times").dropDuplicates(["text_hash", "n_tokens"])
-    rare = rare.select("text_hash", "n_tokens", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("text_hash", "n_tokens", F.col("x.rest").alias("hash"), F.col("x.times").alias("times"))
-    found = rare.join(model["exact"], "hash").groupBy("text_hash", "n_tokens").agg(
-        F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("rare_base")
-    )
-    total = F.lit(model["tokens"]).cast("long")
-    below = F.log10(F.lit(float(model["tokens"] + model["words"] + 1)))
-    return first.join(found, ["text_hash", "n_tokens"], "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), total.alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
-    )
+    head = docs.sparkSession.sparkContext.broadcast((model["head_keys"], model["head_counts"]))
+    chunks = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(chunked, "chunk long, docs binary"), "lm-chunks")
+    asking = chunks.mapInArrow(asked(head, model["shard_bits"]), "chunk long, shard int, pairs binary, words binary")
+    answers = asking.groupBy("shard").cogroup(model["shards"].groupBy("shard")).applyInArrow(answered, "chunk long, shard int, levels binary, counts binary")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(head, model["tokens"], model["words"], model["shard_bits"]), schema)
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

@@ -236,6 +236,33 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
     assert sorted(r["n_tokens"] for r in lm_scoring.score_held_out(none).collect()) == [1, 3]
 
 
+def test_lm_scoring_is_the_same_at_any_size_of_filter_and_head(spark, monkeypatch):
+    """Brute force with exact pairs: no level stays out, whatever MAX_BITS, and score counts words outside the head exactly."""
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(1, 60)) + f" once{i} once{i}b" for i in range(250)]
+    words, pairs = Counter(), Counter()
+    split = lambda t: ["start", *t.split(), "end"]
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(split(t)[1:])
+            pairs.update(itertools.pairwise(split(t)))
+    n, v = sum(words.values()), len(words)
+    lower = lambda c: math.ceil(1.5 ** (int(lm_scoring.level_of(np.array([c]))[0]) - 1) - 1e-9) if c else 0
+    least = []
+    for t in texts:
+        context = lambda x: words["end"] if x == "start" else words[x]
+        least.append(sum(math.log10((lower(pairs[a, b]) + 100 * (words[b] + 1) / (n + v + 1)) / (context(a) + 100)) for a, b in itertools.pairwise(split(t))))
+    seen = []
+    for head, bits, chunk in ((1 << 20, 1 << 29, 12 << 20), (0, 1 << 10, 2000), (30, 1 << 12, 1)):
+        for name, value in (("HEAD", head), ("MAX_BITS", bits), ("CHUNK_BYTES", chunk)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_held_out(docs_of(spark, texts)).collect()}
+        # False positives only add; none of a text's own pairs may be lost.
+        assert all(got[i] >= least[i] - 1e-9 for i in range(len(texts)))
+        seen.append(np.mean([got[i] - least[i] for i in range(len(texts))]))
+    assert max(seen) - min(seen) < 0.3
+
+
 def test_filter_counts():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     counts = np.arange(1, 5001)
