@@ -47,12 +47,15 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg math button select input textarea dialog menu object embed canvas audio video title head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disclaimer|discussion|disqus|"
-    r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|pager|popup|promo|promoted|promotion|related|replies|"
-    r"responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+BOILERPLATE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer gdpr header masthead menu modal nav "
+    "navbar navigation newsletter notice notification pagination pager popup promo promoted promotion related replies responses share sharing sidebar signup social sponsor sponsored subscribe "
+    "subscription toolbar topbar widget".split()
 )
+#: What a class of boilerplate may say besides, as in site-header; has-sidebar, nav-layout or related-work say something else.
+AFFIXES = frozenset("area bar block bottom box form global item items link links list main page posts section site top".split())
+#: Elements that are cut: by a name, or a form, as far as they don't hold the page's content; or in any case.
+BY_NAME, ALWAYS = 1, 2
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-body|content|entry|entry-content|main|main-content|post|post-body|story|text)(?:$|[\s_-])", re.IGNORECASE)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -64,12 +67,21 @@ DEEPEST = 150
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def named_boilerplate(words: str) -> bool:
+    """Whether a whole class or id names boilerplate."""
+    for word in words.lower().split():
+        parts = re.split("[-_]+", word.strip("-_"))
+        if any(p in BOILERPLATE_WORDS for p in parts) and all(p in BOILERPLATE_WORDS or p in AFFIXES for p in parts):
+            return True
+    return False
+
+
 class Node:
     """An element: tag, signature, whether it is boilerplate or marked as content, children, and the texts of a leaf slot."""
 
     __slots__ = ("children", "content", "depth", "parent", "skip", "tag", "texts", "words")
 
-    def __init__(self, tag: str, words: str = "", skip: bool = False, content: bool = False, parent: Node | None = None):
+    def __init__(self, tag: str, words: str = "", skip: int = 0, content: bool = False, parent: Node | None = None):
         self.tag, self.words, self.skip, self.content, self.parent = tag, words, skip, content, parent
         self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node] = []
@@ -77,15 +89,18 @@ class Node:
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
+    by_tag = 0 if tag not in BOILERPLATE_TAGS or _inside_content(tag, parent) else BY_NAME if tag == "form" else ALWAYS
     if not attributes.strip():
-        return Node(tag, "", tag in BOILERPLATE_TAGS and not _inside_content(tag, parent), tag in ("article", "main"), parent)
+        return Node(tag, "", by_tag, tag in ("article", "main"), parent)
     values = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     words = " ".join(x for x in (values.get("class", ""), values.get("id", "")) if x)
     role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style", "")))
     content = tag in ("article", "main") or role in ("main", "article") or bool(CONTENT_WORDS.search(words))
-    named = tag not in ("html", "body", "main") and bool(BOILERPLATE_WORDS.search(OWN_HEADER.sub("", words))) and not (tag == "article" and not re.search("comment|repl", words, re.IGNORECASE))
-    skip = hidden or role in BOILERPLATE_ROLES or named or (tag in BOILERPLATE_TAGS and not _inside_content(tag, parent))
+    named = tag not in ("html", "body", "main") and named_boilerplate(OWN_HEADER.sub("", words)) and not (tag == "article" and not re.search("comment|repl", words, re.IGNORECASE))
+    if named and tag == "section" and words.lower() == "discussion" and _in_article(parent):
+        named = False  # a section of a paper
+    skip = ALWAYS if hidden or role in BOILERPLATE_ROLES or by_tag == ALWAYS else BY_NAME if named or by_tag else 0
     return Node(tag, words, skip, content and not skip, parent)
 
 
@@ -94,6 +109,12 @@ def _inside_content(tag: str, parent: Node) -> bool:
     return tag == "header" and parent.tag == "article"
 
 
+def _in_article(node: Node | None) -> bool:
+    while node and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def parse(page: str | None) -> Node:
     """The block tree of a page; never fails, whatever the markup. Text outside blocks is a leaf of its container."""
     root = Node("#root")
@@ -218,6 +239,32 @@ def simple_tree_matching(a: list, b: list, pairs: list | None = None) -> int:
     return 1 + best[len(x)][len(y)]
 
 
+def _kept(skeleton: list) -> list[list]:
+    """The nodes that are not inside a cut element."""
+    return [] if skeleton[3] else [skeleton, *(n for c in skeleton[1] for n in _kept(c))]
+
+
+def _holds_article(node: list) -> bool:
+    """Whether an article or main element with text is inside, be it inside elements cut by name."""
+    return any(c[3] != ALWAYS and (not c[3] and c[0].split(".")[0] in ("article", "main") and _weight(c) > 0 or _holds_article(c)) for c in node[1])
+
+
+def spare_content(skeleton: list) -> list:
+    """The skeleton, where elements cut by name stay if the page has its articles, or all of its text, only in them."""
+    while True:
+        kept = _kept(skeleton)
+        if any(n[4] and any(m[2] for m in _kept(n)) for n in kept):
+            return skeleton
+        cut = [c for n in kept for c in n[1] if c[3] == BY_NAME]
+        found = [c for c in cut if _holds_article(c)]
+        if not found and not any(n[2] for n in kept):
+            found = sorted((c for c in cut if _weight(c)), key=_weight)[-1:]
+        if not found:
+            return skeleton
+        for c in found:
+            c[3] = 0
+
+
 def _pruned(skeleton: list) -> list | None:
     """The skeleton without boilerplate, whose slots can't be content anyway."""
     if skeleton[3]:
@@ -227,7 +274,7 @@ def _pruned(skeleton: list) -> list | None:
 
 
 def skeleton_of(page: str | None) -> list:
-    return _pruned(folded(parse(page))) or ["#root", [], [], False, False, []]
+    return _pruned(spare_content(folded(parse(page)))) or ["#root", [], [], False, False, []]
 
 
 def outline(skeleton: list) -> list:

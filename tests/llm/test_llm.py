@@ -198,6 +198,24 @@ def test_article_is_whole():
         assert html_extraction.extract(page) == "\n".join(" ".join(p.split()) for p in parts)
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='page has-sidebar'", "div class='with-header'", "div id='nav-layout'", "section class='related-work'", "section class='discussion'", "div class='page sidebar'", "form action='/'", "form><div class='widget'"],
+)
+def test_wrapper_is_not_boilerplate(wrapper):
+    end = "".join(f"</{w.split()[0].split('>')[0]}>" for w in reversed(wrapper.replace("><", ">|<").split("|<")))
+    inside = f"<html><body><nav>n</nav><{wrapper}><{{0}}><p>Some text of its own.</p></{{0}}><aside>a</aside>{end}<div class='site-header'>h</div><div class='cookie-banner'>c</div></body></html>"
+    for tag in ("article", "main"):
+        assert html_extraction.extract(inside.format(tag)) == "Some text of its own."
+    if "form" not in wrapper:
+        assert html_extraction.extract(inside.format("div")) == "Some text of its own."
+
+
+def test_sections_of_an_article_and_boilerplate_beside_it():
+    page = "<article><p>One.</p><section class='related-work'><p>Two.</p></section><section class='discussion'><p>Three.</p></section><div class='comment-list'><p>c</p></div></article>"
+    assert html_extraction.extract(page + "<div class='sidebar'><article>teaser</article></div>") == "One.\nTwo.\nThree."
+
+
 def test_simple_tree_matching():
     leaf = lambda n, *c: [n, list(c), [], False, False, []]
     a = leaf("r", leaf("x", leaf("p")), leaf("y"), leaf("z"))
