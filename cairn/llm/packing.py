@@ -4,8 +4,9 @@ One aggregation gives the histogram of lengths. A dynamic programme over it choo
 minimise the padding of all documents together. Inside each bucket documents are numbered, and each run of
 ``token_budget // boundary`` of them is one batch.
 
-Scale: the histogram has a row for each length up to EXACT, and beyond that for each of STEPS steps an octave, to
-which lengths round up; so the programme's size is bounded by the logarithm of the longest text. Numbering a bucket
+Scale: the histogram has a row for each distinct length, at most the longest text's words and the square root of twice
+all words. The programme's cuts grow with the length, so that it divides and conquers over them: each of few buckets takes
+m log m steps for m lengths. Numbering a bucket
 needs no single task: rows are numbered within shards of some thousand rows, and shards start where those before end.
 """
 
@@ -19,15 +20,12 @@ from cairn.llm.common import n_words
 
 BUCKETS = 12
 TOKEN_BUDGET = 32_768
-EXACT = 512
-STEPS = 128
 ROWS_PER_SHARD = 2_000
 
 
 def ceiling(length: Column) -> Column:
-    """The candidate boundary of a length: the length itself up to EXACT, else rounded up to a step of its octave."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length)) - 8)).cast("long")
-    return F.when(length <= EXACT, length).otherwise((F.floor((length + step - 1) / step) * step).cast("long"))
+    """The candidate boundary of a length: the length itself."""
+    return length
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -39,17 +37,24 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     if not m:
         return []
     k = min(buckets, m)
-    n = np.concatenate([[0.0], np.cumsum(counts, dtype=float)])
-    tokens = np.concatenate([[0.0], np.cumsum(counts * lengths.astype(float))])
-    cost = np.full(m + 1, np.inf)
-    cost[0] = 0.0
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    n = np.concatenate([[0], np.cumsum(counts)])
+    tokens = np.concatenate([[0], np.cumsum(counts * lengths)])
     back = np.zeros((k + 1, m + 1), dtype=np.int64)
-    for b in range(1, k + 1):
-        now = np.full(m + 1, np.inf)
-        for j in range(b, m + 1):
-            padding = lengths[j - 1] * (n[j] - n[:j]) - (tokens[j] - tokens[:j]) + cost[:j]
-            i = int(np.argmin(padding))
-            now[j], back[b, j] = padding[i], i
+    cost = np.concatenate([[0], lengths * n[1:] - tokens[1:]])  # one bucket
+    for b in range(2, k + 1):
+        now = np.zeros(m + 1, dtype=np.int64)
+        todo = [(b, m, b - 1, m - 1)]  # upper ends j from, to; their cuts i from, to
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            to = min(last, j - 1) + 1
+            padding = lengths[j - 1] * (n[j] - n[first:to]) - (tokens[j] - tokens[first:to]) + cost[first:to]
+            i = first + int(np.argmin(padding))
+            now[j], back[b, j] = padding[i - first], i
+            todo += [(low, j - 1, first, i), (j + 1, high, i, last)]
         cost = now
     ends, j = [], m
     for b in range(k, 0, -1):
@@ -59,7 +64,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
 
 
 def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of a table with the column ``ceiling``; a few thousand rows at most, whatever the table's size."""
+    """Of a table with the column ``ceiling``: a row for each distinct length."""
     rows = sorted((r["ceiling"], r["n"]) for r in lengths.groupBy("ceiling").agg(F.count("*").alias("n")).collect())
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 

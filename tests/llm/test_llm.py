@@ -399,6 +399,20 @@ def test_boundaries_are_optimal():
         assert sum(min(e for e in ends if e >= n) - n for n in lengths) == brute_padding(lengths, 3)
 
 
+def test_long_lengths_are_exact(spark):
+    got = packing.pack(spark.createDataFrame([(i, "w " * 1001) for i in range(5)], "doc_id long, text string")).collect()
+    assert {(r["n_tokens"], r["padded_length"], r["padding"]) for r in got} == {(1001, 1001, 0)}
+    rng = random.Random(12)
+    for trial in range(20):
+        lengths = [rng.randint(500, 5000) for _ in range(rng.randint(1, 14))]
+        texts = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string") if trial < 2 else None
+        values, counts = np.unique(lengths, return_counts=True)
+        ends = packing.boundaries(values, counts, 4)
+        assert sum(min(e for e in ends if e >= n) - n for n in lengths) == brute_padding(lengths, 4)
+        if texts:
+            assert sum(r["padding"] for r in packing.pack(texts, 4).collect()) == brute_padding(lengths, 4)
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, 4, 256).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(len(awkward_texts())))
