@@ -65,6 +65,16 @@ def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_id") % 10 == 3), LHS, RHS, consistent=False)
 
 
+@query("c1_objects_at_consistent_all")
+def _(t):
+    return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS)
+
+
+@query("c1_objects_at_historical_all")
+def _(t):
+    return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS, consistent=False)
+
+
 @query("c2_consistent_range", """SELECT min(v) AS lhs, CAST(1500 AS BIGINT) AS rhs FROM (SELECT max(checkpoint_sequence_number) AS v FROM fx_object_history WHERE checkpoint_sequence_number <= 1200
   UNION ALL SELECT max(checkpoint_sequence_number) FROM fx_object_history) HAVING 1500 BETWEEN min(v) AND max(v)""")
 def _(t):
@@ -91,6 +101,11 @@ def _(t):
     return h.balances(h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_id") % 20 == 7), LHS, RHS), ["owner_id"])
 
 
+@query("a4_balances_at_all")
+def _(t):
+    return h.balances(h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS), ["owner_id"])
+
+
 @query("a3_balances", f"SELECT owner_id, coin_type, {BALANCE} FROM (SELECT * FROM fx_object_history {LATEST}) WHERE object_status = 0 AND owner_type = 1 GROUP BY ALL")
 def _(t):
     return h.balances(h.latest_version(t.fx_object_history).where("object_status = 0 and owner_type = 1"), ["owner_id"])
@@ -110,6 +125,12 @@ def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, children, LHS, RHS).select(F.col("owner_id").alias("parent"), "object_id", "object_version")
 
 
+@query("c4_dynamic_fields_at_all")
+def _(t):
+    found = h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_type") == 2), LHS, RHS)
+    return found.select(F.col("owner_id").alias("parent"), "object_id", "object_version")
+
+
 @query("c5_fold_snapshot", f"""WITH {SNAPSHOT} SELECT {COLUMNS} FROM (SELECT * FROM s UNION ALL SELECT * FROM fx_object_history
   WHERE checkpoint_sequence_number >= {LHS + 1} AND checkpoint_sequence_number < {LHS + 601}) {LATEST}""")
 def _(t):

@@ -222,12 +222,20 @@ def _(t):
     return j.with_metadata(coins, metadata, "coin_type", ["l_orderkey", "l_linenumber"], "native", 1_000_000)
 
 
+def edges_of(li):
+    cell = lambda shift: li.select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("object_id"), (F.col("l_linenumber") - shift).alias("version"))
+    return j.staged_edges(cell(0), cell(1))
+
+
 @query("j17_staged_edges", """SELECT DISTINCT w.l_orderkey AS tx, r.l_orderkey AS depends_on FROM lineitem w JOIN lineitem r ON r.l_partkey = w.l_partkey AND r.l_linenumber = w.l_linenumber - 1
   WHERE w.l_orderkey <> r.l_orderkey AND w.l_partkey % 50 = 1""")
 def _(t):
-    li = t.lineitem.where("l_partkey % 50 = 1")
-    cell = lambda shift: li.select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("object_id"), (F.col("l_linenumber") - shift).alias("version"))
-    return j.staged_edges(cell(0), cell(1))
+    return edges_of(t.lineitem.where("l_partkey % 50 = 1"))
+
+
+@query("j17_staged_edges_all")
+def _(t):
+    return edges_of(t.lineitem)
 
 
 @query("l1_keyset_page", """SELECT tx_sequence_number, sender, true AS has_next FROM fx_tx WHERE tx_sequence_number < 5000 ORDER BY tx_sequence_number DESC LIMIT 50""")
