@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.operators import filters as f
 from cairn.operators import joins as j
 from cairn.operators import paging as p
+from cairn.operators.series import running_sums
 from cairn.plans.history_queries import LATEST
 from cairn.plans.registry import query
 
@@ -271,18 +272,28 @@ def _(t):
     return t.fx_checkpoint.orderBy(F.desc("timestamp_ms"), F.desc("sequence_number")).limit(100).select("sequence_number", "timestamp_ms")
 
 
-@query("l8_gas_price_order", """SELECT tx_sequence_number, row_number() OVER (ORDER BY checkpoint_sequence_number, coalesce(price, 18446744073709551615) DESC, tx_sequence_number) AS position
-  FROM (SELECT *, CASE WHEN transaction_kind <> 'error' THEN CAST(gas_price AS HUGEINT) END AS price FROM fx_tx WHERE checkpoint_sequence_number < 50)""")
-def _(t):
+def positions(tx):
     from pyspark.sql import Window
 
-    tx = t.fx_tx.where("checkpoint_sequence_number < 50").withColumn("price", F.when(F.col("transaction_kind") != "error", F.col("gas_price")))
+    tx = tx.withColumn("price", F.when(F.col("transaction_kind") != "error", F.col("gas_price")))
     ordered = p.by_gas_price(tx, "price", ["tx_sequence_number"], "checkpoint_sequence_number")
     per = ordered.withColumn("i", F.row_number().over(Window.partitionBy("checkpoint_sequence_number").orderBy(F.coalesce(F.col("price").cast("decimal(20,0)"), F.lit(str(2**64 - 1)).cast("decimal(20,0)")).desc(), "tx_sequence_number")))
-    sizes = tx.groupBy("checkpoint_sequence_number").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("checkpoint_sequence_number")) - F.col("n"))
+    sizes = tx.groupBy("checkpoint_sequence_number").agg(F.count("*").alias("n"))
+    sizes = running_sums(sizes, ["checkpoint_sequence_number"], {"upto": "n"}, F.floor(F.col("checkpoint_sequence_number") / 1000)).withColumn("before", F.col("upto") - F.col("n"))
     return per.join(sizes, "checkpoint_sequence_number").select("tx_sequence_number", (F.col("before") + F.col("i")).alias("position"))
 
 
+@query("l8_gas_price_order", """SELECT tx_sequence_number, row_number() OVER (ORDER BY checkpoint_sequence_number, coalesce(price, 18446744073709551615) DESC, tx_sequence_number) AS position
+  FROM (SELECT *, CASE WHEN transaction_kind <> 'error' THEN CAST(gas_price AS HUGEINT) END AS price FROM fx_tx WHERE checkpoint_sequence_number < 50)""")
+def _(t):
+    return positions(t.fx_tx.where("checkpoint_sequence_number < 50"))
+
+
+@query("l8_gas_price_order_all")
+def _(t):
+    return positions(t.fx_tx)
+
+
 @query("l9_causal_order")
 def _(t):
     nodes = t.fx_tx.select("checkpoint_sequence_number", F.col("tx_sequence_number").alias("tx"))

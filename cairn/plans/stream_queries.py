@@ -104,12 +104,20 @@ def _(t):
     return t.spark.read.parquet(path).select("object_id", "object_version", "owner_id")
 
 
+def dumped(t, part, name):
+    path = fresh(t, name)
+    sinks.dump_packages(part.select((F.col("p_partkey") % 50).alias("package_id"), F.col("p_size").alias("package_version"), F.col("p_name").alias("name")), path)
+    return t.spark.read.schema(f"name string, package_id long, package_version {dict(part.dtypes)['p_size']}").json(path)
+
+
 @query("s17_dump_packages", "SELECT p_partkey % 50 AS package_id, p_size AS package_version, p_name AS name FROM part WHERE p_partkey < 300")
 def _(t):
-    path = fresh(t, "s17")
-    sinks.dump_packages(t.part.where("p_partkey < 300").select((F.col("p_partkey") % 50).alias("package_id"), F.col("p_size").alias("package_version"), F.col("p_name").alias("name")), path)
-    kinds = dict(t.part.dtypes)
-    return t.spark.read.schema(f"name string, package_id long, package_version {kinds['p_size']}").json(path)
+    return dumped(t, t.part.where("p_partkey < 300"), "s17")
+
+
+@query("s17_dump_packages_all")
+def _(t):
+    return dumped(t, t.part, "s17-all")
 
 
 @query("s18_events_to_json", "SELECT event_id AS id, concat('{\"user_id\":', user_id, ',\"event_type\":\"', event_type, '\"}') AS json FROM events")

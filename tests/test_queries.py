@@ -67,6 +67,17 @@ def test_whole_table(spark, duck, name, part):
     check_whole(catalog.QUERIES[f"{name}_all"](spark, DIR), duck, sql, sql.replace(part, ""))
 
 
+@pytest.mark.parametrize(("name", "part"), [("s17_dump_packages", " WHERE p_partkey < 300"), ("l8_gas_price_order", " WHERE checkpoint_sequence_number < 50")])
+def test_whole_larger_table(spark, name, part):
+    """The same on tables that are larger than the part."""
+    larger, con = DIR.replace("sf0.001", "sf0.01"), duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{larger}/{t}.parquet'")
+    sql = catalog.SQL[name]
+    assert part in sql
+    check_whole(catalog.QUERIES[f"{name}_all"](spark, larger), con, sql, sql.replace(part, ""))
+
+
 def check_whole(df, con, sql, whole):
     cols = sorted(df.columns)
     found = con.execute(whole)
