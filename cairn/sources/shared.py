@@ -6,17 +6,21 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; on one machine, as in tests, a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="cairn-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -26,4 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cairn-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Empties tables of materialize() that nothing reads any more; other DataFrames are let alone."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
