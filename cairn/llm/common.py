@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.sources.shared import materialize
+from cairn.sources.shared import materialize, release
 
-__all__ = ["SPACE_CLASS", "let", "materialize", "n_words", "words"]
+__all__ = ["SPACE_CLASS", "let", "materialize", "n_words", "pieces", "release", "words"]
 
 #: The white space that separates words, as a Java character class; everything else belongs to a word.
 SPACE_CLASS = "[ \\x09-\\x0D]"
+#: Bytes of text that a task works on at once, but for one longer text.
+PIECE_BYTES = 2 << 20
 
 
 def words(text: Column) -> Column:
@@ -26,3 +33,14 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often body uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows whose texts (or bytes) in a column have ``most`` bytes together; a longer one is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, side="right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last

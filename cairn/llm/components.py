@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,8 +28,11 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).toDF("a", "b")
-        edges = materialize(small.union(least.select("m", "b").toDF("a", "b")).where("a < b").distinct(), "small-star")
+        old, edges = edges, materialize(small.union(least.select("m", "b").toDF("a", "b")).where("a < b").distinct(), "small-star")
+        release(old, large)
         now = _state(edges)
         if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
+            nodes = materialize(edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct()), "components")
+            release(edges)
+            return nodes
         state = now

@@ -5,36 +5,43 @@ similarity of THRESHOLD per cent. All columns are put in one order, rare ones fi
 whole corpus, and a row's prefix is its first columns, so many that two rows that link must share one. The shuffle
 by column deals the prefixes to blocks; within a column, pairs of rows meet, and are dropped if their sizes, or what
 is left of them behind that column, forbid a link. For the others the overlap of their prefixes is counted, which
-bounds the whole overlap: pairs whose bound is below what their sizes ask for are discarded, and full rows are
-intersected for the rest.
+bounds the whole overlap: pairs whose bound is below what their sizes ask for are discarded. For the rest the overlaps
+of their rows are counted in BLOCKS blocks of columns, which are added up by pair.
 
 Scale: only components are asked for, so that pairs inside a component are never made. Star rounds come first: in
 each column, every row meets one or two hubs, which is linear in the index, and verified links join components. The
 product of all pairs is made across components only, which after the stars are few. Equal rows are indexed once in
-each task; the order's table has a fixed size whatever the corpus.
+each task; the order's table has a fixed size whatever the corpus. Whether a column is shared is first seen within a
+task, so that of the rows of a frequent column one for each FLUSH_ROWS meets the others' in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, pieces, release
 from cairn.llm.components import components
-from cairn.llm.text_arrays import shingle_sets
+from cairn.llm.text_arrays import raw_texts, shingle_sets
 
 WIDTH = 5
 THRESHOLD = 75
 #: Counters of the columns' order: 16 MB in all, in rows of CHUNK counters.
 COUNTERS = 1 << 22
 CHUNK = 1 << 12
-#: Bits of the table of documents whose full rows are asked for: 8 MB. It only spares work, so that any size is right.
+#: Bits of the table of documents whose full rows are asked for: 8 MB. It only spares work; more documents than an eighth of it are joined instead.
 ASKED_BITS = 1 << 26
+#: Blocks of columns (a power of two) in which the overlaps of full rows are counted.
+BLOCKS = 4
+#: Rows of the index that a task compares before it passes them on, and classes that it remembers at once.
+FLUSH_ROWS = 1 << 19
+REMEMBERED = 1 << 20
 #: For each star round, into how many classes (a power of two) columns fall whose hubs differ, and the noise in choosing.
 STAR_ROUNDS = ((1, 1), (4, 16))
 
@@ -49,87 +56,136 @@ def prefix_length(n, threshold: int = THRESHOLD):
     return n - -(-threshold * n // 100) + 1
 
 
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def survey(width: int):
-    """A function for mapInPandas: a row for each document, and at the end this task's counters."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = np.zeros(COUNTERS, dtype=np.int32)
-        for batch in batches:
-            sets = [tokens for _, tokens in shingle_sets(list(batch["text"]), width)]
-            if sets:
-                every = np.concatenate(sets)
-                counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
-            keys = pd.array([class_key(t) if len(t) else None for t in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "n": [len(t) for t in sets], "key": keys, "chunk": -1, "counts": None})
-        if counters.any():
-            parts = counters.reshape(-1, CHUNK)
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(parts), dtype="Int64"), "n": 0, "key": pd.array([None] * len(parts), dtype="Int64"), "chunk": range(len(parts)), "counts": [p.tobytes() for p in parts]})
+    """A function for mapInArrow: a row for each document, and at the end this task's counters, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, dtype=np.int64)
+        for piece in pieces(batches, "text"):
+            sets = [tokens for _, tokens in shingle_sets(raw_texts(piece["text"]), width)]
+            np.add.at(counters, counter_of(np.concatenate(sets)), 1)
+            none = [None] * len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [piece["doc_id"], pa.array([len(t) for t in sets], pa.int64()), pa.array([class_key(t) if len(t) else None for t in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                names=SURVEYED,
+            )
+        parts = [(i, pa.compress(p.tobytes(), codec="zstd", asbytes=True)) for i, p in enumerate(counters.reshape(-1, CHUNK)) if p.any()]
+        none = pa.array([None] * len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=SURVEYED)
 
     return run
 
 
-def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up rows of counters; holds one row for each chunk."""
+SURVEYED = ["doc_id", "n", "key", "chunk", "counts"]
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up rows of counters, up to the most of 31 bits; holds one row for each chunk."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
-            part = np.frombuffer(counts, dtype=np.int32)
+        for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"], strict=True):
+            part = np.frombuffer(pa.decompress(counts.as_buffer(), decompressed_size=8 * CHUNK, codec="zstd"), dtype=np.int64)
             totals[chunk] = totals[chunk] + part if chunk in totals else part
-    yield pd.DataFrame({"chunk": list(totals), "counts": [t.tobytes() for t in totals.values()]})
+    packed = [np.minimum(t, (1 << 31) - 1).astype(np.int32).tobytes() for t in totals.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+
+def order_table(surveyed: DataFrame) -> bytes:
+    """The counters over all documents, COUNTERS numbers of 32 bits."""
+    parts = surveyed.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(summed, "chunk int, counts binary").collect()
+    table = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.int32)
+    for row in parts:
+        table[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int32)
+    return table.tobytes()
 
 
 def prefixes(width: int, threshold: int, counters):
-    """A function for mapInPandas: token, key, n, at (position from 1) for the prefix of each class that the task sees."""
+    """A function for mapInArrow: token, key, n, at (position from 1) for the prefix of each class that the task sees.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen = np.frombuffer(counters.value, dtype=np.int32), set()
-        for batch in batches:
-            tokens_out, keys, sizes, lengths = [], [], [], []
-            for _, tokens in shingle_sets(list(batch["text"]), width):
+    Of a column's rows that a task sees together, all but one have a salt, and all are ``shared``.
+    """
+
+    def indexed(parts: list[tuple]) -> pa.RecordBatch:
+        tokens = np.concatenate([t for t, _, _ in parts]).view(np.int64)
+        lengths = [len(t) for t, _, _ in parts]
+        keys = np.repeat(np.array([k for _, k, _ in parts]), lengths)
+        _, firsts, back, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+        shared = counts[back] > 1
+        salts = np.where(shared, 1 + (keys & 0xFFFF), 0)
+        salts[firsts] = 0
+        at = np.concatenate([np.arange(1, p + 1) for p in lengths])
+        columns = [tokens, keys, np.repeat([n for _, _, n in parts], lengths), at, salts.astype(np.int32), shared]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "at", "salt", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, parts, held = np.frombuffer(counters.value, dtype=np.int32), set(), [], 0
+        for piece in pieces(batches, "text"):
+            for _, tokens in shingle_sets(raw_texts(piece["text"]), width):
                 n = len(tokens)
                 key = class_key(tokens) if n else None
-                if n and key not in seen:
-                    seen.add(key)
-                    p = prefix_length(n, threshold)
-                    order = np.lexsort((tokens, table[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    tokens_out.append(tokens[order[:p]])
-                    keys.append(key)
-                    sizes.append(n)
-                    lengths.append(p)
-            if keys:
-                yield pd.DataFrame({"token": np.concatenate(tokens_out).view(np.int64), "key": np.repeat(keys, lengths), "n": np.repeat(sizes, lengths), "at": np.concatenate([np.arange(1, p + 1) for p in lengths])})
+                if not n or key in seen:
+                    continue
+                seen.add(key)
+                order = np.lexsort((tokens, table[counter_of(tokens)]))
+                parts.append((tokens[order[: prefix_length(n, threshold)]], key, n))
+                held += len(parts[-1][0])
+                if held >= FLUSH_ROWS:
+                    yield indexed(parts)
+                    parts, held = [], 0
+            if len(seen) > REMEMBERED:
+                seen = set()
+        if parts:
+            yield indexed(parts)
 
     return run
 
 
-def full_rows(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """key and tokens (sorted) of the documents in asked (doc_id), and of a few others that the bit table lets through."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ASKED_BITS)) + 1  # Spark counts bits from 1
-    made = asked.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+def bit_table(asked: DataFrame, slot: Column) -> bytes:
+    """A bit for each slot of ASKED_BITS that a document in asked (doc_id) has; Spark counts bits from 1."""
+    made = asked.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     table = bytearray(ASKED_BITS // 8)
     for row in made.collect():
         at = (row["bucket"] - 1) * 4096
         table[at : at + 4096] = row["bits"]
-    sent = texts.sparkSession.sparkContext.broadcast(bytes(table))
+    return bytes(table)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, seen = np.frombuffer(sent.value, dtype=np.uint8), set()
-        for batch in batches:
-            at = batch["slot"].to_numpy() - 1
-            wanted = batch["text"][(bits[at >> 3] >> (at & 7)) & 1 != 0]
-            rows = {class_key(t): t.view(np.int64) for _, t in shingle_sets(list(wanted), width) if len(t)}
-            new = [(k, t) for k, t in rows.items() if k not in seen]
-            seen.update(rows)
-            yield pd.DataFrame(new, columns=["key", "tokens"])
 
-    return texts.where("doc_id is not null").select(slot.alias("slot"), "text").mapInPandas(run, "key long, tokens array<long>")
+def full_rows(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """key, block and tokens of the documents in asked (doc_id), and perhaps of a few others that the bit table lets through."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ASKED_BITS))
+    few = asked.count() <= ASKED_BITS // 8
+    sent = texts.sparkSession.sparkContext.broadcast(bit_table(asked, slot) if few else None)
+    edges = np.arange(BLOCKS, dtype=np.uint64) << np.uint64(65 - BLOCKS.bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, dtype=np.uint8) if few else None
+        for piece in pieces(batches, "text"):
+            if few:
+                at = piece["slot"].to_numpy()
+                piece = piece.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 != 0))
+            rows = {class_key(t): t for _, t in shingle_sets(raw_texts(piece["text"]), width) if len(t)} if piece.num_rows else {}
+            if not rows:
+                continue
+            ends = np.array([[*np.searchsorted(t, edges), len(t)] for t in rows.values()])
+            sizes = np.diff(ends, axis=1).ravel()
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(list(rows.values())).view(np.int64)))
+            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(rows)), BLOCKS)), pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), len(rows))), tokens], names=["key", "block", "tokens"])
+            yield found.filter(pa.array(sizes > 0))
+
+    wanted = texts.where("doc_id is not null")
+    wanted = wanted if few else wanted.join(asked.distinct(), "doc_id", "left_semi")
+    return wanted.select(slot.alias("slot"), "text").mapInArrow(run, "key long, block int, tokens array<long>")
 
 
 def shared_columns(index: DataFrame) -> DataFrame:
-    """The distinct rows of columns that two classes or more have in their prefixes."""
-    column = Window.partitionBy("token")
-    spread = index.withColumns({"low": F.min("key").over(column), "high": F.max("key").over(column)})
-    return spread.where("low <> high").select("token", "key", "n", "at").distinct()
+    """The rows of columns that two classes or more have in their prefixes; a row of two tasks may be there twice."""
+    column = Window.partitionBy("token", "salt")
+    spread = index.withColumns({"low": F.min("key").over(column), "high": F.max("key").over(column), "known": F.max("shared").over(column)})
+    return spread.where("known or low <> high").select("token", "salt", "key", "n", "at").distinct().drop("salt")
 
 
 def sizes_allow(a: Column, b: Column, threshold: int) -> Column:
@@ -155,31 +211,37 @@ def possible(shared: Column, a: Column, b: Column, threshold: int) -> Column:
 
 
 def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those whose overlap in the index leaves a link possible."""
+    """Of pairs (a, b), those whose overlap in the index leaves a link possible, with their sizes na and nb."""
     left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return joined.where(possible(F.col("shared"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    return joined.where(possible(F.col("shared"), F.col("na"), F.col("nb"), threshold)).select("a", "b", "na", "nb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those whose full rows link."""
+    """Of pairs (a, b, na, nb), those whose full rows link: their overlaps are added up over blocks of columns."""
     pairs = materialize(pairs, "pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    rows = materialize(full_rows(texts, classes.join(keys, "key").select(F.col("rep").alias("doc_id")), width), "rows")
-    rows = rows.join(keys, "key", "left_semi").dropDuplicates(["key"])
-    left, right = rows.toDF("a", "ta"), rows.toDF("b", "tb")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("both"), (F.size("ta") + F.size("tb")).alias("sum"))
-    return joined.where(f"100 * both >= {threshold} * (sum - both)").select("a", "b")
-
-
-def labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The index's rows with their component, in columns that still hold two of them."""
+    asked = materialize(classes.join(keys, "key").select(F.col("rep").alias("doc_id")), "asked")
+    rows = materialize(full_rows(texts, asked, width), "rows")
+    distinct = rows.join(keys, "key", "left_semi").dropDuplicates(["key", "block"])
+    left, right = distinct.toDF("a", "block", "ta"), distinct.toDF("b", "block", "tb")
+    product = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
+    overlaps = product.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    links = materialize(overlaps.where(f"100 * both >= {threshold} * (na + nb - both)").select("a", "b"), "verified")
+    release(pairs, asked, rows)
+    return links
+
+
+def labelled(index: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The index's rows with their component, in columns that still hold two of them, and the table that they come from."""
     if links is None:
-        return index.withColumn("component", F.col("key"))
-    named = index.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return index.withColumn("component", F.col("key")), index
+    joined = components(links)
+    named = index.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "labelled")
+    release(joined)
     split = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return named.join(split.select("token"), "token", "left_semi")
+    return named.join(split.select("token"), "token", "left_semi"), named
 
 
 def first_in_common(n: Column, at: Column, m: Column, there: Column, threshold: int) -> Column:
@@ -226,25 +288,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    surveyed = materialize(texts.mapInPandas(survey(width), "doc_id long, n long, key long, chunk int, counts binary"), "survey")
-    rows = surveyed.where("chunk < 0").select("doc_id", "n", "key")
-    chunks = surveyed.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(summed, "chunk int, counts binary").collect()
-    counters = spark.sparkContext.broadcast(b"".join(bytes(r["counts"]) for r in sorted(chunks, key=lambda r: r["chunk"])) or bytes(4 * COUNTERS))
+    surveyed = materialize(texts.mapInArrow(survey(width), "doc_id long, n long, key long, chunk int, counts binary"), "survey")
+    rows = surveyed.where("chunk is null").select("doc_id", "n", "key")
+    counters = spark.sparkContext.broadcast(order_table(surveyed))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    index = texts.where("doc_id is not null and text is not null").mapInPandas(prefixes(width, threshold, counters), "token long, key long, n long, at long")
+    index = texts.where("doc_id is not null and text is not null").mapInArrow(prefixes(width, threshold, counters), "token long, key long, n long, at long, salt int, shared boolean")
     index = materialize(shared_columns(index), "index")
     sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches")
-    links = None
-    check = lambda pairs: verified(bounded(pairs, sketches, threshold), texts, classes, width, threshold)
-    for salt, (n, noise) in enumerate(STAR_ROUNDS):
-        found = check(star_pairs(labelled(index, links), salt, n, noise, threshold))
-        links = materialize(found if links is None else links.union(found), "verified")
-    links = links.union(check(product_pairs(labelled(index, links), threshold)))
-    named = components(links).withColumnRenamed("node", "key")
+    links: list[DataFrame] = []
+    made = [*[lambda r, s=s, n=n, noise=noise: star_pairs(r, s, n, noise, threshold) for s, (n, noise) in enumerate(STAR_ROUNDS)], lambda r: product_pairs(r, threshold)]
+    for pairs in made:
+        named, table = labelled(index, reduce(DataFrame.union, links) if links else None)
+        links.append(verified(bounded(pairs(named), sketches, threshold), texts, classes, width, threshold))
+        if links[1:]:
+            release(table)
+    joined = components(reduce(DataFrame.union, links))
+    named = joined.withColumnRenamed("node", "key")
     ids = classes.join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = ids.join(least, "component").select("key", "component_id")
-    ids = materialize(ids, "component-ids")
+    ids = materialize(ids.join(least, "component").select("key", "component_id"), "component-ids")
+    release(classes, index, sketches, joined, *links)
     return rows.join(ids, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = 0x9E3779B97F4A7C15
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Hashes of fewer words than a shingle has start from here, so that no shingle equals them.
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
 
 
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The texts of an Arrow column as UTF-8."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads each bit over all."""
     x = x ^ (x >> np.uint64(30))
@@ -48,11 +54,14 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(sums + lengths.astype(np.uint64)), counts
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For blocks of the texts: the first one's number, hashes of all words (A-Z lower-cased), the number in each text."""
+def word_hashes(texts: list[str | bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For blocks of the texts: the first one's number, hashes of all words (A-Z lower-cased), the number in each text.
+
+    Texts may come as UTF-8 already.
+    """
     block, size, first = [], 0, 0
     for i, text in enumerate(texts):
-        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        raw = b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         if block and size + len(raw) > BLOCK_BYTES:
             yield first, *_block(block)
             block, size, first = [], 0, i
@@ -74,7 +83,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: list[str | bytes | None], width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """For each text its number and the sorted distinct hashes of its shingles; with fewer words, one of them all."""
     for first, hashes, counts in word_hashes(texts):
         every, at = windows(hashes, width), 0
