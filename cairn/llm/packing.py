@@ -1,6 +1,6 @@
 """Packing: optimal length buckets by dynamic programming over the global histogram of lengths.
 
-One aggregation gives the histogram of lengths. A dynamic programme over it chooses the bucket boundaries that
+Words are counted once and written, a few bytes for each document. One aggregation gives the histogram of lengths. A dynamic programme over it chooses the bucket boundaries that
 minimise the padding of all documents together. Inside each bucket documents are numbered, and each run of
 ``token_budget // boundary`` of them is one batch.
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import n_words
+from cairn.llm.common import materialize, n_words
 
 BUCKETS = 12
 TOKEN_BUDGET = 32_768
@@ -88,7 +88,10 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     of padding. A text longer than token_budget is alone in its batch. Repeated rows are packed each for itself. An
     empty table gives an empty result. Batches are numbered inside their bucket.
     """
-    sized = docs.select(F.col("doc_id"), n_words(F.col("text")).alias("n_tokens")).withColumn("ceiling", ceiling(F.col("n_tokens")))
+    # Rows without doc_id are told apart by where they stand, others that repeat a doc_id by their texts.
+    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    sized = materialize(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), tie.alias("tie")), "lengths")
+    sized = sized.withColumn("ceiling", ceiling(F.col("n_tokens")))
     lengths, counts = histogram(sized)
     ends = boundaries(lengths, counts, buckets)
     if not ends:
@@ -102,7 +105,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
         upper = F.when(F.col("ceiling") <= end, F.lit(end)).otherwise(upper)
     placed = sized.withColumn("bucket", bucket).withColumn("padded_length", upper.cast("long"))
     slots = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("padded_length"), F.lit(1)))).cast("long")
-    return numbered(placed, "bucket", ["doc_id", "n_tokens"], 1 + int(counts.sum()) // ROWS_PER_SHARD).select(
+    return numbered(placed, "bucket", ["doc_id", "n_tokens", "tie"], 1 + int(counts.sum()) // ROWS_PER_SHARD).select(
         "doc_id", "n_tokens", "bucket", "padded_length",
         F.floor(F.col("number") / slots).cast("long").alias("batch"), F.pmod(F.col("number"), slots).cast("long").alias("slot"),
         (F.col("padded_length") - F.col("n_tokens")).alias("padding"),
