@@ -8,12 +8,15 @@ is extended both ways along the two documents' line hashes. These runs, which ha
 deleted where they come later; as what they repeat comes earlier, the first copy of every line stays.
 
 Scale: lines travel as hashes, a few bytes each; a fingerprint's occurrences are joined with one first occurrence, so
-rows stay linear however often a line repeats, and Spark splits a hot fingerprint's join. Texts move once, when the
-deleted positions meet them.
+rows stay linear however often a line repeats, and Spark splits a hot fingerprint's join. Of the two documents' lines
+only those around the anchors travel, however long the documents are; the few matches that go on beyond are extended
+again with more of them. Texts move once, when the deleted positions meet them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,8 @@ from cairn.llm.common import SPACE_CLASS, let, materialize
 #: Any repeated run of 50 words, the sum of the two, is found; none of fewer words than the first is touched.
 GRAM_WORDS = 35
 WINDOW_WORDS = 15
-
+#: Lines on either side of the anchors to which a match is extended at first; four times as many where it goes on beyond.
+REACH = 128
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -83,38 +87,59 @@ def fingerprints(lines: DataFrame, gram_words: int, window_words: int) -> DataFr
     return lines.select("doc", F.explode(chosen).alias("c")).select("doc", "c.at", "c.gram")
 
 
-def runs(same: Column, counts: Column, min_words: int) -> Column:
-    """start and end of the runs of true in ``same`` that have min_words words or more."""
-    none = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("words"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
-    cells = F.transform(same, lambda s, i: F.struct(i.alias("at"), F.get(counts, i).alias("n"), s.alias("same")))
-    last = F.array(F.struct(F.size(same).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("same")))
+def runs(same: Column) -> Column:
+    """start and end of the runs of true in ``same``."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(same) - 1), lambda i: F.get(same, i) & ~F.coalesce(F.get(same, i - 1), F.lit(False)))
+    ends = F.filter(F.sequence(F.lit(0), F.size(same) - 1), lambda i: F.get(same, i) & ~F.coalesce(F.get(same, i + 1), F.lit(False)))
+    return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+
+
+def cut(array: Column, low: Column, high: Column) -> Column:
+    """The items of an array from low to high, both inside it."""
+    return F.slice(array, low + 1, F.greatest(high - low + 1, F.lit(0)))
+
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.array(F.struct(a["start"].alias("start"), (x["at"] - 1).alias("end")))
-        ended = F.when((a["start"] >= 0) & (a["words"] >= min_words), F.concat(a["runs"], run)).otherwise(a["runs"])
-        longer = F.struct(F.when(a["start"] < 0, x["at"]).otherwise(a["start"]).alias("start"), (a["words"] + x["n"]).alias("words"), a["runs"].alias("runs"))
-        return F.when(x["same"], longer).otherwise(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("words"), ended.alias("runs")))
+def extended(seeds: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
+    """seeds (doc, other, shift, anchors) with the runs of equal lines around their anchors, and ``open`` if one may go on.
 
-    return F.aggregate(F.concat(cells, last), none, step, lambda a: a["runs"])
+    As an anchor is a gram that both have, such a run has the gram's words. Only the lines from ``reach`` before the first anchor to as many after the last one are looked at. Runs are
+    numbered like doc's lines with a word.
+    """
+    mine = lines.select("doc", F.col("h").alias("my_h"))
+    theirs = lines.select(F.col("doc").alias("other"), F.col("h").alias("their_h"))
+    low, high = F.greatest(F.array_min("anchors") - reach, F.lit(0), F.col("shift")), F.array_max("anchors") + reach
+    near = seeds.join(mine, "doc").withColumns({"low": low, "high": F.least(high, F.size("my_h") - 1)})
+    near = near.select("doc", "other", "shift", "anchors", "low", "high", cut(F.col("my_h"), F.col("low"), F.col("high")).alias("my_h"))
+    both = near.join(theirs, "other").withColumn("end", F.least("high", F.size("their_h") - 1 + F.col("shift")))
+    both = both.withColumn("their_h", cut(F.col("their_h"), F.col("low") - F.col("shift"), F.col("end") - F.col("shift")))
+    same = F.transform(F.arrays_zip(F.slice("my_h", 1, F.size("their_h")).alias("a"), F.col("their_h").alias("b")), lambda x: x["a"] == x["b"])
+    # A run without an anchor is none of this pair's business: its fingerprints have another first occurrence.
+    inside = lambda r: F.exists(F.col("anchors"), lambda p: (p >= r["start"] + F.col("low")) & (p <= r["end"] + F.col("low")))
+    found = both.withColumn("runs", F.filter(let(same, runs), inside))
+    shifted = F.transform("runs", lambda r: F.struct((r["start"] + F.col("low")).alias("start"), (r["end"] + F.col("low")).alias("end")))
+    at_edge = F.exists("runs", lambda r: ((r["start"] == 0) & (F.col("low") > F.greatest(F.lit(0), F.col("shift")))) | (r["end"] + F.col("low") == F.array_max("anchors") + reach))
+    return found.select("doc", "other", "shift", "anchors", shifted.alias("runs"), at_edge.alias("open"))
 
 
-def repeated_positions(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
+def repeated_positions(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, reach: int = REACH) -> DataFrame:
     """doc and pos: the line positions of each document that repeat an earlier run."""
     prints = materialize(fingerprints(lines, gram_words, window_words), "fingerprints")
     firsts = prints.groupBy("gram").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     later = prints.join(firsts, "gram").where(F.struct("doc", "at") > F.col("first"))
-    # Anchors on one diagonal are parts of one alignment of two documents.
-    pairs = later.groupBy("doc", F.col("first.doc").alias("other"), (F.col("at") - F.col("first.at")).alias("shift")).agg(F.collect_set("at").alias("anchors"))
-    mine = lines.select("doc", F.col("h").alias("my_h"), F.col("n").alias("my_n"), F.col("pos").alias("my_pos"))
-    theirs = lines.select(F.col("doc").alias("other"), F.col("h").alias("their_h"))
-    both = pairs.join(mine, "doc").join(theirs, "other")
-    there = lambda i: F.get(F.col("their_h"), F.greatest(i - F.col("shift"), F.lit(0)))
-    same = F.transform(F.col("my_h"), lambda x, i: F.coalesce((i >= F.col("shift")) & (there(i) == x), F.lit(False)))
-    # A run without an anchor is none of this pair's business: its fingerprints have another first occurrence.
-    anchored = let(same, lambda s: F.filter(runs(s, F.col("my_n"), gram_words), lambda r: F.exists(F.col("anchors"), lambda p: (p >= r["start"]) & (p <= r["end"]))))
-    found = both.select("doc", "my_pos", F.explode(anchored).alias("r"))
-    part = F.slice("my_pos", F.col("r.start") + 1, F.col("r.end") - F.col("r.start") + 1)
-    return found.select("doc", part.alias("part")).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("pos"))
+    # Anchors on one diagonal that are near each other are parts of one alignment of two documents.
+    anchors = later.select("doc", F.col("first.doc").alias("other"), (F.col("at") - F.col("first.at")).alias("shift"), "at")
+    done = []
+    while True:
+        seeds = anchors.groupBy("doc", "other", "shift", F.floor(F.col("at") / reach).alias("part")).agg(F.collect_set("at").alias("anchors")).drop("part")
+        tried = materialize(extended(seeds, lines, reach), "runs")
+        done.append(tried.where("not open"))
+        anchors, reach = tried.where("open").select("doc", "other", "shift", F.explode("anchors").alias("at")), 4 * reach
+        if anchors.isEmpty():
+            break
+    found = reduce(DataFrame.union, done).select("doc", F.explode("runs").alias("r"))
+    spans = found.groupBy("doc").agg(F.collect_set("r").alias("runs")).join(lines.select("doc", "pos"), "doc")
+    part = F.transform("runs", lambda r: cut(F.col("pos"), r["start"], r["end"]))
+    return spans.select("doc", F.array_distinct(F.flatten(part)).alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -128,7 +153,7 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int
     """
     own = [c for c in docs.columns if c != "removed_lines"]
     lines = materialize(lines_of(docs.select("doc_id", "text").where("text is not null")), "lines")
-    gone = repeated_positions(lines, gram_words, window_words).select(
+    gone = repeated_positions(lines, gram_words, window_words, REACH).select(
         F.col("doc.doc_id").alias("__doc_id"), F.col("doc.text").alias("__text"), F.col("pos").alias("__pos")
     )
     joined = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64("text").alias("__hash"))

@@ -513,6 +513,21 @@ def test_line_dedup(docs, empty, spark):
     assert {r["text"] for r in line_dedup.dedup_lines(twice).collect()} == {made[0]}
 
 
+@pytest.mark.parametrize("reach", [1, 3, 128])
+def test_long_matches_are_whole(spark, monkeypatch, reach):
+    """Copies and passages of many hundred lines, however few lines are looked at first; null ids."""
+    monkeypatch.setattr(line_dedup, "REACH", reach)
+    rng = random.Random(23)
+    whole = [prose(rng, rng.randint(1, 12)) for _ in range(300)]
+    sources = ["\n".join(prose(rng, 20) for _ in range(4)) for _ in range(40)]
+    texts = ["\n".join(whole), *sources, "\n".join([*whole[20:280], "a line between", *whole[:150]]), "\n".join(x for s in sources for x in (s, "of its own")), "\n".join(whole)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_dedup(texts)
+    assert got[len(texts) - 1] == "" and got[len(texts) - 2] == "\n".join(["of its own"] * 40)
+    none = spark.createDataFrame([(None, texts[0]), (3, texts[0]), (None, None)], "doc_id long, text string")
+    assert sorted(len(r["text"] or "") for r in line_dedup.dedup_lines(none).collect()) == [0, 0, len(texts[0])]
+
+
 # 9
 
 
