@@ -1,21 +1,22 @@
 """LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed shard by shard.
 
-Training. Tasks count the words and word pairs of their training texts, sorted by hash, and deal them in shards, packed
-as arrays; a task for each shard adds them up. Words keep their exact counts. A pair's count c is quantised to level
-1 + floor(log_B c), and the pair enters its shard's slice of the filter once for each level up to its own, each time as
-another key. A slice has as many bits as its own pairs need.
+Training. Tasks count the words, pairs and triples of words of their training texts, sorted by hash, and deal them in
+shards, packed as arrays; a task for each shard adds them up. Words keep their exact counts. A pair's or triple's count c
+is quantised to level 1 + floor(log_B c), and it enters its shard's slice of the filter once for each level up to its
+own, each time as another key. A slice has as many bits as its own n-grams need.
 
-Scoring. Texts are packed in chunks. A chunk asks each shard for the counts of its distinct pairs and words, sorted and
+Scoring. Texts are packed in chunks. A chunk asks each shard for the counts of its distinct n-grams and words, sorted and
 packed as arrays; a task for each shard answers with levels and exact counts, and the answers meet the chunk again. A
-count is read by probing level after level until one is missing; a pair's count is at most the smaller of its words'
-counts. A pair's probability is smoothed towards its second word's: (count + MU * p(word)) / (context + MU), with p(word) =
-(count + 1) / (N + V + 1). The quantised counts are lower bounds, so that probabilities add up to 1 at most, but for the
-filter's false positives.
+count is read by probing level after level until one is missing; an n-gram's count is at most the smaller of its parts'.
+Each order is smoothed towards the one below: p(word) = (count + 1) / (N + V + 1), a pair's (count + MU * p(word)) /
+(context + MU), and a triple's (count + MU3 * p(pair)) / (context + MU3). The quantised counts are lower bounds, and of
+a triple's context the upper end of its level is taken, so that probabilities add up to 1 at most, but for the filter's
+false positives. A text's first token has no triple.
 
 The most frequent HEAD words are broadcast, a fixed number, only to ask less: any number gives the same result.
 
-Scale: shards and chunks grow in number with the tokens, not in size, and a chunk asks for a pair once however often it
-has it. Neither the filter nor the texts pass the driver.
+Scale: shards and chunks grow in number with the tokens, not in size, and a chunk asks for an n-gram once however often
+it has it. Neither the filter nor the texts pass the driver.
 """
 
 from __future__ import annotations
@@ -23,18 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
-from cairn.llm.text_arrays import mixed, word_hashes
+from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, joined, rows_of
+from cairn.llm.common import materialize, pieces
+from cairn.llm.text_arrays import mixed, raw_texts, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-MU = 100.0
+#: How much the order below weighs, in counts, for pairs and for triples.
+MU, MU3 = 100.0, 10.0
 LEVEL_BASE = 1.5
 PROBES = 4
 #: Bits of the filter for each token that it may have to hold; so many shards that slices of this density have MAX_BITS each at most.
@@ -46,13 +46,14 @@ FILL = 0.92
 SLICE_FILL = FILL / 2
 HEAD = 1 << 20
 TOKENS_PER_SHARD = 1 << 20
-FLUSH_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 21
 #: Bytes of text that are scored at once, but for one longer text.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 _START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _FIRST, _SECOND, _LEVEL = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
-WORD, PAIR = 1, 2
+_THIRD = np.uint64(0x2545F4914F6CDD1D)
+WORD, GRAM = 1, 2
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -60,6 +61,13 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(before * _FIRST + mixed(words) * _SECOND)
 
 
+def gram_hashes(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs that end at each token, and of the triples; a text's first token has none, and counts as a pair again."""
+    pairs = pair_hashes(before, words)
+    triples = mixed(np.concatenate([[np.uint64(0)], pairs[:-1]]) * _THIRD + pairs)
+    return pairs, np.where(before == _START, pairs, triples)
+
+
 def with_ends(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens (words and an end for each text), the token before each (a start for the first), and tokens in each text."""
     lengths = counts + 1
@@ -82,6 +90,10 @@ def least_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.ceil(LEVEL_BASE ** (levels - 1.0) - 1e-9), 0.0)
 
 
+def most_count(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, np.ceil(LEVEL_BASE**levels - 1e-9) - 1, 0.0)
+
+
 def keys_of(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
     """The shard and, in the low 32 bits, the n-gram's key inside it; in the order of the hashes."""
     return hashes >> np.uint64(32 - shard_bits)
@@ -99,9 +111,9 @@ def first_level(levels: np.ndarray, slice_bits: int) -> int:
     return 1 + (int(np.argmax(fits)) if fits.any() else len(fits))
 
 
-def bits_for(levels: np.ndarray) -> int:
+def bits_for(levels: np.ndarray, fill: float = SLICE_FILL) -> int:
     """The bits of a slice that holds n-grams of these levels from level 1 on: equally dense at any size."""
-    return 64 + int(np.ceil(PROBES * int(levels.sum()) / SLICE_FILL / 8)) * 8
+    return 64 + int(np.ceil(PROBES * int(levels.sum()) / fill / 8)) * 8
 
 
 class Filter:
@@ -148,53 +160,57 @@ class Filter:
 
 
 def counted(shard_bits: int):
-    """A function for mapInPandas: kind, shard and the sorted hashes and counts of a task's words and pairs."""
+    """A function for mapInArrow: kind, shard and what a task counts: words by hash, n-grams by their key in the shard."""
 
-    def flushed(parts: dict[int, list[np.ndarray]]) -> pd.DataFrame:
-        rows = []
+    def flushed(parts: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for kind, arrays in parts.items():
             hashes, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            edges = np.searchsorted(hashes >> np.uint64(64 - shard_bits) if shard_bits else np.zeros(len(hashes), dtype=np.uint64), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
-            rows += [(kind, s, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-        return pd.DataFrame(rows, columns=["kind", "shard", "hashes", "counts"])
+            edges = shard_edges(keys_of(hashes, shard_bits), shard_bits)
+            found = np.flatnonzero(np.diff(edges))
+            hashes = hashes if kind == WORD else (keys_of(hashes, shard_bits) & LOW).astype(np.uint32)
+            packed = [cut(values, edges).take(pa.array(found)) for values in (hashes, counts.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), *packed], names=["kind", "shard", "keys", "counts"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held = {WORD: [], PAIR: []}, 0
-        for batch in batches:
-            for _, hashes, counts in word_hashes(list(batch["text"])):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = {WORD: [], GRAM: []}, 0
+        for piece in pieces(batches, "text"):
+            for _, hashes, counts in word_hashes(raw_texts(piece["text"])):
                 tokens, before, _ = with_ends(hashes, counts)
+                pairs, triples = gram_hashes(before, tokens)
                 parts[WORD].append(tokens)
-                parts[PAIR].append(pair_hashes(before, tokens))
+                parts[GRAM] += [pairs, triples[before != _START]]
                 held += len(tokens)
                 if held >= FLUSH_TOKENS:
-                    yield flushed(parts)
-                    parts, held = {WORD: [], PAIR: []}, 0
+                    yield from flushed(parts)
+                    parts, held = {WORD: [], GRAM: []}, 0
         if held:
-            yield flushed(parts)
+            yield from flushed(parts)
 
     return run
 
 
-def merged(shard_bits: int):
-    """A function for applyInPandas over one shard: exact counts of its words, and its pairs' slice of the filter."""
+def added(part: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    keys, counts = joined(part["keys"], kind)[0], joined(part["counts"], np.uint32)[0].astype(np.int64)
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[firsts], np.add.reduceat(counts, firsts)
 
-    def added(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *[np.frombuffer(h, dtype=np.uint64) for h in part["hashes"]]])
-        counts = np.concatenate([np.zeros(0, dtype=np.uint32), *[np.frombuffer(c, dtype=np.uint32) for c in part["counts"]]]).astype(np.int64)
-        if not len(hashes):
-            return hashes, counts
-        order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order]
-        firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        return hashes[firsts], np.add.reduceat(counts, firsts)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        words, times = added(group[group["kind"] == WORD])
-        pairs, counts = added(group[group["kind"] == PAIR])
-        keys, levels = keys_of(pairs, shard_bits) & LOW, level_of(counts)
-        flags = np.zeros(bits_for(levels), dtype=bool)
-        Filter(flags, 0, len(flags)).add(flags, keys, levels)
-        return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "slice": np.packbits(flags).tobytes(), "hashes": words.view(np.int64), "counts": times}])
+def merged(fill: float):
+    """A function for applyInArrow over one shard: exact counts of its words, and its n-grams' slice of the filter."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds = group["kind"].to_numpy()
+        words, times = added(group.filter(pa.array(kinds == WORD)), np.uint64)
+        keys, counts = added(group.filter(pa.array(kinds == GRAM)), np.uint32)
+        levels = level_of(counts)
+        flags = np.zeros(bits_for(levels, fill), dtype=bool)
+        Filter(flags, 0, len(flags)).add(flags, keys.astype(np.uint64), levels)
+        return pa.table({"shard": group["shard"][:1], "slice": pa.array([np.packbits(flags).tobytes()]), "hashes": pa.array([words.view(np.int64)]), "counts": pa.array([times])})
 
     return run
 
@@ -207,8 +223,8 @@ def train(texts: DataFrame) -> dict:
     size = texts.agg(F.sum(F.length("text")), F.count("*")).first()
     about = (size[0] or 0) // 5 + size[1]  # tokens, roughly; only the number of shards depends on it
     shard_bits = max((about // TOKENS_PER_SHARD).bit_length(), (BITS_PER_TOKEN * about // MAX_BITS).bit_length())
-    packed = texts.mapInPandas(counted(shard_bits), "kind int, shard int, hashes binary, counts binary")
-    shards = materialize(packed.groupBy("shard").applyInPandas(merged(shard_bits), "shard int, slice binary, hashes array<long>, counts array<long>"), "lm-shards")
+    packed = texts.mapInArrow(counted(shard_bits), "kind int, shard int, keys binary, counts binary")
+    shards = materialize(packed.groupBy("shard").applyInArrow(merged(SLICE_FILL), "shard int, slice binary, hashes array<long>, counts array<long>"), "lm-shards")
     exact = shards.select(F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select(F.col("x.hashes").alias("hash"), F.col("x.counts").alias("count"))
     total = exact.agg(F.sum("count"), F.count("*")).first()
     step = F.floor(F.log2("count") * 8).cast("int")
@@ -227,36 +243,10 @@ def train(texts: DataFrame) -> dict:
     }
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: chunk and docs, rows of about CHUNK_BYTES of text as one compressed Arrow stream."""
-    number = TaskContext.get().partitionId() << 32
-    parts, held = [], 0
-
-    def flushed() -> pa.RecordBatch:
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-            for part in parts:
-                stream.write_batch(part)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
-
-    for batch in batches:
-        sizes, at = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), 0
-        for end, size in enumerate(sizes.tolist(), 1):
-            held += size
-            if held >= CHUNK_BYTES:
-                parts.append(batch.slice(at, end - at))
-                yield flushed()
-                number, parts, held, at = number + 1, [], 0, end
-        if at < batch.num_rows:
-            parts.append(batch.slice(at))
-    if parts:
-        yield flushed()
-
-
 def read_chunk(docs: bytes, head_keys: np.ndarray, head_counts: np.ndarray) -> dict:
-    """A chunk's rows, tokens, tokens in each text, distinct words with the head's counts and what the head lacks, and pairs."""
-    rows = pa.ipc.open_stream(docs).read_all()
-    blocks = [(h, c) for _, h, c in word_hashes(rows["text"].to_pylist())]
+    """A chunk's rows, tokens in each text, distinct words with the head's counts and what the head lacks, and n-grams."""
+    rows = rows_of(docs)
+    blocks = [(h, c) for _, h, c in word_hashes(raw_texts(rows["text"]))]
     tokens, before, lengths = with_ends(np.concatenate([h for h, _ in blocks]), np.concatenate([c for _, c in blocks]))
     words, back = np.unique(tokens, return_inverse=True)
     counts = np.zeros(len(words), dtype=np.int64)
@@ -265,53 +255,43 @@ def read_chunk(docs: bytes, head_keys: np.ndarray, head_counts: np.ndarray) -> d
         at = np.minimum(np.searchsorted(head_keys, words), len(head_keys) - 1)
         missing = head_keys[at] != words
         counts[~missing] = head_counts[at[~missing]]
-    return {"rows": rows, "lengths": lengths, "words": words, "back": back, "counts": counts, "missing": missing, "pairs": pair_hashes(before, tokens)}
+    return {"rows": rows, "lengths": lengths, "words": words, "back": back, "counts": counts, "missing": missing, "grams": np.concatenate(gram_hashes(before, tokens))}
 
 
 def asked(head, shard_bits: int):
-    """A function for mapInArrow: what each chunk asks of each shard, keys of distinct pairs and hashes of distinct words."""
+    """A function for mapInArrow: what each chunk asks of each shard, keys of distinct n-grams and hashes of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
                 read = read_chunk(docs.as_py(), *head.value)
-                pairs, words = np.unique(keys_of(read["pairs"], shard_bits)), read["words"][read["missing"]]
-                of_pairs, of_words = shard_edges(pairs, shard_bits).tolist(), shard_edges(keys_of(words, shard_bits), shard_bits).tolist()
-                pairs = (pairs & LOW).astype(np.uint32)
-                ends = zip(of_pairs[:-1], of_pairs[1:], of_words[:-1], of_words[1:], strict=True)
-                rows = [(s, pairs[a:b].tobytes(), words[c:d].tobytes()) for s, (a, b, c, d) in enumerate(ends) if a < b or c < d]
-                shards, pairs, words = zip(*rows, strict=True)
+                grams, words = np.unique(keys_of(read["grams"], shard_bits)), read["words"][read["missing"]]
+                of_grams, of_words = shard_edges(grams, shard_bits), shard_edges(keys_of(words, shard_bits), shard_bits)
+                found = np.flatnonzero((np.diff(of_grams) > 0) | (np.diff(of_words) > 0))
+                packed = [cut((grams & LOW).astype(np.uint32), of_grams), cut(words, of_words)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(rows), pa.int64()), pa.array(shards, pa.int32()), pa.array(pairs, pa.binary()), pa.array(words, pa.binary())], names=["chunk", "shard", "pairs", "words"]
+                    [pa.array([chunk] * len(found), pa.int64()), pa.array(found.astype(np.int32)), *[p.take(pa.array(found)) for p in packed]], names=["chunk", "shard", "grams", "words"]
                 )
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of packed arrays, and where those of each row begin, and the end."""
-    parts = column.to_pylist()
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), dtype=kind), np.cumsum([0, *(len(x) // size for x in parts)])
-
-
 def answered(asking: pa.Table, shards: pa.Table) -> pa.Table:
-    """For applyInArrow over one shard: levels of the pairs and exact counts of the words that chunks ask for, 0 if unseen."""
-    pairs, of_pairs = _joined(asking["pairs"], np.uint32)
-    words, of_words = _joined(asking["words"], np.int64)
-    levels, counts = np.zeros(len(pairs), dtype=np.uint8), np.zeros(len(words), dtype=np.int64)
+    """For applyInArrow over one shard: levels of the n-grams and exact counts of the words that chunks ask for, 0 if unseen."""
+    grams, of_grams = joined(asking["grams"], np.uint32)
+    words, of_words = joined(asking["words"], np.int64)
+    levels, counts = np.zeros(len(grams), dtype=np.uint8), np.zeros(len(words), dtype=np.int64)
     if shards.num_rows and asking.num_rows:
         bits = np.frombuffer(shards["slice"][0].as_py(), dtype=np.uint8)
         own = Filter(bits, 0, 8 * len(bits))
-        for at in range(0, len(pairs), FLUSH_TOKENS):
-            levels[at : at + FLUSH_TOKENS] = own.levels(pairs[at : at + FLUSH_TOKENS].astype(np.uint64))
+        for at in range(0, len(grams), FLUSH_TOKENS):
+            levels[at : at + FLUSH_TOKENS] = own.levels(grams[at : at + FLUSH_TOKENS].astype(np.uint64))
         known, times = (shards[c].combine_chunks().flatten().to_numpy() for c in ("hashes", "counts"))
         if len(known):  # in the order of the unsigned hashes
             known, words = known.view(np.uint64), words.view(np.uint64)
             at = np.minimum(np.searchsorted(known, words), len(known) - 1)
             counts = np.where(known[at] == words, times[at], 0)
-    cut = lambda values, ends: pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-    return pa.table({"chunk": asking["chunk"], "shard": asking["shard"], "levels": cut(levels, of_pairs), "counts": cut(counts, of_words)})
+    return pa.table({"chunk": asking["chunk"], "shard": asking["shard"], "levels": cut(levels, of_grams), "counts": cut(counts, of_words)})
 
 
 def scored(head, tokens: int, words: int, shard_bits: int):
@@ -320,15 +300,21 @@ def scored(head, tokens: int, words: int, shard_bits: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         read = read_chunk(chunk["docs"][0].as_py(), *head.value)
         answers = answers.sort_by("shard")
-        read["counts"][read["missing"]] = _joined(answers["counts"], np.int64)[0]
-        levels = _joined(answers["levels"], np.uint8)[0]
+        read["counts"][read["missing"]] = joined(answers["counts"], np.int64)[0]
+        levels = joined(answers["levels"], np.uint8)[0].astype(np.int64)
         c = read["counts"][read["back"]].astype(float)
         lengths = read["lengths"]
         starts = np.cumsum(lengths) - lengths
-        context = np.concatenate([[0.0], c[:-1]])
+        before = lambda x: np.concatenate([[0.0], x[:-1]])
+        context = before(c)
         context[starts] = read["counts"][np.searchsorted(read["words"], END)]  # texts in training
-        pairs = least_count(levels.astype(np.int64))[np.unique(keys_of(read["pairs"], shard_bits), return_inverse=True)[1]]
-        p = (np.minimum(pairs, np.minimum(c, context)) + MU * (c + 1) / (tokens + words + 1)) / (context + MU)
+        levels = levels[np.unique(keys_of(read["grams"], shard_bits), return_inverse=True)[1]]
+        pairs = np.minimum(least_count(levels[: len(c)]), np.minimum(c, context))
+        p = (pairs + MU * (c + 1) / (tokens + words + 1)) / (context + MU)
+        twos = before(np.minimum(most_count(levels[: len(c)]), np.minimum(c, context)))  # of the pair before
+        triples = np.minimum(least_count(levels[len(c) :]), np.minimum(pairs, before(pairs)))
+        triples[starts] = twos[starts] = 0
+        p = (triples + MU3 * p) / (twos + MU3)
         return pa.table({
             "doc_id": read["rows"]["doc_id"], "held_out": read["rows"]["held_out"], "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((c > 0).astype(np.int64), starts),
             "train_tokens": np.full(len(lengths), tokens, dtype=np.int64), "base_score": np.add.reduceat(np.log10((c + 1) / (tokens + words + 1)), starts),
@@ -341,8 +327,8 @@ def scored(head, tokens: int, words: int, shard_bits: int):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, held_out, text)."""
     head = docs.sparkSession.sparkContext.broadcast((model["head_keys"], model["head_counts"]))
-    chunks = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(chunked, "chunk long, docs binary"), "lm-chunks")
-    asking = chunks.mapInArrow(asked(head, model["shard_bits"]), "chunk long, shard int, pairs binary, words binary")
+    chunks = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(chunked(CHUNK_BYTES), CHUNK_SCHEMA), "lm-chunks")
+    asking = chunks.mapInArrow(asked(head, model["shard_bits"]), "chunk long, shard int, grams binary, words binary")
     answers = asking.groupBy("shard").cogroup(model["shards"].groupBy("shard")).applyInArrow(answered, "chunk long, shard int, levels binary, counts binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(head, model["tokens"], model["words"], model["shard_bits"]), schema)

@@ -254,31 +254,56 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
     assert sorted(r["n_tokens"] for r in lm_scoring.score_held_out(none).collect()) == [1, 3]
 
 
+def quantised(c):
+    """Lower and upper end of a count's level."""
+    level = int(lm_scoring.level_of(np.array([c]))[0]) if c else 0
+    return (math.ceil(1.5 ** (level - 1) - 1e-9), math.ceil(1.5**level - 1e-9) - 1) if c else (0, 0)
+
+
 def test_lm_scoring_is_the_same_at_any_size_of_filter_and_head(spark, monkeypatch):
-    """Brute force with exact pairs: no level stays out, whatever MAX_BITS, and score counts words outside the head exactly."""
+    """Brute force with exact counts, for a filter so sparse that it has no false positives; whatever its size, no level stays out."""
+    monkeypatch.setattr(lm_scoring, "SLICE_FILL", 1e-3)
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(1, 60)) + f" once{i} once{i}b" for i in range(250)]
-    words, pairs = Counter(), Counter()
-    split = lambda t: ["start", *t.split(), "end"]
+    texts += texts[:20] + [None, "", "one"]
+    words, pairs, triples = Counter(), Counter(), Counter()
+    split = lambda t: ["start", *(t or "").split(), "end"]
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            words.update(split(t)[1:])
-            pairs.update(itertools.pairwise(split(t)))
+            w = split(t)
+            words.update(w[1:])
+            pairs.update(itertools.pairwise(w))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(words.values()), len(words)
-    lower = lambda c: math.ceil(1.5 ** (int(lm_scoring.level_of(np.array([c]))[0]) - 1) - 1e-9) if c else 0
-    least = []
+    want = []
     for t in texts:
-        context = lambda x: words["end"] if x == "start" else words[x]
-        least.append(sum(math.log10((lower(pairs[a, b]) + 100 * (words[b] + 1) / (n + v + 1)) / (context(a) + 100)) for a, b in itertools.pairwise(split(t))))
-    seen = []
-    for head, bits, chunk in ((1 << 20, 1 << 29, 12 << 20), (0, 1 << 10, 2000), (30, 1 << 12, 1)):
-        for name, value in (("HEAD", head), ("MAX_BITS", bits), ("CHUNK_BYTES", chunk)):
+        total, w = 0.0, split(t)
+        above = lambda x: words["end"] if x == "start" else words[x]
+        for i in range(1, len(w)):
+            low = lambda a, b: min(quantised(pairs[a, b])[0], above(a), words[b])
+            p = (low(w[i - 1], w[i]) + 100 * (words[w[i]] + 1) / (n + v + 1)) / (above(w[i - 1]) + 100)
+            if i > 1:
+                context = min(quantised(pairs[w[i - 2], w[i - 1]])[1], above(w[i - 2]), words[w[i - 1]])
+                count = min(quantised(triples[w[i - 2], w[i - 1], w[i]])[0], low(w[i - 2], w[i - 1]), low(w[i - 1], w[i]))
+                p = (count + 10 * p) / (context + 10)
+            total += math.log10(p)
+        want.append(total)
+    for head, shards, chunk in ((1 << 20, 1 << 20, 12 << 20), (0, 300, 2000), (30, 2000, 1)):
+        for name, value in (("HEAD", head), ("TOKENS_PER_SHARD", shards), ("CHUNK_BYTES", chunk)):
             monkeypatch.setattr(lm_scoring, name, value)
         got = {r["doc_id"]: r["score"] for r in lm_scoring.score_held_out(docs_of(spark, texts)).collect()}
-        # False positives only add; none of a text's own pairs may be lost.
-        assert all(got[i] >= least[i] - 1e-9 for i in range(len(texts)))
-        seen.append(np.mean([got[i] - least[i] for i in range(len(texts))]))
-    assert max(seen) - min(seen) < 0.3
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_scores_tell_repeated_texts(spark):
+    """Texts that occur twice score higher for each token than those that occur once."""
+    rng = random.Random(13)
+    texts = [prose(rng, 80) for _ in range(300)]
+    texts += texts[:100]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.score_held_out(docs_of(spark, texts)).collect() if not r["held_out"]}
+    once = sorted(got[i] for i in range(100, 300) if i in got)
+    twice = [got[i] for i in range(100) if i in got and i + 300 in got]
+    assert np.mean([x > once[int(0.9 * len(once))] for x in twice]) > 0.9
 
 
 def test_filter_counts():
