@@ -1,16 +1,19 @@
 """HTML extraction: wrapper induction over the pages of a host.
 
-A page's DOM tree is reduced to its blocks: containers keep tag, class, id and role; neighbouring leaves of one tag become
-one repeated slot. One page of each host, the one with the least hash of its id, is the host's reference tree. Every
-page is aligned with it by simple tree matching, which finds the largest set of matching nodes that keeps order and
-parents. Slots whose text is the same in most of the host's different pages are constant: they are template. Varying
-slots are content, as far as they stand in the page's content region: an article or main element, or else the
-container that holds most varying text outside menus, headers, footers, asides, adverts, forms and comments, which are
-never content.
-
-Scale: a page is parsed twice, once to count its slots against the reference and once to extract. Counting sends hashes,
-pre-aggregated in each task. Reference trees are skeletons of a few kB; they are broadcast while they are few, and
-joined by host otherwise, where Spark splits a hot host. HTML is shuffled only in that join.
+A page's DOM tree is reduced to its slots: elements keep tag, class and id, and siblings of one kind are one repeated
+slot. One page of each host, the one with the least hash of its id, is the host's reference tree. Every page is aligned
+with it, whole, by simple tree matching, which finds the largest set of matching nodes that keeps order and parents.
+Over all different pages of a host it is counted how many hold a text in a slot, and how many characters of different
+texts a slot holds. Texts that most pages with a slot have there are constant: they are template. The slots that hold the
+varying texts are content: the wrapper's region is the article or main elements that have a good part of them, or else the
+container that gathers most of them. Menus, headers, footers, asides, adverts, forms and comments inside the region go by
+their tags, roles and names, and elsewhere with everything else outside it. Hosts with few pages have no wrapper, and
+a page that has nothing in its wrapper's region doesn't use it: there the page's own region counts in the same way.
+
+Scale: siblings of one kind are merged, so that matching meets an element's kinds of children once each and takes time in
+proportion to the page. A page is parsed twice, once to count its slots against the reference and once to extract.
+Counting sends hashes, pre-aggregated in each task. Wrappers are outlines of a few kB; they are broadcast while they are
+few, and joined by host otherwise, where Spark splits a hot host. HTML is shuffled only in that join.
 """
 
 from __future__ import annotations
@@ -25,14 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release
 from cairn.llm.url_filters import host_of
 
-#: A slot is template if this share of a host's different pages, of which there are at least so many, has one text there.
+#: A text is template if this share of a host's different pages with its slot, of which there are at least so many, has it there.
 CONSTANT_SHARE = 0.8
-LEAST_PAGES = 5
+LEAST_PAGES = 8
+#: The share of varying text that an article needs to be the content, and a container to be looked into for it.
+ARTICLE_SHARE, DENSE_SHARE = 0.1, 0.7
 #: Bytes of reference trees that are broadcast at most; more are joined.
 BROADCAST_BYTES = 32 << 20
+#: Characters of possible reference pages that a task holds, and references that it holds read.
+HELD_CHARS = 32 << 20
+HELD_REFERENCES = 1_000
 
 # Fixed values of the HTML standard and of common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +64,8 @@ BOILERPLATE_WORDS = frozenset(
 AFFIXES = frozenset("area bar block bottom box form global item items link links list main page posts section site top".split())
 #: Elements that are cut: by a name, or a form, as far as they don't hold the page's content; or in any case.
 BY_NAME, ALWAYS = 1, 2
+#: Ends the kind of slots of cut elements.
+CUT = "\0"
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-body|content|entry|entry-content|main|main-content|post|post-body|story|text)(?:$|[\s_-])", re.IGNORECASE)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -77,15 +87,19 @@ def named_boilerplate(words: str) -> bool:
 
 
 class Node:
-    """An element: tag, signature, whether it is boilerplate or marked as content, children, and the texts of a leaf slot."""
+    """An element: tag, names, whether it is boilerplate or marked as content, children; or a text, with the tag #text."""
 
-    __slots__ = ("children", "content", "depth", "parent", "skip", "tag", "texts", "words")
+    __slots__ = ("children", "content", "depth", "parent", "skip", "tag", "text", "weight", "words")
 
     def __init__(self, tag: str, words: str = "", skip: int = 0, content: bool = False, parent: Node | None = None):
         self.tag, self.words, self.skip, self.content, self.parent = tag, words, skip, content, parent
         self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node] = []
-        self.texts: list[str] = []
+        self.text, self.weight = "", 0
+
+    @property
+    def kind(self) -> str:
+        return f"{self.tag}.{self.words}" if self.words else self.tag
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
@@ -125,7 +139,7 @@ def parse(page: str | None) -> Node:
         text.clear()
         if block:
             leaf = Node("#text", parent=at_node)
-            leaf.texts.append(block)
+            leaf.text, leaf.weight = block, len(block)
             at_node.children.append(leaf)
 
     for m in iter(lambda: TOKEN.search(source, at), None):
@@ -190,96 +204,148 @@ def _after(source: str, tag: str, at: int) -> int:
     return at
 
 
-def folded(node: Node) -> list:
-    """A skeleton for matching: [signature, children, texts, skip, content, source nodes], leaves of one kind folded."""
-    children: list[list] = []
-    for child in node.children:
-        made = folded(child)
-        last = children[-1] if children else None
-        if last and not last[3] and not made[3] and _flat(last) and _flat(made) and last[0] == made[0]:
-            last[2].extend(_texts(made))
-            last[5].append(child)
-        else:
-            if _flat(made):
-                made[2], made[1] = _texts(made), []
-            children.append(made)
-    return [f"{node.tag}.{node.words}" if node.words else node.tag, children, list(node.texts), node.skip, node.content, [node]]
-
+def weighed(node: Node) -> int:
+    """Sets each node's weight, the characters of its text that no cut element holds."""
+    if node.tag != "#text":
+        inside = sum(weighed(c) for c in node.children)
+        node.weight = 0 if node.skip else inside
+    return node.weight
 
-def _flat(made: list) -> bool:
-    """A block with text only."""
-    return all(not c[1] and c[0] == "#text" for c in made[1])
 
-
-def _texts(made: list) -> list[str]:
-    return made[2] + [t for c in made[1] for t in c[2]]
+def kept(node: Node) -> Iterator[Node]:
+    """The nodes that are not inside a cut element, in document order."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if not node.skip:
+            yield node
+            todo.extend(reversed(node.children))
 
 
-def simple_tree_matching(a: list, b: list, pairs: list | None = None) -> int:
-    """The size of the largest matching of two skeletons, and in pairs the matched nodes."""
-    if a[0] != b[0]:
-        return 0
-    x, y = a[1], b[1]
-    sizes = [[simple_tree_matching(i, j) for j in y] for i in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + sizes[i - 1][j - 1])
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = len(x), len(y)
-        while i and j:
-            if sizes[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + sizes[i - 1][j - 1]:
-                simple_tree_matching(x[i - 1], y[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return 1 + best[len(x)][len(y)]
+def _has_text(node: Node) -> bool:
+    return any(n.text for n in kept(node))
 
 
-def _kept(skeleton: list) -> list[list]:
-    """The nodes that are not inside a cut element."""
-    return [] if skeleton[3] else [skeleton, *(n for c in skeleton[1] for n in _kept(c))]
+def _holds_article(node: Node) -> bool:
+    """Whether an article or main element with text is inside, be it inside elements cut by name."""
+    todo = [c for c in node.children if c.skip != ALWAYS]
+    while todo:
+        node = todo.pop()
+        if not node.skip and node.tag in ("article", "main") and _has_text(node):
+            return True
+        todo.extend(c for c in node.children if c.skip != ALWAYS)
+    return False
 
 
-def _holds_article(node: list) -> bool:
-    """Whether an article or main element with text is inside, be it inside elements cut by name."""
-    return any(c[3] != ALWAYS and (not c[3] and c[0].split(".")[0] in ("article", "main") and _weight(c) > 0 or _holds_article(c)) for c in node[1])
+def _spared_weight(node: Node) -> int:
+    return sum(n.weight for c in node.children for n in kept(c) if n.text)
 
 
-def spare_content(skeleton: list) -> list:
-    """The skeleton, where elements cut by name stay if the page has its articles, or all of its text, only in them."""
+def spare_content(root: Node) -> Node:
+    """The tree, where elements cut by name stay if the page has its articles, or all of its text, only in them."""
     while True:
-        kept = _kept(skeleton)
-        if any(n[4] and any(m[2] for m in _kept(n)) for n in kept):
-            return skeleton
-        cut = [c for n in kept for c in n[1] if c[3] == BY_NAME]
-        found = [c for c in cut if _holds_article(c)]
-        if not found and not any(n[2] for n in kept):
-            found = sorted((c for c in cut if _weight(c)), key=_weight)[-1:]
+        nodes = list(kept(root))
+        if any(n.content and _has_text(n) for n in nodes):
+            break
+        by_name = [c for n in nodes for c in n.children if c.skip == BY_NAME]
+        found = [c for c in by_name if _holds_article(c)]
+        if not found and not any(n.text for n in nodes):
+            found = sorted((c for c in by_name if _spared_weight(c)), key=_spared_weight)[-1:]
         if not found:
-            return skeleton
+            break
         for c in found:
-            c[3] = 0
+            c.skip = 0
+    weighed(root)
+    return root
+
+
+class Slot:
+    """All elements of one kind under one parent slot: their kind, the slots inside, and the elements themselves."""
 
+    __slots__ = ("children", "kind", "nodes")
 
-def _pruned(skeleton: list) -> list | None:
-    """The skeleton without boilerplate, whose slots can't be content anyway."""
-    if skeleton[3]:
-        return None
-    skeleton[1] = [c for c in (_pruned(c) for c in skeleton[1]) if c]
-    return skeleton
+    def __init__(self, kind: str):
+        self.kind, self.children, self.nodes = kind, [], []
 
+    def __getitem__(self, i: int):
+        return (self.kind, self.children)[i]
 
-def skeleton_of(page: str | None) -> list:
-    return _pruned(spare_content(folded(parse(page)))) or ["#root", [], [], False, False, []]
+
+def slots_of(root: Node) -> Slot:
+    """The slots of a page; a slot's children have different kinds, in the order in which they first come."""
+    top = Slot(root.kind)
+    top.nodes.append(root)
+    todo = [top]
+    while todo:
+        slot = todo.pop()
+        by_kind: dict[str, Slot] = {}
+        for node in slot.nodes:
+            for child in node.children:
+                kind = child.kind + CUT if child.skip else child.kind
+                if kind not in by_kind:
+                    by_kind[kind] = Slot(kind)
+                    slot.children.append(by_kind[kind])
+                by_kind[kind].nodes.append(child)
+        todo.extend(slot.children)
+    return top
+
+
+def page_tree(page: str | None) -> Node:
+    return spare_content(parse(page))
+
+
+def _heaviest_chain(found: list[tuple[int, int, int]]) -> list[int]:
+    """Which of found (i, j, size) make the heaviest chain in which i and j both rise; found is sorted by i and -j."""
+    ranks = {j: r for r, j in enumerate(sorted({j for _, j, _ in found}), 1)}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(ranks) + 1)  # a Fenwick tree of prefix maxima: sum, where its chain ends
+    before: list[int] = []
+    for at, (_, j, size) in enumerate(found):
+        top, r = (0, -1), ranks[j] - 1
+        while r:
+            top, r = max(top, best[r]), r & (r - 1)
+        before.append(top[1])
+        r = ranks[j]
+        while r <= len(ranks):
+            best[r] = max(best[r], (top[0] + size, at))
+            r += r & -r
+    top, r = (0, -1), len(ranks)
+    while r:
+        top, r = max(top, best[r]), r & (r - 1)
+    chain, at = [], top[1]
+    while at >= 0:
+        chain.append(at)
+        at = before[at]
+    return chain[::-1]
+
+
+def simple_tree_matching(a, b, pairs: list | None = None) -> int:
+    """The size of the largest matching of two trees of (kind, children), and in pairs the matched nodes.
+
+    Only children of one kind are compared, and the best of them in order are a chain, so that trees whose siblings
+    have different kinds take time in proportion to their size, but for a logarithm.
+    """
+    if a[0] != b[0]:
+        return 0
+    places: dict[str, list[int]] = {}
+    for j, child in enumerate(b[1]):
+        places.setdefault(child[0], []).append(j)
+    found, inner = [], []
+    for i, child in enumerate(a[1]):
+        for j in reversed(places.get(child[0], ())):
+            own: list | None = None if pairs is None else []
+            found.append((i, j, simple_tree_matching(child, b[1][j], own)))
+            inner.append(own)
+    chain = _heaviest_chain(found)
+    if pairs is not None:
+        pairs.append((a, b))
+        for at in chain:
+            pairs.extend(inner[at])
+    return 1 + sum(found[at][2] for at in chain)
 
 
-def outline(skeleton: list) -> list:
-    """What the reference keeps of a skeleton: signatures only."""
-    return [skeleton[0], [outline(c) for c in skeleton[1]]]
+def outline(slot: Slot) -> list:
+    """What the reference keeps of a page: kinds only."""
+    return [slot.kind, [outline(c) for c in slot.children]]
 
 
 def numbered(reference: list) -> dict[int, int]:
@@ -293,54 +359,86 @@ def numbered(reference: list) -> dict[int, int]:
     return out
 
 
-def aligned(skeleton: list, reference: list) -> list[tuple[int, list]]:
-    """Numbers of reference nodes and the page's nodes matched with them."""
+def aligned(slots: Slot, reference: list, numbers: dict[int, int]) -> list[tuple[int, Slot]]:
+    """Numbers of reference nodes and the page's slots matched with them."""
     pairs: list = []
-    simple_tree_matching(skeleton, reference, pairs)
-    numbers = numbered(reference)
-    return [(numbers[id(r)], node) for node, r in pairs]
-
+    simple_tree_matching(slots, reference, pairs)
+    return [(numbers[id(r)], slot) for slot, r in pairs]
 
-def _weight(node: list) -> int:
-    return sum(map(len, node[2])) + sum(_weight(c) for c in node[1])
 
-
-def region(skeleton: list) -> list[list]:
-    """The content region: the outermost elements marked as content with most text, else the densest container."""
-    marked, todo = [], [skeleton]
+def region(root: Node) -> list[Node]:
+    """A page's own content region: the outermost elements marked as content with text, articles first, else the densest container."""
+    marked, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node[4]:
+        if node.skip:
+            continue
+        if node.content and node.weight:
             marked.append(node)
         else:
-            todo.extend(reversed(node[1]))
-    articles = [n for n in marked if n[0].split(".")[0] in ("article", "main") and _weight(n)] or [n for n in marked if _weight(n)]
-    if articles:
-        return articles
-    node = skeleton
-    while True:
-        total = _weight(node)
-        heavy = [c for c in node[1] if c[1] and _weight(c) > 0.7 * total]
-        if not heavy:
-            return [node]
+            todo.extend(reversed(node.children))
+    if marked:
+        return [n for n in marked if n.tag in ("article", "main")] or marked
+    node = root
+    while heavy := [c for c in node.children if c.children and any(n.children for n in c.children) and c.weight > DENSE_SHARE * node.weight]:
         node = heavy[0]
-
-
-def blocks(nodes: list[list], template: set[int]) -> list[str]:
-    """The texts of nodes in document order, without those of template slots (by identity)."""
-    out: list[str] = []
-    for node in nodes:
-        if id(node) not in template:
-            out += node[2]
-        out += blocks(node[1], template)
-    return out
-
-
-def extract(page: str | None, reference: list | None = None, constant: frozenset[int] = frozenset()) -> str:
-    """The main text of a page, given its host's reference outline and which of its nodes are template."""
-    skeleton = skeleton_of(page)
-    template = {id(node) for number, node in aligned(skeleton, reference) if number in constant} if reference and constant else set()
-    return "\n".join(blocks(region(skeleton), template))
+    return [node]
+
+
+class Wrapper:
+    """A host's reference, which of its nodes make the content region, and the template texts (hashes) of each node."""
+
+    def __init__(self, reference: str, weights: dict[int, int], template: set[tuple[int, int]]):
+        self.reference = json.loads(reference)
+        self.numbers = numbered(self.reference)
+        self.template = template
+        self.sums: dict[int, int] = {}
+        self._sum(self.reference, weights)
+        self.region = self._region()
+
+    def _sum(self, node: list, weights: dict[int, int]) -> int:
+        number = self.numbers[id(node)]
+        inside = [self._sum(c, weights) for c in node[1]]
+        self.sums[number] = 0 if node[0].endswith(CUT) else weights.get(number, 0) + sum(inside)
+        return self.sums[number]
+
+    def weight(self, node: list) -> int:
+        return self.sums[self.numbers[id(node)]]
+
+    def _region(self) -> set[int]:
+        whole, articles, todo = self.weight(self.reference), [], [self.reference]
+        while todo:
+            node = todo.pop()
+            if not node[0].endswith(CUT):
+                if node[0].split(".")[0] in ("article", "main") and self.weight(node) >= ARTICLE_SHARE * whole > 0:
+                    articles.append(node)
+                else:
+                    todo.extend(node[1])
+        if articles:
+            return {self.numbers[id(n)] for n in articles}
+        node = self.reference
+        while heavy := [c for c in node[1] if any(n[1] for n in c[1]) and self.weight(c) > DENSE_SHARE * self.weight(node)]:
+            node = heavy[0]
+        return {self.numbers[id(node)]}
+
+    def blocks(self, root: Node) -> list[str]:
+        """The page's texts in the region that are not template, in document order."""
+        matched = aligned(slots_of(root), self.reference, self.numbers)
+        inside = {id(n) for number, slot in matched if number in self.region for n in slot.nodes}
+        template = {id(n) for number, slot in matched for n in slot.nodes if n.text and (number, _hash(n.text)) in self.template} if self.template else ()
+        nodes = [n for n in kept(root) if id(n) in inside]
+        return [n.text for top in nodes for n in kept(top) if n.text and id(n) not in template]
+
+
+def blocks(nodes: list[Node]) -> list[str]:
+    """The texts of nodes in document order."""
+    return [n.text for node in nodes for n in kept(node) if n.text]
+
+
+def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
+    """The main text of a page, by its host's wrapper if there is one."""
+    root = page_tree(page)
+    return "\n".join((wrapper.blocks(root) if wrapper else []) or blocks(region(root)))
 
 
 def _hash(text: str) -> int:
@@ -352,14 +450,15 @@ def references(pages: DataFrame) -> DataFrame:
 
     def outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, tuple] = {}
+        named = lambda: pd.DataFrame([(h, r, p, json.dumps(outline(slots_of(page_tree(x))))) for h, (r, p, x) in best.items()], columns=["host", "rank", "page_id", "reference"])
         for batch in batches:
             for host, rank, page_id, page in zip(batch["host"], batch["rank"], batch["page_id"], batch["html"], strict=True):
                 if host not in best or (rank, page_id) < best[host][:2]:
                     best[host] = (rank, page_id, page)
-            if len(best) > 10_000:  # hosts of a long task leave in parts; the aggregation puts them together
-                yield pd.DataFrame([(h, r, p, json.dumps(outline(skeleton_of(x)))) for h, (r, p, x) in best.items()], columns=["host", "rank", "page_id", "reference"])
+            if sum(len(x) for _, _, x in best.values()) > HELD_CHARS:  # hosts of a long task leave in parts; the aggregation puts them together
+                yield named()
                 best = {}
-        yield pd.DataFrame([(h, r, p, json.dumps(outline(skeleton_of(x)))) for h, (r, p, x) in best.items()], columns=["host", "rank", "page_id", "reference"])
+        yield named()
 
     ranked = pages.where("html is not null and page_id is not null").select("host", F.xxhash64("page_id").alias("rank"), "page_id", "html")
     found = ranked.mapInPandas(outlines, "host string, rank long, page_id long, reference string")
@@ -371,37 +470,51 @@ def with_references(pages: DataFrame, refs: DataFrame, size: int) -> DataFrame:
 
 
 def slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, node, text, page (hashes): what each reference node holds in each different page of a task."""
-    seen: set[tuple] = set()
+    """host, node, text, page (hashes) and n_chars: what each reference node holds in each different page of a task."""
+    parsed: dict[str, tuple] = {}
     for batch in batches:
-        parsed: dict[str, list] = {}
+        seen: set[tuple] = set()
         for host, page, reference in zip(batch["host"], batch["html"], batch["reference"], strict=True):
-            skeleton = skeleton_of(page)
+            root = page_tree(page)
+            if len(parsed) > HELD_REFERENCES:
+                parsed = {}
             if reference not in parsed:
-                parsed[reference] = json.loads(reference)
-            name = _hash("\n".join(blocks(region(skeleton), set())))
-            seen |= {(host, number, _hash("\n".join(node[2])), name) for number, node in aligned(skeleton, parsed[reference]) if node[2]}
-        yield pd.DataFrame(list(seen), columns=["host", "node", "text", "page"])
-        seen = set()
-
-
-def constant_nodes(pages: DataFrame, share: float = CONSTANT_SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host and constant (array of node numbers): template slots. Copies of a page count once."""
-    cells = pages.where("reference is not null").select("host", "html", "reference").mapInPandas(slot_counts, "host string, node int, text long, page long").distinct()
-    by_text = cells.groupBy("host", "node", "text").agg(F.count("*").alias("n"))
-    by_node = by_text.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    return by_node.where((F.col("n") >= least) & (F.col("most") >= share * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("constant"))
+                tree = json.loads(reference)
+                parsed[reference] = tree, numbered(tree)
+            name = _hash("\n".join(blocks([root])))
+            seen |= {(host, number, _hash(n.text), name, len(n.text)) for number, slot in aligned(slots_of(root), *parsed[reference]) for n in slot.nodes if n.text}
+        yield pd.DataFrame(list(seen), columns=["host", "node", "text", "page", "n_chars"])
+
+
+def wrappers(pages: DataFrame, refs: DataFrame, size: int, share: float = CONSTANT_SHARE, least: int = LEAST_PAGES) -> DataFrame:
+    """host, reference, weights (of its nodes) and template (its constant texts) of hosts with enough pages. Copies of a page count once."""
+    known = with_references(pages, refs, size).where("reference is not null and html is not null").select("host", "html", "reference")
+    cells = materialize(known.mapInPandas(slot_counts, "host string, node int, text long, page long, n_chars int").distinct(), "slot-counts")
+    by_text = cells.groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
+    by_node = cells.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
+    constant = by_text.join(by_node, ["host", "node"]).withColumn("constant", (F.col("pages") >= least) & (F.col("n") >= share * F.col("pages")))
+    # Constant texts say nothing about where the content is.
+    by_slot = constant.groupBy("host", "node").agg(
+        F.sum(F.when(F.col("constant"), 0).otherwise(F.col("n_chars"))).alias("weight"), F.collect_list(F.when(F.col("constant"), F.col("text"))).alias("template")
+    )
+    enough = cells.select("host", "page").distinct().groupBy("host").count().where(F.col("count") >= least).select("host")
+    slots = by_slot.join(enough, "host").groupBy("host").agg(F.collect_list(F.struct("node", "weight", "template")).alias("slots"))
+    made = materialize(refs.join(slots, "host"), "wrappers")
+    release(cells)
+    return made
 
 
 def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parsed: dict = {}
     for batch in batches:
-        parsed: dict = {None: None}
         texts = []
-        for page, reference, constant in zip(batch["html"], batch["reference"], batch["constant"], strict=True):
-            if reference not in parsed:
-                parsed[reference] = json.loads(reference)
-            texts.append(extract(page, parsed[reference], frozenset(constant) if constant is not None else frozenset()))
-        yield batch.drop(columns=["html", "reference", "constant"]).assign(text=texts)
+        for host, page, reference, slots in zip(batch["host"], batch["html"], batch["reference"], batch["slots"], strict=True):
+            if len(parsed) > HELD_REFERENCES:
+                parsed = {}
+            if reference is not None and host not in parsed:
+                parsed[host] = Wrapper(reference, {s["node"]: s["weight"] for s in slots}, {(s["node"], t) for s in slots for t in s["template"]})
+            texts.append(extract(page, parsed.get(host) if reference is not None else None))
+        yield batch.drop(columns=["host", "html", "reference", "slots"]).assign(text=texts)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -415,9 +528,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     taken = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     refs = materialize(references(taken), "references")
     size = refs.agg(F.sum(F.octet_length("reference") + F.octet_length("host"))).first()[0] or 0
-    constant = materialize(constant_nodes(with_references(taken.select("host", "html"), refs, size)), "constant-nodes")
-    known = refs.join(constant, "host")  # hosts without template need no alignment
-    ready = with_references(taken, known, size).select("page_id", "url", "html", "reference", "constant")
+    known = wrappers(taken, refs, size)
+    size = known.agg(F.sum(F.octet_length("reference") + F.octet_length("host") + 16 * F.size("slots") + 8 * F.size(F.flatten("slots.template")))).first()[0] or 0
+    ready = with_references(taken, known, size).select("page_id", "url", "host", "html", "reference", "slots")
     return ready.mapInPandas(texts_of, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import html
 import itertools
+import json
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -223,6 +225,85 @@ def test_simple_tree_matching():
     assert html_extraction.simple_tree_matching(a, b) == 4 and html_extraction.simple_tree_matching(a, leaf("s")) == 0
 
 
+def brute_matching(a, b):
+    """Simple tree matching by its definition: a quadratic programme over the children."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_simple_tree_matching_is_the_definition():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return [rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []]
+
+    def contains(pairs, a, b):
+        return all(x[0] == y[0] for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+    for _ in range(200):
+        a, b = ["r", [tree(3) for _ in range(3)]], ["r", [tree(3) for _ in range(3)]]
+        pairs: list = []
+        assert html_extraction.simple_tree_matching(a, b, pairs) == brute_matching(a, b) == len(pairs) and contains(pairs, a, b)
+
+
+def host_pages(spark, page, n=40, seed=15):
+    rng = random.Random(seed)
+    texts = [(prose(rng, 40), prose(rng, 30)) for _ in range(n)]
+    df = spark.createDataFrame([(i, f"http://w.example.com/{i}", page(i, *t)) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    return texts, {r["page_id"]: r["text"] for r in html_extraction.extract_pages(df).collect()}
+
+
+def test_wrapper_without_names(spark):
+    """Nothing in the markup says what is what: alignment alone takes the menu, the box, the notice beside the text and the end away."""
+    page = lambda i, a, b: (
+        "<div class=k1><div class=q><a>Home</a> <a>News</a></div><div class=r>Today only: buy two</div></div>"
+        f"<div class=k2><p>{a}</p><p>Sign up for our letter</p><p>{b}</p></div><div class=k3><p>All rights of the site</p></div>"
+    )
+    texts, got = host_pages(spark, page)
+    assert got == {i: f"{a}\n{b}" for i, (a, b) in enumerate(texts)}
+    assert html_extraction.extract(page(0, *texts[0])) != got[0]  # one page alone can't tell
+
+
+def test_second_layout_and_varying_boxes(spark):
+    """The region is where most varying text is over the host; pages that lack it are read by their own."""
+    page = lambda i, a, b: (
+        f"<div class=z1><div>Visitor {i}</div><div>of today</div></div><div class=z2><h2>{a[:20]}</h2><div><p>{a}</p><p>{b}</p></div></div>" if i % 4 else f"<main><p>{a}</p></main><div class=z1><div>Visitor {i}</div></div>"
+    )
+    texts, got = host_pages(spark, page)
+    assert all(got[i] == (f"{a}\n{b}" if i % 4 else a) for i, (a, b) in enumerate(texts))
+
+
+@pytest.mark.parametrize("part", ["section class='social-policy'", "p id='notice-period'", "div class='ad-hoc-methods'"])
+def test_content_with_listed_words_stays(spark, part):
+    tag = part.split()[0]
+    page = lambda i, a, b: f"<body><nav>n {i}</nav><article><p>{a}</p><{part}>{b}</{tag}></article><footer>f {i}</footer></body>"
+    texts, got = host_pages(spark, page, 12)
+    assert got == {i: f"{a}\n{b}" for i, (a, b) in enumerate(texts)}
+
+
+def test_long_pages_take_seconds():
+    rng = random.Random(17)
+    parts = [prose(rng, 12) for _ in range(36_000)]
+    mixed_page = "<html><body><nav><a>m</a></nav><article>" + "".join(f"<h2>{p}</h2><p>{p}</p><div class='c{i}'><p>{p}</p></div>" if i % 9 == 0 else f"<p>{p}</p>" for i, p in enumerate(parts)) + "</article></body></html>"
+    assert len(mixed_page) > 2_500_000
+    began = time.perf_counter()
+    root = html_extraction.page_tree(mixed_page)
+    slots = html_extraction.slots_of(root)
+    wrapper = html_extraction.Wrapper(json.dumps(html_extraction.outline(slots)), {}, set())
+    assert len(wrapper.blocks(root)) > 36_000 and len(html_extraction.extract(mixed_page).split("\n")) > 36_000
+    assert time.perf_counter() - began < 60
+
+
+def test_pages_without_id_or_html(spark):
+    df = spark.createDataFrame([(None, "http://a.b/", "<p>x</p>"), (None, None, None), (3, "http://a.b/", None)], "page_id long, url string, html string")
+    assert sorted((r["page_id"] or 0, r["text"]) for r in html_extraction.extract_pages(df).collect()) == [(0, ""), (0, "x"), (3, "")]
+
+
 # 4
 
 
