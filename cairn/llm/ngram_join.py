@@ -10,13 +10,15 @@ of their rows are counted in BLOCKS blocks of columns, which are added up by pai
 
 Scale: only components are asked for, so that pairs inside a component are never made. Star rounds come first: in
 each column, every row meets one or two hubs, which is linear in the index, and verified links join components. The
-product of all pairs is made across components only, which after the stars are few. Equal rows are indexed once in
+product of all pairs is made across components only, which after the stars are few; star rounds go on while it would
+be large and they make it smaller. Equal rows are indexed once in
 each task; the order's table has a fixed size whatever the corpus. Whether a column is shared is first seen within a
 task, so that of the rows of a frequent column one for each FLUSH_ROWS meets the others' in one task.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,8 +44,13 @@ BLOCKS = 4
 #: Rows of the index that a task compares before it passes them on, and classes that it remembers at once.
 FLUSH_ROWS = 1 << 19
 REMEMBERED = 1 << 20
-#: For each star round, into how many classes (a power of two) columns fall whose hubs differ, and the noise in choosing.
-STAR_ROUNDS = ((1, 1), (4, 16))
+#: In star rounds after the first, into how many classes (a power of two) columns fall whose hubs differ, and the noise in choosing.
+STAR_CLASSES, STAR_NOISE = 4, 16
+#: Star rounds go on while the product would meet more pairs than so many for each row of the index, and they help.
+WORK_PER_ROW = 8
+HELP = 0.8
+#: Rows of two numbers that are broadcast at most; more are joined.
+FEW = 1 << 20
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -210,8 +217,18 @@ def possible(shared: Column, a: Column, b: Column, threshold: int) -> Column:
     return shared + F.greatest(rest(a, threshold), rest(b, threshold)) >= needed(a, b, threshold)
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """A table of keys for a join, broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def keys_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b), those whose overlap in the index leaves a link possible, with their sizes na and nb."""
+    sketches = sketches.join(sent(materialize(keys_in(pairs), "pair-keys")), "key", "left_semi")
     left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return joined.where(possible(F.col("shared"), F.col("na"), F.col("nb"), threshold)).select("a", "b", "na", "nb")
@@ -220,28 +237,32 @@ def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose full rows link: their overlaps are added up over blocks of columns."""
     pairs = materialize(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = materialize(classes.join(keys, "key").select(F.col("rep").alias("doc_id")), "asked")
+    keys = materialize(keys_in(pairs), "keys")
+    asked = materialize(classes.join(sent(keys), "key").select(F.col("rep").alias("doc_id")), "asked")
     rows = materialize(full_rows(texts, asked, width), "rows")
-    distinct = rows.join(keys, "key", "left_semi").dropDuplicates(["key", "block"])
+    distinct = rows.join(sent(keys), "key", "left_semi").dropDuplicates(["key", "block"])
     left, right = distinct.toDF("a", "block", "ta"), distinct.toDF("b", "block", "tb")
     product = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
     overlaps = product.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     links = materialize(overlaps.where(f"100 * both >= {threshold} * (na + nb - both)").select("a", "b"), "verified")
-    release(pairs, asked, rows)
+    release(pairs, keys, asked, rows)
     return links
 
 
-def labelled(index: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The index's rows with their component, in columns that still hold two of them, and the table that they come from."""
-    if links is None:
-        return index.withColumn("component", F.col("key")), index
+def labelled(index: DataFrame, links: DataFrame) -> DataFrame:
+    """The index's rows with their component."""
     joined = components(links)
-    named = index.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = index.join(sent(joined.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "labelled")
     release(joined)
-    split = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return named.join(split.select("token"), "token", "left_semi"), named
+    return named
+
+
+def split_columns(rows: DataFrame) -> DataFrame:
+    """The columns that hold two components or more: token, main (the largest), and the work of a product of all others with all."""
+    counts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+    columns = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("top"), F.count("*").alias("parts"))
+    return columns.where("parts > 1").select("token", "main", ((F.col("n") - F.col("top")) * F.col("n")).alias("work"))
 
 
 def first_in_common(n: Column, at: Column, m: Column, there: Column, threshold: int) -> Column:
@@ -249,31 +270,32 @@ def first_in_common(n: Column, at: Column, m: Column, there: Column, threshold:
     return sizes_allow(n, m, threshold) & (F.least(n - at, m - there) + 1 >= needed(n, m, threshold))
 
 
-def star_pairs(rows: DataFrame, salt: int, classes: int, noise: int, threshold: int) -> DataFrame:
+def star_pairs(rows: DataFrame, salt: int, threshold: int) -> DataFrame:
     """Each row with its column's two hubs: a central row, and any other one.
 
     Edited copies have columns of their own, which are rare and so come first: the row in which a column comes earliest
     is the one that is most like all others. Noise and classes vary the choice from round to round.
     """
-    order = F.xxhash64("key", F.lit(salt), F.col("token").bitwiseAND(F.lit(classes - 1).cast("long")))
-    central = F.struct((F.col("at") + F.pmod(order, F.lit(noise))).alias("rank"), order.alias("order"), "key", "n", "at", "component")
-    other = F.struct(F.lit(0).cast("long").alias("rank"), order.alias("order"), "key", "n", "at", "component")
-    hubs = rows.groupBy("token").agg(F.array(F.min(central), F.max(other)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
-    met = rows.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
+    order, rank = F.col("key"), F.col("at")
+    if salt:
+        order = F.xxhash64("key", F.lit(salt), F.col("token").bitwiseAND(F.lit(STAR_CLASSES - 1).cast("long")))
+        rank = rank + F.pmod(order, F.lit(STAR_NOISE))
+    row = ["key", "n", "at", *(["component"] if salt else [])]
+    hubs = rows.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), order.alias("order"), *row)).alias("central"), F.max(F.struct(order.alias("order"), *row)).alias("other"))
+    hubs = hubs.select("token", F.explode(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in row]) for h in ("central", "other")])).alias("hub"))
+    met = rows.join(hubs, "token").where(F.col("component") != F.col("hub.component") if salt else F.col("key") != F.col("hub.key"))
     met = met.where(first_in_common(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), threshold))
     return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
-def product_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
     """All pairs across components that a column's positions allow: the first common column of two that link does.
 
     Of two rows in different components one is outside the column's largest component, so those few meet all rows.
     """
-    counts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
-    main = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    few = rows.join(main, "token").where("component <> main")
-    x = few.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
-    y = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    split = rows.join(columns.select("token", "main"), "token")
+    x = split.where("component <> main").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    y = split.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
     met = x.join(y, "token").where("ca <> cb").where(first_in_common(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -295,13 +317,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     index = texts.where("doc_id is not null and text is not null").mapInArrow(prefixes(width, threshold, counters), "token long, key long, n long, at long, salt int, shared boolean")
     index = materialize(shared_columns(index), "index")
     sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches")
-    links: list[DataFrame] = []
-    made = [*[lambda r, s=s, n=n, noise=noise: star_pairs(r, s, n, noise, threshold) for s, (n, noise) in enumerate(STAR_ROUNDS)], lambda r: product_pairs(r, threshold)]
-    for pairs in made:
-        named, table = labelled(index, reduce(DataFrame.union, links) if links else None)
-        links.append(verified(bounded(pairs(named), sketches, threshold), texts, classes, width, threshold))
-        if links[1:]:
-            release(table)
+    check = lambda pairs: verified(bounded(materialize(pairs, "candidates"), sketches, threshold), texts, classes, width, threshold)
+    links, before, n_rows = [check(star_pairs(index, 0, threshold))], None, index.count()
+    for salt in itertools.count(1):
+        named = labelled(index, reduce(DataFrame.union, links))
+        columns = materialize(split_columns(named), "columns")
+        work = columns.agg(F.sum("work")).first()[0] or 0
+        last = work <= WORK_PER_ROW * n_rows or before is not None and work > HELP * before
+        links.append(check(product_pairs(named, columns, threshold) if last else star_pairs(named, salt, threshold)))
+        before = work
+        release(named, columns)
+        if last:
+            break
     joined = components(reduce(DataFrame.union, links))
     named = joined.withColumnRenamed("node", "key")
     ids = classes.join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
