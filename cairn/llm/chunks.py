@@ -21,7 +21,7 @@ def chunked(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
         def flushed() -> pa.RecordBatch:
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as stream:
                 for part in parts:
                     stream.write_batch(part)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
@@ -63,3 +63,22 @@ def shard_edges(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
     """Where each shard's part of sorted hashes begins, and the end; a shard is the first bits of a hash."""
     firsts = np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits) if shard_bits else np.zeros(1, dtype=np.uint64)
     return np.append(np.searchsorted(hashes, firsts), len(hashes))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences of two to four bytes, whichever are shortest; the largest number adds itself and goes on."""
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    width, most, more = min(((w, (1 << (8 * w)) - 1, steps // ((1 << (8 * w)) - 1)) for w in (2, 3, 4)), key=lambda x: x[0] * (len(steps) + int(x[2].sum())))
+    out = np.full(len(steps) + int(more.sum()), most, dtype="<u4")
+    out[np.cumsum(more + 1) - 1] = steps - more * most
+    return bytes([width]) + out.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What packed() was given, as 64-bit integers."""
+    width = data[0]
+    raw = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, width)
+    steps = np.zeros((len(raw), 4), dtype=np.uint8)
+    steps[:, :width] = raw
+    steps = steps.view("<u4").ravel().astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64)[steps != (1 << (8 * width)) - 1]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, joined, rows_of
+from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, joined, packed, rows_of, unpacked
 from cairn.llm.common import materialize, pieces
 from cairn.llm.text_arrays import mixed, raw_texts, word_hashes
 
@@ -54,7 +54,9 @@ _START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _FIRST, _SECOND, _LEVEL = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
 _THIRD = np.uint64(0x2545F4914F6CDD1D)
 WORD, GRAM = 1, 2
-LOW = np.uint64(0xFFFFFFFF)
+#: Bits of an n-gram's key in its shard: as shards don't grow, about one n-gram in 200 shares a key with another.
+KEY_BITS = 28
+LOW = np.uint64((1 << KEY_BITS) - 1)
 
 
 def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -95,13 +97,25 @@ def most_count(levels: np.ndarray) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
-    """The shard and, in the low 32 bits, the n-gram's key inside it; in the order of the hashes."""
-    return hashes >> np.uint64(32 - shard_bits)
+    """The shard and, in the low KEY_BITS bits, the n-gram's key inside it; in the order of the hashes."""
+    return hashes >> np.uint64(64 - KEY_BITS - shard_bits)
 
 
 def shard_edges(keys: np.ndarray, shard_bits: int) -> np.ndarray:
     """Where each shard's part of sorted keys begins, and the end."""
-    return np.searchsorted(keys, np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(32))
+    return np.searchsorted(keys, np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+
+
+def packed_keys(keys: np.ndarray, edges: np.ndarray, shards: np.ndarray) -> pa.Array:
+    """The keys of shards, packed; keys are sorted and edges are theirs."""
+    own = keys & LOW
+    return pa.array([packed(own[edges[s] : edges[s + 1]]) for s in shards.tolist()], pa.binary())
+
+
+def unpacked_keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a column of packed ones, and where those of each row begin, and the end."""
+    parts = [unpacked(x) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
 
 
 def first_level(levels: np.ndarray, slice_bits: int) -> int:
@@ -164,12 +178,13 @@ def counted(shard_bits: int):
 
     def flushed(parts: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for kind, arrays in parts.items():
-            hashes, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            edges = shard_edges(keys_of(hashes, shard_bits), shard_bits)
+            keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
+            edges = shard_edges(keys_of(keys, shard_bits) if kind == WORD else keys, shard_bits)
             found = np.flatnonzero(np.diff(edges))
-            hashes = hashes if kind == WORD else (keys_of(hashes, shard_bits) & LOW).astype(np.uint32)
-            packed = [cut(values, edges).take(pa.array(found)) for values in (hashes, counts.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), *packed], names=["kind", "shard", "keys", "counts"])
+            own = cut(keys, edges).take(pa.array(found)) if kind == WORD else packed_keys(keys, edges, found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), own, cut(counts.astype(np.uint32), edges).take(pa.array(found))], names=["kind", "shard", "keys", "counts"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = {WORD: [], GRAM: []}, 0
@@ -178,7 +193,7 @@ def counted(shard_bits: int):
                 tokens, before, _ = with_ends(hashes, counts)
                 pairs, triples = gram_hashes(before, tokens)
                 parts[WORD].append(tokens)
-                parts[GRAM] += [pairs, triples[before != _START]]
+                parts[GRAM] += [keys_of(pairs, shard_bits), keys_of(triples[before != _START], shard_bits)]
                 held += len(tokens)
                 if held >= FLUSH_TOKENS:
                     yield from flushed(parts)
@@ -189,9 +204,9 @@ def counted(shard_bits: int):
     return run
 
 
-def added(part: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def added(keys: np.ndarray, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
-    keys, counts = joined(part["keys"], kind)[0], joined(part["counts"], np.uint32)[0].astype(np.int64)
+    counts = joined(part["counts"], np.uint32)[0].astype(np.int64)
     if not len(keys):
         return keys, counts
     order = np.argsort(keys, kind="stable")
@@ -205,11 +220,12 @@ def merged(fill: float):
 
     def run(group: pa.Table) -> pa.Table:
         kinds = group["kind"].to_numpy()
-        words, times = added(group.filter(pa.array(kinds == WORD)), np.uint64)
-        keys, counts = added(group.filter(pa.array(kinds == GRAM)), np.uint32)
+        of_words, of_grams = (group.filter(pa.array(kinds == kind)) for kind in (WORD, GRAM))
+        words, times = added(joined(of_words["keys"], np.uint64)[0], of_words)
+        keys, counts = added(unpacked_keys(of_grams["keys"])[0], of_grams)
         levels = level_of(counts)
         flags = np.zeros(bits_for(levels, fill), dtype=bool)
-        Filter(flags, 0, len(flags)).add(flags, keys.astype(np.uint64), levels)
+        Filter(flags, 0, len(flags)).add(flags, keys, levels)
         return pa.table({"shard": group["shard"][:1], "slice": pa.array([np.packbits(flags).tobytes()]), "hashes": pa.array([words.view(np.int64)]), "counts": pa.array([times])})
 
     return run
@@ -268,9 +284,9 @@ def asked(head, shard_bits: int):
                 grams, words = np.unique(keys_of(read["grams"], shard_bits)), read["words"][read["missing"]]
                 of_grams, of_words = shard_edges(grams, shard_bits), shard_edges(keys_of(words, shard_bits), shard_bits)
                 found = np.flatnonzero((np.diff(of_grams) > 0) | (np.diff(of_words) > 0))
-                packed = [cut((grams & LOW).astype(np.uint32), of_grams), cut(words, of_words)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(found), pa.int64()), pa.array(found.astype(np.int32)), *[p.take(pa.array(found)) for p in packed]], names=["chunk", "shard", "grams", "words"]
+                    [pa.array([chunk] * len(found), pa.int64()), pa.array(found.astype(np.int32)), packed_keys(grams, of_grams, found), cut(words, of_words).take(pa.array(found))],
+                    names=["chunk", "shard", "grams", "words"],
                 )
 
     return run
@@ -278,14 +294,14 @@ def asked(head, shard_bits: int):
 
 def answered(asking: pa.Table, shards: pa.Table) -> pa.Table:
     """For applyInArrow over one shard: levels of the n-grams and exact counts of the words that chunks ask for, 0 if unseen."""
-    grams, of_grams = joined(asking["grams"], np.uint32)
+    grams, of_grams = unpacked_keys(asking["grams"])
     words, of_words = joined(asking["words"], np.int64)
     levels, counts = np.zeros(len(grams), dtype=np.uint8), np.zeros(len(words), dtype=np.int64)
     if shards.num_rows and asking.num_rows:
         bits = np.frombuffer(shards["slice"][0].as_py(), dtype=np.uint8)
         own = Filter(bits, 0, 8 * len(bits))
         for at in range(0, len(grams), FLUSH_TOKENS):
-            levels[at : at + FLUSH_TOKENS] = own.levels(grams[at : at + FLUSH_TOKENS].astype(np.uint64))
+            levels[at : at + FLUSH_TOKENS] = own.levels(grams[at : at + FLUSH_TOKENS])
         known, times = (shards[c].combine_chunks().flatten().to_numpy() for c in ("hashes", "counts"))
         if len(known):  # in the order of the unsigned hashes
             known, words = known.view(np.uint64), words.view(np.uint64)

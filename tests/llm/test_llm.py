@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import (
+    chunks,
     components,
     html_extraction,
     kneser_ney,
@@ -387,6 +388,14 @@ def test_lm_scores_tell_repeated_texts(spark):
     assert np.mean([x > once[int(0.9 * len(once))] for x in twice]) > 0.9
 
 
+def test_packed_keys():
+    rng = np.random.default_rng(5)
+    for top, n in ((1 << 28, 20_000), (1 << 28, 3), (1 << 28, 1), (300, 200), (1 << 32, 50), (1 << 17, 2), (65536, 2), (65535 * 3 + 1, 1)):
+        keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        for these in (keys, np.append(keys[keys < top - 1], np.uint64(top - 1)), np.array([0, 65535, 131070, 131071], dtype=np.uint64)):
+            assert (chunks.unpacked(chunks.packed(these)) == these).all()
+
+
 def test_filter_counts():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     counts = np.arange(1, 5001)
