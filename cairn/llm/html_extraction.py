@@ -38,6 +38,8 @@ LEAST_PAGES = 8
 ARTICLE_SHARE, DENSE_SHARE = 0.1, 0.7
 #: Bytes of reference trees that are broadcast at most; more are joined.
 BROADCAST_BYTES = 32 << 20
+#: Slots of all hosts together whose numbers of pages are broadcast at most.
+BROADCAST_SLOTS = 200_000
 #: Characters of possible reference pages that a task holds, and references that it holds read.
 HELD_CHARS = 32 << 20
 HELD_REFERENCES = 1_000
@@ -492,7 +494,8 @@ def wrappers(pages: DataFrame, refs: DataFrame, size: int, share: float = CONSTA
     cells = materialize(known.mapInPandas(slot_counts, "host string, node int, text long, page long, n_chars int").distinct(), "slot-counts")
     by_text = cells.groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
     by_node = cells.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    constant = by_text.join(by_node, ["host", "node"]).withColumn("constant", (F.col("pages") >= least) & (F.col("n") >= share * F.col("pages")))
+    by_node = materialize(by_node, "slot-pages")
+    constant = by_text.join(F.broadcast(by_node) if by_node.count() <= BROADCAST_SLOTS else by_node, ["host", "node"]).withColumn("constant", (F.col("pages") >= least) & (F.col("n") >= share * F.col("pages")))
     # Constant texts say nothing about where the content is.
     by_slot = constant.groupBy("host", "node").agg(
         F.sum(F.when(F.col("constant"), 0).otherwise(F.col("n_chars"))).alias("weight"), F.collect_list(F.when(F.col("constant"), F.col("text"))).alias("template")
@@ -500,7 +503,7 @@ def wrappers(pages: DataFrame, refs: DataFrame, size: int, share: float = CONSTA
     enough = cells.select("host", "page").distinct().groupBy("host").count().where(F.col("count") >= least).select("host")
     slots = by_slot.join(enough, "host").groupBy("host").agg(F.collect_list(F.struct("node", "weight", "template")).alias("slots"))
     made = materialize(refs.join(slots, "host"), "wrappers")
-    release(cells)
+    release(cells, by_node)
     return made
 
 
