@@ -677,7 +677,9 @@ def brute_kn(texts, order):
     return p
 
 
-def test_kneser_ney(spark, empty):
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_kneser_ney(spark, empty, monkeypatch, most):
+    monkeypatch.setattr(kneser_ney, "BROADCAST_RUNS", most)  # 0: texts in chunks, answers from shards
     train = ["abra cadabra", "banana band", "a cab and a bar"]
     df = spark.createDataFrame(list(enumerate([*train, "bandana", "xyz", "", None])), "doc_id long, text string").withColumns({"lang": F.lit("en"), "score": F.lit("clash")})
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
@@ -692,6 +694,35 @@ def test_kneser_ney(spark, empty):
     assert kneser_ney.classify(empty, labels).count() == 0
 
 
+def test_kneser_ney_thresholds(spark):
+    """Quantiles of trusted texts that the model has not seen, by language; ties stay, null languages take the overall one."""
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randint(5, 30)) for _ in range(240)] + [" ".join("qzx%d" % rng.randint(0, 99) for _ in range(20)) for _ in range(30)] + [prose(rng, 20_000)]
+    langs = [["en", "de", None, "rare"][i % 4 if i % 16 == 3 or i % 4 != 3 else 0] for i in range(len(texts))]
+    rows = [(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))] + [(None, texts[0], "en"), (5, texts[5], langs[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 240, 2) if langs[i] != "rare"] + [(7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    left_out = {r[0] for r in labels.where("quality = 1 and doc_id is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(kneser_ney.FOLDS)), F.lit(kneser_ney.FOLDS)) == 0).collect()}
+    trusted = [r["doc_id"] for r in labels.where("quality = 1 and doc_id is not null").collect()]
+    assert 10 < len(left_out) < len(trusted) / 2
+    got = kneser_ney.classify(df, labels).collect()
+    assert len(got) == len(rows)
+    p, k = brute_kn([texts[i] for i in sorted(set(trusted) - left_out)], kneser_ney.ORDER), kneser_ney.ORDER
+    for r in got[:4]:
+        t = texts[r["doc_id"] or 0]
+        padded = "\x02" * (k - 1) + t
+        assert r["score"] == pytest.approx(-sum(math.log2(p(padded[j : j + k])) for j in range(len(t))) / len(t), rel=1e-4)
+    score = {r["doc_id"]: r["score"] for r in got}
+    quantile = lambda v: sorted(v)[max(0, math.ceil(kneser_ney.UPPER * len(v)) - 1)]
+    every = quantile([score[i] for i in left_out])
+    for r in got:
+        own = [score[i] for i in left_out if langs[i] == r["lang"] and r["lang"] is not None]
+        want = quantile(own) if own else every
+        assert r["threshold"] == pytest.approx(want) and r["kept"] == (r["score"] <= r["threshold"])
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert len(kept & set(range(240))) > 200 and not kept & set(range(240, 270)) and 270 in kept
+
+
 # 10
 
 
