@@ -10,14 +10,18 @@ KEY, VERSION, CHECKPOINT = "object_id", "object_version", "checkpoint_sequence_n
 
 def latest_version(rows: DataFrame, key: str = KEY, version: str = VERSION) -> DataFrame:
     """The newest version of each object."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    return rows.withColumn("__r", rank).where("__r = 1").drop("__r")
+    return _one_row(rows, key, F.max_by, F.struct(version))
+
+
+def _one_row(rows: DataFrame, key: str, choose, order: Column) -> DataFrame:
+    """An aggregation that tasks begin before the shuffle, so that an object with very many versions is no task of its own."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(choose(F.struct(*rest), order).alias("__r")).select(*[key if c == key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
 
 
 def lowest_version(rows: DataFrame, key: str = KEY, version: str = VERSION, checkpoint: str = CHECKPOINT) -> DataFrame:
     """W4, the first form of the deduplication: the lowest version, of equal ones the newest checkpoint."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.asc(version), F.desc(checkpoint)))
-    return rows.withColumn("__r", rank).where("__r = 1").drop("__r")
+    return _one_row(rows, key, F.min_by, F.struct(F.col(version), -F.col(checkpoint)))
 
 
 def drop_superseded(candidates: DataFrame, newer: DataFrame, key: str = KEY, version: str = VERSION) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.series import same_group
+
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
     """Rows with each range [low, high] that holds ``at``, as an equi-join on cells of ``width``.
@@ -19,16 +21,23 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return rows.withColumn("__cell", cell(at)).join(dealt, "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
 
 
-def asof_version(requests: DataFrame, versions: DataFrame, key: str, at: str, version: str) -> DataFrame:
+def asof_version(requests: DataFrame, versions: DataFrame, key: str, at: str, version: str, width: int = 10_000) -> DataFrame:
     """Each request (key, at) with the greatest version <= at of its key; null columns where there is none.
 
-    One window over the union, so that neither side is multiplied; key and ``at`` name columns of requests.
+    One window over the union, so that neither side is multiplied; key and ``at`` name columns of requests. Windows are
+    cut at each ``width`` of ``at``; the last version before a cut is carried, one row for each cut that holds versions.
     """
     rest = [c for c in versions.columns if c != key]
     packed = versions.select(key, F.col(version).alias("__at"), F.lit(0).alias("__side"), F.struct(*rest).alias("__v"), F.lit(None).cast(requests.select(F.struct(*requests.columns)).dtypes[0][1]).alias("__r"))
     asked = requests.select(key, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(packed.schema["__v"].dataType).alias("__v"), F.struct(*requests.columns).alias("__r"))
-    last = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = packed.unionByName(asked).withColumn("__v", F.last("__v", ignorenulls=True).over(last)).where("__side = 1")
+    cut = F.floor(F.col("__at") / width)
+    per = packed.where("__at is not null").groupBy(key, cut.alias("__b")).agg(F.max_by("__v", "__at").alias("__v"))
+    cells = per.unionByName(asked.select(key, cut.alias("__b")).distinct(), allowMissingColumns=True).groupBy(key, "__b").agg(F.max_by("__v", F.col("__v").isNotNull()).alias("__v"))
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(key, "__b", F.last("__v", ignorenulls=True).over(before).alias("__c"))
+    last = Window.partitionBy(key, "__b").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = packed.unionByName(asked).withColumn("__b", cut).withColumn("__v", F.last("__v", ignorenulls=True).over(last)).where("__side = 1")
+    both = both.alias("x").join(carried.alias("y"), same_group("x", "y", [key, "__b"]), "left").select("x.__r", F.coalesce("x.__v", "y.__c").alias("__v"))
     return both.select("__r.*", *[F.col(f"__v.{c}").alias(c) for c in rest])
 
 

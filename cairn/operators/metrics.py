@@ -111,19 +111,18 @@ def address_metrics(checkpoints: DataFrame, addresses: DataFrame, active: DataFr
     cps = checkpoints.select(F.col(seq).alias("checkpoint"), F.col(epoch).alias("epoch"), F.col(ts).alias("ts"))
     seen = lambda table, name: table.groupBy(F.col("first_appearance_time").alias("ts")).agg(F.count("*").alias(name))
     zero = F.lit(0).cast("long")
+    # An address whose last time is t counts from t on and no more after t + 24 hours.
+    ended = active.groupBy(F.col("last_appearance_time").alias("t")).agg(F.count("*").alias("c"))
+    none = {"checkpoint": F.lit(None).cast("long"), "epoch": F.lit(None).cast("long"), "late": F.lit(0)}
     marks = (
-        seen(addresses, "a").withColumns({"b": zero, "checkpoint": F.lit(None).cast("long"), "epoch": F.lit(None).cast("long"), "late": F.lit(0)})
-        .unionByName(seen(active, "b").withColumns({"a": zero, "checkpoint": F.lit(None).cast("long"), "epoch": F.lit(None).cast("long"), "late": F.lit(0)}))
-        .unionByName(cps.withColumns({"a": zero, "b": zero, "late": F.lit(1)}))
+        seen(addresses, "a").withColumns({"b": zero, "c": zero, **none})
+        .unionByName(seen(active, "b").withColumns({"a": zero, "c": zero, **none}))
+        .unionByName(ended.select(F.col("t").alias("ts"), "c").withColumns({"a": zero, "b": zero, **none}))
+        .unionByName(ended.select((F.col("t") + DAY_MS + 1).alias("ts"), (-F.col("c")).alias("c")).withColumns({"a": zero, "b": zero, **none}))
+        .unionByName(cps.withColumns({"a": zero, "b": zero, "c": zero, "late": F.lit(1)}))
     )
-    summed = running_sums(marks, ["ts", "late", "checkpoint"], {"cumulative_addresses": "a", "cumulative_active_addresses": "b"}, F.floor(F.col("ts") / DAY_MS))
-    totals = summed.where("late = 1").select("checkpoint", "epoch", "ts", "cumulative_addresses", "cumulative_active_addresses")
-    day = F.floor(F.col("last_appearance_time") / DAY_MS)
-    ends = active.groupBy("last_appearance_time").agg(F.count("*").alias("n")).withColumn("day", F.explode(F.array(day, day + 1)))
-    daily = totals.select("checkpoint", "ts", F.floor(F.col("ts") / DAY_MS).alias("day")).join(ends, "day")
-    daily = daily.where((F.col("last_appearance_time") <= F.col("ts")) & (F.col("last_appearance_time") >= F.col("ts") - DAY_MS))
-    counted = daily.groupBy("checkpoint").agg(F.sum("n").alias("daily_active_addresses"))
-    return totals.join(counted, "checkpoint", "left").withColumn("daily_active_addresses", F.coalesce("daily_active_addresses", zero))
+    summed = running_sums(marks, ["ts", "late", "checkpoint"], {"cumulative_addresses": "a", "cumulative_active_addresses": "b", "daily_active_addresses": "c"}, F.floor(F.col("ts") / DAY_MS))
+    return summed.where("late = 1").select("checkpoint", "epoch", "ts", "cumulative_addresses", "cumulative_active_addresses", "daily_active_addresses")
 
 
 def last_of_epoch(metrics: DataFrame, epoch: str = "epoch", order: str = "checkpoint") -> DataFrame:

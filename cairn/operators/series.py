@@ -6,6 +6,8 @@ each bucket, and one row for each bucket that carries what the buckets before it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,39 @@ def previous(rows: DataFrame, order: str, column: str, name: str, bucket: Column
     out = cut.join(per, "__b")
     value = F.when(F.row_number().over(at) == 1, F.col("__before")).otherwise(F.lag(column).over(at))
     return out.withColumn(name, value).select(*rows.columns, name)
+
+
+def magnitude(value: Column, per_octave: int = 16) -> Column:
+    """A bucket of a number that never decreases with it: so many for each doubling. Nulls come first, NaN last."""
+    size = F.floor(F.log2(F.abs(value).cast("double") + 1) * per_octave)
+    bucket = F.when(F.isnan(value.cast("double")), F.lit(1 << 40)).otherwise(F.signum(value.cast("double")).cast("long") * size)
+    return F.coalesce(bucket, F.lit(-(1 << 40))).cast("long")
+
+
+def same_group(a: str, b: str, by: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
+
+
+def running_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, c (rows of the value), upto (rows of the group up to it) and n (rows of the group), a row for each value.
+
+    A hot group is cut by magnitude, so that no task holds all its values in order.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("c")).withColumn("__b", magnitude(F.col(value)))
+    group = Window.partitionBy(*by)
+    per = counts.groupBy(*by, "__b").agg(F.sum("c").alias("__t"))  # a few rows for each group
+    per = per.select(*by, "__b", F.sum("__t").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__o"), F.sum("__t").over(group).alias("n"))
+    inside = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.alias("x").join(per.alias("y"), same_group("x", "y", [*by, "__b"]))
+    out = out.select(*[F.col(f"x.{c}").alias(c) for c in [*by, "__b", value, "c"]], "__o", "n")
+    return out.select(*by, value, "c", (F.coalesce("__o", F.lit(0)) + F.sum("c").over(inside)).alias("upto"), "n")
+
+
+def row_numbers(rows: DataFrame, by: list[str], order: list[str], name: str, per_octave: int = 64) -> DataFrame:
+    """rows with their number from 0 in each group, in an order whose first column is a number; hot groups are cut by its magnitude."""
+    cut = rows.withColumn("__b", magnitude(F.col(order[0]), per_octave))
+    per = cut.groupBy(*by, "__b").agg(F.count("*").alias("__t"))
+    per = per.select(*by, "__b", F.sum("__t").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__o"))
+    out = cut.alias("x").join(per.alias("y"), same_group("x", "y", [*by, "__b"])).select("x.*", "y.__o")
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))
+    return out.withColumn(name, (F.coalesce("__o", F.lit(0)) + inside - 1).cast("long")).select(*rows.columns, name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.series import magnitude, running_sums
+
 QUORUM, VALIDITY, TOTAL = 6_667, 3_334, 10_000
 EPOCHS_A_YEAR = 365
 
@@ -81,12 +83,11 @@ def plurality(tally: DataFrame, committee: DataFrame, item: str = "item", stake:
 def low_scores(committee: DataFrame, scores: DataFrame, percent: int, authority: str = "authority", stake: str = "stake", score: str = "score") -> DataFrame:
     """Authorities from the lowest score up while their running stake is at most percent of the total, in integers.
 
-    A committee is small by its nature, so one window may hold it. Ties of scores go by authority.
+    Ties of scores go by authority.
     """
     rows = committee.join(scores, authority)
-    running = F.sum(stake).over(Window.orderBy(score, authority).rowsBetween(Window.unboundedPreceding, 0))
-    total = rows.agg(F.sum(stake).alias("__total"))
-    return rows.withColumn("running_stake", running).crossJoin(total).where(F.col("running_stake") <= F.floor(F.col("__total") * percent / 100)).select(authority, score, "running_stake")
+    total = F.broadcast(rows.agg(F.sum(stake).alias("__total")))  # one row
+    return running_sums(rows, [score, authority], {"running_stake": stake}, magnitude(F.col(score))).crossJoin(total).where(F.col("running_stake") <= F.floor(F.col("__total") * percent / 100)).select(authority, score, "running_stake")
 
 
 def mul_div(x: Column, y: Column, z: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.series import row_numbers, running_counts, same_group
+
 
 def percentile_rank(n: Column, per_mille) -> Column:
     """The 0-based index of a percentile in a sorted list of n."""
@@ -19,22 +21,25 @@ def percentile_label(per_mille: int) -> str:
 def exact_percentiles(samples: DataFrame, label: str, point: str, per_mille: tuple[int, ...] = (500, 950, 990), order_bits: int = 64) -> DataFrame:
     """For each label sorted[n * p / 1000] for each p, and sum and count.
 
-    Equal points are counted first; ranks are running counts over distinct points, so a hot label costs no more than
-    the points it can have.
+    Equal points are counted first; ranks are running counts over distinct points, cut by magnitude in a hot label.
     """
-    counts = samples.groupBy(label, point).agg(F.count("*").alias("c"))
-    ranked = counts.withColumns({
-        "upto": F.sum("c").over(Window.partitionBy(label).orderBy(point).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy(label)),
-    })
+    ranked = running_counts(samples, [label], point)
     hit = lambda p: F.min(F.when(F.col("upto") > F.least(percentile_rank(F.col("n"), p), F.col("n") - 1), F.col(point)))
     return ranked.groupBy(label).agg(*[hit(p).alias(f"p{percentile_label(p).replace('.', '_')}") for p in per_mille], F.sum(F.col(point) * F.col("c")).alias("sum"), F.sum("c").alias("count"))
 
 
 def merged_stats(runs: DataFrame, by: list[str], latency: str, counters: list[str], percentiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Counters added up, and exact percentiles, least and largest latency."""
-    return runs.groupBy(*by).agg(
-        *[F.sum(c).alias(c) for c in counters], F.percentile(latency, F.array(*[F.lit(p) for p in percentiles])).alias("percentiles"), F.min(latency).alias("min_latency"), F.max(latency).alias("max_latency")
-    )
+    """Counters added up, and exact percentiles (between two neighbours in proportion), least and largest latency."""
+    sums = runs.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counters], F.min(latency).alias("min_latency"), F.max(latency).alias("max_latency"))
+    ranked = running_counts(runs.where(F.col(latency).isNotNull()), by, latency)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(latency))).cast("double")
+    place = lambda p: (F.col("n") - 1) * p
+    ends = [x for i, p in enumerate(percentiles) for x in (at(F.floor(place(p))).alias(f"__l{i}"), at(F.ceil(place(p))).alias(f"__h{i}"), F.max(place(p)).alias(f"__p{i}"))]
+    low, high, pos = (lambda i, k=k: F.col(f"__{k}{i}") for k in "lhp")
+    between = [F.when(low(i) == high(i), low(i)).otherwise((F.ceil(pos(i)) - pos(i)) * low(i) + (pos(i) - F.floor(pos(i))) * high(i)) for i in range(len(percentiles))]
+    marks = ranked.groupBy(*by).agg(*ends).select(*by, F.array(*between).alias("percentiles"))
+    out = sums.alias("x").join(marks.alias("y"), same_group("x", "y", by), "left").select("x.*", "y.percentiles")
+    return out.select(*by, *counters, "percentiles", "min_latency", "max_latency")
 
 
 def compare_runs(old: DataFrame, new: DataFrame, metric: str = "metric", value: str = "value", integers: tuple[str, ...] = ("tps", "error_rate")) -> DataFrame:
@@ -129,8 +134,10 @@ def upper_median(values: DataFrame, oracle: str, ts: str, value: str, order: lis
     latest = values.groupBy(*by, oracle).agg(F.max_by(F.struct(ts, value), F.struct(*order)).alias("v")).select(*by, f"v.{ts}", f"v.{value}")
     newest = latest.groupBy(*by).agg(F.max(ts).alias("__newest"))
     fresh = latest.join(newest, by).where(F.col(ts) > F.col("__newest") - window)
-    sorted_ = F.array_sort(F.collect_list(value))
-    return fresh.groupBy(*by).agg(F.count("*").alias("oracles"), sorted_.alias("__s")).select(*by, "oracles", F.when(F.col("oracles") >= threshold, F.get("__s", F.floor(F.size("__s") / 2).cast("int"))).alias("median"))
+    ranked = running_counts(fresh.where(F.col(value).isNotNull()), by, value)
+    middle = ranked.groupBy(*by).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("__m"))
+    counted = fresh.groupBy(*by).agg(F.count("*").alias("oracles")).alias("x").join(middle.alias("y"), same_group("x", "y", by), "left").select("x.*", "y.__m")
+    return counted.select(*by, "oracles", F.when(F.col("oracles") >= threshold, F.col("__m")).alias("median"))
 
 
 def latest_values(submissions: DataFrame, ticker: str, seq: str, value: str, key: str | None = None) -> DataFrame:
@@ -139,6 +146,8 @@ def latest_values(submissions: DataFrame, ticker: str, seq: str, value: str, key
     return submissions.groupBy(*by).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq))
 
 
-def submission_numbers(submissions: DataFrame, ticker: str, order: list[str]) -> DataFrame:
-    """0-based sequence numbers by ticker."""
+def submission_numbers(submissions: DataFrame, ticker: str, order: list[str], few_tickers: bool = False) -> DataFrame:
+    """0-based sequence numbers by ticker; of few tickers with very many submissions each if the first of order is a number."""
+    if few_tickers:
+        return row_numbers(submissions, [ticker], order, "sequence")
     return submissions.withColumn("sequence", F.row_number().over(Window.partitionBy(ticker).orderBy(*order)) - 1)

@@ -207,8 +207,8 @@ def _(t):
 @query("t7_histogram_families", "SELECT event_type AS name, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1")
 def _(t):
     kind = F.when(F.col("user_id") % 3 == 0, "histogram").otherwise("gauge")
-    families = t.events.groupBy(F.col("event_type").alias("name"), kind.alias("type")).agg(F.collect_list("value").alias("samples"))
-    return tel.histograms_only(families).select("name", F.size("samples").cast("long").alias("n"))
+    families = t.events.groupBy("user_id", F.col("event_type").alias("name"), kind.alias("type")).agg(F.collect_list("value").alias("samples"))  # one user's samples each
+    return tel.histograms_only(families).groupBy("name").agg(F.sum(F.size("samples")).alias("n"))
 
 
 @query("a24_upper_median", """WITH l AS (SELECT event_type AS ticker, user_id, arg_max(struct_pack(t := CAST(epoch_us(ts) // 1000 AS BIGINT), v := event_id), event_id) AS x FROM events GROUP BY ALL),
@@ -226,7 +226,7 @@ def _(t):
 
 @query("w11_submission_numbers", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS sequence FROM events")
 def _(t):
-    return tel.submission_numbers(t.events.select("event_id", "event_type"), "event_type", ["event_id"])
+    return tel.submission_numbers(t.events.select("event_id", "event_type"), "event_type", ["event_id"], few_tickers=True)
 
 
 @query("w5_event_index", "SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS event_index FROM lineitem")
