@@ -86,6 +86,21 @@ def relative_time(text: str, now: int) -> int:
     return int(datetime.fromisoformat(text).replace(tzinfo=UTC).timestamp())
 
 
+def power(x: Column, n) -> Column:
+    """X to the power of n, as a double."""
+    return F.pow(x.cast("double"), F.lit(n) if not isinstance(n, Column) else n)
+
+
+def rounded(x: Column) -> Column:
+    """The nearest integer, halves away from zero."""
+    return F.round(x).cast("long")
+
+
+def root(x: Column) -> Column:
+    """The square root; null below zero."""
+    return F.when(x >= 0, F.sqrt(x.cast("double")))
+
+
 def checked_add(a: Column, b: Column) -> Column:
     """X11: raises on overflow in ANSI mode."""
     return a + b

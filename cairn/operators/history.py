@@ -64,6 +64,11 @@ def snapshot_due(latest: int, start: int, least: int = 300, most: int = 900) ->
     return start + (most - least) if latest > start + most else None
 
 
+def fold_point(latest: Column, start: int, least: int = 300, most: int = 900) -> Column:
+    """T11 for a column of latest checkpoints: what snapshot_due() gives for each."""
+    return F.when(latest > start + most, F.lit(start + (most - least)))
+
+
 def consistent_range(available: tuple[int, int], viewed_at: int | None = None) -> tuple[int, int] | None:
     """The range to read at viewed_at, or None if that is not available."""
     lhs, rhs = available

@@ -47,6 +47,14 @@ def _(t):
     return s.estimated_stakes(t.fx_stake, t.fx_rate, 29)
 
 
+@query("a18_stakes_by_pool", f"WITH {RATED} SELECT pool_id, count(*) AS stakes, string_agg(CAST(stake_id AS VARCHAR), ',' ORDER BY stake_id) AS ids, CAST(sum(principal) AS BIGINT) AS principal, CAST(coalesce(sum(estimated_reward), 0) AS BIGINT) AS reward FROM e GROUP BY 1")
+def _(t):
+    pools = s.delegated_stakes(t.fx_stake, t.fx_rate, 29, ["pool_id"])
+    total = lambda c: F.aggregate("stakes", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
+    ids = F.array_join(F.transform("stakes", lambda x: x["stake_id"].cast("string")), ",")
+    return pools.select("pool_id", F.size("stakes").cast("long").alias("stakes"), ids.alias("ids"), total("principal").alias("principal"), total("estimated_reward").alias("reward"))
+
+
 @query("a19_sub_balances", f"""WITH {RATED} SELECT 'Stake' AS kind, CAST(coalesce(sum(principal) FILTER (status = 'Active'), 0) AS BIGINT) AS value FROM e
   UNION ALL SELECT 'PendingStake', CAST(coalesce(sum(principal) FILTER (status = 'Pending'), 0) AS BIGINT) FROM e UNION ALL SELECT 'EstimatedReward', CAST(coalesce(sum(estimated_reward), 0) AS BIGINT) FROM e""")
 def _(t):
@@ -151,9 +159,9 @@ def _(t):
     return tel.range_average(t.fx_sample, "ts_ms", "point", 1_704_067_200_000, 1_705_067_200_000, 3).select(F.round("average", 6).alias("average"))
 
 
-@query("j11_log_correlation", "SELECT l_partkey * 10 + l_linenumber AS sample, o_custkey + 100 - l_suppkey AS latency FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 1) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'")
+@query("j11_log_correlation", "SELECT l_partkey * 10 + l_linenumber AS sample, o_custkey + 100 - l_suppkey AS latency FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey, l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'")
 def _(t):
-    li = t.lineitem.where("l_linenumber = 1").select("l_partkey", "l_linenumber", "l_suppkey", "l_orderkey").distinct().withColumn("sample", F.concat_ws(":", "l_partkey", "l_linenumber", "l_suppkey", "l_orderkey"))
+    li = t.lineitem.select("l_partkey", "l_linenumber", "l_suppkey", "l_orderkey").distinct().withColumn("sample", F.concat_ws(":", "l_partkey", "l_linenumber", "l_suppkey", "l_orderkey"))
     commits = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("batch"), (F.col("o_custkey") + 100).alias("committed_at"))
     out = j.chain_latency(li.select("sample", F.col("l_suppkey").alias("sent_at")), li.select("sample", F.col("l_orderkey").alias("batch")), commits)
     key = F.split("sample", ":")
@@ -264,6 +272,20 @@ def _(t):
     return t.orders.select("o_orderkey", out.alias("r")).select("o_orderkey", "r.text", "r.error")
 
 
+@query("x8_relative_time", "SELECT event_id FROM events WHERE CAST(epoch_us(ts) // 1000000 AS BIGINT) >= (SELECT max(CAST(epoch_us(ts) // 1000000 AS BIGINT)) - 36 * 3600 - 1800 FROM events)")
+def _(t):
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    now = t.events.agg(F.max(at)).first()[0]
+    return t.events.where(at >= sc.relative_time("now-36h 30m", now)).select("event_id")
+
+
+@query("x12_power_round_root", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(l_discount + 1, 3), 9) AS cubed, CAST(round(l_extendedprice) AS BIGINT) AS price, round(sqrt(l_quantity), 9) AS root FROM lineitem")
+def _(t):
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(sc.power(F.col("l_discount") + 1, 3), 9).alias("cubed"), sc.rounded(F.col("l_extendedprice")).alias("price"), F.round(sc.root(F.col("l_quantity")), 9).alias("root"),
+    )
+
+
 @query("x10_x11_x18_integers", """SELECT o_orderkey, CAST(CAST(o_orderkey AS HUGEINT) * o_custkey // 7 AS DECIMAL(38,0)) AS mul_div, greatest(o_orderkey - o_custkey * 10, 0) AS saturated, CAST((CAST(o_custkey AS HUGEINT) * 9900 + 5000) // 10000 AS DECIMAL(38,0)) AS rebate FROM orders""")
 def _(t):
     return t.orders.select(

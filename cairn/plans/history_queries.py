@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import history as h
 from cairn.operators import joins as j
+from cairn.operators.metrics import available_range
 from cairn.plans.registry import query
 
 COLUMNS = "object_id, object_version, object_status, checkpoint_sequence_number, owner_type, owner_id, object_type, coin_type, coin_balance"
@@ -55,22 +56,14 @@ def _(t):
     return h.drop_deleted_children(x.where("object_status = 0 and object_version <= 12"), x, 12).drop("object_status")
 
 
-@query("c1_objects_at_consistent", at_sql("object_status = 0 AND owner_id % 10 = 3"))
-def _(t):
-    return h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_id") % 10 == 3), LHS, RHS)
-
-
-@query("c1_objects_at_historical", at_sql("object_status = 0 AND owner_id % 10 = 3", False))
-def _(t):
-    return h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_id") % 10 == 3), LHS, RHS, consistent=False)
-
-
-@query("c1_objects_at_consistent_all")
+@query("c1_objects_at_consistent", at_sql("object_status = 0"))
+@query("c1_objects_at_consistent_all", at_sql("object_status = 0"))
 def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS)
 
 
-@query("c1_objects_at_historical_all")
+@query("c1_objects_at_historical", at_sql("object_status = 0", False))
+@query("c1_objects_at_historical_all", at_sql("object_status = 0", False))
 def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS, consistent=False)
 
@@ -78,10 +71,10 @@ def _(t):
 @query("c2_consistent_range", """SELECT min(v) AS lhs, CAST(1500 AS BIGINT) AS rhs FROM (SELECT max(checkpoint_sequence_number) AS v FROM fx_object_history WHERE checkpoint_sequence_number <= 1200
   UNION ALL SELECT max(checkpoint_sequence_number) FROM fx_object_history) HAVING 1500 BETWEEN min(v) AND max(v)""")
 def _(t):
-    x = t.fx_object_history
-    ends = x.agg(F.max(F.when(F.col("checkpoint_sequence_number") <= LHS, F.col("checkpoint_sequence_number"))).alias("lhs"), F.max("checkpoint_sequence_number").alias("last"))
-    viewed = F.lit(1500).cast("long")
-    return ends.where((F.col("lhs") <= viewed) & (viewed <= F.col("last"))).select("lhs", viewed.alias("rhs"))
+    cps = t.fx_object_history.select("checkpoint_sequence_number")
+    available = available_range(cps.where(F.col("checkpoint_sequence_number") <= LHS), cps, cp="checkpoint_sequence_number")
+    found = h.consistent_range(tuple(available.first()), 1500)
+    return available.where(F.lit(found is not None)).select(*[F.lit(v).cast("long").alias(n) for n, v in zip(("lhs", "rhs"), found or (None, None), strict=True)])
 
 
 COIN = "object_status = 0 AND coin_type = 'A' AND owner_id = 7"
@@ -96,12 +89,11 @@ def _(t):
 BALANCE = "CAST(sum(coin_balance) AS DECIMAL(38,0)) AS balance, count(*) AS coins"
 
 
-@query("a4_balances_at", at_sql("object_status = 0 AND owner_id % 20 = 7", tail=f"SELECT owner_id, coin_type, {BALANCE} FROM found GROUP BY ALL"))
-def _(t):
-    return h.balances(h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_id") % 20 == 7), LHS, RHS), ["owner_id"])
+AT_BALANCES = at_sql("object_status = 0", tail=f"SELECT owner_id, coin_type, {BALANCE} FROM found WHERE coin_type IS NOT NULL GROUP BY ALL")
 
 
-@query("a4_balances_at_all")
+@query("a4_balances_at", AT_BALANCES)
+@query("a4_balances_at_all", AT_BALANCES)
 def _(t):
     return h.balances(h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS), ["owner_id"])
 
@@ -119,13 +111,11 @@ def _(t):
     return h.balance_or_zero(keys, found, ["owner_id", "coin_type"])
 
 
-@query("c4_dynamic_fields_at", at_sql("object_status = 0 AND owner_type = 2 AND owner_id % 5 = 2", tail="SELECT owner_id AS parent, object_id, object_version FROM found"))
-def _(t):
-    children = h.live() & (F.col("owner_type") == 2) & (F.col("owner_id") % 5 == 2)
-    return h.objects_at(snapshot(t), t.fx_object_history, children, LHS, RHS).select(F.col("owner_id").alias("parent"), "object_id", "object_version")
+AT_FIELDS = at_sql("object_status = 0 AND owner_type = 2", tail="SELECT owner_id AS parent, object_id, object_version FROM found")
 
 
-@query("c4_dynamic_fields_at_all")
+@query("c4_dynamic_fields_at", AT_FIELDS)
+@query("c4_dynamic_fields_at_all", AT_FIELDS)
 def _(t):
     found = h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_type") == 2), LHS, RHS)
     return found.select(F.col("owner_id").alias("parent"), "object_id", "object_version")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cairn.operators import filters as f
@@ -228,13 +230,12 @@ def edges_of(li):
     return j.staged_edges(cell(0), cell(1))
 
 
-@query("j17_staged_edges", """SELECT DISTINCT w.l_orderkey AS tx, r.l_orderkey AS depends_on FROM lineitem w JOIN lineitem r ON r.l_partkey = w.l_partkey AND r.l_linenumber = w.l_linenumber - 1
-  WHERE w.l_orderkey <> r.l_orderkey AND w.l_partkey % 50 = 1""")
-def _(t):
-    return edges_of(t.lineitem.where("l_partkey % 50 = 1"))
+EDGES = """SELECT DISTINCT w.l_orderkey AS tx, r.l_orderkey AS depends_on FROM lineitem w JOIN lineitem r ON r.l_partkey = w.l_partkey AND r.l_linenumber = w.l_linenumber - 1
+  WHERE w.l_orderkey <> r.l_orderkey"""
 
 
-@query("j17_staged_edges_all")
+@query("j17_staged_edges", EDGES)
+@query("j17_staged_edges_all", EDGES)
 def _(t):
     return edges_of(t.lineitem)
 
@@ -262,6 +263,13 @@ def _(t):
     return p.keyset_page(t.fx_object_history.where(F.col("checkpoint_sequence_number") <= viewed).select("object_id", "object_version"), ["object_id", "object_version"], 30, cursor[1])
 
 
+@query("l5_limit_policy", "SELECT asked, CASE WHEN asked IS NULL OR asked = 0 OR asked > 50 THEN 50 ELSE asked END AS rows FROM (VALUES (NULL), (0), (7), (50), (1000)) v(asked)")
+def _(t):
+    """The rows that a page has for each limit that is asked for."""
+    page = lambda n: p.keyset_page(t.fx_tx.select("tx_sequence_number"), ["tx_sequence_number"], p.capped_limit(n))
+    return reduce(lambda a, b: a.union(b), [page(n).agg(F.lit(n).cast("int").alias("asked"), F.count("*").alias("rows")) for n in (None, 0, 7, 50, 1000)])
+
+
 @query("l6_top_ten", "SELECT move_package, move_module, count(*) AS n FROM fx_move_call GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 10")
 def _(t):
     return t.fx_move_call.groupBy("move_package", "move_module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "move_package", "move_module").limit(10)
@@ -283,13 +291,12 @@ def positions(tx):
     return per.join(sizes, "checkpoint_sequence_number").select("tx_sequence_number", (F.col("before") + F.col("i")).alias("position"))
 
 
-@query("l8_gas_price_order", """SELECT tx_sequence_number, row_number() OVER (ORDER BY checkpoint_sequence_number, coalesce(price, 18446744073709551615) DESC, tx_sequence_number) AS position
-  FROM (SELECT *, CASE WHEN transaction_kind <> 'error' THEN CAST(gas_price AS HUGEINT) END AS price FROM fx_tx WHERE checkpoint_sequence_number < 50)""")
-def _(t):
-    return positions(t.fx_tx.where("checkpoint_sequence_number < 50"))
+POSITIONS = """SELECT tx_sequence_number, row_number() OVER (ORDER BY checkpoint_sequence_number, coalesce(price, 18446744073709551615) DESC, tx_sequence_number) AS position
+  FROM (SELECT *, CASE WHEN transaction_kind <> 'error' THEN CAST(gas_price AS HUGEINT) END AS price FROM fx_tx)"""
 
 
-@query("l8_gas_price_order_all")
+@query("l8_gas_price_order", POSITIONS)
+@query("l8_gas_price_order_all", POSITIONS)
 def _(t):
     return positions(t.fx_tx)
 

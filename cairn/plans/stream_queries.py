@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators import metrics as m
 from cairn.operators import telemetry as tel
+from cairn.operators.history import fold_point, latest_version
+from cairn.operators.quality import checksum_failures
 from cairn.plans import views
 from cairn.plans.metric_queries import SEEN, SENDERS
 from cairn.plans.registry import Tables, query
@@ -32,6 +34,19 @@ def tx_stream(t: Tables) -> DataFrame:
     return t.spark.sql(views.spark_sql("fx_tx").replace("FROM events", "FROM {events}"), events=event_stream(t))
 
 
+def sample_stream(t: Tables) -> DataFrame:
+    """The view fx_sample over the stream."""
+    return event_stream(t).select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("long").alias("point"))
+
+
+def parted(t: Tables, rows: DataFrame, parts: list[str], name: str) -> str:
+    """A folder with a file for each condition, in this order of time."""
+    path = fresh(t, name)
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def finished(frame: DataFrame, t: Tables, name: str, mode: str = "append") -> DataFrame:
     """The rows that a stream puts out until its source is read."""
     path = fresh(t, name)
@@ -96,8 +111,6 @@ def _(t):
 
 @query("s13_snapshot_round_trip", "SELECT object_id, object_version, owner_id FROM (SELECT * FROM fx_object_history QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY object_version DESC) = 1) WHERE object_status = 0")
 def _(t):
-    from cairn.operators.history import latest_version
-
     path = fresh(t, "s13")
     live = latest_version(t.fx_object_history).where("object_status = 0").select("object_id", "object_version", "owner_id")
     sinks.write_snapshot(live, path, 7, "object_id", 4)
@@ -110,14 +123,13 @@ def dumped(t, part, name):
     return t.spark.read.schema(f"name string, package_id long, package_version {dict(part.dtypes)['p_size']}").json(path)
 
 
-@query("s17_dump_packages", "SELECT p_partkey % 50 AS package_id, p_size AS package_version, p_name AS name FROM part WHERE p_partkey < 300")
-def _(t):
-    return dumped(t, t.part.where("p_partkey < 300"), "s17")
+DUMPED = "SELECT p_partkey % 50 AS package_id, p_size AS package_version, p_name AS name FROM part"
 
 
-@query("s17_dump_packages_all")
+@query("s17_dump_packages", DUMPED)
+@query("s17_dump_packages_all", DUMPED)
 def _(t):
-    return dumped(t, t.part, "s17-all")
+    return dumped(t, t.part, "s17")
 
 
 @query("s18_events_to_json", "SELECT event_id AS id, concat('{\"user_id\":', user_id, ',\"event_type\":\"', event_type, '\"}') AS json FROM events")
@@ -179,12 +191,42 @@ def _(t):
 
 @query("t5_window_stream", "SELECT label, day, CAST(sum(point) AS BIGINT) AS sum, count(*) AS count FROM (SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample) WHERE day < (SELECT max((ts_ms - 300000) // 86400000) FROM fx_sample) GROUP BY ALL")
 def _(t):
-    samples = event_stream(t).select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("long").alias("point"))
-    windows = st.windowed_percentiles(samples, "at", "label", "point", width="1 day")
+    windows = st.windowed_percentiles(sample_stream(t), "at", "label", "point", width="1 day")
     day = F.floor(F.unix_millis("window.start") / 86_400_000)
     return finished(windows, t, "t5").select("label", day.alias("day"), "sum", "count")
 
 
+CEILED = "list_sort(list(point))[greatest(1, CAST(ceil(count(*) * {} / 1000.0) AS BIGINT))]"
+
+
+@query("t5_window_percentiles", f"""SELECT label, day, {CEILED.format(500)} AS p50, {CEILED.format(990)} AS p99 FROM (SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample)
+  WHERE day < (SELECT max((ts_ms - 300000) // 86400000) FROM fx_sample) GROUP BY ALL""")
+def _(t):
+    windows = st.windowed_percentiles(sample_stream(t), "at", "label", "point", (500, 990), "1 day")
+    marks = F.col("percentiles")
+    return finished(windows, t, "t5marks").select("label", F.floor(F.unix_millis("window.start") / 86_400_000).alias("day"), marks[0].alias("p50"), marks[1].alias("p99"))
+
+
+@query("t5_zero_filled", """WITH w AS (SELECT label, ts_ms // 3600000 AS hour, sum(point) AS sum, count(*) AS count FROM fx_sample GROUP BY ALL)
+  SELECT l.label, h.hour, CAST(coalesce(w.sum, 0) AS BIGINT) AS sum, coalesce(w.count, 0) AS count FROM (SELECT DISTINCT label FROM w) l CROSS JOIN (SELECT DISTINCT hour FROM w) h LEFT JOIN w ON w.label = l.label AND w.hour = h.hour""")
+def _(t):
+    hours = t.fx_sample.groupBy("label", F.floor(F.col("ts_ms") / 3_600_000).alias("window")).agg(F.sum("point").alias("sum"), F.count("*").alias("count"))
+    return st.zero_filled(hours, t.fx_sample.select("label").distinct(), "label").withColumnRenamed("window", "hour")
+
+
+@query("t6_late_samples", """WITH x AS (SELECT event_type AS label, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_id % 2 AS odd, event_id % 4 <> 2 AS part FROM events),
+  m AS (SELECT max(ms) FILTER (odd = 1) - 300000 AS first, max(ms) - 300000 AS last FROM x)
+  SELECT label, day, count(*) FILTER (part OR (day + 1) * 86400000 > first) AS count FROM x, m WHERE (day + 1) * 86400000 <= last GROUP BY label, day, first
+  HAVING count(*) FILTER (part OR (day + 1) * 86400000 > first) > 0""")
+def _(t):
+    """Odd events arrive first, and set the mark that the third part is held against: what belongs to closed windows is too late."""
+    path = parted(t, t.events, ["event_id % 2 = 1", "event_id % 4 = 0", "event_id % 4 = 2"], "t6")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    samples = stream.select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"), F.lit(1).cast("long").alias("point"))
+    windows = finished(st.windowed_percentiles(samples, "at", "label", "point", width="1 day"), t, "t6out")
+    return windows.select("label", F.floor(F.unix_millis("window.start") / 86_400_000).alias("day"), "count")
+
+
 @query("t8_after_cursor", """WITH c AS (SELECT 'm' || i AS module, i * 700 AS cursor_tx FROM range(5) r(i)), f AS (SELECT e.module, e.tx_sequence_number AS tx, max(e.tx_sequence_number) OVER (PARTITION BY e.module) AS last
   FROM fx_event e LEFT JOIN c USING (module) WHERE cursor_tx IS NULL OR e.tx_sequence_number > cursor_tx) SELECT module, tx FROM f WHERE tx < last""")
 def _(t):
@@ -199,8 +241,17 @@ def _(t):
     path = fresh(t, "t10")
     aggregate = lambda d: m.first_last_seen(d, "sender", "tx_time_ms", "tx_sequence_number")
     st.rollup_stream(tx_stream(t), aggregate, m.merge_seen, path, fresh(t, "progress")).awaitTermination()
-    rows = aggregate(t.fx_tx)
-    return t.spark.read.schema(rows.schema).parquet(f"{path}/batch=0")
+    return st.latest_rollup(t.spark, path)
+
+
+@query("t10_rollup_of_batches", SEEN.format(SENDERS))
+def _(t):
+    """The same where events arrive in two batches, so that the second is merged."""
+    path, files = fresh(t, "t10"), parted(t, t.events, ["user_id % 3 = 0 and event_id % 2 = 0", "user_id % 3 <> 0 or event_id % 2 <> 0"], "t10files")
+    events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    tx = t.spark.sql(views.spark_sql("fx_tx").replace("FROM events", "FROM {events}"), events=events)
+    st.rollup_stream(tx, lambda d: m.first_last_seen(d, "sender", "tx_time_ms", "tx_sequence_number"), m.merge_seen, path, fresh(t, "progress")).awaitTermination()
+    return st.latest_rollup(t.spark, path)
 
 
 @query("t10_tx_count_stream", """SELECT checkpoint_sequence_number, count(*) AS total_transaction_blocks, count_if(execution_success) AS total_successful_transaction_blocks,
@@ -211,5 +262,64 @@ def _(t):
 
 @query("t11_snapshot_policy", """SELECT epoch, CASE WHEN last_checkpoint_id > 100 + 90 THEN 100 + 60 END AS fold_to FROM fx_epoch""")
 def _(t):
-    due = F.when(F.col("last_checkpoint_id") > 100 + 90, F.lit(100 + 60))
-    return t.fx_epoch.select("epoch", due.alias("fold_to"))
+    return t.fx_epoch.select("epoch", fold_point(F.col("last_checkpoint_id"), 100, 30, 90).alias("fold_to"))
+
+
+RUN = "run AS (SELECT seq FROM (SELECT seq, seq - row_number() OVER (ORDER BY seq) AS gap FROM (SELECT DISTINCT {} AS seq FROM {})) QUALIFY gap = first_value(gap) OVER (ORDER BY seq))"
+
+
+@query("s1_checkpoint_files", f"""WITH f AS (SELECT sequence_number AS seq, epoch FROM fx_checkpoint WHERE sequence_number % 101 <> 100), {RUN.format("seq", "f")} SELECT seq, epoch FROM f WHERE seq IN (SELECT seq FROM run)""")
+def _(t):
+    """Files by number, read from the first one up to the first that is missing."""
+    path, cps = fresh(t, "s1"), t.fx_checkpoint.where("sequence_number % 101 <> 100")
+    summary = F.struct("sequence_number", "epoch", "timestamp_ms")
+    cps.repartition("sequence_number").select(F.col("sequence_number").alias("seq"), summary.alias("summary")).write.partitionBy("seq").json(path)
+    start = cps.agg(F.min("sequence_number")).first()[0]
+    found = src.read_until_gap(src.read_checkpoint_files(t.spark, path, start), start)
+    return found.select(F.col("file_sequence").alias("seq"), "summary.epoch")
+
+
+@query("s7_rolling_cut", """WITH r AS (SELECT epoch, tx_time_ms, row_number() OVER w - 1 AS i, CAST(sum(command_count) OVER w AS BIGINT) - command_count AS bytes, min(tx_time_ms) OVER (PARTITION BY epoch) AS first
+  FROM fx_tx WINDOW w AS (PARTITION BY epoch ORDER BY tx_time_ms, tx_sequence_number ROWS UNBOUNDED PRECEDING))
+  SELECT epoch, i // 40 AS by_rows, (tx_time_ms - first) // 21600000 AS by_age, bytes // 90 AS by_size, count(*) AS n FROM r GROUP BY ALL""")
+def _(t):
+    cut = sinks.rolling_cut(t.fx_tx, "epoch", ["tx_time_ms", "tx_sequence_number"], "tx_time_ms", "command_count", 40, 21_600_000, 90)
+    return cut.groupBy("epoch", "by_rows", "by_age", "by_size").agg(F.count("*").alias("n"))
+
+
+@query("s13_manifest", "SELECT count(DISTINCT object_id) FILTER (object_status = 0) AS objects, CAST(0 AS BIGINT) AS failures FROM (SELECT * FROM fx_object_history QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY object_version DESC) = 1)")
+def _(t):
+    """Every file of a snapshot is in its manifest, and has the manifest's digest."""
+    path = fresh(t, "s13")
+    live = latest_version(t.fx_object_history).where("object_status = 0").select("object_id", "object_version")
+    listed = sinks.write_snapshot(live, path, 7, "object_id", 4)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    failures = checksum_failures(files.select(F.col("path").alias("file"), "content"), listed).agg(F.count("*").alias("failures"))
+    read = t.spark.read.schema("object_id long, object_version long").option("recursiveFileLookup", "true").parquet(path)
+    return read.agg(F.count("*").alias("objects")).crossJoin(failures)  # one row each
+
+
+@query("t4_collectable_inputs", "SELECT sequence_number FROM fx_checkpoint WHERE sequence_number < (SELECT min(m) FROM (SELECT max(checkpoint_sequence_number) - count(*) % 7 AS m FROM fx_tx GROUP BY transaction_kind))")
+def _(t):
+    """Inputs below what all pipelines have passed; a kind of transaction is a pipeline."""
+    progress = t.fx_tx.groupBy(F.col("transaction_kind").alias("pipeline")).agg((F.max("checkpoint_sequence_number") - F.count("*") % 7).alias("watermark"))
+    return src.collectable(t.fx_checkpoint, progress, "sequence_number").select("sequence_number")
+
+
+@query("t4_collected_files", "SELECT sequence_number AS seq FROM fx_checkpoint WHERE sequence_number >= (SELECT CAST(floor(max(sequence_number) / 2) AS BIGINT) FROM fx_checkpoint)")
+def _(t):
+    """What is left of the input files below the slowest pipeline's watermark once they are deleted."""
+    path = fresh(t, "t4")
+    t.fx_checkpoint.repartition("sequence_number").select(F.col("sequence_number").alias("seq"), F.struct("sequence_number", "epoch").alias("summary")).write.partitionBy("seq").json(path)
+    half = t.fx_checkpoint.agg(F.floor(F.max("sequence_number") / 2).alias("watermark"))
+    src.collect_inputs(t.spark, path, half.union(t.fx_checkpoint.agg(F.max("sequence_number"))))
+    return src.read_checkpoint_files(t.spark, path).select(F.col("file_sequence").alias("seq"))
+
+
+@query("d5_handler", "SELECT sender, count(*) AS n FROM fx_tx WHERE execution_success GROUP BY 1")
+def _(t):
+    """A handler that is registered by name and applied to what arrives."""
+    st.handler("successes")(lambda d: d.where("execution_success").select("sender", "tx_sequence_number"))
+    path = fresh(t, "d5")
+    st.flatten_stream(tx_stream(t), {n: st.HANDLERS[n] for n in ("successes",)}, path, fresh(t, "progress")).awaitTermination()
+    return t.spark.read.schema("sender long, tx_sequence_number long, batch long").parquet(f"{path}/successes").groupBy("sender").agg(F.count("*").alias("n"))

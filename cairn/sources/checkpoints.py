@@ -10,8 +10,9 @@ from cairn.plans.schemas import CHECKPOINT
 
 
 def with_sequence(files: DataFrame) -> DataFrame:
-    """The number in each file's name as file_sequence."""
-    return files.withColumn("file_sequence", file_number(F.col("_metadata.file_name")))
+    """The number in each file's name, or else of its folder (seq=12/part-0.json), as file_sequence."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"seq=([0-9]+)/[^/]*$", 1).try_cast("long")
+    return files.withColumn("file_sequence", F.coalesce(folder, file_number(F.col("_metadata.file_name"))))
 
 
 def read_checkpoint_files(spark: SparkSession, path: str, start: int = 0, fmt: str = "json") -> DataFrame:
@@ -28,6 +29,39 @@ def gap_rows(checkpoints: DataFrame, start: int = 0, seq: str = "file_sequence",
     return found.where(F.coalesce("prev", F.lit(start - 1)) != F.col("seq") - 1)
 
 
+def read_until_gap(checkpoints: DataFrame, start: int, seq: str = "file_sequence", bucket: int = 10_000) -> DataFrame:
+    """Checkpoints from start up to the first missing number."""
+    from cairn.operators.quality import contiguous_watermark
+
+    end = F.broadcast(contiguous_watermark(checkpoints.select(F.col(seq).alias("seq")), start, bucket=bucket))  # one row
+    return checkpoints.crossJoin(end).where((F.col(seq) >= start) & (F.col(seq) < F.col("watermark"))).drop("watermark")
+
+
+def read_complete(checkpoints: DataFrame, start: int, seq: str = "file_sequence") -> DataFrame:
+    """Checkpoints from start on; ValueError if a number is missing among them."""
+    gap = gap_rows(checkpoints.where(F.col(seq) >= start), start, seq).first()
+    if gap is not None:
+        raise ValueError(f"no checkpoint before {gap['seq']}, after {gap['prev']}")
+    return checkpoints.where(F.col(seq) >= start)
+
+
+def collectable(inputs: DataFrame, progress: DataFrame, seq: str = "file_sequence", watermark: str = "watermark") -> DataFrame:
+    """T4: the inputs that all pipelines in progress have passed; none while there is no pipeline."""
+    least = F.broadcast(progress.agg(F.min(watermark).alias("__least")))  # one row
+    return inputs.crossJoin(least).where(F.col(seq) < F.col("__least")).drop("__least")
+
+
+def collect_inputs(spark: SparkSession, path: str, progress: DataFrame, watermark: str = "watermark") -> int:
+    """T4: deletes the folders seq=<number> below path that all pipelines have passed; how many those were."""
+    least = progress.agg(F.min(watermark)).first()[0]
+    if least is None:
+        return 0
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("seq=") and int(f.getPath().getName()[4:]) < least]
+    return sum(fs.delete(p, True) for p in old)
+
+
 def stream_checkpoint_files(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None, clean: bool = False, archive: str | None = None) -> DataFrame:
     """The same files as a stream, so many a trigger; read files can be deleted or moved to an archive."""
     reader = spark.readStream.schema(CHECKPOINT).format(fmt)

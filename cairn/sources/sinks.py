@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,20 @@ def write_parquet_table(df: DataFrame, path: str, epoch: str = "epoch", mode: st
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(path)
 
 
+def rolling_cut(rows: DataFrame, epoch: str, order: list[str], ts: str, size: str, most_rows: int, most_ms: int, most_size: int) -> DataFrame:
+    """Rows with by_rows, by_age and by_size, which with the epoch name the file that each goes to.
+
+    Files begin anew at each epoch, each ``most_rows`` rows, each ``most_ms`` after the epoch's first row and each
+    ``most_size`` of size, so that none holds more. An epoch is written by one task, which is what bounds its files.
+    """
+    at = Window.partitionBy(epoch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum(size).over(at) - F.col(size)
+    return rows.withColumns({
+        "by_rows": F.floor((F.row_number().over(Window.partitionBy(epoch).orderBy(*order)) - 1) / most_rows),
+        "by_age": F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(epoch))) / most_ms), "by_size": F.floor(before / most_size),
+    })
+
+
 def write_csv_table(df: DataFrame, path: str, epoch: str | None = None, mode: str = "append") -> None:
     """CSV with | between fields and no header."""
     writer = df.write.mode(mode).option("sep", "|").option("header", False)

@@ -50,43 +50,6 @@ def test_query(spark, duck, name):
     assert rows == sorted(repr(tuple(plain(r[names.index(c)]) for c in cols)) for r in found.fetchall())
 
 
-WHOLE = [
-    ("j17_staged_edges", " AND w.l_partkey % 50 = 1"),
-    ("c1_objects_at_consistent", " AND owner_id % 10 = 3"),
-    ("c1_objects_at_historical", " AND owner_id % 10 = 3"),
-    ("a4_balances_at", " AND owner_id % 20 = 7"),
-    ("c4_dynamic_fields_at", " AND owner_id % 5 = 2"),
-]
-
-
-@pytest.mark.parametrize(("name", "part"), WHOLE)
-def test_whole_table(spark, duck, name, part):
-    """The query of all rows against the SQL without the part that selects some."""
-    sql = catalog.SQL[name]
-    assert part in sql
-    check_whole(catalog.QUERIES[f"{name}_all"](spark, DIR), duck, sql, sql.replace(part, ""))
-
-
-@pytest.mark.parametrize(("name", "part"), [("s17_dump_packages", " WHERE p_partkey < 300"), ("l8_gas_price_order", " WHERE checkpoint_sequence_number < 50")])
-def test_whole_larger_table(spark, name, part):
-    """The same on tables that are larger than the part."""
-    larger, con = DIR.replace("sf0.001", "sf0.01"), duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{larger}/{t}.parquet'")
-    sql = catalog.SQL[name]
-    assert part in sql
-    check_whole(catalog.QUERIES[f"{name}_all"](spark, larger), con, sql, sql.replace(part, ""))
-
-
-def check_whole(df, con, sql, whole):
-    cols = sorted(df.columns)
-    found = con.execute(whole)
-    names = [d[0] for d in found.description]
-    want = sorted(repr(tuple(plain(r[names.index(c)]) for c in cols)) for r in found.fetchall())
-    assert sorted(names) == cols and len(want) > len(con.execute(sql).fetchall())
-    assert sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect()) == want
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
