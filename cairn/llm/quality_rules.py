@@ -97,6 +97,14 @@ def measures(text: Column) -> Column:
     )
 
 
+def evaluated(docs: DataFrame, carried: Column) -> DataFrame:
+    """A carried column, the measurements of text, and fail_bits: the one place where rules are evaluated."""
+    taken = docs.select(carried, measures(F.col("text")).alias("m"))
+    taken = taken.select(taken.columns[0], "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines", "m.n_exclaims")
+    bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0))
+    return taken.withColumn("fail_bits", bits.cast("long"))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and fail_bits, one row for each row of docs (doc_id, text; other columns are ignored).
 
@@ -104,11 +112,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     tab to carriage return; a line counts if it has a word; repeated rows are judged each for itself; an empty table
     gives an empty ledger.
     """
-    taken = docs.select(F.col("doc_id"), measures(F.col("text")).alias("m")).select(
-        "doc_id", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines", "m.n_exclaims"
-    )
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0))
-    return taken.withColumn("fail_bits", bits.cast("long"))
+    return evaluated(docs, F.col("doc_id"))
 
 
 def failed(policy: Policy, bits: Column | None = None) -> Column:
@@ -143,16 +147,8 @@ def ablation(entries: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 def keep(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """The rows of docs, with all their columns, that pass the policy. For a pipeline: no join, no shuffle."""
-    m = "__measures"
-    taken = docs.withColumn(m, measures(F.col("text")))
-    flat = {f"__{n}": F.col(f"{m}.{p}") for n, p in (("n_words", "w.n_words"), ("word_chars", "w.word_chars"), ("n_repeat_words", "w.n_repeat_words"), ("n_symbols", "n_symbols"), ("n_dup_lines", "l.n_dup_lines"), ("n_lines", "l.n_lines"), ("n_exclaims", "n_exclaims"))}
-    bits = F.lit(0)
-    for i, (_, rule) in enumerate(RULES):
-        for n in MEASURES:
-            rule = rule.replace(n, f"__{n}") if f"__{n}" not in rule else rule
-        bits = bits + F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0))
-    judged = taken.withColumns(flat).withColumn("__bits", bits.cast("long"))
-    return judged.where(~failed(BASE, F.col("__bits")) & ~failed(policy, F.col("__bits"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = evaluated(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judged.where(~failed(BASE) & ~failed(policy)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

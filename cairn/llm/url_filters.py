@@ -126,8 +126,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     cut = pages.select(*[F.col(f"`{c}`") for c in own], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    found = match_rules(cut.select("host", "path"), rules)
-    return cut.join(found, ["host", "path"], "left").select(
+    found = match_rules(cut.select("host", "path"), rules).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "rule", "verdict")
+    # Rows without a host have no rule: each gets a key of its own kind, which no host equals, so that they are no hot key.
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in own]), F.lit(1 << 20)).cast("string"))
+    keyed = cut.withColumn("__key", F.when(F.col("host") == "", spread).otherwise(F.col("host")))
+    return keyed.join(found, (F.col("__key") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").select(
         *[F.col(f"`{c}`") for c in own], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
 
