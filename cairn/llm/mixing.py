@@ -2,9 +2,10 @@
 
 A classifier, fitted on a bounded sample of a labelled table, gives each document posteriors over domains. The expected
 tokens of a domain are the sum of rate * tokens * posterior over all documents. Rates, one for each document and from 0
-to MAX_RATE, are fitted so that these sums match the targets: projected gradient descent from rate 1 on the squared
-distance to the targets, each domain's divided by its tokens. As the domains' Gram matrix is at most the diagonal of
-these tokens, a step of length 1 is safe. A target out of reach, above MAX_RATE times a domain's tokens, counts as that.
+to MAX_RATE, are fitted so that these sums match the targets: accelerated projected gradient descent from rate 1 on the
+squared distance to the targets, each domain's divided by its tokens. As the domains' Gram matrix is at most the diagonal
+of these tokens, a step of length 1 is safe. A target out of reach, above MAX_RATE times a domain's tokens, pulls as if it
+were that, so that other domains don't suffer from it; the result states targets as they were and sums as they became.
 
 All steps but the projection depend on a document through its posteriors only, so that a document's rate follows from
 its posteriors and the short history of distances. An iteration is therefore one aggregation over a narrow table, and
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import materialize, n_words
+from cairn.llm.common import let, materialize, n_words
 from cairn.llm.text_arrays import word_hashes
 
 BUCKETS = 1 << 11
@@ -32,7 +33,9 @@ BUCKETS = 1 << 11
 SAMPLE = 4_000
 FIT_STEPS = 200
 MAX_RATE = 4.0
-ITERATIONS = 20
+#: Steps at most, and the change of a domain's sum, as a part of its tokens, that ends them after the first ten.
+ITERATIONS = 40
+TOLERANCE = 1e-5
 #: Production targets: the share of all tokens that each domain is to have.
 WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 #: The domain whose tokens all stay; it fixes the size of the mixture.
@@ -111,32 +114,45 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return taken.mapInPandas(run, T.StructType([*taken.schema.fields, *added]))
 
 
-def rate_of(history: list[list[float]], most: float) -> Column:
-    """A document's rate after the steps of history, from its column p."""
-    rate = F.lit(1.0)
+def state_of(history: list[list[float]], most: float) -> Column:
+    """A document's rate r and where the next step starts, y, after the steps of history, from its column p.
+
+    A step is a number for each domain, and at the end how much of the rate's change is added to the next start.
+    """
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not history:
-        return rate
+        return start
+    k = len(history[0]) - 1
     steps = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in history])
-    along = lambda v: sum((F.col("p")[k] * v[k] for k in range(len(history[0]))), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - along(v))))
+
+    def step(a: Column, v: Column) -> Column:
+        r = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), a["y"] - sum((F.col("p")[i] * v[i] for i in range(k)), F.lit(0.0))))
+        return let(r, lambda r: F.struct(r.alias("r"), (r + v[k] * (r - a["r"])).alias("y")))
+
+    return F.aggregate(steps, start, step)
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None, shares: list[float], anchor: int, most: float, iterations: int = ITERATIONS) -> tuple[list[list[float]], list[float], list[float]]:
+def rate_of(history: list[list[float]], most: float) -> Column:
+    return state_of(history, most)["r"]
+
+
+def fit_rates(members: DataFrame, targets: list[float] | None, shares: list[float], anchor: int, most: float, iterations: int | None = None) -> tuple[list[list[float]], list[float], list[float]]:
     """The history of steps, the targets and the sums reached, for a table with n_tokens and p."""
     k = len(shares)
-    sums = [F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
+    sums = [F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"r{i}") for i in range(k)]
     row = members.agg(*sums).first()
-    at_one = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+    at_one = np.array([row[f"r{i}"] or 0.0 for i in range(k)])
     goal = np.array(targets) if targets else np.array(shares) / shares[anchor] * at_one[anchor]
-    goal = np.minimum(goal, most * at_one)  # what is out of reach would only pull at the other domains
+    pull = np.minimum(goal, most * at_one)
     scale = np.where(at_one > 0, at_one, np.inf)
     history: list[list[float]] = []
-    reached = at_one
-    for _ in range(iterations):
-        history.append(((reached - goal) / scale).tolist())
-        row = members.select("n_tokens", "p", rate_of(history, most).alias("r")).agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-        before, reached = reached, np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        if np.abs(reached - before).max() <= 1e-6 * max(1.0, at_one.sum()):
+    reached = ahead = at_one
+    for t in range(ITERATIONS if iterations is None else iterations):
+        history.append([*((ahead - pull) / scale).tolist(), t / (t + 3)])
+        stepped = members.select("n_tokens", "p", state_of(history, most).alias("s"))
+        row = stepped.agg(*[F.sum(F.col(f"s.{x}") * F.col("n_tokens") * F.col("p")[i]).alias(f"{x}{i}") for x in "ry" for i in range(k)]).first()
+        before, (reached, ahead) = (reached, ahead), (np.array([row[f"{x}{i}"] or 0.0 for i in range(k)]) for x in "ry")
+        if t >= 10 and max((np.abs(now - then) / scale).max() for now, then in zip((reached, ahead), before, strict=True)) <= TOLERANCE:
             break
     return history, goal.tolist(), reached.tolist()
 
@@ -144,27 +160,31 @@ def fit_rates(members: DataFrame, targets: list[float] | None, shares: list[floa
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str = ANCHOR, max_rate: float = MAX_RATE) -> DataFrame:
     """docs with all their columns and n_tokens, p (map of domain to posterior), rate and copies, one row for each row.
 
+    target_tokens and reached_tokens (maps by domain, equal in all rows) are the sums wanted and those that the rates give.
+
     docs has doc_id and text, labelled has doc_id and domain; where a doc_id has several domains the first by name
     counts. Tokens are words; null and empty texts have none and the posteriors that the classifier gives to no words.
     A domain without a weight has the target 0; weights of domains that no labelled row has are dropped, and the rest
     scaled. If the anchor isn't labelled, the first domain is. Without labelled rows every document has rate 1 and no
-    posteriors. Repeated rows have equal rates. An empty table gives an empty result. Columns of the input with these
-    four names are replaced.
+    posteriors. Repeated rows have equal rates, and a null doc_id is one like others. An empty table gives an empty
+    result. Columns of the input with these six names are replaced.
     """
-    own = [c for c in docs.columns if c not in ("n_tokens", "p", "rate", "copies")]
+    own = [c for c in docs.columns if c not in ("n_tokens", "p", "rate", "copies", "target_tokens", "reached_tokens")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
     domains, model = train(docs, labelled)
     if model is None:
         empty = F.create_map().cast("map<string,double>")
-        return docs.withColumns({"n_tokens": n_words(F.col("text")), "p": empty, "rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
+        return docs.withColumns({"n_tokens": n_words(F.col("text")), "p": empty, "rate": F.lit(1.0), "copies": F.lit(1).cast("long"), "target_tokens": empty, "reached_tokens": empty})
     members = materialize(posteriors(docs, model), "posteriors")
     shares = [weights.get(d, 0.0) for d in domains]
     at = domains.index(anchor) if anchor in domains else 0
     shares = shares if shares[at] > 0 else [1.0 if i == at else s for i, s in enumerate(shares)]
-    history, _, _ = fit_rates(members.select("n_tokens", "p"), None, shares, at, max_rate)
+    history, *totals = fit_rates(members.select("n_tokens", "p"), None, shares, at, max_rate)
     u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rated = members.withColumn("rate", rate_of(history, max_rate))
-    return rated.withColumns({"p": F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.col("p")), "copies": F.floor(F.col("rate") + u).cast("long")})
+    named = F.array(*[F.lit(d) for d in domains])
+    goal, reached = (F.map_from_arrays(named, F.array(*[F.lit(float(x)) for x in t])) for t in totals)
+    return rated.withColumns({"p": F.map_from_arrays(named, F.col("p")), "copies": F.floor(F.col("rate") + u).cast("long"), "target_tokens": goal, "reached_tokens": reached})
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -175,7 +195,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     mixed = mix(docs, domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return mixed.select("doc_id", "n_tokens", *[F.col("p")[d].alias(f"p_{d}") for d in WEIGHTS], "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *[F.col("p")[d].alias(f"p_{d}") for d in WEIGHTS], "rate", "copies", *[F.col(f"{t}_tokens")[d].alias(f"{t}_{d}") for t in ("target", "reached") for d in WEIGHTS])
 
 
 ORACLE_SQL = None

@@ -445,6 +445,40 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty, lab).count() == 0
 
 
+def test_mixing_is_the_least_squares(spark, monkeypatch):
+    """Rates against the same steps in numpy, and sums against plain projected gradient descent that runs long; overlapping domains."""
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.0)
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.6, 0.4, 0.3], 300)
+    n = rng.integers(0, 200, 300)
+    members = spark.createDataFrame([(int(i), int(n[i]), p[i].tolist()) for i in range(300)], "id long, n_tokens long, p array<double>")
+    for shares, most in (([0.9, 0.08, 0.02], 4.0), ([0.5, 0.3, 0.2], 1.0), ([0.1, 0.1, 5.0], 1.5)):
+        history, goal, reached = mixing.fit_rates(members, None, shares, 0, most)
+        got = np.array([r["rate"] for r in members.select("id", mixing.rate_of(history, most).alias("rate")).orderBy("id").collect()])
+        at_one = (n[:, None] * p).sum(axis=0)
+        assert goal == pytest.approx((np.array(shares) / shares[0] * at_one[0]).tolist())
+        pull = np.minimum(goal, most * at_one)
+        total = lambda r: (n[:, None] * p * r[:, None]).sum(axis=0)
+        r = y = np.ones(300)
+        for t in range(mixing.ITERATIONS):
+            new = np.clip(y - p @ ((total(y) - pull) / at_one), 0, most)
+            y, r = new + t / (t + 3) * (new - r), new
+        assert got == pytest.approx(r, abs=1e-9) and reached == pytest.approx(total(r).tolist())
+        plain = np.ones(300)
+        for _ in range(5000):
+            plain = np.clip(plain - p @ ((total(plain) - pull) / at_one), 0, most)
+        loss = lambda r: (((total(r) - pull) ** 2) / at_one).sum()
+        assert loss(got) <= loss(plain) * 1.02 + 1e-3 * at_one.sum()
+
+
+def test_mixing_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b c"), (1, "a b c"), (2, "x y"), (3, "z " * 30_000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, "clean"), (2, "toxic"), (None, "clean"), (3, None)], "doc_id long, domain string")
+    got = mixing.mix(df, lab).collect()
+    assert sorted(r["n_tokens"] for r in got) == [0, 2, 2, 3, 3, 30_000] and len({r["rate"] for r in got if r["doc_id"] == 1}) == 1
+    assert all(set(r["target_tokens"]) == set(r["reached_tokens"]) == {"clean", "toxic"} for r in got)
+
+
 # 6
 
 
