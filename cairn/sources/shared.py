@@ -27,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/cairn-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[table] = path
     return table
