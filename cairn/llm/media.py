@@ -12,7 +12,7 @@ or three components whose blocks are scanned component by component, or DC inter
 one length, as those above, are read as arrays after a check that they have; others bit by bit. The inverse transform
 runs in numpy, chroma is repeated to full resolution, and the tensor is height x width x 3 bytes.
 
-Scale: one row in, one row out, no shuffle; memory is a few times the longest text.
+Scale: one row in, one row out, no shuffle; memory is a few times the longest text, or a piece of 2 MB.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.common import materialize, pieces
+
 #: Blocks of chroma in a row of the image at most; a JPEG has 65,535 columns at most.
 MOST_COLUMNS = 4095
 
@@ -345,57 +347,54 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]}:{sums}:{zlib.crc32(rgb):08x}"
 
 
-def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        made = [padded(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "n_bytes": [n for n, _ in made], "media": [store(p) for _, p in made]})
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "text"):
+        made = [padded(t) for t in piece["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array([n for n, _ in made], pa.int64()), pa.array([store(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        images = [Image(m) for m in batch["media"]]
-        tensors = [i.rgb() for i in images]
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].astype("Int64").array, "payload": [i.payload() for i in images], "height": [i.height for i in images],
-            "width": [i.width for i in images], "rgb": [t.tobytes() for t in tensors],
-        })
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "media"):
+        images = [Image(m) for m in piece["media"].to_pylist()]
+        columns = [piece["doc_id"], pa.array([i.payload() for i in images], pa.binary()), *(pa.array([getattr(i, side) for i in images], pa.int32()) for side in ("height", "width"))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([i.rgb().tobytes() for i in images], pa.binary())], names=["doc_id", "payload", "height", "width", "rgb"])
 
 
-def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "media"):
         rows = []
-        for media in batch["media"]:
+        for media in piece["media"].to_pylist():
             image = Image(media)
             payload = image.payload()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb())))
-        out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-        out.insert(1, "n_bytes", batch["n_bytes"].array)
-        yield out
+        kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+        found = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["n_bytes"], *found], names=["doc_id", "n_bytes", *kinds])
 
 
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary), one row for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts are 64 zero bytes. Equal texts give equal files; repeated rows stay; a null doc_id stays
-    null; an empty table gives an empty result. A text may have 6 GB.
+    null; an empty table gives an empty result. A text may be as long as a value of Spark lets its file be, 2 GB.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_stored, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def from_media(media: DataFrame) -> DataFrame:
     """doc_id, payload (binary), height, width and rgb (binary, height x width x 3) of a table with doc_id and media."""
-    return media.select("doc_id", "media").mapInPandas(_decoded, "doc_id long, payload binary, height int, width int, rgb binary")
+    return media.select("doc_id", "media").mapInArrow(_decoded, "doc_id long, payload binary, height int, width int, rgb binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
     """What from_media() reads back of each file, as lengths, checksums and a feature string."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(_digested, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digested, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Files are written to the shared folder, compressed there as their scans are of one symbol length, and read back."""
+    return digests(materialize(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd"))
 
 
 ORACLE_SQL = None

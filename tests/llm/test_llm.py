@@ -495,6 +495,22 @@ def test_media_round_trip(docs, empty, spark):
     assert media.digests(media.to_media(empty)).count() == 0
 
 
+def test_media_tables(spark, tmp_path):
+    """Files and tensors written, read back and compared with the definition of the inverse transform; null ids, equal texts, a long one."""
+    texts = ["equal text", "equal text", None, "long " * 40_000, ""]
+    df = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    media.to_media(df).write.parquet(f"{tmp_path}/media")
+    media.from_media(spark.read.parquet(f"{tmp_path}/media")).write.parquet(f"{tmp_path}/rgb")
+    got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/rgb").collect()}
+    assert set(got) == {0, 1, None, 3, 4} and got[0]["rgb"] == got[1]["rgb"] and bytes(got[None]["payload"]) == bytes(64)
+    assert bytes(got[3]["payload"]).rstrip(b"\0") == texts[3].encode()
+    found = {r["doc_id"]: r["feature"] for r in media.digests(spark.read.parquet(f"{tmp_path}/media")).collect()}
+    for i, r in got.items():
+        rgb = np.frombuffer(r["rgb"], dtype=np.uint8).reshape(r["height"], r["width"], 3)
+        sums = ",".join(str(int(rgb[..., c].astype(int).sum())) for c in range(3))
+        assert found[i] == f"{r['height']}x{r['width']}:{sums}:{zlib.crc32(r['rgb']):08x}"
+
+
 def test_slow_and_fast_decoding_agree():
     data = random.Random(2).randbytes(64 * 37)
     stored = media.store(data)
