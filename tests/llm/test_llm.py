@@ -799,3 +799,21 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(df.limit(0), url_filters.rules_table(spark)).count() == 0
     none = url_filters.filter_urls(df, url_filters.rules_table(spark).limit(0))
     assert {r["verdict"] for r in none.collect()} == {"allow"}
+
+
+def test_repeated_page_ids_and_urls(spark):
+    df = spark.createDataFrame([(1, "http://example.com/en/7")] * 3 + [(1, None)] * 3 + [(None, None), (None, "http://example.net/de/8x")], "page_id long, url string")
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_filters.filter_urls(df, url_filters.rules_table(spark)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "example.com/en/7", "allow")] * 3 + [(1, None, "allow")] * 3 + [(None, None, "allow"), (None, "example.net/de/8", "block")]))
+
+
+# rows without an id
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "aa bb cc dd ee ff gg hh ii jj kk ll"), (None, "aa bb cc dd ee ff gg hh ii jj kk ll"), (None, None), (4, "aa bb cc dd ee ff gg hh ii jj kk ll")], "doc_id long, text string")
+    assert sorted(r["n_words"] for r in quality_rules.ledger(df).collect()) == [0, 12, 12, 12] and quality_rules.keep(df).count() == 3
+    packed = packing.pack(df).collect()
+    assert sorted(r["n_tokens"] for r in packed) == [0, 12, 12, 12] and len({(r["bucket"], r["batch"], r["slot"]) for r in packed}) == 4
+    assert sorted(r["n_bytes"] for r in media.digests(media.to_media(df)).collect()) == [0, 35, 35, 35]
+    assert [r["removed_lines"] for r in line_dedup.dedup_lines(df, 5, 5).where("doc_id = 4").collect()] == [1]
