@@ -239,9 +239,9 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int,
     pairs = materialize(pairs, "pairs")
     keys = materialize(keys_in(pairs), "keys")
     asked = materialize(classes.join(sent(keys), "key").select(F.col("rep").alias("doc_id")), "asked")
-    rows = materialize(full_rows(texts, asked, width), "rows")
-    distinct = rows.join(sent(keys), "key", "left_semi").dropDuplicates(["key", "block"])
-    left, right = distinct.toDF("a", "block", "ta"), distinct.toDF("b", "block", "tb")
+    # Written once they are distinct, so that Spark can split the pairs of a hub in the joins.
+    rows = materialize(full_rows(texts, asked, width).join(sent(keys), "key", "left_semi").dropDuplicates(["key", "block"]), "rows")
+    left, right = rows.toDF("a", "block", "ta"), rows.toDF("b", "block", "tb")
     product = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
     overlaps = product.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     links = materialize(overlaps.where(f"100 * both >= {threshold} * (na + nb - both)").select("a", "b"), "verified")
