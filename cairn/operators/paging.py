@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,21 +113,25 @@ def causal_order(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx
     return listed.groupBy(group).applyInPandas(sort, f"{group} {kinds[group]}, {node} {kinds[node]}, position long")
 
 
-def dependency_depth(nodes: DataFrame, edges: DataFrame, checkpoint, node: str = "tx", depends_on: str = "depends_on", most: int = 1_000) -> DataFrame:
+def dependency_depth(nodes: DataFrame, edges: DataFrame, checkpoint, node: str = "tx", depends_on: str = "depends_on", together: int = 50) -> DataFrame:
     """The longest path of dependencies below each node; nodes without any have 0.
 
-    One join a round, as many rounds as the longest path; ``checkpoint`` writes a round's table and reads it again, so that
-    lineage stays short and lost executors cost little.
+    One join a round, as many rounds as the longest path, each over the nodes that the round before reached; the largest
+    round of a node is its depth. ``checkpoint`` writes a round's table and reads it again, so that lineage stays short
+    and lost executors cost little. More rounds than nodes are a cycle: ValueError.
     """
-    depth = nodes.select(node, F.lit(0).cast("long").alias("depth"))
-    frontier = depth
-    for level in range(1, most + 1):
-        reached = edges.join(frontier.select(F.col(node).alias(depends_on)), depends_on, "left_semi").select(node).distinct()
-        frontier = checkpoint(reached)
+    n_nodes, frontier = nodes.count(), nodes.select(node)
+    levels = [frontier.withColumn("depth", F.lit(0).cast("long"))]
+    deepest = lambda: reduce(DataFrame.union, levels).groupBy(node).agg(F.max("depth").alias("depth"))
+    for level in count(1):
+        frontier = checkpoint(edges.join(frontier.select(F.col(node).alias(depends_on)), depends_on, "left_semi").select(node).distinct())
         if frontier.isEmpty():
-            return depth
-        depth = checkpoint(depth.join(frontier.withColumn("__hit", F.lit(True)), node, "left").select(node, F.when(F.col("__hit"), F.lit(level).cast("long")).otherwise(F.col("depth")).alias("depth")))
-    raise ValueError(f"paths of more than {most} edges, or a cycle")
+            return deepest().join(nodes.select(node).distinct(), node, "left_semi")
+        if level > n_nodes:
+            raise ValueError("the dependencies have a cycle")
+        levels.append(frontier.withColumn("depth", F.lit(level).cast("long")))
+        if len(levels) > together:
+            levels = [checkpoint(deepest())]
 
 
 def array_page(rows: DataFrame, array: str, start: int, limit: int) -> DataFrame:

@@ -39,7 +39,7 @@ def previous(rows: DataFrame, order: str, column: str, name: str, bucket: Column
 
 def magnitude(value: Column, per_octave: int = 16) -> Column:
     """A bucket of a number that never decreases with it: so many for each doubling. Nulls come first, NaN last."""
-    size = F.floor(F.log2(F.abs(value).cast("double") + 1) * per_octave)
+    size = F.least(F.floor(F.log2(F.abs(value).cast("double") + 1) * per_octave), F.lit(1 << 39))
     bucket = F.when(F.isnan(value.cast("double")), F.lit(1 << 40)).otherwise(F.signum(value.cast("double")).cast("long") * size)
     return F.coalesce(bucket, F.lit(-(1 << 40))).cast("long")
 

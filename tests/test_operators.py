@@ -203,3 +203,57 @@ def test_commit_batch_once(spark):
     out = tempfile.mkdtemp(prefix="cairn-test-")
     write = lambda n: sinks.commit_batch({"t": spark.range(n)}, {"t": f"{out}/t"}, f"{out}/m", 3)
     assert write(2) and not write(5) and spark.read.parquet(f"{out}/t").count() == 2
+
+
+def test_dependency_cycle(spark):
+    import pytest
+
+    nodes, edges = spark.range(3).toDF("tx"), spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "tx long, depends_on long")
+    with pytest.raises(ValueError):
+        paging.dependency_depth(nodes, edges, lambda d: spark.createDataFrame(d.collect(), d.schema))
+
+
+def test_buckets_of_magnitude(spark):
+    df = spark.createDataFrame([("a", v) for v in (-7, -7, 0, 3, 3, 3, 900, 2**40, None)] + [(None, 5), (None, 6)], "k string, v long")
+    got = {(r["k"], r["v"]): (r["c"], r["upto"], r["n"]) for r in series.running_counts(df, ["k"], "v").collect()}
+    assert got == {
+        ("a", None): (1, 1, 9), ("a", -7): (2, 3, 9), ("a", 0): (1, 4, 9), ("a", 3): (3, 7, 9), ("a", 900): (1, 8, 9), ("a", 2**40): (1, 9, 9), (None, 5): (1, 1, 2), (None, 6): (1, 2, 2),
+    }
+    numbered = series.row_numbers(spark.range(-50, 200).selectExpr("id", "id % 2 AS k"), ["k"], ["id"], "i").collect()
+    for k in {r["k"] for r in numbered}:
+        own = sorted((r["id"], r["i"]) for r in numbered if r["k"] == k)
+        assert [i for _, i in own] == list(range(len(own)))
+    floats = spark.createDataFrame([(x,) for x in (float("nan"), -0.5, 0.25, 1e300, -1e300, float("inf"), None)], "v double")
+    order = [r["v"] for r in floats.orderBy(series.magnitude(F.col("v"))).collect()]
+    assert order[0] is None and order[1] == -1e300 and order[-2] == float("inf") and order[-1] != order[-1]
+
+
+def test_asof_across_cuts(spark):
+    versions = spark.createDataFrame([(1, v, f"v{v}") for v in (3, 5, 40, 41, 99)] + [(2, 7, "w")], "k long, version long, t string")
+    asked = [(k, at) for k in (1, 2, 3) for at in (0, 3, 4, 30, 41, 98, 99, 1000)]
+    requests = spark.createDataFrame(asked, "k long, at long")
+    want = {(1, at): max((v for v in (3, 5, 40, 41, 99) if v <= at), default=None) for _, at in asked} | {(2, at): 7 if at >= 7 else None for _, at in asked} | {(3, at): None for _, at in asked}
+    for width in (1, 10, 10_000):
+        got = {(r["k"], r["at"]): r["version"] for r in joins.asof_version(requests, versions, "k", "at", "version", width).collect()}
+        assert got == want, width
+
+
+def test_latest_version_keeps_columns(spark):
+    df = spark.createDataFrame([(1, 2, None), (1, 1, "x"), (2, None, "y")], "object_id long, object_version long, t string").select("t", "object_id", "object_version")
+    got = history.latest_version(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.orderBy("object_id").collect()] == [(None, 1, 2), ("y", 2, None)]
+
+
+def test_inputs_below_the_watermark(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "in")
+    spark.range(10).selectExpr("id AS seq", "named_struct('sequence_number', id) AS summary").write.partitionBy("seq").json(path)
+    read = lambda: sorted(r["file_sequence"] for r in checkpoints.read_checkpoint_files(spark, path).collect())
+    assert read() == list(range(10))
+    assert checkpoints.collect_inputs(spark, path, spark.createDataFrame([(7,), (4,)], "watermark long")) == 4
+    assert read() == [4, 5, 6, 7, 8, 9]
+    assert checkpoints.collect_inputs(spark, path, spark.createDataFrame([], "watermark long")) == 0
+    assert checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 4).count() == 6
+    with pytest.raises(ValueError):
+        checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 3)
