@@ -301,7 +301,8 @@ def _(t):
     return positions(t.fx_tx)
 
 
-@query("l9_causal_order")
+# In the view a transaction depends on smaller numbers only, which are out before it.
+@query("l9_causal_order", "SELECT checkpoint_sequence_number, tx_sequence_number AS tx, row_number() OVER (PARTITION BY checkpoint_sequence_number ORDER BY tx_sequence_number) - 1 AS position FROM fx_tx")
 def _(t):
     nodes = t.fx_tx.select("checkpoint_sequence_number", F.col("tx_sequence_number").alias("tx"))
     return p.causal_order(nodes, t.fx_dep, "checkpoint_sequence_number")
