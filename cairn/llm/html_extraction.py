@@ -424,12 +424,23 @@ class Wrapper:
         return {self.numbers[id(node)]}
 
     def blocks(self, root: Node) -> list[str]:
-        """The page's texts in the region that are not template, in document order."""
+        """The page's texts in the region that are not template, in document order.
+
+        Articles of the page that match nothing in the reference, of which the host tells nothing, belong to the region.
+        """
         matched = aligned(slots_of(root), self.reference, self.numbers)
+        known = {id(n) for _, slot in matched for n in slot.nodes}
         inside = {id(n) for number, slot in matched if number in self.region for n in slot.nodes}
+        inside |= {id(n) for n in region(root) if n.content and id(n) not in known}
         template = {id(n) for number, slot in matched for n in slot.nodes if n.text and (number, _hash(n.text)) in self.template} if self.template else ()
-        nodes = [n for n in kept(root) if id(n) in inside]
-        return [n.text for top in nodes for n in kept(top) if n.text and id(n) not in template]
+        tops, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if id(node) in inside and not node.skip:
+                tops.append(node)
+            elif not node.skip:
+                todo.extend(reversed(node.children))
+        return [n.text for top in tops for n in kept(top) if n.text and id(n) not in template]
 
 
 def blocks(nodes: list[Node]) -> list[str]:

@@ -279,6 +279,14 @@ def test_second_layout_and_varying_boxes(spark):
     assert all(got[i] == (f"{a}\n{b}" if i % 4 else a) for i, (a, b) in enumerate(texts))
 
 
+def test_articles_that_the_reference_lacks(spark):
+    """A part of a page that no slot of the reference matches is read, once, and template beside it still goes."""
+    extra = lambda i, b: f"<article class='part-{i}'><p>{b}</p></article>" if i % 5 == 0 else ""
+    page = lambda i, a, b: f"<body><article><p>{a}</p><p>Copyright of the house</p></article>{extra(i, b)}<div>end</div></body>"
+    texts, got = host_pages(spark, page)
+    assert got == {i: f"{a}\n{b}" if i % 5 == 0 else a for i, (a, b) in enumerate(texts)}
+
+
 @pytest.mark.parametrize("part", ["section class='social-policy'", "p id='notice-period'", "div class='ad-hoc-methods'"])
 def test_content_with_listed_words_stays(spark, part):
     tag = part.split()[0]
