@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.sources.shared import materialize, release
 
-__all__ = ["SPACE_CLASS", "let", "materialize", "n_words", "pieces", "release", "words"]
+__all__ = ["SPACE_CLASS", "carried", "let", "materialize", "n_words", "pieces", "release", "unused", "words"]
 
 #: The white space that separates words, as a Java character class; everything else belongs to a word.
 SPACE_CLASS = "[ \\x09-\\x0D]"
@@ -35,6 +35,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def carried(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of df but those that an operator reads away or adds; names differ by more than case."""
+    return [c for c in df.columns if c.lower() not in {r.lower() for r in replaced}]
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A name like this one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Neighbouring rows whose texts (or bytes) in a column have ``most`` bytes together; a longer one is alone."""
     for batch in batches:

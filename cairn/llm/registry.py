@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm import (
     html_extraction,
+    importance,
     kneser_ney,
     line_dedup,
     lm_scoring,
@@ -12,6 +13,8 @@ from cairn.llm import (
     ngram_join,
     packing,
     quality_rules,
+    shallot,
+    token_counts,
     url_filters,
 )
 
@@ -26,6 +29,9 @@ _MODULES = {
     "op8_line_dedup": line_dedup,
     "op9_kneser_ney": kneser_ney,
     "op10_url_filters": url_filters,
+    "op11_token_counts": token_counts,
+    "op12_centroid_clustering": shallot,
+    "op13_importance_resampling": importance,
 }
 
 
