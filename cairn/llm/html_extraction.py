@@ -24,11 +24,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, release
+from cairn.llm.common import materialize, pieces, release
 from cairn.llm.url_filters import host_of
 
 #: A text is template if this share of a host's different pages with its slot, of which there are at least so many, has it there.
@@ -518,17 +519,18 @@ def wrappers(pages: DataFrame, refs: DataFrame, size: int, share: float = CONSTA
     return made
 
 
-def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url and text. Ids stay in Arrow, where a null beside them changes none."""
     parsed: dict = {}
-    for batch in batches:
+    for batch in pieces(batches, "html"):
         texts = []
-        for host, page, reference, slots in zip(batch["host"], batch["html"], batch["reference"], batch["slots"], strict=True):
+        for host, page, reference, slots in zip(*(batch[c].to_pylist() for c in ("host", "html", "reference", "slots")), strict=True):
             if len(parsed) > HELD_REFERENCES:
                 parsed = {}
             if reference is not None and host not in parsed:
                 parsed[host] = Wrapper(reference, {s["node"]: s["weight"] for s in slots}, {(s["node"], t) for s in slots for t in s["template"]})
             texts.append(extract(page, parsed.get(host) if reference is not None else None))
-        yield batch.drop(columns=["host", "html", "reference", "slots"]).assign(text=texts)
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -545,7 +547,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     known = wrappers(taken, refs, size)
     size = known.agg(F.sum(F.octet_length("reference") + F.octet_length("host") + 16 * F.size("slots") + 8 * F.size(F.flatten("slots.template")))).first()[0] or 0
     ready = with_references(taken, known, size).select("page_id", "url", "host", "html", "reference", "slots")
-    return ready.mapInPandas(texts_of, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return ready.mapInArrow(texts_of, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

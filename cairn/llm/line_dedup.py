@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE_CLASS, let, materialize
+from cairn.llm.common import SPACE_CLASS, carried, let, materialize, unused
 
 #: Any repeated run of 50 words, the sum of the two, is found; none of fewer words than the first is touched.
 GRAM_WORDS = 35
@@ -151,19 +151,20 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int
     (doc_id, position) orders all lines, so there are no ties. Empty tables give empty results. A column of the input
     named removed_lines is replaced.
     """
-    own = [c for c in docs.columns if c != "removed_lines"]
+    own = carried(docs, "removed_lines")
+    ids, texts, pos, hashed = (unused(name, own) for name in ("__doc_id", "__text", "__pos", "__hash"))
     lines = materialize(lines_of(docs.select("doc_id", "text").where("text is not null")), "lines")
     gone = repeated_positions(lines, gram_words, window_words, REACH).select(
-        F.col("doc.doc_id").alias("__doc_id"), F.col("doc.text").alias("__text"), F.col("pos").alias("__pos")
+        F.col("doc.doc_id").alias(ids), F.col("doc.text").alias(texts), F.col("pos").alias(pos)
     )
-    joined = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64("text").alias("__hash"))
-    joined = joined.join(gone, joined["doc_id"].eqNullSafe(gone["__doc_id"]) & (joined["__hash"] == gone["__text"]), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64("text").alias(hashed))
+    joined = joined.join(gone, joined["doc_id"].eqNullSafe(gone[ids]) & (joined[hashed] == gone[texts]), "left")
     kept = let(
         split_lines(F.col("text")),
-        lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__pos")), lambda left: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")),
+        lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(pos)), lambda left: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")),
     )
-    text = F.when(F.col("__pos").isNull(), F.col("text")).otherwise(kept)
-    removed = F.when(F.col("__pos").isNull(), F.lit(0)).otherwise(F.size("__pos")).cast("long")
+    text = F.when(F.col(pos).isNull(), F.col("text")).otherwise(kept)
+    removed = F.when(F.col(pos).isNull(), F.lit(0)).otherwise(F.size(pos)).cast("long")
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own], removed.alias("removed_lines"))
 
 

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import let, materialize, n_words
+from cairn.llm.common import let, materialize, n_words, pieces
 from cairn.llm.text_arrays import word_hashes
 
 BUCKETS = 1 << 11
@@ -83,7 +84,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray |
     """Domains in alphabetical order and weights; labelled has doc_id and domain. The sample has the least hashes."""
     sample = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = F.broadcast(sample)  # SAMPLE rows at most
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def rowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,20 +99,21 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray |
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with all their columns and n_tokens and p (array), in place of any columns so named."""
+    """docs with all their columns and n_tokens and p (array), in place of any columns so named. The columns stay in Arrow, nulls and all."""
     own = [c for c in docs.columns if c not in ("n_tokens", "p")]
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x, sizes = features(list(batch["text"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            x, sizes = features(batch["text"].to_pylist())
             z = (x @ sent.value).astype(np.float64)
             p = np.exp(z - z.max(axis=1, keepdims=True))
-            yield batch.assign(n_tokens=sizes, p=list(p / p.sum(axis=1, keepdims=True)))
+            p = pa.array(list(p / p.sum(axis=1, keepdims=True)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), p], names=[*own, "n_tokens", "p"])
 
     taken = docs.select(*[F.col(f"`{c}`") for c in own])
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
-    return taken.mapInPandas(run, T.StructType([*taken.schema.fields, *added]))
+    return taken.mapInArrow(run, T.StructType([*taken.schema.fields, *added]))
 
 
 def state_of(history: list[list[float]], most: float) -> Column:
@@ -163,7 +165,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHT
     target_tokens and reached_tokens (maps by domain, equal in all rows) are the sums wanted and those that the rates give.
 
     docs has doc_id and text, labelled has doc_id and domain; where a doc_id has several domains the first by name
-    counts. Tokens are words; null and empty texts have none and the posteriors that the classifier gives to no words.
+    counts, where it has several texts the classifier is fitted on the one with the least hash. Tokens are words; null and empty texts have none and the posteriors that the classifier gives to no words.
     A domain without a weight has the target 0; weights of domains that no labelled row has are dropped, and the rest
     scaled. If the anchor isn't labelled, the first domain is. Without labelled rows every document has rate 1 and no
     posteriors. Repeated rows have equal rates, and a null doc_id is one like others. An empty table gives an empty

@@ -77,17 +77,17 @@ def survey(width: int):
             np.add.at(counters, counter_of(np.concatenate(sets)), 1)
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [piece["doc_id"], pa.array([len(t) for t in sets], pa.int64()), pa.array([class_key(t) if len(t) else None for t in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                [piece["doc_id"], piece["text_hash"], pa.array([len(t) for t in sets], pa.int64()), pa.array([class_key(t) if len(t) else None for t in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 names=SURVEYED,
             )
         parts = [(i, pa.compress(p.tobytes(), codec="zstd", asbytes=True)) for i, p in enumerate(counters.reshape(-1, CHUNK)) if p.any()]
         none = pa.array([None] * len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=SURVEYED)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=SURVEYED)
 
     return run
 
 
-SURVEYED = ["doc_id", "n", "key", "chunk", "counts"]
+SURVEYED = ["doc_id", "text_hash", "n", "key", "chunk", "counts"]
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
 
     Words are A-Z lower-cased runs without white space. A text with fewer than ``width`` words is one shingle; null,
     empty and blank texts have none and link with nothing. component_id is the smallest doc_id reachable by links.
@@ -309,9 +309,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     empty table gives an empty result. Shingles and sets are compared by 64-bit hash.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    surveyed = materialize(texts.mapInArrow(survey(width), "doc_id long, n long, key long, chunk int, counts binary"), "survey")
-    rows = surveyed.where("chunk is null").select("doc_id", "n", "key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    surveyed = materialize(texts.mapInArrow(survey(width), "doc_id long, text_hash long, n long, key long, chunk int, counts binary"), "survey")
+    rows = surveyed.where("chunk is null").select("doc_id", "text_hash", "n", "key")
     counters = spark.sparkContext.broadcast(order_table(surveyed))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     index = texts.where("doc_id is not null and text is not null").mapInArrow(prefixes(width, threshold, counters), "token long, key long, n long, at long, salt int, shared boolean")
@@ -336,12 +336,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     ids = materialize(ids.join(least, "component").select("key", "component_id"), "component-ids")
     release(classes, index, sketches, joined, *links)
     return rows.join(ids, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 ORACLE_SQL = r"""

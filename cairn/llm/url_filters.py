@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import carried, materialize, unused
 
 #: The production rules: verdict, host, start of the path.
 RULES = [
@@ -50,10 +50,13 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def ancestors(host: Column) -> Column:
-    """The host and all its parents, with labels reversed: a.b.c gives c, c.b and c.b.a."""
-    labels = F.reverse(F.split(host, r"\.", -1))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, 1, i), "."))
+def ancestors(host: Column, most: int) -> Column:
+    """The host and its parents of at most so many labels, which come reversed: a.b.c gives c, c.b and c.b.a.
+
+    No rule has more labels than ``most``, so that longer ones fit none, and a host of very many labels costs no more.
+    """
+    last = F.reverse(F.split(F.substring_index(host, ".", -most), r"\.", -1))
+    return F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, 1, i), "."))
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,16 +87,14 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     spark = urls.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (
-        urls.select("host", "path").where("host <> ''").distinct()
-        .select("host", "path", F.explode(ancestors(F.col("host"))).alias("anchor"))
-    )
     ranked = rules.where("host is not null and verdict is not null").select(
         reversed_host(F.lower("host")).alias("anchor"),
         F.coalesce("path", F.lit("")).alias("path"),
         F.concat(F.lower("host"), F.coalesce("path", F.lit(""))).alias("rule"),
         "verdict",
     ).groupBy("anchor", "path", "rule").agg(F.min("verdict").alias("verdict"))
+    most = ranked.agg(F.max(F.size(F.split("anchor", r"\.", -1)))).first()[0] or 1
+    keys = urls.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(ancestors(F.col("host"), most)).alias("anchor"))
     keys = materialize(keys.join(ranked.select("anchor").distinct(), "anchor", "left_semi"), "url-keys")
     # At most 4n anchors hold more than a 4n-th of all keys; they are dealt out over salts.
     share = max(1, keys.count() // (4 * n))
@@ -124,15 +125,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     A null URL, or one without ``://``, has an empty host and path, no rule and the default verdict. Repeated rows
     stay; an empty table gives an empty result; an empty table of rules gives the default to all.
     """
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = carried(pages, "host", "path", "rule", "verdict")
+    host, path = unused("__host", own), unused("__path", own)
     cut = pages.select(*[F.col(f"`{c}`") for c in own], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    found = match_rules(cut.select("host", "path"), rules).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "rule", "verdict")
-    # Rows without a host have no rule: each gets a key of its own kind, which no host equals, so that they are no hot key.
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in own]), F.lit(1 << 20)).cast("string"))
-    keyed = cut.withColumn("__key", F.when(F.col("host") == "", spread).otherwise(F.col("host")))
-    return keyed.join(found, (F.col("__key") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").select(
-        *[F.col(f"`{c}`") for c in own], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    found = match_rules(cut.select("host", "path"), rules).select(F.col("host").alias(host), F.col("path").alias(path), "rule", "verdict")
+    given = [*[F.col(f"`{c}`") for c in own], F.col("host"), F.col("path")]
+    joined = cut.where("host <> ''").join(found, (F.col("host") == F.col(host)) & (F.col("path") == F.col(path)), "left")
+    judged = joined.select(*given, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # Rows without a host have no rule. They stay out of the join, in which they would be one key.
+    return judged.union(cut.where("host = ''").select(*given, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

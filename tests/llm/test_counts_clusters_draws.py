@@ -12,7 +12,8 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from cairn.llm import importance, prefix_crc, shallot, token_counts
+import corpus_pipeline
+from cairn.llm import html_extraction, importance, line_dedup, mixing, prefix_crc, shallot, token_counts, url_filters
 
 BIG = (1 << 60) + 1
 CLASHES = "doc_id long, text string, n_bytes string, row string, n string, weight string, score string, key string, at string, vector string, tail string, `odd name` map<string,int>"
@@ -206,3 +207,35 @@ def test_resample_of_empty_tables(spark):
     assert importance.resample(none, none).collect() == []
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: (r["weight"], r["rank"]) for r in importance.resample(some, none, percent=100, least_words=1).collect()}.keys() == {1, 2}
+
+
+# Columns that operators carry, beside nulls and names of their own
+
+
+def test_large_ids_stay_beside_nulls(spark):
+    pages = spark.createDataFrame([(BIG, "http://a.b/", "<p>some text here</p>"), (None, "http://a.b/x", None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html_extraction.extract_pages(pages).collect()} == {BIG, None}
+    rows = [(BIG, "good words here", BIG + 2), (None, "bad words there", None), (3, None, BIG + 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(BIG, "clean"), (3, "low")], "doc_id long, domain string")
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in mixing.mix(docs, labels).collect()} == set(rows)
+
+
+def test_one_id_with_two_texts_in_the_join_stage(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "").collect()) == [(1, a), (5, b)]
+
+
+def test_clashing_columns(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, line, "a", "b", "c", "d", {"k": 1}), (2, "x\n" + line, "a", "b", "c", "d", None)], "doc_id long, text string, __hash string, __pos string, __text string, __doc_id string, m map<string,int>")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "removed_lines"]
+    assert sorted((r["text"], r["__hash"], r["__pos"], r["removed_lines"]) for r in found.collect()) == [(line, "a", "b", 0), ("x", "a", "b", 1)]
+    deep = ".".join(["l"] * 20_000)
+    pages = spark.createDataFrame([("http://x.com/en/1", "k", "h", {"m": 1}), (None, "k", "h", None), (f"http://{deep}.example.net/de/8", "k", "h", {})], "url string, __key string, __host string, tags map<string,int>")
+    found = url_filters.filter_urls(pages, url_filters.rules_table(spark))
+    assert found.columns == ["url", "__key", "__host", "tags", "host", "path", "rule", "verdict"]
+    assert sorted((r["rule"] or "", r["verdict"], r["__key"], r["__host"], r["tags"] is None) for r in found.collect()) == [("", "allow", "k", "h", True), ("com/en/", "block", "k", "h", False), ("example.net/de/8", "block", "k", "h", False)]
