@@ -28,10 +28,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows without a doc_id stay."""
+    """Of each group of near duplicates the document with the smallest doc_id; rows without a doc_id stay.
+
+    A document is a doc_id and its text: another text under the same doc_id is judged by itself.
+    """
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    others = found.where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    return named.join(others, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
