@@ -29,6 +29,22 @@ def bytes_to_base64(json: Column, pointer: str) -> Column:
     return F.when(whole & good, F.base64(F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), ""))))
 
 
+#: A string; what may be an array of bytes; anything up to the next of these; the begin of another array.
+_JSON_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\[[\s\d,]*\]|[^"\[]++|\['
+
+
+def byte_arrays_to_base64(json: Column) -> Column:
+    """A JSON text in which every array of whole numbers from 0 to 255, at any depth, is its base64 text; an empty one is "".
+
+    All else stays to the last character. Inside such an array there is no other, so that one pass over the text is enough.
+    """
+    numbers = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, r"[\[\]\s]", ""), ","), lambda n: n), lambda n: n != "")
+    whole = lambda x: F.forall(numbers(x), lambda n: (F.length(n) <= 3) & (n.try_cast("int") <= 255))
+    coded = lambda x: F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(numbers(x), lambda n: F.lpad(F.hex(n.cast("long")), 2, "0")), ""))), "[\r\n]", "")
+    part = lambda x: F.when(x.startswith("[") & x.endswith("]") & whole(x), F.concat(F.lit('"'), coded(x), F.lit('"'))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_JSON_PARTS), F.lit(0)), part), "")
+
+
 def json_pointer(json: Column, pointer: str) -> Column:
     """X4"""
     return F.get_json_object(json, json_path(pointer))

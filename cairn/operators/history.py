@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.series import previous_row
+from cairn.sources.state_table import StateTable
+
 KEY, VERSION, CHECKPOINT = "object_id", "object_version", "checkpoint_sequence_number"
 
 
@@ -95,16 +98,25 @@ def past_objects(requests: DataFrame, history: DataFrame, key: str = KEY, versio
 
 def old_owner(rows: DataFrame, columns: list[str], key: str = KEY, version: str = VERSION) -> DataFrame:
     """Rows with each column's value in the version before, as old_<column>."""
-    before = Window.partitionBy(key).orderBy(version)
-    return rows.withColumns({f"old_{c}": F.lag(c).over(before) for c in columns})
+    return _with_old(rows, columns, key, version).drop("__before")
+
+
+def _with_old(rows: DataFrame, columns: list[str], key: str, version: str) -> DataFrame:
+    found = previous_row(rows, [key], version, columns, "__before")
+    return found.withColumns({f"old_{c}": F.col(f"__before.{c}") for c in columns})
 
 
 def change_log(rows: DataFrame, deleted: DataFrame, columns: list[str], key: str = KEY, version: str = VERSION) -> DataFrame:
     """The history that a change capture keeps: inserts and updates with the owner before, without objects in deleted."""
     kept = rows.join(deleted.select(key), key, "left_anti")
-    out = old_owner(kept, columns, key, version)
-    first = F.row_number().over(Window.partitionBy(key).orderBy(version)) == 1
-    return out.withColumn("operation", F.when(first, "INSERT").otherwise("UPDATE"))
+    first = F.col("__before").isNull()
+    return _with_old(kept, columns, key, version).withColumn("operation", F.when(first, "INSERT").otherwise("UPDATE")).drop("__before")
+
+
+def fold_into(table: StateTable, batch: int, history: DataFrame, start: int, end: int, checkpoint: str = CHECKPOINT) -> int:
+    """A stored snapshot after the history of checkpoints [start, end), by writing only the buckets whose objects changed; their number."""
+    changed = latest_version(history.where((F.col(checkpoint) >= start) & (F.col(checkpoint) < end)))
+    return table.merge(batch, changed, lambda old, new: latest_version(old.unionByName(new)))
 
 
 def object_changes(changes: DataFrame, previous: DataFrame) -> DataFrame:

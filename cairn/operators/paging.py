@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import materialize, release
+
 
 def _past(keys: list[str], cursor: tuple, descending: bool, inclusive: bool) -> Column:
     """L3: keys after the cursor in lexicographic order, spelled out so that the scan can use the first one."""
@@ -81,26 +82,36 @@ def by_gas_price(tx: DataFrame, price: str, order: list[str], commit: str | None
     return ranked.orderBy(*keys).drop("__p")
 
 
+def _with_edges(nodes: DataFrame, edges: DataFrame, group: str, node: str, depends_on: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (n, d) between nodes, with the groups g of n and h of d; and the nodes as n and g, each once."""
+    at = nodes.select(F.col(node).alias("n"), F.col(group).alias("g")).distinct()
+    known = edges.select(F.col(node).alias("n"), F.col(depends_on).alias("d")).distinct().join(at, "n")
+    return known.join(at.select(F.col("n").alias("d"), F.col("g").alias("h")), "d"), at
+
+
 def causal_order(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx", depends_on: str = "depends_on") -> DataFrame:
     """A deterministic order within each group (one checkpoint's transactions, so of bounded size), from 0.
 
     From the smallest node that is not yet out: its dependencies that are not out come first, largest first, each
     after its own. Edges to nodes outside the group are ignored. A cycle, which no ledger has, is cut where it closes.
     """
-    inside = edges.select(F.col(node), F.col(depends_on)).join(nodes.select(group, F.col(node)), node).join(nodes.select(F.col(group).alias("__g"), F.col(node).alias(depends_on)), depends_on).where(f"{group} = __g")
-    listed = nodes.select(group, node).join(inside.groupBy(node).agg(F.collect_set(depends_on).alias("deps")), node, "left")
+    known, at = _with_edges(nodes, edges, group, node, depends_on)
     kinds = dict(nodes.dtypes)
-
-    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        deps = {n: sorted(d) if d is not None else [] for n, d in zip(pdf[node], pdf["deps"], strict=True)}
+    rows = at.select("g", "n", F.lit(None).cast(kinds[node]).alias("d")).union(known.where("g = h").select("g", "n", "d"))
+
+    def sort(t: pa.Table) -> pa.Table:
+        deps: dict = {}
+        for n, d in zip(t["n"].to_pylist(), t["d"].to_pylist(), strict=True):
+            deps.setdefault(n, []).extend([] if d is None else [d])
+        for d in deps.values():
+            d.sort()
         out: list = []
         seen = set()
         for start in sorted(deps):
             stack = [start] if start not in seen else []
             seen.add(start)
             while stack:
-                top = stack[-1]
-                rest = deps[top]
+                rest = deps[stack[-1]]
                 while rest and rest[-1] in seen:
                     rest.pop()
                 if rest:
@@ -108,30 +119,68 @@ def causal_order(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx
                     stack.append(rest.pop())
                 else:
                     out.append(stack.pop())
-        return pd.DataFrame({group: pdf[group].iloc[0], node: out, "position": range(len(out))})
-
-    return listed.groupBy(group).applyInPandas(sort, f"{group} {kinds[group]}, {node} {kinds[node]}, position long")
-
-
-def dependency_depth(nodes: DataFrame, edges: DataFrame, checkpoint, node: str = "tx", depends_on: str = "depends_on", together: int = 50) -> DataFrame:
-    """The longest path of dependencies below each node; nodes without any have 0.
-
-    One join a round, as many rounds as the longest path, each over the nodes that the round before reached; the largest
-    round of a node is its depth. ``checkpoint`` writes a round's table and reads it again, so that lineage stays short
-    and lost executors cost little. More rounds than nodes are a cycle: ValueError.
+        return pa.table([pa.array([t["g"][0].as_py()] * len(out), t.schema.field("g").type), pa.array(out, t.schema.field("n").type), pa.array(range(len(out)), pa.int64())], names=[group, node, "position"])
+
+    return rows.groupBy("g").applyInArrow(sort, f"{group} {kinds[group]}, {node} {kinds[node]}, position long")
+
+
+def _longest(t: pa.Table) -> pa.Table:
+    """n and depth: a group's longest paths, each node from its base on; a null depth is in a cycle or behind one."""
+    depth: dict = {}
+    behind: dict = {}
+    waits: dict = {}
+    for n, d, base in zip(t["n"].to_pylist(), t["d"].to_pylist(), t["base"].to_pylist(), strict=True):
+        if d is None:
+            depth[n] = base
+        else:
+            behind.setdefault(d, []).append(n)
+            waits[n] = waits.get(n, 0) + 1
+    ready = [n for n in depth if n not in waits]
+    for n in ready:
+        for m in behind.get(n, ()):
+            depth[m] = max(depth[m], depth[n] + 1)
+            waits[m] -= 1
+            if not waits[m]:
+                ready.append(m)
+    left = {n for n, w in waits.items() if w}
+    return pa.table([pa.array(list(depth), t.schema.field("n").type), pa.array([None if n in left else d for n, d in depth.items()], pa.int64())], names=["n", "depth"])
+
+
+def dependency_depth(nodes: DataFrame, edges: DataFrame, group: str, node: str = "tx", depends_on: str = "depends_on") -> DataFrame:
+    """The longest path of dependencies below each node; nodes without any have 0. Edges to unknown nodes are ignored.
+
+    Two levels: the paths inside a group (a checkpoint, or so many of them as a task can hold) are solved by one task; then
+    rounds go over the edges that cross groups, and only groups that such an edge lengthens are solved again. Their number
+    is at most that of groups along a path, whatever a group's size. A node depends on its own group and earlier ones,
+    as in a ledger: an edge to a later group and a cycle are a ValueError.
     """
-    n_nodes, frontier = nodes.count(), nodes.select(node)
-    levels = [frontier.withColumn("depth", F.lit(0).cast("long"))]
-    deepest = lambda: reduce(DataFrame.union, levels).groupBy(node).agg(F.max("depth").alias("depth"))
-    for level in count(1):
-        frontier = checkpoint(edges.join(frontier.select(F.col(node).alias(depends_on)), depends_on, "left_semi").select(node).distinct())
-        if frontier.isEmpty():
-            return deepest().join(nodes.select(node).distinct(), node, "left_semi")
-        if level > n_nodes:
+    known, at = _with_edges(nodes, edges, group, node, depends_on)
+    kind = dict(at.dtypes)["n"]
+    known, at = materialize(known, "depth-edges"), materialize(at, "depth-nodes")
+    if not known.where("g < h").isEmpty():
+        raise ValueError("a node depends on one of a later group")
+    inside, across = known.where("g = h").select("g", "n", "d"), known.where("g > h").select("n", "d")
+
+    def solved(some: DataFrame) -> DataFrame:
+        """some has n, g and base."""
+        rows = some.select("g", "n", F.lit(None).cast(kind).alias("d"), "base").union(inside.join(some.select("g").distinct(), "g", "left_semi").select("g", "n", "d", F.lit(None).cast("long")))
+        found = materialize(rows.groupBy("g").applyInArrow(_longest, f"n {kind}, depth long").join(some, "n"), "depths")
+        if not found.where("depth is null").isEmpty():
             raise ValueError("the dependencies have a cycle")
-        levels.append(frontier.withColumn("depth", F.lit(level).cast("long")))
-        if len(levels) > together:
-            levels = [checkpoint(deepest())]
+        return found
+
+    depths = changed = solved(at.withColumn("base", F.lit(0).cast("long")))
+    while True:
+        asked = across.join(changed.select(F.col("n").alias("d"), "depth"), "d").groupBy("n").agg((F.max("depth") + 1).alias("need"))
+        longer = materialize(depths.select("n", "g", "depth", "base").join(asked, "n").where("need > depth"), "longer")
+        if longer.isEmpty():
+            return depths.select(F.col("n").alias(node), "depth")
+        touched = longer.select("g").distinct()
+        based = depths.join(touched, "g", "left_semi").join(longer.select("n", "need"), "n", "left").select("n", "g", F.greatest("base", "need").alias("base"), F.col("depth").alias("before"))
+        again = solved(based)
+        old, changed = depths, again.where("depth > before")
+        depths = materialize(old.join(touched, "g", "left_anti").select("n", "g", "base", "depth").unionByName(again.select("n", "g", "base", "depth")), "depths")
+        release(old, longer)
 
 
 def array_page(rows: DataFrame, array: str, start: int, limit: int) -> DataFrame:

@@ -71,3 +71,35 @@ def row_numbers(rows: DataFrame, by: list[str], order: list[str], name: str, per
     out = cut.alias("x").join(per.alias("y"), same_group("x", "y", [*by, "__b"])).select("x.*", "y.__o")
     inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))
     return out.withColumn(name, (F.coalesce("__o", F.lit(0)) + inside - 1).cast("long")).select(*rows.columns, name)
+
+
+def previous_row(rows: DataFrame, by: list[str], order: str, columns: list[str], name: str, per_octave: int = 64) -> DataFrame:
+    """rows with, as a struct ``name``, the columns of the row before in each group, by the number ``order``; null for its first.
+
+    A group is cut by the order's magnitude, and one row goes over each cut, so that a hot group is no task of its own.
+    """
+    cut = rows.withColumns({"__b": magnitude(F.col(order), per_octave), "__v": F.struct(*columns)})
+    per = cut.groupBy(*by, "__b").agg(F.max_by("__v", order).alias("__last"))  # a few hundred rows for each group at most
+    per = per.select(*by, "__b", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b")).alias("__before"))
+    out = cut.alias("x").join(per.alias("y"), same_group("x", "y", [*by, "__b"])).select("x.*", "y.__before")
+    at = Window.partitionBy(*by, "__b").orderBy(order)
+    return out.withColumn(name, F.when(F.row_number().over(at) == 1, F.col("__before")).otherwise(F.lag("__v").over(at))).select(*rows.columns, name)
+
+
+def runs(rows: DataFrame, by: list[str], seq: str, width: int = 1_000_000) -> DataFrame:
+    """by, low and high (exclusive) of the runs of consecutive numbers in each group; a run ends at multiples of ``width``, too.
+
+    A task sees the numbers of one group and stretch of ``width``; join_runs() puts what touches together.
+    """
+    numbers = rows.where(F.col(seq).isNotNull()).select(*by, F.col(seq).cast("long").alias("__n")).distinct().withColumn("__b", F.floor(F.col("__n") / width))
+    island = F.col("__n") - F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__n"))
+    return numbers.withColumn("__i", island).groupBy(*by, "__b", "__i").agg(F.min("__n").alias("low"), (F.max("__n") + 1).alias("high")).select(*by, "low", "high")
+
+
+def join_runs(found: DataFrame, by: list[str]) -> DataFrame:
+    """Runs [low, high) of each group that overlap or touch, put together. A group's runs are one more than its gaps at least."""
+    order = Window.partitionBy(*by).orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = found.withColumn("__new", F.when(reach >= F.col("low"), 0).otherwise(1))
+    numbered = begins.withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "__i").agg(F.min("low").alias("low"), F.max("high").alias("high")).select(*by, "low", "high")

@@ -43,7 +43,7 @@ def estimated_stakes(stakes: DataFrame, rates: DataFrame, current_epoch: int) ->
     active = F.col("activation_epoch") <= current_epoch
     reward = F.greatest(F.lit(0), F.floor((F.col("activation_rate") / F.col("latest_rate") - 1) * F.col("principal") + 0.5).cast("long"))
     return joined.select(
-        "stake_id", "pool_id", "principal", F.when(active, "Active").otherwise("Pending").alias("status"),
+        *[c for c in stakes.columns if c != "activation_epoch"], F.when(active, "Active").otherwise("Pending").alias("status"),
         F.greatest(F.col("activation_epoch") - 1, F.lit(0)).alias("request_epoch"), F.when(active, reward).alias("estimated_reward"),
     )
 

@@ -118,8 +118,9 @@ def range_average(samples: DataFrame, ts: str, value: str, start: int, end: int,
 
 
 def histograms_only(families: DataFrame, kind: str = "type", samples: str = "samples") -> DataFrame:
-    """Histogram families with samples."""
-    return families.where((F.col(kind) == "histogram") & (F.size(samples) > 0))
+    """Histogram families with samples; samples is their number, or an array of them."""
+    n = F.size(samples) if dict(families.dtypes)[samples].startswith("array") else F.col(samples)
+    return families.where((F.col(kind) == "histogram") & (n > 0))
 
 
 def with_labels(families: DataFrame, labels: dict[str, str], column: str = "labels") -> DataFrame:

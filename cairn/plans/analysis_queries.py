@@ -26,14 +26,14 @@ def _(t):
     return s.consecutive_apys(slow_rates(t), 3).withColumn("apy", F.round("apy", 9))
 
 
-@query("a17_validator_apy", f"WITH {APYS} SELECT pool_id, round(coalesce(avg(apy), 'NaN'::DOUBLE), 9) AS apy FROM (SELECT DISTINCT pool_id FROM fx_rate) LEFT JOIN k USING (pool_id) GROUP BY 1")
+@query("a17_validator_apy", f"WITH {APYS} SELECT pool_id, round(coalesce(avg(apy), 'NaN'::DOUBLE), 9) AS apy, CAST(floor(avg(apy) * 10000) AS BIGINT) AS apy_bps FROM (SELECT DISTINCT pool_id FROM fx_rate) LEFT JOIN k USING (pool_id) GROUP BY 1")
 def _(t):
-    return s.validator_apy(slow_rates(t), 3).select("pool_id", F.round("apy", 9).alias("apy"))
+    return s.validator_apy(slow_rates(t), 3).select("pool_id", F.round("apy", 9).alias("apy"), "apy_bps")
 
 
 RATED = """a AS (SELECT st.*, coalesce(r.rate, 1.0) AS ra, coalesce(l.rate, 1.0) AS rl FROM fx_stake st LEFT JOIN fx_rate r ON r.pool_id = st.pool_id AND r.epoch = st.activation_epoch
   LEFT JOIN (SELECT pool_id, arg_max(rate, epoch) AS rate FROM fx_rate GROUP BY 1) l ON l.pool_id = st.pool_id),
-  e AS (SELECT stake_id, pool_id, principal, CASE WHEN activation_epoch <= 29 THEN 'Active' ELSE 'Pending' END AS status, greatest(activation_epoch - 1, 0) AS request_epoch,
+  e AS (SELECT stake_id, owner, pool_id, principal, CASE WHEN activation_epoch <= 29 THEN 'Active' ELSE 'Pending' END AS status, greatest(activation_epoch - 1, 0) AS request_epoch,
   CASE WHEN activation_epoch <= 29 THEN greatest(0, CAST(floor((ra / rl - 1) * principal + 0.5) AS BIGINT)) END AS estimated_reward FROM a)"""
 
 
@@ -47,12 +47,13 @@ def _(t):
     return s.estimated_stakes(t.fx_stake, t.fx_rate, 29)
 
 
-@query("a18_stakes_by_pool", f"WITH {RATED} SELECT pool_id, count(*) AS stakes, string_agg(CAST(stake_id AS VARCHAR), ',' ORDER BY stake_id) AS ids, CAST(sum(principal) AS BIGINT) AS principal, CAST(coalesce(sum(estimated_reward), 0) AS BIGINT) AS reward FROM e GROUP BY 1")
+@query("a18_stakes_by_pool", f"WITH {RATED} SELECT owner, pool_id, count(*) AS stakes, string_agg(CAST(stake_id AS VARCHAR), ',' ORDER BY stake_id) AS ids, CAST(sum(principal) AS BIGINT) AS principal, CAST(coalesce(sum(estimated_reward), 0) AS BIGINT) AS reward FROM e GROUP BY 1, 2")
 def _(t):
-    pools = s.delegated_stakes(t.fx_stake, t.fx_rate, 29, ["pool_id"])
+    """Each owner's stakes by pool."""
+    pools = s.delegated_stakes(t.fx_stake, t.fx_rate, 29, ["owner", "pool_id"])
     total = lambda c: F.aggregate("stakes", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
     ids = F.array_join(F.transform("stakes", lambda x: x["stake_id"].cast("string")), ",")
-    return pools.select("pool_id", F.size("stakes").cast("long").alias("stakes"), ids.alias("ids"), total("principal").alias("principal"), total("estimated_reward").alias("reward"))
+    return pools.select("owner", "pool_id", F.size("stakes").cast("long").alias("stakes"), ids.alias("ids"), total("principal").alias("principal"), total("estimated_reward").alias("reward"))
 
 
 @query("a19_sub_balances", f"""WITH {RATED} SELECT 'Stake' AS kind, CAST(coalesce(sum(principal) FILTER (status = 'Active'), 0) AS BIGINT) AS value FROM e
@@ -215,8 +216,8 @@ def _(t):
 @query("t7_histogram_families", "SELECT event_type AS name, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1")
 def _(t):
     kind = F.when(F.col("user_id") % 3 == 0, "histogram").otherwise("gauge")
-    families = t.events.groupBy("user_id", F.col("event_type").alias("name"), kind.alias("type")).agg(F.collect_list("value").alias("samples"))  # one user's samples each
-    return tel.histograms_only(families).groupBy("name").agg(F.sum(F.size("samples")).alias("n"))
+    families = t.events.groupBy("user_id", F.col("event_type").alias("name"), kind.alias("type")).agg(F.count("value").alias("samples"))
+    return tel.histograms_only(families).groupBy("name").agg(F.sum("samples").alias("n"))
 
 
 @query("a24_upper_median", """WITH l AS (SELECT event_type AS ticker, user_id, arg_max(struct_pack(t := CAST(epoch_us(ts) // 1000 AS BIGINT), v := event_id), event_id) AS x FROM events GROUP BY ALL),
@@ -257,6 +258,20 @@ def _(t):
     return t.orders.select("o_orderkey", sc.bytes_to_base64(json, "/a/b").alias("b64"))
 
 
+B64 = "to_base64(unhex(concat(printf('%02x', {} % 256), printf('%02x', {} % 256))))"
+
+
+@query("x3_bytes_anywhere", f"""SELECT o_orderkey, concat('{{{{"a":{{{{"b":"', {B64.format("o_orderkey", "o_custkey")}, '"}}}},"s":"[1,2] \\"[3]","n":["', {B64.format("o_custkey", "o_custkey")}, '",[300,', o_custkey % 7, ']],"e":"","m":[{{{{"x":"',
+  {B64.format("o_custkey", "o_orderkey")}, '"}}}},[1,"y","', to_base64(unhex(printf('%02x', o_orderkey % 256))), '",-1,2.5,null]],"z":[["AAE="],[1,[true]]]}}}}') AS json FROM orders""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
+def _(t):
+    """Arrays of bytes at any depth, inside strings, beside larger numbers, and empty ones."""
+    n = lambda c: (F.col(c) % 256).cast("string")
+    text = ['{"a":{"b":[', n("o_orderkey"), ", ", n("o_custkey"), ']},"s":"[1,2] \\"[3]","n":[[', n("o_custkey"), ",", n("o_custkey"), "],[300,", (F.col("o_custkey") % 7).cast("string"), ']],"e":[],"m":[{"x":[',
+            n("o_custkey"), " ,", n("o_orderkey"), ']},[1,"y",[', n("o_orderkey"), '],-1,2.5,null]],"z":[[[0,1]],[1,[true]]]}']
+    json = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text])
+    return t.orders.select("o_orderkey", sc.byte_arrays_to_base64(json).alias("json"))
+
+
 @query("x4_x5_x6_parsing", """SELECT tx_sequence_number, json_extract_string(parsed_json, '$.k') AS k, split_part(event_type, '::', 1) AS package, split_part(event_type, '::', 2) AS module, split_part(event_type, '::', 3) AS name,
   epoch_ms(timestamp_ms) AS at FROM fx_event""")
 def _(t):

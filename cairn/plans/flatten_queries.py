@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from cairn.operators import flatten as fl
 from cairn.plans.registry import Tables, query
 
+#: Order keys of a checkpoint: as many transactions in a nested record at most.
+PER_CHECKPOINT = 64
+
 
 def checkpoint_records(t: Tables) -> DataFrame:
-    """Nested records: an order is a transaction, its lines its commands, inputs and outputs, its date the checkpoint."""
+    """Nested records: an order is a transaction, its lines its commands, inputs and outputs. A checkpoint has a bounded number of orders."""
     n, key = F.col("l_linenumber"), F.col("l_partkey").cast("string")
     line = F.struct(
         n.alias("n"), key.alias("id"), F.col("l_suppkey").cast("string").alias("owner"), F.col("l_quantity").cast("decimal(20,0)").alias("q"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("st"),
@@ -42,19 +45,19 @@ def checkpoint_records(t: Tables) -> DataFrame:
             F.when(x["n"] == 3, F.element_at("lines", 1)["id"]).alias("df_object_id"),
         )).alias("output_objects"),
     )
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    by_day = orders.select(day.alias("seq"), tx.alias("tx"), F.col("o_totalprice").cast("decimal(20,0)").alias("price")).groupBy("seq").agg(F.collect_list("tx").alias("transactions"), F.sum("price").cast("decimal(20,0)").alias("price"))
+    number = F.floor(F.col("o_orderkey") / PER_CHECKPOINT).cast("long")
+    records = orders.select(number.alias("seq"), tx.alias("tx"), F.col("o_totalprice").cast("decimal(20,0)").alias("price")).groupBy("seq").agg(F.collect_list("tx").alias("transactions"), F.sum("price").cast("decimal(20,0)").alias("price"))
     seq = F.col("seq")
     summary = F.struct(
         seq.alias("sequence_number"), F.floor(seq / 30).cast("long").alias("epoch"), (seq * 86_400_000).alias("timestamp_ms"), F.concat(F.lit("d"), seq.cast("string")).alias("digest"),
         F.when(seq > 0, F.concat(F.lit("d"), (seq - 1).cast("string"))).alias("previous_digest"), (seq % 30 == 29).alias("end_of_epoch"),
         F.struct(F.col("price").alias("computation"), F.lit(7).cast("decimal(20,0)").alias("storage"), F.lit(5).cast("decimal(20,0)").alias("rebate"), F.lit(1).cast("decimal(20,0)").alias("non_refundable")).alias("gas"),
     )
-    return by_day.select(summary.alias("summary"), "transactions")
+    return records.select(summary.alias("summary"), "transactions")
 
 
-DAY = "CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)"
-TX = f"""x AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS transaction_digest, {DAY} AS checkpoint, {DAY} // 30 AS epoch, {DAY} * 86400000 AS timestamp_ms, CAST(o_custkey AS VARCHAR) AS sender,
+NUMBER = f"CAST(o_orderkey // {PER_CHECKPOINT} AS BIGINT)"
+TX = f"""x AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS transaction_digest, {NUMBER} AS checkpoint, {NUMBER} // 30 AS epoch, {NUMBER} * 86400000 AS timestamp_ms, CAST(o_custkey AS VARCHAR) AS sender,
   o_orderpriority AS transaction_kind, o_orderkey % 10 = 0 AS is_system_txn, o_orderstatus <> 'P' AS execution_success, o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN 'sponsor' ELSE CAST(o_custkey AS VARCHAR) END AS gas_owner
   FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
   l AS (SELECT x.*, l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS id, CAST(l_suppkey AS VARCHAR) AS owner, l_returnflag AS flag, l_linestatus AS st, CAST(round(l_quantity) AS DECIMAL(20,0)) AS q,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairn.operators import history as h
 from cairn.operators import joins as j
 from cairn.operators.metrics import available_range
 from cairn.plans.registry import query
+from cairn.sources.shared import shared_dir
+from cairn.sources.state_table import StateTable
 
 COLUMNS = "object_id, object_version, object_status, checkpoint_sequence_number, owner_type, owner_id, object_type, coin_type, coin_balance"
 LATEST = "QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY object_version DESC) = 1"
@@ -57,13 +61,11 @@ def _(t):
 
 
 @query("c1_objects_at_consistent", at_sql("object_status = 0"))
-@query("c1_objects_at_consistent_all", at_sql("object_status = 0"))
 def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS)
 
 
 @query("c1_objects_at_historical", at_sql("object_status = 0", False))
-@query("c1_objects_at_historical_all", at_sql("object_status = 0", False))
 def _(t):
     return h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS, consistent=False)
 
@@ -93,7 +95,6 @@ AT_BALANCES = at_sql("object_status = 0", tail=f"SELECT owner_id, coin_type, {BA
 
 
 @query("a4_balances_at", AT_BALANCES)
-@query("a4_balances_at_all", AT_BALANCES)
 def _(t):
     return h.balances(h.objects_at(snapshot(t), t.fx_object_history, h.live(), LHS, RHS), ["owner_id"])
 
@@ -115,7 +116,6 @@ AT_FIELDS = at_sql("object_status = 0 AND owner_type = 2", tail="SELECT owner_id
 
 
 @query("c4_dynamic_fields_at", AT_FIELDS)
-@query("c4_dynamic_fields_at_all", AT_FIELDS)
 def _(t):
     found = h.objects_at(snapshot(t), t.fx_object_history, h.live() & (F.col("owner_type") == 2), LHS, RHS)
     return found.select(F.col("owner_id").alias("parent"), "object_id", "object_version")
@@ -127,6 +127,21 @@ def _(t):
     return h.fold_snapshot(snapshot(t), t.fx_object_history, LHS + 1, h.snapshot_due(LHS + 902, LHS + 1))
 
 
+@query("c5_incremental_fold", f"""WITH f AS (SELECT *, CASE WHEN checkpoint_sequence_number <= {LHS} THEN 0 ELSE 1 + (checkpoint_sequence_number - {LHS + 1}) // 200 END AS batch, object_id // 25 AS bucket
+  FROM fx_object_history WHERE checkpoint_sequence_number < {LHS + 601}), v AS (SELECT bucket, max(batch) AS version FROM f GROUP BY 1)
+  SELECT object_id, object_version, object_status, owner_id, version FROM (SELECT * FROM f {LATEST}) JOIN v USING (bucket)""")
+def _(t):
+    """A stored snapshot and three folds of 200 checkpoints into it, with the batch that wrote each object's bucket last."""
+    history = t.fx_object_history.select("object_id", "object_version", "object_status", "owner_id", "checkpoint_sequence_number")
+    bucket = F.floor(F.col("object_id") / 25)
+    table = StateTable(t.spark, f"{shared_dir(t.spark)}/cairn-c5-{uuid.uuid4().hex[:12]}", history.schema, bucket)
+    h.fold_into(table, 0, history, 0, LHS + 1)
+    for i in range(3):
+        h.fold_into(table, i + 1, history, LHS + 1 + 200 * i, LHS + 201 + 200 * i)
+    versions = table.history().where("batch = 3").select(F.col("bucket").alias("__b"), "version")
+    return table.read().withColumn("__b", bucket).join(versions, "__b").select("object_id", "object_version", "object_status", "owner_id", "version")
+
+
 @query("c6_past_objects", """WITH r AS (SELECT p_partkey AS object_id, p_partkey % 40 AS object_version FROM part) SELECT r.object_id, r.object_version,
   CASE WHEN object_status IS NULL THEN 'not_exists' WHEN object_status = 1 THEN 'deleted' ELSE 'exists' END AS outcome
   FROM r LEFT JOIN fx_object_history o ON o.object_id = r.object_id AND o.object_version = r.object_version""")

@@ -235,7 +235,6 @@ EDGES = """SELECT DISTINCT w.l_orderkey AS tx, r.l_orderkey AS depends_on FROM l
 
 
 @query("j17_staged_edges", EDGES)
-@query("j17_staged_edges_all", EDGES)
 def _(t):
     return edges_of(t.lineitem)
 
@@ -296,24 +295,51 @@ POSITIONS = """SELECT tx_sequence_number, row_number() OVER (ORDER BY checkpoint
 
 
 @query("l8_gas_price_order", POSITIONS)
-@query("l8_gas_price_order_all", POSITIONS)
 def _(t):
     return positions(t.fx_tx)
 
 
-# In the view a transaction depends on smaller numbers only, which are out before it.
-@query("l9_causal_order", "SELECT checkpoint_sequence_number, tx_sequence_number AS tx, row_number() OVER (PARTITION BY checkpoint_sequence_number ORDER BY tx_sequence_number) - 1 AS position FROM fx_tx")
+# Digests in an order of their own: a bijection of numbers.
+DIGEST = "{0} * 7919 % 1000003 + 1000003 * ({0} // 1000003)"
+MANY_DEPS = "dep AS (SELECT tx, depends_on FROM fx_dep UNION SELECT a.tx_sequence_number, b.tx_sequence_number FROM fx_tx a JOIN fx_tx b ON b.tx_sequence_number = a.tx_sequence_number - 2 AND a.checkpoint_sequence_number = b.checkpoint_sequence_number)"
+
+
+def digest(c: str):
+    return F.col(c) * 7919 % 1000003 + 1000003 * F.floor(F.col(c) / 1000003)
+
+
+def many_deps(t):
+    at = t.fx_tx.select(F.col("tx_sequence_number").alias("tx"), F.col("checkpoint_sequence_number").alias("c"))
+    two = at.select("tx", "c", (F.col("tx") - 2).alias("depends_on")).join(at.select(F.col("tx").alias("depends_on"), "c"), ["depends_on", "c"])
+    return t.fx_dep.select("tx", "depends_on").union(two.select("tx", "depends_on")).distinct()
+
+
+@query("l9_causal_order", f"""WITH RECURSIVE {MANY_DEPS}, n AS (SELECT checkpoint_sequence_number AS g, list({DIGEST.format("tx_sequence_number")} ORDER BY {DIGEST.format("tx_sequence_number")}) AS nodes FROM fx_tx GROUP BY 1),
+  d AS MATERIALIZED (SELECT {DIGEST.format("tx")} AS n, list({DIGEST.format("depends_on")} ORDER BY {DIGEST.format("depends_on")} DESC) AS deps FROM dep GROUP BY 1),
+  walk(g, nodes, stack, seen, done) AS (SELECT g, nodes, []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM n UNION ALL
+  SELECT g, nodes, CASE WHEN nxt IS NOT NULL THEN list_append(stack, nxt) ELSE stack[:-2] END, CASE WHEN nxt IS NOT NULL THEN list_append(seen, nxt) ELSE seen END, CASE WHEN nxt IS NULL THEN list_append(done, stack[-1]) ELSE done END
+  FROM (SELECT w.*, list_filter(CASE WHEN len(stack) = 0 THEN nodes ELSE deps END, lambda x: NOT list_contains(seen, x))[1] AS nxt FROM walk w LEFT JOIN d ON d.n = w.stack[-1]) WHERE len(stack) > 0 OR nxt IS NOT NULL),
+  f AS (SELECT g, unnest(done) AS tx, generate_subscripts(done, 1) - 1 AS position FROM walk WHERE len(done) = len(nodes))
+  SELECT g AS checkpoint_sequence_number, tx, position FROM f""")
 def _(t):
-    nodes = t.fx_tx.select("checkpoint_sequence_number", F.col("tx_sequence_number").alias("tx"))
-    return p.causal_order(nodes, t.fx_dep, "checkpoint_sequence_number")
+    """Digests that don't ascend with the dependencies, and up to two dependencies each."""
+    nodes = t.fx_tx.select("checkpoint_sequence_number", digest("tx_sequence_number").alias("tx"))
+    return p.causal_order(nodes, many_deps(t).select(digest("tx").alias("tx"), digest("depends_on").alias("depends_on")), "checkpoint_sequence_number")
 
 
 @query("l10_dependency_depth", """WITH RECURSIVE d(tx, depth) AS (SELECT tx_sequence_number, CAST(0 AS BIGINT) FROM fx_tx UNION SELECT e.tx, d.depth + 1 FROM d JOIN fx_dep e ON e.depends_on = d.tx)
   SELECT tx, max(depth) AS depth FROM d GROUP BY tx""")
 def _(t):
-    from cairn.sources.shared import materialize
+    return p.dependency_depth(t.fx_tx.select(F.col("tx_sequence_number").alias("tx"), "checkpoint_sequence_number"), t.fx_dep, "checkpoint_sequence_number")
 
-    return p.dependency_depth(t.fx_tx.select(F.col("tx_sequence_number").alias("tx")), t.fx_dep, lambda d: materialize(d, "depth"))
+
+@query("l10_depth_across_checkpoints", """WITH RECURSIVE e AS MATERIALIZED (SELECT tx, depends_on FROM fx_dep UNION ALL SELECT a.tx_sequence_number, b.tx_sequence_number FROM fx_tx a JOIN fx_tx b ON b.tx_sequence_number = a.tx_sequence_number - 90 - a.gas_price % 5),
+  d(tx, depth) AS (SELECT tx_sequence_number, CAST(0 AS BIGINT) FROM fx_tx UNION SELECT e.tx, d.depth + 1 FROM d JOIN e ON e.depends_on = d.tx) SELECT tx, max(depth) AS depth FROM d GROUP BY tx""")
+def _(t):
+    """Edges that cross checkpoints, too; a task holds a hundred checkpoints."""
+    nodes = t.fx_tx.select(F.col("tx_sequence_number").alias("tx"), F.floor(F.col("checkpoint_sequence_number") / 100).alias("part"))
+    far = t.fx_tx.select(F.col("tx_sequence_number").alias("tx"), (F.col("tx_sequence_number") - 90 - F.col("gas_price") % 5).alias("depends_on"))
+    return p.dependency_depth(nodes, t.fx_dep.select("tx", "depends_on").union(far), "part")
 
 
 @query("l11_array_page", """SELECT o_custkey, keys[3:4] AS keys, len(keys) > 0 AS has_prev, len(keys) > 4 AS has_next FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS keys FROM orders GROUP BY 1)""")

@@ -6,18 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cairn.operators import flatten as fl
 from cairn.operators import metrics as m
 from cairn.operators import telemetry as tel
+from cairn.operators.cuts import rolling_cut
 from cairn.operators.history import fold_point, latest_version
 from cairn.operators.quality import checksum_failures
 from cairn.plans import views
+from cairn.plans.flatten_queries import STATUS, TX, checkpoint_records
 from cairn.plans.metric_queries import SEEN, SENDERS
 from cairn.plans.registry import Tables, query
+from cairn.sources import bounded, sinks
 from cairn.sources import checkpoints as src
-from cairn.sources import sinks
 from cairn.sources.shared import shared_dir
+from cairn.sources.state_table import StateTable
 from cairn.streaming import streams as st
+from cairn.streaming.windows import percentile_windows
 
 
 def fresh(t: Tables, name: str) -> str:
@@ -98,14 +104,23 @@ def _(t):
     return sinks.bucketed(t.fx_tx, cluster=["checkpoint_sequence_number"]).groupBy("epoch_bucket").agg(F.count("*").alias("n"))
 
 
-@query("s12_fanout", "SELECT 'tx' AS name, count(DISTINCT tx_sequence_number) AS n FROM fx_tx UNION ALL SELECT 'checkpoint', count(DISTINCT checkpoint_sequence_number) FROM fx_tx UNION ALL SELECT 'sender', count(DISTINCT sender) FROM fx_tx")
+@query("s11_bucketed_table", "SELECT tx_sequence_number, checkpoint_sequence_number, epoch FROM fx_tx WHERE epoch BETWEEN 8 AND 12 AND checkpoint_sequence_number >= 200")
 def _(t):
+    """Written in buckets of ten epochs, sorted by checkpoint, and read back for a range of both."""
+    path = fresh(t, "s11")
+    sinks.write_bucketed(t.fx_tx.select("tx_sequence_number", "checkpoint_sequence_number", "epoch"), path)
+    return sinks.read_bucketed(t.spark, path, "tx_sequence_number long, checkpoint_sequence_number long, epoch long", 8, 12).where("checkpoint_sequence_number >= 200")
+
+
+@query("s12_fanout", "SELECT DISTINCT 'tx' AS name, tx_sequence_number AS key, sender AS value FROM fx_tx UNION ALL SELECT DISTINCT 'checkpoint', checkpoint_sequence_number, epoch FROM fx_tx UNION ALL SELECT DISTINCT 'sender', sender, NULL FROM fx_tx")
+def _(t):
+    """Three keyed tables of one batch, row by row."""
     made = sinks.fanout(
         t.fx_tx,
-        {"tx": lambda d: d.select("tx_sequence_number", "sender"), "checkpoint": lambda d: d.select("checkpoint_sequence_number"), "sender": lambda d: d.select("sender")},
-        {"tx": ["tx_sequence_number"], "checkpoint": ["checkpoint_sequence_number"], "sender": ["sender"]},
+        {"tx": lambda d: d.select(F.col("tx_sequence_number").alias("key"), F.col("sender").alias("value")), "checkpoint": lambda d: d.select(F.col("checkpoint_sequence_number").alias("key"), F.col("epoch").alias("value")), "sender": lambda d: d.select(F.col("sender").alias("key"), F.lit(None).cast("long").alias("value"))},
+        {"tx": ["key"], "checkpoint": ["key"], "sender": ["key"]},
     )
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in made.items()]
+    parts = [df.select(F.lit(name).alias("name"), "key", "value") for name, df in made.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -127,7 +142,6 @@ DUMPED = "SELECT p_partkey % 50 AS package_id, p_size AS package_version, p_name
 
 
 @query("s17_dump_packages", DUMPED)
-@query("s17_dump_packages_all", DUMPED)
 def _(t):
     return dumped(t, t.part, "s17")
 
@@ -173,10 +187,30 @@ def _(t):
     return finished(st.matched_subscriptions(event_stream(t), table, ["user_id"]).select("event_id", "subscriber"), t, "t2many")
 
 
+@query("t2_slow_subscribers", """WITH m AS (SELECT s_suppkey AS subscriber, s_suppkey % 3 = 0 AS slow, event_id, event_id % 3 AS batch FROM events JOIN supplier ON user_id = s_suppkey % 7),
+  r AS (SELECT *, row_number() OVER (PARTITION BY subscriber, batch ORDER BY event_id) AS i, row_number() OVER (PARTITION BY subscriber ORDER BY batch, event_id) AS upto FROM m),
+  d AS (SELECT subscriber, min(batch) FILTER (CASE WHEN slow THEN upto ELSE i END > 25) AS dropped FROM r GROUP BY 1)
+  SELECT subscriber, event_id, dropped IS NOT NULL AS dropped FROM r JOIN d USING (subscriber) WHERE CASE WHEN slow THEN upto ELSE i END <= 25 AND (dropped IS NULL OR batch <= dropped)""")
+def _(t):
+    """Three batches of events; a third of the subscribers takes nothing of what it is sent and is dropped at 25, the others go on."""
+    files = parted(t, t.events, ["event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2"], "t2files")
+    events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files).select("event_id", "user_id")
+    wanted = t.supplier.select(F.col("s_suppkey").alias("subscriber"), (F.col("s_suppkey") % 7).alias("user_id"))
+    taken = lambda batch: t.supplier.select(F.col("s_suppkey").alias("subscriber"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1 << 40).alias("taken"))
+    state, path = st.subscription_state(t.spark, fresh(t, "t2state"), wanted.schema["subscriber"].dataType), fresh(t, "t2sent")
+    st.subscribe(events, wanted, ["user_id"], "event_id", 25, taken, state, path, fresh(t, "progress")).awaitTermination()
+    sent = t.spark.read.schema(f"subscriber {wanted.schema['subscriber'].dataType.simpleString()}, event_id long").parquet(path)
+    return sent.join(state.read().select("subscriber", "dropped"), "subscriber").select("subscriber", "event_id", "dropped")
+
+
 @query("t3_watermark_stream", "SELECT event_type AS pipeline, min(user_id) + 1 AS watermark FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 23 <> 22) e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = e.event_type AND x.user_id = e.user_id + 1 AND x.user_id % 23 <> 22) GROUP BY 1")
 def _(t):
-    done = event_stream(t).where("user_id % 23 <> 22").select(F.col("event_type").alias("pipeline"), F.col("user_id").alias("seq"))
-    return finished(st.contiguous_watermark(done, "pipeline", "seq"), t, "t3", "update")
+    """Numbers arrive in three batches, out of order, so that runs grow together."""
+    files = parted(t, t.events.where("user_id % 23 <> 22"), ["event_id % 3 = 2", "event_id % 3 = 0", "event_id % 3 = 1"], "t3files")
+    done = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files).select(F.col("event_type").alias("pipeline"), F.col("user_id").alias("seq"))
+    table = st.run_state(t.spark, fresh(t, "t3"), "pipeline", T.StringType())
+    st.watermark_stream(done, "pipeline", "seq", table, fresh(t, "progress")).awaitTermination()
+    return st.watermarks(table, "pipeline")
 
 
 WINDOWED = "SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample"
@@ -189,29 +223,30 @@ def _(t):
     return tel.exact_percentiles(rows, "label", "point", (500, 950))
 
 
-@query("t5_window_stream", "SELECT label, day, CAST(sum(point) AS BIGINT) AS sum, count(*) AS count FROM (SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample) WHERE day < (SELECT max((ts_ms - 300000) // 86400000) FROM fx_sample) GROUP BY ALL")
-def _(t):
-    windows = st.windowed_percentiles(sample_stream(t), "at", "label", "point", width="1 day")
-    day = F.floor(F.unix_millis("window.start") / 86_400_000)
-    return finished(windows, t, "t5").select("label", day.alias("day"), "sum", "count")
+HOURS = """s AS (SELECT label, ts_ms // 3600000 AS hour, point FROM fx_sample), last AS (SELECT max(ts_ms - 300000) // 3600000 AS last FROM fx_sample),
+  r AS (SELECT label, hour, point, row_number() OVER (PARTITION BY label, hour ORDER BY point) - 1 AS i, count(*) OVER (PARTITION BY label, hour) AS n FROM s),
+  w AS (SELECT label, hour, max(point) FILTER (i = n * 500 // 1000) AS p50, max(point) FILTER (i = n * 990 // 1000) AS p99, CAST(sum(point) AS BIGINT) AS sum, count(*) AS count FROM r GROUP BY ALL),
+  k AS (SELECT label, unnest(range(min(hour), (SELECT last FROM last))) AS hour FROM s GROUP BY label)"""
 
 
-CEILED = "list_sort(list(point))[greatest(1, CAST(ceil(count(*) * {} / 1000.0) AS BIGINT))]"
+@query("t5_window_percentiles", f"WITH {HOURS} SELECT label, hour, coalesce(p50, 0) AS p50, coalesce(p99, 0) AS p99, coalesce(sum, 0) AS sum, coalesce(count, 0) AS count FROM k LEFT JOIN w USING (label, hour)")
+def _(t):
+    """Hours that the watermark has passed, exact percentiles, and zeros where a label that is known is silent."""
+    found = finished(percentile_windows(sample_stream(t), "at", "label", "point", (500, 990), 3_600_000), t, "t5marks")
+    return found.select("label", F.floor(F.col("start") / 3_600_000).alias("hour"), F.col("percentiles")[0].alias("p50"), F.col("percentiles")[1].alias("p99"), "sum", "count")
 
 
-@query("t5_window_percentiles", f"""SELECT label, day, {CEILED.format(500)} AS p50, {CEILED.format(990)} AS p99 FROM (SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample)
-  WHERE day < (SELECT max((ts_ms - 300000) // 86400000) FROM fx_sample) GROUP BY ALL""")
+@query("t5_window_stream", "SELECT label, day, CAST(sum(point) AS BIGINT) AS sum, count(*) AS count FROM (SELECT label, ts_ms // 86400000 AS day, point FROM fx_sample) WHERE day < (SELECT max(ts_ms - 300000) // 86400000 FROM fx_sample) GROUP BY ALL")
 def _(t):
-    windows = st.windowed_percentiles(sample_stream(t), "at", "label", "point", (500, 990), "1 day")
-    marks = F.col("percentiles")
-    return finished(windows, t, "t5marks").select("label", F.floor(F.unix_millis("window.start") / 86_400_000).alias("day"), marks[0].alias("p50"), marks[1].alias("p99"))
+    found = finished(percentile_windows(sample_stream(t), "at", "label", "point", width_ms=86_400_000), t, "t5").where("count > 0")
+    return found.select("label", F.floor(F.col("start") / 86_400_000).alias("day"), "sum", "count")
 
 
-@query("t5_zero_filled", """WITH w AS (SELECT label, ts_ms // 3600000 AS hour, sum(point) AS sum, count(*) AS count FROM fx_sample GROUP BY ALL)
-  SELECT l.label, h.hour, CAST(coalesce(w.sum, 0) AS BIGINT) AS sum, coalesce(w.count, 0) AS count FROM (SELECT DISTINCT label FROM w) l CROSS JOIN (SELECT DISTINCT hour FROM w) h LEFT JOIN w ON w.label = l.label AND w.hour = h.hour""")
+@query("t5_zero_filled", f"WITH {HOURS} SELECT label, hour, coalesce(sum, 0) AS sum, coalesce(count, 0) AS count FROM k LEFT JOIN w USING (label, hour)")
 def _(t):
     hours = t.fx_sample.groupBy("label", F.floor(F.col("ts_ms") / 3_600_000).alias("window")).agg(F.sum("point").alias("sum"), F.count("*").alias("count"))
-    return st.zero_filled(hours, t.fx_sample.select("label").distinct(), "label").withColumnRenamed("window", "hour")
+    last = t.fx_sample.agg(F.floor((F.max("ts_ms") - 300_000) / 3_600_000))
+    return st.zero_filled(hours, "label", last).withColumnRenamed("window", "hour")
 
 
 @query("t6_late_samples", """WITH x AS (SELECT event_type AS label, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_id % 2 AS odd, event_id % 4 <> 2 AS part FROM events),
@@ -223,8 +258,8 @@ def _(t):
     path = parted(t, t.events, ["event_id % 2 = 1", "event_id % 4 = 0", "event_id % 4 = 2"], "t6")
     stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     samples = stream.select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"), F.lit(1).cast("long").alias("point"))
-    windows = finished(st.windowed_percentiles(samples, "at", "label", "point", width="1 day"), t, "t6out")
-    return windows.select("label", F.floor(F.unix_millis("window.start") / 86_400_000).alias("day"), "count")
+    found = finished(percentile_windows(samples, "at", "label", "point", width_ms=86_400_000), t, "t6out").where("count > 0")
+    return found.select("label", F.floor(F.col("start") / 86_400_000).alias("day"), "count")
 
 
 @query("t8_after_cursor", """WITH c AS (SELECT 'm' || i AS module, i * 700 AS cursor_tx FROM range(5) r(i)), f AS (SELECT e.module, e.tx_sequence_number AS tx, max(e.tx_sequence_number) OVER (PARTITION BY e.module) AS last
@@ -236,22 +271,48 @@ def _(t):
     return st.after_cursor(events, cursors).select("module", "tx")
 
 
+SEEN_SCHEMA = "address long, first_appearance_tx long, first_appearance_time long, last_appearance_tx long, last_appearance_time long"
+
+
+def seen_table(t: Tables, name: str) -> StateTable:
+    return StateTable(t.spark, fresh(t, name), T.StructType.fromDDL(SEEN_SCHEMA), StateTable.hashed(["address"], 64))
+
+
+def senders_seen(d: DataFrame) -> DataFrame:
+    return m.first_last_seen(d, "sender", "tx_time_ms", "tx_sequence_number")
+
+
 @query("t10_incremental_rollup", SEEN.format(SENDERS))
 def _(t):
-    path = fresh(t, "t10")
-    aggregate = lambda d: m.first_last_seen(d, "sender", "tx_time_ms", "tx_sequence_number")
-    st.rollup_stream(tx_stream(t), aggregate, m.merge_seen, path, fresh(t, "progress")).awaitTermination()
-    return st.latest_rollup(t.spark, path)
+    table = seen_table(t, "t10")
+    st.rollup_stream(tx_stream(t), senders_seen, m.merge_seen, table, fresh(t, "progress")).awaitTermination()
+    return table.read()
 
 
 @query("t10_rollup_of_batches", SEEN.format(SENDERS))
 def _(t):
     """The same where events arrive in two batches, so that the second is merged."""
-    path, files = fresh(t, "t10"), parted(t, t.events, ["user_id % 3 = 0 and event_id % 2 = 0", "user_id % 3 <> 0 or event_id % 2 <> 0"], "t10files")
+    table, files = seen_table(t, "t10"), parted(t, t.events, ["user_id % 3 = 0 and event_id % 2 = 0", "user_id % 3 <> 0 or event_id % 2 <> 0"], "t10files")
     events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files)
     tx = t.spark.sql(views.spark_sql("fx_tx").replace("FROM events", "FROM {events}"), events=events)
-    st.rollup_stream(tx, lambda d: m.first_last_seen(d, "sender", "tx_time_ms", "tx_sequence_number"), m.merge_seen, path, fresh(t, "progress")).awaitTermination()
-    return st.latest_rollup(t.spark, path)
+    st.rollup_stream(tx, senders_seen, m.merge_seen, table, fresh(t, "progress")).awaitTermination()
+    return table.read()
+
+
+@query("t10_written_buckets", """WITH b AS (SELECT epoch // 10 AS batch, checkpoint_sequence_number // 100 AS bucket, checkpoint_sequence_number AS c, count(*) AS n FROM fx_tx GROUP BY ALL)
+  SELECT bucket, max(batch) AS version, CAST(sum(n) AS BIGINT) AS total_transaction_blocks FROM b GROUP BY 1""")
+def _(t):
+    """Counts by checkpoint in buckets of a hundred, a batch for each ten epochs: what a bucket's version says is the last batch that touched it."""
+    schema = T.StructType.fromDDL("checkpoint_sequence_number long, total_transaction_blocks long")
+    table = StateTable(t.spark, fresh(t, "t10b"), schema, F.floor(F.col("checkpoint_sequence_number") / 100))
+    added = lambda old, new: old.unionByName(new).groupBy("checkpoint_sequence_number").agg(F.sum("total_transaction_blocks").alias("total_transaction_blocks"))
+    last = t.fx_tx.agg(F.max("epoch")).first()[0]
+    for batch in [*range(last // 10 + 1), last // 10]:  # the last one is tried twice
+        new = t.fx_tx.where(F.floor(F.col("epoch") / 10) == batch).groupBy("checkpoint_sequence_number").agg(F.count("*").alias("total_transaction_blocks"))
+        table.merge(batch, new, added)
+    versions = table.history().where(F.col("batch") == last // 10).select("bucket", "version")
+    counts = table.read().groupBy(F.floor(F.col("checkpoint_sequence_number") / 100).alias("bucket")).agg(F.sum("total_transaction_blocks").alias("total_transaction_blocks"))
+    return versions.join(counts, "bucket")
 
 
 @query("t10_tx_count_stream", """SELECT checkpoint_sequence_number, count(*) AS total_transaction_blocks, count_if(execution_success) AS total_successful_transaction_blocks,
@@ -279,12 +340,27 @@ def _(t):
     return found.select(F.col("file_sequence").alias("seq"), "summary.epoch")
 
 
-@query("s7_rolling_cut", """WITH r AS (SELECT epoch, tx_time_ms, row_number() OVER w - 1 AS i, CAST(sum(command_count) OVER w AS BIGINT) - command_count AS bytes, min(tx_time_ms) OVER (PARTITION BY epoch) AS first
-  FROM fx_tx WINDOW w AS (PARTITION BY epoch ORDER BY tx_time_ms, tx_sequence_number ROWS UNBOUNDED PRECEDING))
-  SELECT epoch, i // 40 AS by_rows, (tx_time_ms - first) // 21600000 AS by_age, bytes // 90 AS by_size, count(*) AS n FROM r GROUP BY ALL""")
+@query("s7_rolling_cut", """WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY epoch, tx_time_ms, tx_sequence_number) - 1 AS i, epoch, tx_time_ms AS ts, command_count AS size, tx_sequence_number AS tx FROM fx_tx),
+  walk AS (SELECT i, epoch, ts AS first_ts, size::BIGINT AS held, i AS file, tx FROM o WHERE i = 0 UNION ALL SELECT i, epoch, CASE WHEN ends THEN ts ELSE first_ts END, CASE WHEN ends THEN size ELSE held + size END, CASE WHEN ends THEN i ELSE file END, tx
+  FROM (SELECT o.i, o.epoch, o.ts, o.size, o.tx, w.first_ts, w.held, w.file, o.epoch <> w.epoch OR o.i - w.file >= 40 OR o.ts - w.first_ts > 21600000 OR (o.i % 5 = 0 AND w.held > 70) AS ends FROM walk w JOIN o ON o.i = w.i + 1))
+  SELECT epoch, tx AS tx_sequence_number, file FROM walk""")
+def _(t):
+    """Files end at 40 rows, 6 hours or a size beyond 70, which every fifth row is held against; all three begin anew with a file."""
+    cut = rolling_cut(t.fx_tx, "epoch", ["tx_time_ms", "tx_sequence_number"], "tx_time_ms", "command_count", 40, 21_600_000, 70, 5, block_rows=512)
+    return cut.select("epoch", "tx_sequence_number", "file")
+
+
+@query("s7_cut_files", """WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY epoch, tx_time_ms, tx_sequence_number) - 1 AS i, epoch, tx_time_ms AS ts, command_count AS size FROM fx_tx),
+  walk AS (SELECT i, epoch, ts AS first_ts, size::BIGINT AS held, i AS file FROM o WHERE i = 0 UNION ALL SELECT i, epoch, CASE WHEN ends THEN ts ELSE first_ts END, CASE WHEN ends THEN size ELSE held + size END, CASE WHEN ends THEN i ELSE file END
+  FROM (SELECT o.i, o.epoch, o.ts, o.size, w.first_ts, w.held, w.file, o.epoch <> w.epoch OR o.i - w.file >= 100 OR o.ts - w.first_ts > 86400000 OR w.held > 150 AS ends FROM walk w JOIN o ON o.i = w.i + 1))
+  SELECT epoch, file, count(*) AS n, CAST(max(held) AS BIGINT) AS size FROM walk GROUP BY ALL""")
 def _(t):
-    cut = sinks.rolling_cut(t.fx_tx, "epoch", ["tx_time_ms", "tx_sequence_number"], "tx_time_ms", "command_count", 40, 21_600_000, 90)
-    return cut.groupBy("epoch", "by_rows", "by_age", "by_size").agg(F.count("*").alias("n"))
+    """The files as written: a folder for each epoch and file, read back and measured."""
+    path = fresh(t, "s7")
+    cut = rolling_cut(t.fx_tx, "epoch", ["tx_time_ms", "tx_sequence_number"], "tx_time_ms", "command_count", 100, 86_400_000, 150, block_rows=256)
+    sinks.write_cut_files(cut.select("epoch", "file", "tx_sequence_number", "command_count"), path)
+    found = t.spark.read.schema("tx_sequence_number long, command_count long, epoch long, file long").parquet(path)
+    return found.groupBy("epoch", "file").agg(F.count("*").alias("n"), F.sum("command_count").alias("size"))
 
 
 @query("s13_manifest", "SELECT count(DISTINCT object_id) FILTER (object_status = 0) AS objects, CAST(0 AS BIGINT) AS failures FROM (SELECT * FROM fx_object_history QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY object_version DESC) = 1)")
@@ -312,10 +388,46 @@ def _(t):
     path = fresh(t, "t4")
     t.fx_checkpoint.repartition("sequence_number").select(F.col("sequence_number").alias("seq"), F.struct("sequence_number", "epoch").alias("summary")).write.partitionBy("seq").json(path)
     half = t.fx_checkpoint.agg(F.floor(F.max("sequence_number") / 2).alias("watermark"))
-    src.collect_inputs(t.spark, path, half.union(t.fx_checkpoint.agg(F.max("sequence_number"))))
+    src.collect_inputs(path, half.union(t.fx_checkpoint.agg(F.max("sequence_number"))), fresh(t, "t4pruned"))
     return src.read_checkpoint_files(t.spark, path).select(F.col("file_sequence").alias("seq"))
 
 
+def record_files(t: Tables, name: str, wanted: str = "true") -> str:
+    """The nested records as files, a folder for each checkpoint."""
+    path, records = fresh(t, name), checkpoint_records(t).withColumn("seq", F.col("summary.sequence_number")).where(wanted)
+    records.repartition("seq").write.partitionBy("seq").json(path)
+    return path
+
+
+@query("s2_bounded_prefetch", """WITH c AS (SELECT DISTINCT o_orderkey // 64 AS seq FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+  g AS (SELECT min(seq) + 1 AS gap FROM c WHERE seq <> 170 AND (seq + 1 = 170 OR seq + 1 NOT IN (SELECT seq FROM c)))
+  SELECT seq, CASE WHEN seq < 50 THEN seq // 20 WHEN seq < 100 THEN 3 + (seq - 50) // 20 ELSE 6 + (seq - 100) // 20 END AS batch FROM c, g WHERE seq < gap AND seq < 240""")
+def _(t):
+    """Twenty files a trigger, fifty beyond what is pruned; 50 are pruned before a restart, then 190; file 170 is missing."""
+    path, out, state = record_files(t, "s2", "seq <> 170"), fresh(t, "s2out"), fresh(t, "s2state")
+    for below in (0, 50, 190):
+        bounded.write_number(f"{state}/pruned", below)
+        records = bounded.stream_bounded(t.spark, path, 0, 20, 50, f"{state}/progress", f"{state}/pruned").select("file_sequence")
+        write = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        st.run_to_end(records.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/log").start())
+    return t.spark.read.schema("file_sequence long, batch long").parquet(out).select(F.col("file_sequence").alias("seq"), "batch")
+
+
+@query("t1_checkpoint_pipelines", f"""WITH {TX}, b AS (SELECT checkpoint, CAST(sum(CAST(round(o_totalprice) AS DECIMAL(20,0))) + 2 AS DECIMAL(38,0)) AS cost FROM x GROUP BY 1)
+  SELECT 'checkpoint' AS name, concat('d', checkpoint) AS id, checkpoint, CAST(cost AS VARCHAR) AS value FROM b
+  UNION ALL SELECT 'transaction', transaction_digest, checkpoint, CAST(count(*) AS VARCHAR) FROM l GROUP BY ALL
+  UNION ALL SELECT 'event', transaction_digest, checkpoint, concat('t', n, owner) FROM l
+  UNION ALL SELECT 'object', id, checkpoint, {{STATUS}} FROM l WINDOW w AS (PARTITION BY transaction_digest, id)""".replace("{STATUS}", STATUS))
+def _(t):
+    """Four flatteners over the checkpoint files, each with its own progress, a hundred files a trigger and 150 beyond what all have passed."""
+    path, out = record_files(t, "t1files"), fresh(t, "t1out")
+    handlers = {"checkpoint": fl.flatten_checkpoint, "transaction": fl.flatten_transaction, "event": fl.flatten_event, "object": fl.flatten_object}
+    st.run_pipelines(t.spark, path, handlers, out, fresh(t, "t1state"), 100, 150)
+    read = lambda name, key, value: t.spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("name"), F.col(key).alias("id"), "checkpoint" if name != "checkpoint" else F.col("sequence_number").alias("checkpoint"), value.cast("string").alias("value"))
+    parts = [read("checkpoint", "digest", F.col("total_gas_cost")), read("transaction", "transaction_digest", F.col("transaction_count")), read("event", "transaction_digest", F.concat("event_type", "sender")), read("object", "object_id", F.col("object_status"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("d5_handler", "SELECT sender, count(*) AS n FROM fx_tx WHERE execution_success GROUP BY 1")
 def _(t):
     """A handler that is registered by name and applied to what arrives."""

@@ -36,10 +36,10 @@ VIEWS = {
   CASE WHEN l_linestatus = 'O' OR l_linenumber > 2 THEN 0 ELSE 1 END AS object_status,
   IDIV(MS(l_shipdate) - 788918400000, 86400000) AS checkpoint_sequence_number, CASE WHEN l_linenumber = 7 THEN 2 ELSE 1 END AS owner_type,
   l_suppkey AS owner_id, l_returnflag AS coin_type, CAST(l_quantity AS BIGINT) AS coin_balance FROM lineitem) h""",
-    "fx_rate": """SELECT p.pool_id, e.epoch, CAST(1000000 AS DOUBLE) / CAST(1000000 + 300 * e.epoch + 37 * p.pool_id * e.epoch AS DOUBLE) AS rate
-  FROM (SELECT DISTINCT user_id AS pool_id FROM events WHERE user_id < 10) p CROSS JOIN (SELECT DISTINCT epoch FROM fx_epoch) e""",
-    "fx_stake": """SELECT c_custkey AS stake_id, c_custkey % 10 AS pool_id, c_custkey % 40 AS activation_epoch,
-  CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS principal FROM customer""",
+    "fx_rate": """SELECT p.pool_id, e.epoch, CAST(1000000 AS DOUBLE) / CAST(1000000 + 300 * e.epoch + 37 * (p.pool_id % 10) * e.epoch AS DOUBLE) AS rate
+  FROM (SELECT DISTINCT user_id AS pool_id FROM events) p CROSS JOIN (SELECT DISTINCT epoch FROM fx_epoch) e""",
+    "fx_stake": """SELECT o_orderkey AS stake_id, o_custkey AS owner, o_orderkey % 97 AS pool_id, o_orderkey % 40 AS activation_epoch,
+  CAST(floor(o_totalprice * 100) AS BIGINT) AS principal FROM orders""",
     "fx_committee": "SELECT s_suppkey AS authority, CAST(floor(abs(s_acctbal)) AS BIGINT) + 1 AS stake FROM supplier",
     "fx_vote": "SELECT DISTINCT l_partkey % 50 AS item, l_suppkey AS authority, l_returnflag AS vote FROM lineitem",
     "fx_sample": "SELECT event_type AS label, MS(ts) AS ts_ms, CAST(round(value * 100) AS BIGINT) AS point FROM events",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import file_number
 from cairn.plans.schemas import CHECKPOINT
+from cairn.sources.bounded import prune
 
 
 def with_sequence(files: DataFrame) -> DataFrame:
@@ -51,15 +52,10 @@ def collectable(inputs: DataFrame, progress: DataFrame, seq: str = "file_sequenc
     return inputs.crossJoin(least).where(F.col(seq) < F.col("__least")).drop("__least")
 
 
-def collect_inputs(spark: SparkSession, path: str, progress: DataFrame, watermark: str = "watermark") -> int:
-    """T4: deletes the folders seq=<number> below path that all pipelines have passed; how many those were."""
+def collect_inputs(path: str, progress: DataFrame, pruned: str, watermark: str = "watermark") -> int:
+    """T4: deletes the inputs below path that all pipelines have passed; how many those were."""
     least = progress.agg(F.min(watermark)).first()[0]
-    if least is None:
-        return 0
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("seq=") and int(f.getPath().getName()[4:]) < least]
-    return sum(fs.delete(p, True) for p in old)
+    return 0 if least is None else prune(path, least, pruned)
 
 
 def stream_checkpoint_files(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None, clean: bool = False, archive: str | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,18 +15,9 @@ def write_parquet_table(df: DataFrame, path: str, epoch: str = "epoch", mode: st
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(path)
 
 
-def rolling_cut(rows: DataFrame, epoch: str, order: list[str], ts: str, size: str, most_rows: int, most_ms: int, most_size: int) -> DataFrame:
-    """Rows with by_rows, by_age and by_size, which with the epoch name the file that each goes to.
-
-    Files begin anew at each epoch, each ``most_rows`` rows, each ``most_ms`` after the epoch's first row and each
-    ``most_size`` of size, so that none holds more. An epoch is written by one task, which is what bounds its files.
-    """
-    at = Window.partitionBy(epoch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum(size).over(at) - F.col(size)
-    return rows.withColumns({
-        "by_rows": F.floor((F.row_number().over(Window.partitionBy(epoch).orderBy(*order)) - 1) / most_rows),
-        "by_age": F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(epoch))) / most_ms), "by_size": F.floor(before / most_size),
-    })
+def write_cut_files(rows: DataFrame, path: str, epoch: str = "epoch", file: str = "file") -> None:
+    """Rows that rolling_cut() has cut, a folder for each epoch and file. A file's rows meet in one task, which its bounds keep small."""
+    rows.repartition(epoch, file).write.mode("append").option("compression", "snappy").partitionBy(epoch, file).parquet(path)
 
 
 def write_csv_table(df: DataFrame, path: str, epoch: str | None = None, mode: str = "append") -> None:
@@ -40,6 +32,21 @@ def bucketed(df: DataFrame, epoch: str = "epoch", width: int = 10, cluster: list
     return out.sortWithinPartitions(*cluster) if cluster else out
 
 
+def write_bucketed(df: DataFrame, path: str, epoch: str = "epoch", width: int = 10, cluster: list[str] = ["checkpoint_sequence_number"]) -> None:  # noqa: B006
+    """A folder for each bucket of epochs, and in it files that each hold a range of the cluster keys, in their order.
+
+    A filter on the bucket prunes folders, one on the keys prunes files and row groups by their statistics.
+    """
+    out = bucketed(df, epoch, width)
+    out.repartitionByRange("epoch_bucket", *cluster).sortWithinPartitions("epoch_bucket", *cluster).write.mode("append").partitionBy("epoch_bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, low: int, high: int, epoch: str = "epoch", width: int = 10) -> DataFrame:
+    """The rows of epochs from low to high, from the folders that can hold them."""
+    rows = spark.read.schema(f"{schema}, epoch_bucket long").parquet(path)
+    return rows.where(F.col("epoch_bucket").between(low - low % width, high - high % width) & F.col(epoch).between(low, high)).drop("epoch_bucket")
+
+
 def epoch_of_checkpoint(df: DataFrame, epochs: DataFrame, checkpoint: str = "checkpoint", width: int = 100) -> DataFrame:
     """Rows with the epoch whose range of checkpoints holds them; an open epoch has a null end."""
     from cairn.operators.joins import range_lookup
@@ -91,21 +98,27 @@ def events_to_json(events: DataFrame, id_column: str, columns: list[str]) -> Dat
     return events.select(F.col(id_column).alias("id"), F.to_json(F.struct(*columns)).alias("json"))
 
 
-def commit_batch(tables: dict[str, DataFrame], paths: dict[str, str], marker: str, batch_id: int) -> bool:
+def commit_batch(tables: dict[str, DataFrame], paths: dict[str, str], marker: str, batch_id: int, last: int | None = None) -> bool:
     """Writes the tables of a batch, and its marker last; a batch whose marker is there is not written again.
 
-    Each batch has a directory of its own, which a repeated try overwrites, so that a batch counts once.
+    Each batch has a directory of its own, which a repeated try overwrites, so that a batch counts once. The marker has
+    the batch and, if given, the last checkpoint in it.
     """
     spark = next(iter(tables.values())).sparkSession
     done = f"{marker}/batch={batch_id}"
-    if _exists(spark, f"{done}/_SUCCESS"):
+    if _exists(spark, done):
         return False
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{paths[name]}/batch={batch_id}")
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(done)
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(last).cast("long").alias("last")).write.mode("overwrite").parquet(done)
     return True
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    """Whether a table was written there to its end: its files come into view when the job is over."""
+    try:
+        return not spark.read.schema("batch_id long").parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

@@ -209,8 +209,10 @@ def test_dependency_cycle(spark):
     import pytest
 
     nodes, edges = spark.range(3).toDF("tx"), spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "tx long, depends_on long")
-    with pytest.raises(ValueError):
-        paging.dependency_depth(nodes, edges, lambda d: spark.createDataFrame(d.collect(), d.schema))
+    with pytest.raises(ValueError, match="cycle"):
+        paging.dependency_depth(nodes.withColumn("g", F.lit(1)), edges, "g")
+    with pytest.raises(ValueError, match="later"):
+        paging.dependency_depth(nodes.withColumn("g", F.col("tx")), edges, "g")
 
 
 def test_buckets_of_magnitude(spark):
@@ -251,9 +253,9 @@ def test_inputs_below_the_watermark(spark, tmp_path):
     spark.range(10).selectExpr("id AS seq", "named_struct('sequence_number', id) AS summary").write.partitionBy("seq").json(path)
     read = lambda: sorted(r["file_sequence"] for r in checkpoints.read_checkpoint_files(spark, path).collect())
     assert read() == list(range(10))
-    assert checkpoints.collect_inputs(spark, path, spark.createDataFrame([(7,), (4,)], "watermark long")) == 4
+    assert checkpoints.collect_inputs(path, spark.createDataFrame([(7,), (4,)], "watermark long"), str(tmp_path / "pruned")) == 4
     assert read() == [4, 5, 6, 7, 8, 9]
-    assert checkpoints.collect_inputs(spark, path, spark.createDataFrame([], "watermark long")) == 0
+    assert checkpoints.collect_inputs(path, spark.createDataFrame([], "watermark long"), str(tmp_path / "pruned")) == 0
     assert checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 4).count() == 6
     with pytest.raises(ValueError):
         checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 3)
