@@ -300,11 +300,12 @@ def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int) -> DataFr
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
+def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
 
     Words are A-Z lower-cased runs without white space. A text with fewer than ``width`` words is one shingle; null,
     empty and blank texts have none and link with nothing. component_id is the smallest doc_id reachable by links.
+    text_hash adds a column so named, xxhash64 of the text, which tells rows with one doc_id and several texts apart.
     Repeated rows are equal and in one component; a row with a null doc_id has no component and links nothing. An
     empty table gives an empty result. Shingles and sets are compared by 64-bit hash.
     """
@@ -336,12 +337,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     ids = materialize(ids.join(least, "component").select("key", "component_id"), "component-ids")
     release(classes, index, sketches, joined, *links)
     return rows.join(ids, "key", "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", *["text_hash"] * text_hash, F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = r"""
