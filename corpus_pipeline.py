@@ -32,7 +32,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A document is a doc_id and its text: another text under the same doc_id is judged by itself.
     """
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text"), text_hash=True)
     others = found.where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
     return named.join(others, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
