@@ -8,8 +8,8 @@ of these tokens, a step of length 1 is safe. A target out of reach, above MAX_RA
 were that, so that other domains don't suffer from it; the result states targets as they were and sums as they became.
 
 All steps but the projection depend on a document through its posteriors only, so that a document's rate follows from
-its posteriors and the short history of distances. An iteration is therefore one aggregation over a narrow table, and
-no state is kept for a document. A document is taken floor(rate + u) times, u in [0, 1) being a hash of its id.
+its posteriors and the short history of distances. An iteration is therefore one aggregation over a narrow table; the
+states are written every STORED steps, which spares repeating the history. A document is taken floor(rate + u) times, u in [0, 1) being a hash of its id.
 
 Scale: one pass predicts; each iteration sends one row of sums for each task. Nothing is joined or shuffled by source,
 so a source with any share of the rows is dealt with like the others.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import let, materialize, n_words, pieces
+from cairn.llm.common import let, materialize, n_words, pieces, release
 from cairn.llm.text_arrays import word_hashes
 
 BUCKETS = 1 << 11
@@ -36,6 +36,8 @@ FIT_STEPS = 200
 MAX_RATE = 4.0
 #: Steps at most, and the change of a domain's sum, as a part of its tokens, that ends them after the first ten.
 ITERATIONS = 40
+#: Steps after which the documents' states are written, so that a step never repeats more than so many.
+STORED = 8
 TOLERANCE = 1e-5
 #: Production targets: the share of all tokens that each domain is to have.
 WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
@@ -116,12 +118,14 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return taken.mapInArrow(run, T.StructType([*taken.schema.fields, *added]))
 
 
-def state_of(history: list[list[float]], most: float) -> Column:
+def state_of(history: list[list[float]], most: float, start: Column | None = None) -> Column:
     """A document's rate r and where the next step starts, y, after the steps of history, from its column p.
 
+    ``start`` is the state before them, that of rate 1 if not given.
+
     A step is a number for each domain, and at the end how much of the rate's change is added to the next start.
     """
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")) if start is None else start
     if not history:
         return start
     k = len(history[0]) - 1
@@ -149,13 +153,20 @@ def fit_rates(members: DataFrame, targets: list[float] | None, shares: list[floa
     scale = np.where(at_one > 0, at_one, np.inf)
     history: list[list[float]] = []
     reached = ahead = at_one
+    table, start, since = members, None, 0
     for t in range(ITERATIONS if iterations is None else iterations):
         history.append([*((ahead - pull) / scale).tolist(), t / (t + 3)])
-        stepped = members.select("n_tokens", "p", state_of(history, most).alias("s"))
+        stepped = table.select("n_tokens", "p", state_of(history[since:], most, start).alias("s"))
+        if len(history) - since == STORED:
+            old, table, start, since = table, materialize(stepped, "rates"), F.col("s"), len(history)
+            release(old)
+            stepped = table
         row = stepped.agg(*[F.sum(F.col(f"s.{x}") * F.col("n_tokens") * F.col("p")[i]).alias(f"{x}{i}") for x in "ry" for i in range(k)]).first()
         before, (reached, ahead) = (reached, ahead), (np.array([row[f"{x}{i}"] or 0.0 for i in range(k)]) for x in "ry")
         if t >= 10 and max((np.abs(now - then) / scale).max() for now, then in zip((reached, ahead), before, strict=True)) <= TOLERANCE:
             break
+    if table is not members:
+        release(table)
     return history, goal.tolist(), reached.tolist()
 
 
