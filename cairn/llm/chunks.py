@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 
+#: Keys a part from which on each part is packed by itself, as short as it can be.
+DENSE = 8
 CHUNK_SCHEMA = "chunk long, docs binary"
 
 
@@ -56,13 +58,35 @@ def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]
 
 def cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Values as a column of packed arrays that begin and end there."""
-    return pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return _binary(np.ascontiguousarray(values).view(np.uint8), np.asarray(ends) * values.dtype.itemsize)
 
 
-def shard_edges(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
-    """Where each shard's part of sorted hashes begins, and the end; a shard is the first bits of a hash."""
-    firsts = np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits) if shard_bits else np.zeros(1, dtype=np.uint64)
-    return np.append(np.searchsorted(hashes, firsts), len(hashes))
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A column of bytes that begin and end there."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def packed_parts(keys: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """packed() of the sorted keys, below 2 ** 32 - 1, between ends. Parts of few keys are written all at once, with differences of four bytes."""
+    parts = len(ends) - 1
+    if len(keys) >= DENSE * parts:
+        return pa.array([packed(keys[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    begins = ends[:-1][np.diff(ends) > 0]
+    steps[begins] = keys[begins].astype(np.int64)
+    own = np.repeat(np.arange(parts), np.diff(ends)) + 1  # as many bytes of width stand before a key
+    data = np.full(4 * len(keys) + parts, 4, dtype=np.uint8)
+    at = 4 * np.arange(len(keys)) + own
+    data[at[:, None] + np.arange(4)] = steps.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _binary(data, 4 * ends + np.arange(parts + 1))
+
+
+def edges_of(shards: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where the part of each shard in ``found`` begins, and the end, given the shard of each of sorted keys; none is in another.
+
+    Only shards that have keys are looked at, so that a task's work doesn't grow with the number of shards.
+    """
+    return np.append(np.searchsorted(shards, found), len(shards))
 
 
 def packed(keys: np.ndarray) -> bytes:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, joined, packed, rows_of, unpacked
+from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, edges_of, joined, packed_parts, rows_of, unpacked
 from cairn.llm.common import materialize, pieces
 from cairn.llm.text_arrays import mixed, raw_texts, word_hashes
 
@@ -101,15 +101,9 @@ def keys_of(hashes: np.ndarray, shard_bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - KEY_BITS - shard_bits)
 
 
-def shard_edges(keys: np.ndarray, shard_bits: int) -> np.ndarray:
-    """Where each shard's part of sorted keys begins, and the end."""
-    return np.searchsorted(keys, np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
-
-
-def packed_keys(keys: np.ndarray, edges: np.ndarray, shards: np.ndarray) -> pa.Array:
-    """The keys of shards, packed; keys are sorted and edges are theirs."""
-    own = keys & LOW
-    return pa.array([packed(own[edges[s] : edges[s + 1]]) for s in shards.tolist()], pa.binary())
+def packed_keys(keys: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The keys of shards that begin and end there, packed; keys are sorted."""
+    return packed_parts(keys & LOW, edges)
 
 
 def unpacked_keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +173,12 @@ def counted(shard_bits: int):
     def flushed(parts: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for kind, arrays in parts.items():
             keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            edges = shard_edges(keys_of(keys, shard_bits) if kind == WORD else keys, shard_bits)
-            found = np.flatnonzero(np.diff(edges))
-            own = cut(keys, edges).take(pa.array(found)) if kind == WORD else packed_keys(keys, edges, found)
+            shards = (keys_of(keys, shard_bits) if kind == WORD else keys) >> np.uint64(KEY_BITS)
+            found = np.unique(shards)
+            edges = edges_of(shards, found)
+            own = cut(keys, edges) if kind == WORD else packed_keys(keys, edges)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), own, cut(counts.astype(np.uint32), edges).take(pa.array(found))], names=["kind", "shard", "keys", "counts"]
+                [pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), own, cut(counts.astype(np.uint32), edges)], names=["kind", "shard", "keys", "counts"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +277,10 @@ def asked(head, shard_bits: int):
             for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
                 read = read_chunk(docs.as_py(), *head.value)
                 grams, words = np.unique(keys_of(read["grams"], shard_bits)), read["words"][read["missing"]]
-                of_grams, of_words = shard_edges(grams, shard_bits), shard_edges(keys_of(words, shard_bits), shard_bits)
-                found = np.flatnonzero((np.diff(of_grams) > 0) | (np.diff(of_words) > 0))
+                by_gram, by_word = grams >> np.uint64(KEY_BITS), keys_of(words, shard_bits) >> np.uint64(KEY_BITS)
+                found = np.union1d(by_gram, by_word)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(found), pa.int64()), pa.array(found.astype(np.int32)), packed_keys(grams, of_grams, found), cut(words, of_words).take(pa.array(found))],
+                    [pa.array([chunk] * len(found), pa.int64()), pa.array(found.astype(np.int32)), packed_keys(grams, edges_of(by_gram, found)), cut(words, edges_of(by_word, found))],
                     names=["chunk", "shard", "grams", "words"],
                 )
 

@@ -402,6 +402,17 @@ def test_packed_keys():
         keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
         for these in (keys, np.append(keys[keys < top - 1], np.uint64(top - 1)), np.array([0, 65535, 131070, 131071], dtype=np.uint64)):
             assert (chunks.unpacked(chunks.packed(these)) == these).all()
+    for top in (3, 40, 5000, 1 << 20):
+        keys = np.unique(rng.integers(0, 1 << 40, 3000, dtype=np.uint64))
+        shards = keys % np.uint64(1) if top == 3 else keys >> np.uint64(40 - top.bit_length())
+        found = np.append(np.unique(shards), np.uint64(1 << 41))  # the last one has no keys
+        ends = chunks.edges_of(shards, found)
+        parts = [keys[a:b] & np.uint64((1 << 28) - 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        parts = [np.sort(p) for p in parts]
+        packed = chunks.packed_parts(np.concatenate(parts), ends).to_pylist()
+        assert len(packed) == len(found) and all((chunks.unpacked(x) == p).all() for x, p in zip(packed, parts, strict=True))
+        assert chunks.cut(keys, ends).to_pylist() == [keys[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert chunks.cut(np.arange(5), np.array([1, 3, 3, 4])).to_pylist() == [np.arange(1, 3).tobytes(), b"", np.arange(3, 4).tobytes()]
 
 
 def test_filter_counts():
