@@ -77,6 +77,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 OWN_HEADER = re.compile(r"(?:article|entry|post|story)[_-]header", re.IGNORECASE)
 #: Elements nested deeper than this are read as if they were not there; their text stays.
 DEEPEST = 150
+#: Never cut by name: an id there is made from the heading's own words.
+HEADING = re.compile("h[1-6]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -115,12 +117,17 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style", "")))
     content = tag in ("article", "main") or role in ("main", "article") or bool(CONTENT_WORDS.search(words))
     named = tag not in ("html", "body", "main") and named_boilerplate(OWN_HEADER.sub("", words)) and not (tag == "article" and not re.search("comment|repl", words, re.IGNORECASE))
-    if named and tag == "section" and words.lower() == "discussion" and _in_article(parent):
-        named = False  # a section of a paper
+    if named and (HEADING.fullmatch(tag) or tag == "section" and _in_article(parent) and _names_a_section(values.get("class", ""), values.get("id", ""))):
+        named = False
     skip = ALWAYS if hidden or role in BOILERPLATE_ROLES or by_tag == ALWAYS else BY_NAME if named or by_tag else 0
     return Node(tag, words, skip, content and not skip, parent)
 
 
+def _names_a_section(classes: str, id_: str) -> bool:
+    """Whether a section of an article has such a name for what it is about: an id, as generators make them from headings, but not that of comments."""
+    return f"{classes} {id_}".strip().lower() == "discussion" or not named_boilerplate(classes) and not re.search("comment|repl|respon|disqus", id_, re.IGNORECASE)
+
+
 def _inside_content(tag: str, parent: Node) -> bool:
     """An article's own header is part of the article."""
     return tag == "header" and parent.tag == "article"
@@ -370,7 +377,10 @@ def aligned(slots: Slot, reference: list, numbers: dict[int, int]) -> list[tuple
 
 
 def region(root: Node) -> list[Node]:
-    """A page's own content region: the outermost elements marked as content with text, articles first, else the densest container."""
+    """A page's own content region: the outermost elements marked as content with text, else the densest container.
+
+    Articles come first, unless other marked elements have more text than all of them, as beside teasers.
+    """
     marked, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -381,7 +391,9 @@ def region(root: Node) -> list[Node]:
         else:
             todo.extend(reversed(node.children))
     if marked:
-        return [n for n in marked if n.tag in ("article", "main")] or marked
+        articles = [n for n in marked if n.tag in ("article", "main")]
+        others = [n for n in marked if n.tag not in ("article", "main")]
+        return articles if articles and sum(n.weight for n in articles) >= sum(n.weight for n in others) else others
     node = root
     while heavy := [c for c in node.children if c.children and any(n.children for n in c.children) and c.weight > DENSE_SHARE * node.weight]:
         node = heavy[0]

@@ -239,3 +239,17 @@ def test_clashing_columns(spark):
     found = url_filters.filter_urls(pages, url_filters.rules_table(spark))
     assert found.columns == ["url", "__key", "__host", "tags", "host", "path", "rule", "verdict"]
     assert sorted((r["rule"] or "", r["verdict"], r["__key"], r["__host"], r["tags"] is None) for r in found.collect()) == [("", "allow", "k", "h", True), ("com/en/", "block", "k", "h", False), ("example.net/de/8", "block", "k", "h", False)]
+
+
+@pytest.mark.parametrize("part", ["h2 id='discussion'", "h3 id='comments'", "section id='navigation'", "section id='menu'", "section id='discussion'"])
+def test_sections_and_headings_with_ids_stay(part):
+    tag = part.split()[0]
+    page = f"<body><nav>n</nav><article><p>First part of the text.</p><{part}>What it is about</{tag}><section id='comments'><p>reader</p></section><div id='comments'><p>reader</p></div></article><footer>f</footer></body>"
+    assert html_extraction.extract(page) == "First part of the text.\nWhat it is about"
+
+
+def test_a_story_beside_teasers():
+    page = "<body><article><p>Teaser one.</p></article><div class='story'><p>A long story that is told here.</p><p>And goes on for a while.</p></div><article><p>Teaser two.</p></article></body>"
+    assert html_extraction.extract(page) == "A long story that is told here.\nAnd goes on for a while."
+    page = "<body><article><p>The article itself has most of the text of the page.</p></article><div class='content'><p>Short.</p></div></body>"
+    assert html_extraction.extract(page) == "The article itself has most of the text of the page."
