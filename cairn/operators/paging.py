@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.sources.shared import materialize, release
@@ -33,8 +33,9 @@ def keyset_page(rows: DataFrame, keys: list[str], limit: int, cursor: tuple | No
     ahead = rows if cursor is None else rows.where(_past(keys, cursor, descending, False))
     order = order_by(keys, descending)
     taken = ahead.orderBy(*order).limit(limit + 1)
-    counted = taken.crossJoin(taken.agg((F.count("*") > limit).alias("has_next")))
-    return counted.orderBy(*order).limit(limit)
+    # A window over limit + 1 rows: the number of all of them is known where the last one is left out.
+    whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return taken.withColumn("has_next", F.count("*").over(whole) > limit).orderBy(*order).limit(limit)
 
 
 def connection_page(rows: DataFrame, keys: list[str], first: int | None = None, last: int | None = None, after: tuple | None = None, before: tuple | None = None) -> DataFrame:

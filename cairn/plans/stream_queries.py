@@ -375,6 +375,33 @@ def _(t):
     return read.agg(F.count("*").alias("objects")).crossJoin(failures)  # one row each
 
 
+@query("s13_snapshot_versions", """WITH f AS (SELECT *, checkpoint_sequence_number // 600 AS batch, object_id // 20 AS bucket FROM fx_object_history), b AS (SELECT bucket, max(batch) AS version FROM f GROUP BY 1),
+  l AS (SELECT bucket, object_id, object_version FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY object_version DESC) = 1) WHERE object_status = 0)
+  SELECT bucket, version, count(*) AS objects, CAST(sum(object_version) AS BIGINT) AS versions, CAST(0 AS BIGINT) AS failures FROM l JOIN b USING (bucket) GROUP BY ALL""")
+def _(t):
+    """A snapshot for each 600 checkpoints from the one before; the last one's buckets, who wrote them, and their files' digests."""
+    history = t.fx_object_history.select("object_id", "object_version", "object_status", "checkpoint_sequence_number")
+    table = StateTable(t.spark, fresh(t, "s13v"), T.StructType.fromDDL("object_id long, object_version long, object_status int"), F.floor(F.col("object_id") / 20))
+    last = history.agg(F.max("checkpoint_sequence_number")).first()[0] // 600
+    for batch in range(last + 1):
+        changed = latest_version(history.where(F.floor(F.col("checkpoint_sequence_number") / 600) == batch))
+        listed = sinks.fold_snapshot_files(table, batch, changed, "object_id")
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{table.path}/data")
+    failed = checksum_failures(files.select(F.col("path").alias("file"), "content"), listed).join(listed, "file").groupBy("bucket").agg(F.count("*").alias("failures"))
+    rows = table.read().groupBy(F.floor(F.col("object_id") / 20).alias("bucket")).agg(F.count("*").alias("objects"), F.sum("object_version").alias("versions"))
+    whole = rows.join(listed.select("bucket", "version").distinct(), "bucket").join(failed, "bucket", "left")
+    return whole.select("bucket", "version", "objects", "versions", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
+
+
+@query("a10_bucketed_upsert", SEEN.format(SENDERS))
+def _(t):
+    """A batch for each ten epochs, merged into the buckets of its senders."""
+    table, last = seen_table(t, "a10"), t.fx_tx.agg(F.max("epoch")).first()[0] // 10
+    for batch in range(last + 1):
+        table.merge(batch, senders_seen(t.fx_tx.where(F.floor(F.col("epoch") / 10) == batch)), m.merge_seen)
+    return table.read()
+
+
 @query("t4_collectable_inputs", "SELECT sequence_number FROM fx_checkpoint WHERE sequence_number < (SELECT min(m) FROM (SELECT max(checkpoint_sequence_number) - count(*) % 7 AS m FROM fx_tx GROUP BY transaction_kind))")
 def _(t):
     """Inputs below what all pipelines have passed; a kind of transaction is a pipeline."""

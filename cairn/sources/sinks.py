@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.state_table import StateTable
+
 
 def write_parquet_table(df: DataFrame, path: str, epoch: str = "epoch", mode: str = "append", max_rows: int | None = None) -> None:
     """SNAPPY Parquet by epoch; overwriting replaces only the epochs that df has."""
@@ -82,6 +84,19 @@ def write_snapshot(objects: DataFrame, path: str, epoch: int, key: str, buckets:
     return manifest(spark, f"{path}/epoch={epoch}")
 
 
+def fold_snapshot_files(table: StateTable, batch: int, changed: DataFrame, key: str, status: str = "object_status") -> DataFrame:
+    """The next snapshot of live objects from those that changed, and its manifest: bucket, version (the batch that wrote it) and files.
+
+    Only buckets with changed objects are written; the others' files are those of earlier snapshots, which stay readable.
+    """
+    live = lambda old, new: old.join(new, key, "left_anti").unionByName(new.where(F.col(status) == 0).select(*old.columns))
+    table.merge(batch, changed, live)
+    versions = table.history().where(F.col("batch") == batch).select("bucket", "version")
+    files = manifest(table.spark, f"{table.path}/data")
+    at = lambda name: F.regexp_extract("file", f"{name}=(-?[0-9]+)/", 1).cast("long")
+    return versions.join(files.withColumns({"bucket": at("bucket"), "version": at("batch")}), ["bucket", "version"])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """File, length and SHA-256 of each Parquet file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
