@@ -115,7 +115,9 @@ def test_pages(spark):
 
 def test_dependency_depth(spark):
     nodes, edges = spark.range(5).toDF("tx"), spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 2)], "tx long, depends_on long")
-    assert rows(paging.dependency_depth(nodes, edges, lambda d: d)) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
+    for width in (1, 2, 5):  # nodes of a group; however they are grouped
+        grouped = nodes.withColumn("g", F.floor(F.col("tx") / width))
+        assert rows(paging.dependency_depth(grouped, edges, "g")) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
 
 
 def test_series(spark):
