@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # a stage's table is read by the next one only
     return STAGES[-1][1](spark, docs, sf_dir)
