@@ -207,6 +207,8 @@ def test_bounded_reader(tmp_path):
 
 def test_pipelines_delete_what_all_have_passed(spark, tmp_path):
     path, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    write_files(path, [])
+    assert streams.run_pipelines(spark, path, {"none": lambda d: d}, out, f"{state}-none", start=4) == {"none": 4}
     write_files(path, range(12))
     handlers = {
         "tx": lambda d: d.select(F.explode("transactions.digest").alias("digest"), "file_sequence"),
