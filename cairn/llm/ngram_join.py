@@ -11,21 +11,23 @@ of their rows are counted in BLOCKS blocks of columns, which are added up by pai
 Scale: only components are asked for, so that pairs inside a component are never made. Star rounds come first: in
 each column, every row meets one or two hubs, which is linear in the index, and verified links join components. The
 product of all pairs is made across components only, which after the stars are few; star rounds go on while it would
-be large and they make it smaller. Equal rows are indexed once in
+be large and they make it smaller. If they help no more, the product is made in slices, none of which meets many more
+pairs than WORK_PER_ROW for each row of the index, and only its verified links are kept. Equal rows are indexed once in
 each task; the order's table has a fixed size whatever the corpus. Whether a column is shared is first seen within a
-task, so that of the rows of a frequent column one for each FLUSH_ROWS meets the others' in one task.
+task; rows that are alone in theirs ask an aggregate of the column.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, pieces, release
@@ -189,10 +191,18 @@ def full_rows(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 
 
 def shared_columns(index: DataFrame) -> DataFrame:
-    """The rows of columns that two classes or more have in their prefixes; a row of two tasks may be there twice."""
-    column = Window.partitionBy("token", "salt")
-    spread = index.withColumns({"low": F.min("key").over(column), "high": F.max("key").over(column), "known": F.max("shared").over(column)})
-    return spread.where("known or low <> high").select("token", "salt", "key", "n", "at").distinct().drop("salt")
+    """The rows of columns that two classes or more have in their prefixes.
+
+    Rows that met another one in their task are in; the others ask for their column's least and largest key, which are
+    aggregated before the shuffle, so that no column's rows come together in one task.
+    """
+    index = materialize(index, "prefixes")
+    ends = index.where("salt = 0").groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("shared").alias("known"))
+    several = ends.where("known or low <> high").select("token")
+    rows = index.where("shared").union(index.where("not shared").join(several, "token", "left_semi").select(*index.columns))
+    found = materialize(rows.select("token", "key", "n", "at").distinct(), "index")
+    release(index)
+    return found
 
 
 def sizes_allow(a: Column, b: Column, threshold: int) -> Column:
@@ -288,13 +298,15 @@ def star_pairs(rows: DataFrame, salt: int, threshold: int) -> DataFrame:
     return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
-def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
-    """All pairs across components that a column's positions allow: the first common column of two that link does.
+def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int, slices: int = 1, which: int = 0) -> DataFrame:
+    """Pairs across components that a column's positions allow: the first common column of two that link does.
 
-    Of two rows in different components one is outside the column's largest component, so those few meet all rows.
+    Of two rows in different components one is outside the column's largest component, so those few meet all rows. Of
+    them a slice is taken by hash; all slices together give all pairs.
     """
     split = rows.join(columns.select("token", "main"), "token")
-    x = split.where("component <> main").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    mine = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("key", "token"), F.lit(slices)) == which)
+    x = split.where(mine).select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
     y = split.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
     met = x.join(y, "token").where("ca <> cb").where(first_in_common(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -316,16 +328,23 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     counters = spark.sparkContext.broadcast(order_table(surveyed))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     index = texts.where("doc_id is not null and text is not null").mapInArrow(prefixes(width, threshold, counters), "token long, key long, n long, at long, salt int, shared boolean")
-    index = materialize(shared_columns(index), "index")
+    index = shared_columns(index)
     sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches")
-    check = lambda pairs: verified(bounded(materialize(pairs, "candidates"), sketches, threshold), texts, classes, width, threshold)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
+        verified_links = verified(bounded(pairs, sketches, threshold), texts, classes, width, threshold)
+        release(pairs)
+        return verified_links
+
     links, before, n_rows = [check(star_pairs(index, 0, threshold))], None, index.count()
     for salt in itertools.count(1):
         named = labelled(index, reduce(DataFrame.union, links))
         columns = materialize(split_columns(named), "columns")
         work = columns.agg(F.sum("work")).first()[0] or 0
-        last = work <= WORK_PER_ROW * n_rows or before is not None and work > HELP * before
-        links.append(check(product_pairs(named, columns, threshold) if last else star_pairs(named, salt, threshold)))
+        slices = max(1, math.ceil(work / (WORK_PER_ROW * max(n_rows, 1))))
+        last = slices == 1 or before is not None and work > HELP * before
+        links += [check(product_pairs(named, columns, threshold, slices, i)) for i in range(slices)] if last else [check(star_pairs(named, salt, threshold))]
         before = work
         release(named, columns)
         if last:

@@ -157,6 +157,36 @@ def test_ngram_join_near_group(spark):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_in_slices(spark, monkeypatch):
+    """Texts that share columns but mostly don't link: star rounds don't help, so the product is made in slices."""
+    monkeypatch.setattr(ngram_join, "WORK_PER_ROW", 0.2)
+    monkeypatch.setattr(ngram_join, "HELP", 0)
+    product, made = ngram_join.product_pairs, []
+    monkeypatch.setattr(ngram_join, "product_pairs", lambda *a: made.append(a[3:]) or product(*a))
+    rng = random.Random(5)
+    blocks = [" ".join(rng.choice(VOCABULARY) + str(rng.randint(0, 99)) for _ in range(25)) for _ in range(9)]
+    texts = [" ".join(blocks[b] for b in sorted(rng.sample(range(9), rng.choice([6, 7, 8])))) + f" own{i % 20}" for i in range(40)]
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(docs_of(spark, texts)).collect())
+    assert got == brute_components(texts)
+    assert len({c for _, _, c in got}) > 1 and len(made) > 1 and made == [(len(made), i) for i in range(len(made))]
+
+
+def test_product_slices(spark):
+    """All slices together give the pairs of the whole product."""
+    rows = spark.createDataFrame([(t, k, 10, 1 + k % 3, k % 4) for t in range(3) for k in range(12) if (k + t) % 3], "token long, key long, n long, at long, component long")
+    columns = ngram_join.split_columns(rows)
+    whole = {tuple(r) for r in ngram_join.product_pairs(rows, columns, 75).collect()}
+    parts = [{tuple(r) for r in ngram_join.product_pairs(rows, columns, 75, 3, i).collect()} for i in range(3)]
+    assert whole and set().union(*parts) == whole and max(map(len, parts)) < len(whole)
+
+
+def test_shared_columns(spark):
+    """A column of one class, though in two tasks, goes; one that two classes have stays, with its known rows."""
+    rows = [(1, 5, 9, 1, 0, False), (1, 5, 9, 1, 0, False), (2, 5, 9, 2, 0, False), (2, 6, 9, 1, 0, False), (3, 5, 9, 3, 0, True), (3, 7, 9, 1, 8, True), (3, 8, 9, 1, 0, False), (4, 8, 9, 2, 0, False)]
+    found = ngram_join.shared_columns(spark.createDataFrame(rows, "token long, key long, n long, at long, salt int, shared boolean"))
+    assert sorted((r["token"], r["key"]) for r in found.collect()) == [(2, 5), (2, 6), (3, 5), (3, 7), (3, 8)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
