@@ -261,3 +261,23 @@ def test_inputs_below_the_watermark(spark, tmp_path):
     assert checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 4).count() == 6
     with pytest.raises(ValueError):
         checkpoints.read_complete(checkpoints.read_checkpoint_files(spark, path), 3)
+
+
+def test_nested_records_travel_once_and_narrow(spark, tmp_path):
+    from cairn.plans.flatten_queries import checkpoint_records
+    from cairn.plans.registry import Tables
+    from cairn.sources.shared import spread
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = checkpoint_records(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(seq") == plan.count("Exchange ") == 1, plan
+    below = plan[plan.index("Exchange ") :]
+    assert "CASE WHEN" not in below and "Aggregate" not in below  # what is nested from a line is nested above the exchange
+    lines = [(128, 1, 2, 9), (128, 1, 2, 10), (128, 2, 3, 11), (129, 1, 4, 1), (None, 1, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").selectExpr("*", "1.5D l_quantity", "'A' l_returnflag", "'O' l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(128, 7), (130, 7), (None, 7)], "o_orderkey long, o_custkey long").selectExpr("*", "'1-URGENT' o_orderpriority", "'O' o_orderstatus", "10.6D o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    (row,) = checkpoint_records(Tables(spark, str(tmp_path))).collect()
+    (tx,) = row["transactions"]  # orders without lines and lines without an order are none
+    assert row["summary"]["sequence_number"] == 2 and row["summary"]["gas"]["computation"] == 11
+    assert [i["object_id"] for i in tx["inputs"]] == ["10", "9", "11"] and tx["effects"]["created"] == ["10", "9"]  # by the id's text
+    assert spread(spark.range(10), 1_000_001, "id", most=1000).rdd.getNumPartitions() == 1001
