@@ -25,13 +25,15 @@ def order_by(keys: list[str], descending: bool) -> list[Column]:
     return [F.desc(k) if descending else F.asc(k) for k in keys]
 
 
-def keyset_page(rows: DataFrame, keys: list[str], limit: int, cursor: tuple | None = None, descending: bool = False) -> DataFrame:
+def keyset_page(rows: DataFrame, keys: list[str], limit: int, cursor: tuple | None = None, descending: bool = False, ties: list[str] = []) -> DataFrame:  # noqa: B006
     """L1: at most limit rows past an exclusive cursor, each with has_next: whether there are more.
 
+    Where keys are not unique, ``ties`` orders rows of equal keys, so that the page is the same each time.
+
     One row more than asked for is taken, so that the plan is a top-k and never a sort of the whole.
     """
     ahead = rows if cursor is None else rows.where(_past(keys, cursor, descending, False))
-    order = order_by(keys, descending)
+    order = order_by([*keys, *ties], descending)
     taken = ahead.orderBy(*order).limit(limit + 1)
     # A window over limit + 1 rows: the number of all of them is known where the last one is left out.
     whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -250,9 +250,10 @@ def _(t):
     return p.connection_page(t.fx_event.select("tx_sequence_number", "module"), ["tx_sequence_number"], last=20, after=(100,), before=(900,))
 
 
-@query("l3_composite_cursor", """SELECT l_orderkey, l_linenumber, l_partkey, true AS has_next FROM lineitem WHERE (l_orderkey, l_linenumber) > (500, 2) ORDER BY 1, 2 LIMIT 40""")
+@query("l3_composite_cursor", """SELECT l_orderkey, l_linenumber, l_partkey, true AS has_next FROM lineitem WHERE (l_orderkey, l_linenumber) > (500, 2) ORDER BY 1, 2, 3 LIMIT 40""")
 def _(t):
-    return p.keyset_page(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], 40, (500, 2))
+    """Lines with equal keys are in the order of their parts."""
+    return p.keyset_page(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], 40, (500, 2), ties=["l_partkey"])
 
 
 @query("l4_consistent_cursor", "SELECT object_id, object_version, true AS has_next FROM fx_object_history WHERE checkpoint_sequence_number <= 1500 AND (object_id, object_version) > (20, 3) ORDER BY 1, 2 LIMIT 30")

@@ -281,3 +281,12 @@ def test_nested_records_travel_once_and_narrow(spark, tmp_path):
     assert row["summary"]["sequence_number"] == 2 and row["summary"]["gas"]["computation"] == 11
     assert [i["object_id"] for i in tx["inputs"]] == ["10", "9", "11"] and tx["effects"]["created"] == ["10", "9"]  # by the id's text
     assert spread(spark.range(10), 1_000_001, "id", most=1000).rdd.getNumPartitions() == 1001
+
+
+def test_a_page_orders_lines_of_equal_keys(spark):
+    from cairn.plans import catalog
+
+    assert "ORDER BY 1, 2, 3" in catalog.SQL["l3_composite_cursor"]
+    rows = spark.range(0, 1000, 1, 8).select(F.lit(501).alias("k"), F.lit(1).alias("n"), (1000 - F.col("id")).alias("part"))
+    page = paging.keyset_page(rows, ["k", "n"], 5, (500, 2), ties=["part"])
+    assert [r["part"] for r in page.collect()] == [1, 2, 3, 4, 5]
