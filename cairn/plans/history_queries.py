@@ -10,7 +10,7 @@ from cairn.operators import history as h
 from cairn.operators import joins as j
 from cairn.operators.metrics import available_range
 from cairn.plans.registry import query
-from cairn.sources.shared import shared_dir
+from cairn.sources.shared import materialize, shared_dir
 from cairn.sources.state_table import StateTable
 
 COLUMNS = "object_id, object_version, object_status, checkpoint_sequence_number, owner_type, owner_id, object_type, coin_type, coin_balance"
@@ -132,7 +132,8 @@ def _(t):
   SELECT object_id, object_version, object_status, owner_id, version FROM (SELECT * FROM f {LATEST}) JOIN v USING (bucket)""")
 def _(t):
     """A stored snapshot and three folds of 200 checkpoints into it, with the batch that wrote each object's bucket last."""
-    history = t.fx_object_history.select("object_id", "object_version", "object_status", "owner_id", "checkpoint_sequence_number")
+    # Each fold scans the history, which is numbered once.
+    history = materialize(t.fx_object_history.select("object_id", "object_version", "object_status", "owner_id", "checkpoint_sequence_number"), "c5-history")
     bucket = F.floor(F.col("object_id") / 25)
     table = StateTable(t.spark, f"{shared_dir(t.spark)}/cairn-c5-{uuid.uuid4().hex[:12]}", history.schema, bucket)
     h.fold_into(table, 0, history, 0, LHS + 1)

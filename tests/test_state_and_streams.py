@@ -80,6 +80,16 @@ def test_a_table_can_become_empty(spark, tmp_path):
     assert sorted(r["k"] for r in table.read().collect()) == [0, 1]
 
 
+def test_files_of_a_batch_do_not_grow_with_its_buckets(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path), T.StructType.fromDDL("k long"), F.floor(F.col("k") / 2))
+    assert table.merge(0, spark.range(-10, 20_000).toDF("k"), lambda old, new: new) == 10_005
+    files = [f for _, _, names in os.walk(tmp_path / "data") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 64
+    assert table.merge(1, spark.range(-1, 1).toDF("k"), lambda old, new: old.where("k <> 0")) == 2
+    assert sorted(r["k"] for r in table.read().where("k < 3").collect()) == [*range(-10, 0), 1, 2]
+    assert table.read().count() == 20_009 and table.versions()[-1] == 1 and table.versions()[-2] == 0
+
+
 # Rows before, and runs
 
 
