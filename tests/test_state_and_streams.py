@@ -232,6 +232,25 @@ def test_pipelines_delete_what_all_have_passed(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/epochs").select("file_sequence", "epoch").collect()) == [(n, n // 4) for n in range(13)]
 
 
+def test_record_files_are_compressed_and_read(spark):
+    from cairn.plans.registry import Tables
+    from cairn.plans.stream_queries import record_files
+
+    path = record_files(Tables(spark, "/root/testdata/sf0.001"), "packed", "seq < 3")
+    reader = bounded.Reader({"path": path})
+    found = [f.path for n in range(3) for f in bounded.filesystem(path)[0].get_file_info(bounded.fs.FileSelector(f"{bounded.filesystem(path)[1]}/seq={n}")) if not f.base_name.startswith((".", "_"))]
+    assert len(found) == 3 and all(f.endswith(".json.gz") for f in found)
+    assert [json.loads(b["value"][0].as_py())["summary"]["sequence_number"] for b in reader.read(bounded.Files(0, 3))] == [0, 1, 2]
+
+
+def test_pipelines_start_each_stream_once(spark, tmp_path, monkeypatch):
+    path, started = f"{tmp_path}/in", []
+    write_files(path, range(9))
+    monkeypatch.setattr(streams, "flatten_stream", lambda *a, f=streams.flatten_stream, **k: started.append(1) or f(*a, **k))
+    handlers = {name: lambda d: d.select("file_sequence") for name in ("a", "b")}
+    assert streams.run_pipelines(spark, path, handlers, f"{tmp_path}/out", f"{tmp_path}/state", 2, 3) == {"a": 9, "b": 9} and len(started) == 2
+
+
 def test_buckets_of_epochs_are_pruned(spark, tmp_path):
     rows = spark.range(4000).select("id", (F.col("id") * 37 % 1000).alias("checkpoint_sequence_number"), (F.col("id") * 37 % 1000 / 25).cast("long").alias("epoch"))
     sinks.write_bucketed(rows, str(tmp_path))
