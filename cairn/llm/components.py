@@ -19,20 +19,20 @@ def components(links: DataFrame) -> DataFrame:
     ones. Rounds end when nothing changes, after a number that grows with the logarithm of the longest chain. No
     neighbourhood is ever gathered: a minimum and a join do the work, so hot nodes stay splittable.
     """
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links", rows=links.count())
     state = _state(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", rows=2 * state[0])
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).toDF("a", "b")
-        old, edges = edges, materialize(small.union(least.select("m", "b").toDF("a", "b")).where("a < b").distinct(), "small-star")
+        old, edges = edges, materialize(small.union(least.select("m", "b").toDF("a", "b")).where("a < b").distinct(), "small-star", rows=4 * state[0])
         release(old, large)
         now = _state(edges)
         if now == state:
-            nodes = materialize(edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct()), "components")
+            nodes = materialize(edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct()), "components", rows=2 * state[0])
             release(edges)
             return nodes
         state = now

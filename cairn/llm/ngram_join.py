@@ -12,7 +12,7 @@ Scale: only components are asked for, so that pairs inside a component are never
 each column, every row meets one or two hubs, which is linear in the index, and verified links join components. The
 product of all pairs is made across components only, which after the stars are few; star rounds go on while it would
 be large and they make it smaller. If they help no more, the product is made in slices, none of which meets many more
-pairs than WORK_PER_ROW for each row of the index, and only its verified links are kept. Equal rows are indexed once in
+pairs than WORK_PER_ROW for each row of the index (more for a small index), and only its verified links are kept. Equal rows are indexed once in
 each task; the order's table has a fixed size whatever the corpus. Whether a column is shared is first seen within a
 task; rows that are alone in theirs ask an aggregate of the column.
 """
@@ -50,7 +50,11 @@ REMEMBERED = 1 << 20
 STAR_CLASSES, STAR_NOISE = 4, 16
 #: Star rounds go on while the product would meet more pairs than so many for each row of the index, and they help.
 WORK_PER_ROW = 8
+#: A small index takes up to so many times as many, until a slice has LEAST_WORK: a slice of few pairs is mostly the start of its jobs.
+SMALL_INDEX, LEAST_WORK = 8, 1 << 24
 HELP = 0.8
+#: Rows of two numbers that a full row counts as, where tasks are dealt.
+FULL_ROW = 256
 #: Rows of two numbers that are broadcast at most; more are joined.
 FEW = 1 << 20
 
@@ -200,7 +204,7 @@ def shared_columns(index: DataFrame) -> DataFrame:
     ends = index.where("salt = 0").groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("shared").alias("known"))
     several = ends.where("known or low <> high").select("token")
     rows = index.where("shared").union(index.where("not shared").join(several, "token", "left_semi").select(*index.columns))
-    found = materialize(rows.select("token", "key", "n", "at").distinct(), "index")
+    found = materialize(rows.select("token", "key", "n", "at").distinct(), "index", rows=index.count())
     release(index)
     return found
 
@@ -238,7 +242,7 @@ def keys_in(pairs: DataFrame) -> DataFrame:
 
 def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b), those whose overlap in the index leaves a link possible, with their sizes na and nb."""
-    sketches = sketches.join(sent(materialize(keys_in(pairs), "pair-keys")), "key", "left_semi")
+    sketches = sketches.join(sent(materialize(keys_in(pairs), "pair-keys", rows=2 * pairs.count())), "key", "left_semi")
     left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return joined.where(possible(F.col("shared"), F.col("na"), F.col("nb"), threshold)).select("a", "b", "na", "nb")
@@ -247,14 +251,16 @@ def bounded(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose full rows link: their overlaps are added up over blocks of columns."""
     pairs = materialize(pairs, "pairs")
-    keys = materialize(keys_in(pairs), "keys")
+    met = pairs.count()
+    keys = materialize(keys_in(pairs), "keys", rows=2 * met)
     asked = materialize(classes.join(sent(keys), "key").select(F.col("rep").alias("doc_id")), "asked")
     # Written once they are distinct, so that Spark can split the pairs of a hub in the joins.
-    rows = materialize(full_rows(texts, asked, width).join(sent(keys), "key", "left_semi").dropDuplicates(["key", "block"]), "rows")
+    found = full_rows(texts, asked, width).join(sent(keys), "key", "left_semi").dropDuplicates(["key", "block"])
+    rows = materialize(found, "rows", rows=FULL_ROW * keys.count())
     left, right = rows.toDF("a", "block", "ta"), rows.toDF("b", "block", "tb")
     product = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
     overlaps = product.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    links = materialize(overlaps.where(f"100 * both >= {threshold} * (na + nb - both)").select("a", "b"), "verified")
+    links = materialize(overlaps.where(f"100 * both >= {threshold} * (na + nb - both)").select("a", "b"), "verified", rows=met)
     release(pairs, keys, asked, rows)
     return links
 
@@ -312,6 +318,12 @@ def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int, slices: i
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def slices_of(work: int, n_rows: int) -> int:
+    """Slices of a product of so many pairs, over an index of n_rows."""
+    least = WORK_PER_ROW * max(n_rows, 1)
+    return max(1, math.ceil(work / max(least, min(LEAST_WORK, SMALL_INDEX * least))))
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
 
@@ -326,25 +338,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
     surveyed = materialize(texts.mapInArrow(survey(width), "doc_id long, text_hash long, n long, key long, chunk int, counts binary"), "survey")
     rows = surveyed.where("chunk is null").select("doc_id", "text_hash", "n", "key")
     counters = spark.sparkContext.broadcast(order_table(surveyed))
-    classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes, "classes", rows=surveyed.count())
     index = texts.where("doc_id is not null and text is not null").mapInArrow(prefixes(width, threshold, counters), "token long, key long, n long, at long, salt int, shared boolean")
     index = shared_columns(index)
-    sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches")
+    n_rows = index.count()
+    sketches = materialize(index.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "sketches", rows=n_rows)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
+    def check(pairs: DataFrame, most: int) -> DataFrame:
+        pairs = materialize(pairs, "candidates", rows=most)
         verified_links = verified(bounded(pairs, sketches, threshold), texts, classes, width, threshold)
         release(pairs)
         return verified_links
 
-    links, before, n_rows = [check(star_pairs(index, 0, threshold))], None, index.count()
+    links, before = [check(star_pairs(index, 0, threshold), 2 * n_rows)], None
     for salt in itertools.count(1):
         named = labelled(index, reduce(DataFrame.union, links))
-        columns = materialize(split_columns(named), "columns")
+        columns = materialize(split_columns(named), "columns", rows=n_rows)
         work = columns.agg(F.sum("work")).first()[0] or 0
-        slices = max(1, math.ceil(work / (WORK_PER_ROW * max(n_rows, 1))))
+        slices = slices_of(work, n_rows)
         last = slices == 1 or before is not None and work > HELP * before
-        links += [check(product_pairs(named, columns, threshold, slices, i)) for i in range(slices)] if last else [check(star_pairs(named, salt, threshold))]
+        most = -(-work // slices)
+        links += [check(product_pairs(named, columns, threshold, slices, i), most) for i in range(slices)] if last else [check(star_pairs(named, salt, threshold), 2 * n_rows)]
         before = work
         release(named, columns)
         if last:
