@@ -50,8 +50,8 @@ REMEMBERED = 1 << 20
 STAR_CLASSES, STAR_NOISE = 4, 16
 #: Star rounds go on while the product would meet more pairs than so many for each row of the index, and they help.
 WORK_PER_ROW = 8
-#: A small index takes up to so many times as many, until a slice has LEAST_WORK: a slice of few pairs is mostly the start of its jobs.
-SMALL_INDEX, LEAST_WORK = 8, 1 << 24
+#: A small index takes up to WORK_PER_ROW times as many, until a slice has so many: a slice of few pairs is mostly the start of its jobs.
+LEAST_WORK = 1 << 24
 HELP = 0.8
 #: Rows of two numbers that a full row counts as, where tasks are dealt.
 FULL_ROW = 256
@@ -321,7 +321,7 @@ def product_pairs(rows: DataFrame, columns: DataFrame, threshold: int, slices: i
 def slices_of(work: int, n_rows: int) -> int:
     """Slices of a product of so many pairs, over an index of n_rows."""
     least = WORK_PER_ROW * max(n_rows, 1)
-    return max(1, math.ceil(work / max(least, min(LEAST_WORK, SMALL_INDEX * least))))
+    return max(1, math.ceil(work / max(least, min(LEAST_WORK, WORK_PER_ROW * least))))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text_hash: bool = False) -> DataFrame:
