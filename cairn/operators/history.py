@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.series import previous_row
+from cairn.sources.shared import spread
 from cairn.sources.state_table import StateTable
 
 KEY, VERSION, CHECKPOINT = "object_id", "object_version", "checkpoint_sequence_number"
@@ -139,11 +140,16 @@ def balance_changes(tx: DataFrame, inputs: DataFrame, outputs: DataFrame, native
 
     tx has tx, success, gas_owner and net_gas; inputs and outputs have tx, owner, coin_type, balance, and inputs also
     skipped (unwrapped and then deleted). A failed transaction only costs its gas owner the net gas.
+
+    Cells go through one exchange, by transaction, over more tasks where there are more rows: it serves join and sum.
     """
     money = lambda c: c.cast("decimal(38,0)")
     good = tx.where("success").select("tx")
     signed = inputs.where(~F.coalesce(F.col("skipped"), F.lit(False))).select("tx", "owner", "coin_type", money(-F.col("balance")).alias("amount"))
-    signed = signed.unionByName(outputs.select("tx", "owner", "coin_type", money(F.col("balance")).alias("amount"))).join(good, "tx", "left_semi")
+    signed = signed.unionByName(outputs.select("tx", "owner", "coin_type", money(F.col("balance")).alias("amount")))
+    rows = inputs.count() + outputs.count()
+    # Not a semi-join: Spark would push that below the exchange, onto fewer tasks.
+    signed = spread(signed, rows, "tx").join(spread(good, rows, "tx").distinct(), "tx")
     summed = signed.groupBy("tx", "owner", "coin_type").agg(money(F.sum("amount")).alias("amount")).where("amount <> 0")
     failed = tx.where("not success").select("tx", F.col("gas_owner").alias("owner"), F.lit(native).alias("coin_type"), money(-F.col("net_gas")).alias("amount"))
     return summed.unionByName(failed)

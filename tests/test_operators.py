@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars
 from cairn.operators import filters, history, joins, metrics, paging, quality, series, stake, telemetry
 from cairn.plans import schemas
-from cairn.sources import checkpoints, sinks
+from cairn.sources import checkpoints, shared, sinks
 from cairn.streaming import streams
 
 
@@ -138,6 +138,21 @@ def test_set_digest_is_order_free(spark):
     assert history.set_digest(both, ["i", "t"], [], F.col("s")).first()["digest"] == live
 
 
+def test_balance_changes_over_many_tasks(spark, monkeypatch):
+    """More rows go over more tasks, in one exchange that join and sum share; a transaction that is listed twice counts once."""
+    monkeypatch.setattr(history, "spread", lambda df, rows, *keys: shared.spread(df, rows, *keys, most=10))
+    tx = spark.range(100).union(spark.range(10)).selectExpr("id as tx", "id % 5 > 0 as success", "id as gas_owner", "id % 7 as net_gas")
+    cells = spark.range(300).selectExpr("id % 100 as tx", "id % 3 as owner", "'A' as coin_type", "id as balance", "id % 2 = 0 as skipped")
+    got = history.balance_changes(tx, cells, cells.drop("skipped"), "M")
+    sums = {}
+    for i in range(300):
+        if i % 100 % 5 > 0:
+            sums[i % 100, i % 3] = sums.get((i % 100, i % 3), 0) + (i if i % 2 == 0 else 0)
+    assert {(r["tx"], r["owner"]): int(r["amount"]) for r in got.where("coin_type = 'A'").collect()} == {k: v for k, v in sums.items() if v}
+    plan = got._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("REPARTITION_BY_NUM") >= 2 and "LeftSemi" not in plan
+
+
 def test_balance_changes_cost_gas(spark):
     tx = spark.createDataFrame([(1, True, "a", 5), (2, False, "b", 7)], "tx long, success boolean, gas_owner string, net_gas long")
     inputs = spark.createDataFrame([(1, "a", "M", 100, False), (1, "z", "M", 9, True), (2, "b", "M", 50, False)], "tx long, owner string, coin_type string, balance long, skipped boolean")
