@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Training. Runs of ORDER characters of a bounded sample of trusted texts are counted; the counts of shorter runs are
+Training. Runs of ORDER characters of all trusted texts are counted; the counts of shorter runs are
 continuation counts, the number of different characters seen before them. Counts are joined with the totals of their
 contexts by groupings and joins that Spark shards by run: for each run its own discounted share, and for each context
 the weight that falls to the shorter order.
@@ -11,18 +11,16 @@ and its context's weight times the probability of the run without its first char
 negative log2 probability of a character; its perplexity is 2 to the power of that. A text goes if the score exceeds the
 UPPER quantile of trusted texts in its language that the model was not trained on.
 
-Scale: training is bounded by the sample, and the joins are over the distinct runs of the corpus, which any number of
-texts share. Up to BROADCAST_RUNS of them the probabilities go to all tasks. If there are more, texts are packed in
+Scale: tasks count the runs of their texts before these are shuffled, and the joins are over the distinct runs of the
+corpus, which any number of texts share. Up to BROADCAST_RUNS of them the probabilities go to all tasks. If there are more, texts are packed in
 chunks, which ask the shards for their distinct runs, and the answers meet their chunks again.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +28,9 @@ from pyspark.sql import functions as F
 from cairn.llm.chunks import CHUNK_SCHEMA, chunked, cut, edges_of, joined, rows_of
 from cairn.llm.common import materialize, pieces, release
 from cairn.llm.text_arrays import mixed, powers
+from cairn.operators.series import running_counts
 
 ORDER = 5
-#: Trusted texts that the model is trained on at most, and their characters at most: the bound of all its tables.
-TRAIN_TEXTS = 2_000
-TRAIN_CHARS = 8_000_000
 UPPER = 0.995
 #: One of so many trusted texts is left out of training, for the quantiles; fewer than LEAST_TRUSTED serve for both.
 FOLDS = 4
@@ -67,25 +63,16 @@ def discounts(counts: DataFrame) -> dict[int, list[float]]:
     return out
 
 
-def task_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """gram and c: the runs of ORDER characters in a task's texts."""
-    for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch["text"]:
-            padded = START * (ORDER - 1) + text
-            counts.update(padded[i : i + ORDER] for i in range(len(text)))
-        yield pd.DataFrame({"gram": list(counts), "c": list(counts.values())})
-
-
-def counts_of(texts: DataFrame) -> DataFrame:
-    """k, gram and c: counts of runs of ORDER characters, and continuation counts of shorter runs."""
-    runs = texts.select(single_spaced(F.col("text")).alias("text")).mapInPandas(task_counts, "gram string, c long")
-    table = runs.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("k", F.lit(ORDER))
+def counts_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """k, gram and c: counts of runs of ORDER characters, and continuation counts of shorter runs; and the table to release once they are read."""
+    runs = texts.select(single_spaced(F.col("text")).alias("text")).mapInArrow(task_counts, "gram string, c long")
+    # Written once, as all shorter runs are counted from them.
+    longest = table = materialize(runs.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("k", F.lit(ORDER)), "kn-runs-of-texts")
     every = table
     for k in range(ORDER - 1, 0, -1):
         table = table.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")).withColumn("k", F.lit(k))
         every = every.unionByName(table)
-    return every.select("k", "gram", "c")
+    return every.select("k", "gram", "c"), longest
 
 
 def shares(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -158,17 +145,25 @@ def read_blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 class Distinct:
-    """The distinct runs of texts, in the order of their hashes."""
+    """The distinct runs of texts and their counts, in the order of their hashes."""
 
     def __init__(self):
-        self.hashes, self.runs = np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32)
+        self.hashes, self.runs, self.counts = np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
     def add(self, texts: list[str]) -> None:
         for codes, ends, _ in read_blocks(texts):
-            found, firsts = np.unique(run_hashes(codes.astype(np.uint64))[ends - ORDER + 1], return_index=True)
+            found, firsts, counts = np.unique(run_hashes(codes.astype(np.uint64))[ends - ORDER + 1], return_index=True, return_counts=True)
             own = codes[ends[firsts][:, None] + np.arange(1 - ORDER, 1)]
-            self.hashes, firsts = np.unique(np.concatenate([self.hashes, found]), return_index=True)
+            self.hashes, firsts, places = np.unique(np.concatenate([self.hashes, found]), return_index=True, return_inverse=True)
             self.runs = np.concatenate([self.runs, own])[firsts]
+            before, self.counts = self.counts, np.zeros(len(firsts), dtype=np.int64)
+            self.counts[places[: len(before)]] = before
+            self.counts[places[len(before) :]] += counts
+
+    def counted(self) -> pa.RecordBatch:
+        """gram and c."""
+        text = self.runs.tobytes().decode("utf-32-le", "surrogatepass")
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(self.counts)], names=["gram", "c"])
 
     def rows(self, chunk: int | None, shard_bits: int) -> pa.RecordBatch:
         """chunk, shard and runs one after the other, a row for each shard."""
@@ -181,6 +176,17 @@ class Distinct:
         )
 
 
+def task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: the distinct runs of a task's texts and their counts."""
+    held = Distinct()
+    for piece in pieces(batches, "text"):
+        held.add(piece["text"].to_pylist())
+        if len(held.hashes) > HELD_RUNS:
+            yield held.counted()
+            held = Distinct()
+    yield held.counted()
+
+
 ASKED = "chunk long, shard int, runs string"
 
 
@@ -266,21 +272,16 @@ def scored_by_chunks(chunk: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame, int] | None:
-    """The model of the texts in docs whose doc_id is in trusted: own shares, weights and the size of its alphabet.
+    """The model of all texts in docs whose doc_id is in trusted: own shares, weights and the size of its alphabet.
 
-    The texts are those with the least hashes of doc_id, TRAIN_TEXTS at most, and of them as many as have TRAIN_CHARS. Of
-    several texts of one doc_id the one with the least hash counts.
+    Of several texts of one doc_id the one with the least hash counts.
     """
-    sample = F.broadcast(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_TEXTS))  # TRAIN_TEXTS ids at most
-    chosen = materialize(docs.select("doc_id", "text").where("text is not null and text <> ''").join(sample, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "kn-sample")
-    ids, total = [], 0
-    for row in chosen.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if total + row["n"] <= TRAIN_CHARS:
-            ids.append(row["doc_id"])
-            total += row["n"]
-    counts = materialize(counts_of(chosen.where(F.col("doc_id").isin(ids))), "kn-counts")
+    found = docs.select("doc_id", "text").where("text is not null and text <> ''").join(trusted, "doc_id", "left_semi")
+    chosen = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    counts, longest = counts_of(chosen)
+    counts = materialize(counts, "kn-counts")
     model = None if counts.isEmpty() else shares(counts)
-    release(chosen, counts)
+    release(counts, longest)
     return model
 
 
@@ -312,6 +313,13 @@ def perplexities(docs: DataFrame, model: tuple[DataFrame, DataFrame, int] | None
     return scores
 
 
+def quantiles(judged: DataFrame, upper: float) -> DataFrame:
+    """whole, lang and cut: of judged's scores (lang, score) the least that a share ``upper`` does not exceed, exactly, in each language and over the whole."""
+    groups = F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("whole"), F.col("lang")))
+    ranked = running_counts(judged.select("score", F.explode(groups).alias("g")).select("score", "g.*"), ["whole", "lang"], "score")
+    return ranked.where(F.col("upto") >= F.ceil(F.lit(upper) * F.col("n"))).groupBy("whole", "lang").agg(F.min("score").alias("cut"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, upper: float = UPPER) -> DataFrame:
     """doc_id, lang, n_chars, score, perplexity, threshold and kept for each row of docs (doc_id, text, lang).
 
@@ -326,10 +334,9 @@ def classify(docs: DataFrame, labels: DataFrame, upper: float = UPPER) -> DataFr
     apart = good.count() >= LEAST_TRUSTED
     scores = perplexities(docs, train(docs, good.where(~left_out) if apart else good))
     judged = scores.join(good.where(left_out) if apart else good, "doc_id", "left_semi").where("score is not null")
-    cut = F.percentile_approx("score", F.lit(upper), F.lit(100_000))
-    by_lang = judged.where("lang is not null").groupBy("lang").agg(cut.alias("of_lang"))
-    overall = judged.agg(cut).first()[0]
-    by_lang = materialize(by_lang, "kn-thresholds")
+    cuts = materialize(quantiles(judged, upper), "kn-thresholds")
+    overall = cuts.where("whole").agg(F.max("cut")).first()[0]
+    by_lang = cuts.where("not whole and lang is not null").select("lang", F.col("cut").alias("of_lang"))
     judged = scores.join(F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang, "lang", "left")
     threshold = F.coalesce("of_lang", F.lit(overall).cast("double"))
     return judged.select(

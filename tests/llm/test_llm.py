@@ -843,6 +843,20 @@ def test_kneser_ney_thresholds(spark):
     assert len(kept & set(range(240))) > 200 and not kept & set(range(240, 270)) and 270 in kept
 
 
+def test_kneser_ney_learns_all_trusted_texts(spark):
+    """However many they are; quantiles are exact."""
+    texts = [chr(0x4E00 + i) + "ab"[i % 2] for i in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    taught = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(kneser_ney.FOLDS)), F.lit(kneser_ney.FOLDS)) != 0)
+    own, _, alphabet = kneser_ney.train(df, taught.select("doc_id"))
+    n = taught.count()
+    assert n > 2_000 and alphabet == n + 3 and own.where("k = 1").count() == n + 2
+    judged = spark.createDataFrame([("en", float(i)) for i in range(1, 201)] + [(None, 500.0)], "lang string, score double")
+    got = {(r["whole"], r["lang"]): r["cut"] for r in kneser_ney.quantiles(judged, 0.995).collect()}
+    assert got == {(False, "en"): 199.0, (True, None): 200.0, (False, None): 500.0}
+
+
 # 10
 
 
