@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.bounded import filesystem
 from cairn.sources.state_table import StateTable
 
 
@@ -18,8 +22,37 @@ def write_parquet_table(df: DataFrame, path: str, epoch: str = "epoch", mode: st
 
 
 def write_cut_files(rows: DataFrame, path: str, epoch: str = "epoch", file: str = "file") -> None:
-    """Rows that rolling_cut() has cut, a folder for each epoch and file. A file's rows meet in one task, which its bounds keep small."""
-    rows.repartition(epoch, file).write.mode("append").option("compression", "snappy").partitionBy(epoch, file).parquet(path)
+    """Rows that rolling_cut() has cut, a folder for each epoch and in it one Parquet file for each cut file, named by its number.
+
+    A file's rows meet in one task, which writes it by pyarrow.fs: with a folder for each file, commit and listing would take
+    as many folders one after the other. A write that is tried again puts the same files in place. epoch is read from the folder's name.
+    """
+
+    def put(key: tuple[int, int], parts: list[pa.RecordBatch]) -> None:
+        at, where = filesystem(f"{path}/{epoch}={key[0]}")
+        at.create_dir(where, recursive=True)
+        pq.write_table(pa.Table.from_batches(parts).drop_columns([epoch]), f"{where}/{key[1]}.parquet", filesystem=at, compression="snappy")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, open_file, parts = 0, None, []
+        for batch in batches:
+            epochs, numbers = batch[epoch].to_numpy(), batch[file].to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(epochs) != 0) | (np.diff(numbers) != 0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if first == end:
+                    continue
+                key = int(epochs[first]), int(numbers[first])
+                if parts and key != open_file:
+                    put(open_file, parts)
+                    files, parts = files + 1, []
+                open_file = key
+                parts.append(batch.slice(first, end - first))
+        if parts:
+            put(open_file, parts)
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    rows.repartition(epoch, file).sortWithinPartitions(epoch, file).mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def write_csv_table(df: DataFrame, path: str, epoch: str | None = None, mode: str = "append") -> None:

@@ -304,3 +304,17 @@ def test_byte_arrays_anywhere(spark):
     got = {r["i"]: r["b"] for r in df.select("i", scalars.byte_arrays_to_base64(F.col("j")).alias("b")).collect()}
     assert got.pop(-1) is None
     assert [json.loads(got[i]) for i in range(len(values))] == [coded(v) for v in values]
+
+
+def test_cut_files_share_the_folder_of_their_epoch(spark, tmp_path):
+    """One file for each cut file, though it comes in several batches; written again, the files are the same."""
+    rows = spark.range(1_000).select(F.col("id").alias("tx"), (F.col("id") / 400).cast("long").alias("epoch"), (F.col("id") - F.col("id") % 50).alias("file"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for _ in range(2):
+            sinks.write_cut_files(rows, f"file://{tmp_path}/cut")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {str(p.relative_to(tmp_path / "cut")) for p in (tmp_path / "cut").rglob("*.parquet")} == {f"epoch={f // 400}/{f}.parquet" for f in range(0, 1_000, 50)}
+    got = spark.read.schema("tx long, file long, epoch long").parquet(f"file://{tmp_path}/cut")
+    assert sorted(map(tuple, got.select("tx", "epoch", "file").collect())) == [(i, i // 400, i - i % 50) for i in range(1_000)]
