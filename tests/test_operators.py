@@ -305,3 +305,17 @@ def test_a_page_orders_lines_of_equal_keys(spark):
     rows = spark.range(0, 1000, 1, 8).select(F.lit(501).alias("k"), F.lit(1).alias("n"), (1000 - F.col("id")).alias("part"))
     page = paging.keyset_page(rows, ["k", "n"], 5, (500, 2), ties=["part"])
     assert [r["part"] for r in page.collect()] == [1, 2, 3, 4, 5]
+
+
+def test_spread_by_rows_below_the_set_partitions(spark):
+    """Rows that compress to nothing still go over the tasks that their number asks for, when more partitions are set than these."""
+    from cairn.sources.shared import spread
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        dealt = spread(spark.range(2000).withColumn("same", F.lit("x")), 2000, "id", most=100)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == 2000 and max(sizes) < 200
