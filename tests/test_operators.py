@@ -319,3 +319,19 @@ def test_spread_by_rows_below_the_set_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sum(sizes) == 2000 and max(sizes) < 200
+
+
+def test_records_nest_only_the_lists_that_are_read(spark):
+    from cairn.plans import catalog
+    from cairn.plans.flatten_queries import LISTS, checkpoint_records
+    from cairn.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert [f.name for f in checkpoint_records(t).schema["transactions"].dataType.elementType][-6:] == list(LISTS)
+    by_digest = lambda df, name: {r["tx"]["digest"]: r["tx"][name] for r in df.select(F.explode("transactions").alias("tx")).collect()}
+    every = checkpoint_records(t)
+    for name in LISTS:
+        assert by_digest(checkpoint_records(t, name), name) == by_digest(every, name)
+    for query, unread in {"p2_flatten_transaction": "md5(", "p3_command_counts": "md5(", "p13_flatten_package": "to_json", "p7_flatten_object": "to_json"}.items():
+        plan = catalog.QUERIES[query](spark, t.sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert unread not in plan, (query, plan)
