@@ -243,6 +243,18 @@ def test_record_files_are_compressed_and_read(spark):
     assert [json.loads(b["value"][0].as_py())["summary"]["sequence_number"] for b in reader.read(bounded.Files(0, 3))] == [0, 1, 2]
 
 
+def test_record_files_are_written_by_their_tasks(spark, tmp_path):
+    """A folder and a file for each record, nothing staged for a commit, and the same files when it is tried again."""
+    records = spark.range(40).select(F.struct(F.col("id").alias("sequence_number"), F.lit(None).cast("string").alias("digest")).alias("summary"), F.array().cast("array<string>").alias("transactions"), F.col("id").alias("seq"))
+    found = []
+    for tasks in (3, 5):
+        sinks.write_record_files(records.repartition(tasks), f"file://{tmp_path}/in")
+        found.append({os.path.relpath(os.path.join(d, f), tmp_path): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(f"{tmp_path}/in") for f in names})
+    assert found[0] == found[1] and sorted(found[0]) == sorted(f"in/seq={n}/part-0.json.gz" for n in range(40))
+    lines = [b.to_pydict() for b in bounded.Reader({"path": f"file://{tmp_path}/in"}).read(bounded.Files(0, 40))]
+    assert [(x["file_sequence"], json.loads(x["value"][0])) for x in lines] == [([n], {"summary": {"sequence_number": n}, "transactions": []}) for n in range(40)]
+
+
 def test_pipelines_start_each_stream_once(spark, tmp_path, monkeypatch):
     path, started = f"{tmp_path}/in", []
     write_files(path, range(9))
