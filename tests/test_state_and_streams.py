@@ -263,6 +263,20 @@ def test_pipelines_start_each_stream_once(spark, tmp_path, monkeypatch):
     assert streams.run_pipelines(spark, path, handlers, f"{tmp_path}/out", f"{tmp_path}/state", 2, 3) == {"a": 9, "b": 9} and len(started) == 2
 
 
+def test_pipelines_ask_for_inputs_by_number_and_for_markers_when_quiet(spark, tmp_path, monkeypatch):
+    """The folder is listed for the first bound only, and markers are read at the start and the end, not in each round."""
+    path, asked, bounds = f"{tmp_path}/in", [], []
+    write_files(path, range(40))
+    monkeypatch.setattr(streams, "_greatest", lambda *a, f=streams._greatest: asked.append(a) or f(*a))
+    monkeypatch.setattr(bounded, "prune", lambda source, below, pruned, since=None, f=bounded.prune: bounds.append((since, below)) or f(source, below, pruned, since))
+    handlers = {name: lambda d: d.select("file_sequence") for name in ("a", "b")}
+    assert streams.run_pipelines(spark, path, handlers, f"{tmp_path}/out", f"{tmp_path}/state", 2, 3) == {"a": 40, "b": 40} and os.listdir(path) == []
+    assert len(asked) <= 8 < 40 // 3 <= len(bounds) and bounds[0][0] is None
+    assert [since for since, _ in bounds[1:]] == [below for _, below in bounds[:-1]] and bounds[-1][1] == 40
+    for name in handlers:
+        assert sorted(r["file_sequence"] for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()) == list(range(40))
+
+
 def test_buckets_of_epochs_are_pruned(spark, tmp_path):
     rows = spark.range(4000).select("id", (F.col("id") * 37 % 1000).alias("checkpoint_sequence_number"), (F.col("id") * 37 % 1000 / 25).cast("long").alias("epoch"))
     sinks.write_bucketed(rows, str(tmp_path))
