@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +170,62 @@ def test_ranks():
     assert report([(5, 3), (9, 1)])[0] == [5, 5, 5, 9, 9]
 
 
+class Kept:
+    """A state store of one key, which counts the calls for its map."""
+
+    def __init__(self):
+        self.map, self.values, self.timers, self.calls = {}, {}, set(), 0
+
+    def called(self):
+        self.calls += 1
+        return self.map
+
+    def getMapState(self, name, *schemas):
+        calls = {"getValue": lambda k: self.called()[k], "updateValue": lambda k, v: self.called().update({k: v}), "containsKey": lambda k: k in self.called(), "removeKey": lambda k: self.called().pop(k), "iterator": lambda: iter(list(self.called().items()))}
+        return type("Map", (), {n: staticmethod(f) for n, f in calls.items()})
+
+    def getValueState(self, name, schema):
+        calls = {"exists": lambda: name in self.values, "get": lambda: self.values[name], "update": lambda v: self.values.update({name: v})}
+        return type("Value", (), {n: staticmethod(f) for n, f in calls.items()})
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+@pytest.mark.parametrize("shares", [1, 4])
+def test_windows_of_a_label_are_dealt_over_shares(shares):
+    """A label's windows are put out by several keys, late samples and silent windows as by one, with few calls for many points."""
+    rng, width = random.Random(shares), 10
+    processors, stores, got = {}, {}, {}
+    for share in range(shares):
+        stores[share], processors[share] = Kept(), windows.Percentiles("label", width, (500, 900), shares)
+        processors[share].init(stores[share])
+    combined, held, ahead, expected, seen = windows._combined("label", width, shares), {}, None, {}, set()
+    for mark, latest in ((0, 95), (60, 200), (190, 450), (440, 460), (455, 455)):
+        starts = [rng.randint(max(latest - 130, 0), latest) // width * width for _ in range(3000)]
+        points = [rng.randint(0, 5000) for _ in starts]
+        table = pa.table({"label": ["a"] * 3000, "start": pa.array(starts, pa.int64()), "point": pa.array(points, pa.int64())})
+        rows = pa.Table.from_batches(list(combined(iter(table.to_batches(max_chunksize=700))))).to_pandas()
+        seen |= set(rows["share"])
+        for share, some in rows.groupby("share"):
+            list(processors[share].handleInputRows(("a", share), iter([some.iloc[:40], some.iloc[40:]]), None))
+            for _ in [t for t in stores[share].timers if t <= mark]:
+                for frame in processors[share].handleExpiredTimer(("a", share), type("Now", (), {"getCurrentWatermarkInMs": lambda self, mark=mark: mark})(), None):
+                    for r in frame.to_dict("records"):
+                        assert got.setdefault(r["start"], (r["percentiles"], r["sum"], r["count"])) and r["start"] // width % shares == share
+        for start, point in zip(starts, points, strict=True):
+            if ahead is None or start >= ahead:
+                held.setdefault(start, []).append(point)
+        last = mark // width * width
+        if (min(held) if ahead is None else ahead) < last:
+            for start in range(min(held) if ahead is None else ahead, last, width):
+                of = sorted(held.pop(start, []))
+                expected[start] = ([of[len(of) * 500 // 1000], of[len(of) * 900 // 1000]] if of else [0, 0], sum(of), len(of))
+            ahead = last
+    assert got == expected and len(got) > 40 and 0 in {n for _, _, n in got.values()} and seen == set(range(shares))
+    assert sum(s.calls for s in stores.values()) < 1000  # of some 12,000 samples
+
+
 # Subscriptions
 
 
