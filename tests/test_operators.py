@@ -335,3 +335,14 @@ def test_records_nest_only_the_lists_that_are_read(spark):
     for query, unread in {"p2_flatten_transaction": "md5(", "p3_command_counts": "md5(", "p13_flatten_package": "to_json", "p7_flatten_object": "to_json"}.items():
         plan = catalog.QUERIES[query](spark, t.sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert unread not in plan, (query, plan)
+
+
+def test_a_task_of_dependencies_is_bounded_by_transactions(spark, tmp_path, monkeypatch):
+    """However many transactions a checkpoint has, no task solves more than so many of them."""
+    from cairn.plans import query_queries as q
+    from cairn.plans.catalog import QUERIES
+
+    many = 2 * q.PER_TASK + 7
+    spark.range(many).selectExpr("id event_id", "timestamp'2024-01-01 05:00:00' ts", "1L user_id", "'a' event_type", "1.0D value", "'{\"k\": 3}' props").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(q.p, "dependency_depth", lambda nodes, edges, group: nodes.groupBy(group).count())
+    assert sorted(r["count"] for r in QUERIES["l10_depth_across_checkpoints"](spark, str(tmp_path)).collect()) == [7, q.PER_TASK, q.PER_TASK]
