@@ -226,6 +226,15 @@ def test_windows_of_a_label_are_dealt_over_shares(shares):
     assert sum(s.calls for s in stores.values()) < 1000  # of some 12,000 samples
 
 
+def test_columns_that_are_never_null_are_dealt_too():
+    """All batches of a task have one schema, whatever its columns may hold, and each share gets each label's first window."""
+    fields = pa.schema([pa.field("label", pa.string()), pa.field("start", pa.int64(), nullable=False), pa.field("point", pa.int64(), nullable=False)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([10 * i, 50 - 10 * i], pa.int64()), pa.array([1, 1], pa.int64())], schema=fields) for i in range(1, 4)]
+    rows = pa.Table.from_batches(list(windows._combined("label", 10, 4)(iter(batches)))).to_pylist()
+    assert sorted((r["label"], r["start"], r["share"]) for r in rows if r["n"] == 0) == [(x, first, share) for x, first in (("a", 10), ("b", 20)) for share in range(4)]
+    assert sorted((r["label"], r["start"]) for r in rows if r["n"]) == [("a", 10), ("a", 20), ("a", 30), ("b", 20), ("b", 30), ("b", 40)]
+
+
 # Subscriptions
 
 
